@@ -1,0 +1,7 @@
+"""Streaming use of the row-level operators.
+
+The engine has no streaming operators of its own: every input it knows is a
+bounded file.  The per-row operators (``operators.rows``, ``operators.layers.expand_long``,
+``functions.composition``) are plain projections, so they also accept a frame
+from ``spark.readStream``; ``tests/test_streaming.py`` runs one that way.
+"""
