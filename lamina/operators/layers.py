@@ -271,12 +271,13 @@ def build_catalog(df: DataFrame, reference: Sequence[tuple[str, str, str | None]
     layered = [f for _, f, _ in reference if verdict[f]]
     plain = [f for _, f, _ in reference if not verdict[f]]
     profile = materialise(node_profile(df, layered, plain), "profile")
-    presence = profile.filter("level = -1").groupBy("field").agg(
+    presence = profile.filter("level = -1").groupBy(F.col("field").alias("parent")).agg(
         (F.coalesce(F.sum(F.when(F.col("depth") == 0, F.col("n"))), F.lit(0)) / F.sum("n")).alias("sparsity")
     )
-    records = flagged.join(presence, F.col("Field") == F.col("field"), "left").select(
-        "ordinal", "section", flagged["Field"].alias("parent"),
-        F.coalesce("sparsity", F.lit(float("nan"))).alias("sparsity"), "layered",
+    records = (
+        flagged.withColumnRenamed("Field", "parent")
+        .join(presence, "parent", "left")
+        .select("ordinal", "section", "parent", F.coalesce("sparsity", F.lit(float("nan"))).alias("sparsity"), "layered")
     )
     histogram = depth_histogram(profile)
     pass_through = records.filter("not layered").select(
