@@ -48,11 +48,27 @@ def null_token(cell: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     return F.when(~cell.isin(*tokens), cell)
 
 
-def tokenise(cell: Column, delimiter: str) -> Column:
-    """Entries of a delimited cell with all spaces removed; empty list when there are none."""
-    packed = F.replace(cell, F.lit(" "), F.lit(""))
-    entries = F.split(packed, "\\Q" + delimiter + "\\E")
-    return F.when(packed.isNull() | packed.isin(*EMPTY_CELLS), F.array().cast("array<string>")).otherwise(entries)
+def _is_empty(packed: Column) -> Column:
+    return packed.isNull() | packed.isin(*EMPTY_CELLS)
+
+
+def tokenise(cell: Column, delimiter: str, packed: bool = False) -> Column:
+    """Entries of a delimited cell with all spaces removed; empty list when there are none.
+
+    ``packed`` says that the cell has no spaces, as every entry of an outer level.  Cells
+    without the delimiter skip the regular expression.
+    """
+    text = cell if packed else F.replace(cell, F.lit(" "), F.lit(""))
+    pattern = "\\" + delimiter if len(delimiter) == 1 else delimiter
+    entries = F.when(text.contains(delimiter), F.split(text, pattern)).otherwise(F.array(text))
+    return F.when(_is_empty(text), F.array().cast("array<string>")).otherwise(entries)
+
+
+def token_count(packed: Column, delimiter: str) -> Column:
+    """Number of entries :func:`tokenise` would return for a cell without spaces."""
+    marks = F.length(packed) - F.length(F.replace(packed, F.lit(delimiter), F.lit("")))
+    several = F.when(packed.contains(delimiter), (marks / F.lit(len(delimiter))).cast("int") + 1).otherwise(F.lit(1))
+    return F.when(_is_empty(packed), F.lit(0)).otherwise(several)
 
 
 def number(cell: Column) -> Column:

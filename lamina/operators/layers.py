@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.text import LEVELS, is_layered, tokenise
+from lamina.functions.text import LEVELS, is_layered, token_count, tokenise
 from lamina.session import materialise
 
 (LAYER, LAYER_MARK), (FEATURE, FEATURE_MARK), (STEP, STEP_MARK) = LEVELS
@@ -27,11 +27,11 @@ def _layers(cell: Column) -> Column:
 
 
 def _features(layers: Column) -> Column:
-    return F.transform(layers, lambda c: tokenise(c, FEATURE_MARK))
+    return F.transform(layers, lambda c: tokenise(c, FEATURE_MARK, packed=True))
 
 
 def _steps(features: Column) -> Column:
-    return F.transform(features, lambda fs: F.transform(fs, lambda c: tokenise(c, STEP_MARK)))
+    return F.transform(features, lambda fs: F.transform(fs, lambda c: tokenise(c, STEP_MARK, packed=True)))
 
 
 def child_columns(df: DataFrame, column: str, delimiter: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -53,8 +53,8 @@ def expand_long(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ("ro
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("cell")) for f in fields])
     rows = df.select(*keep, F.explode(cells).alias("e")).select(*keep, "e.field", "e.cell")
     rows = rows.select(*keep, "field", "cell", F.posexplode_outer(_layers(F.col("cell"))).alias("layer", "c1"))
-    rows = rows.select("*", F.posexplode_outer(tokenise(F.col("c1"), FEATURE_MARK)).alias("feature", "c2"))
-    rows = rows.select("*", F.posexplode_outer(tokenise(F.col("c2"), STEP_MARK)).alias("deposition", "c3"))
+    rows = rows.select("*", F.posexplode_outer(tokenise(F.col("c1"), FEATURE_MARK, packed=True)).alias("feature", "c2"))
+    rows = rows.select("*", F.posexplode_outer(tokenise(F.col("c2"), STEP_MARK, packed=True)).alias("deposition", "c3"))
     return rows.select(
         *keep, "field", "layer", "feature", "deposition", F.coalesce("c3", "c2", "c1", "cell").alias("value")
     )
@@ -104,7 +104,7 @@ def _layer_node(node, field: str):
 
 def _feature_nodes(node, field: str):
     def of_layer(fs: Column, layer: Column) -> Column:
-        return F.transform(fs, lambda c, j: node(field, 2, layer, j, F.size(tokenise(c, STEP_MARK))))
+        return F.transform(fs, lambda c, j: node(field, 2, layer, j, token_count(c, STEP_MARK)))
 
     return of_layer
 
@@ -115,17 +115,21 @@ def depth_histogram(profile: DataFrame) -> DataFrame:
     The zero bucket counts all rows in which the node has no children: its cell is
     empty, or the row does not reach the node at all.
     """
-    total = profile.filter("level = -1").groupBy("field").agg(F.sum("n").alias("total"))
+    # One field's part of the profile: bounded by the size of its tree, not by its rows.
+    rows = F.sum(F.when(F.col("level") == -1, F.col("n"))).over(Window.partitionBy("field"))
     node = ["field", "level", "layer", "feature"]
-    inner = profile.filter("level >= 0")
-    found = inner.filter("depth > 0")
-    zero = (
-        inner.groupBy(*node)
-        .agg(F.coalesce(F.sum(F.when(F.col("depth") > 0, F.col("n"))), F.lit(0)).alias("some"))
-        .join(total, "field")
-        .select(*node, F.lit(0).alias("depth"), (F.col("total") - F.col("some")).alias("n"))
+    bucket = F.struct("depth", "n")
+    nodes = (
+        profile.withColumn("rows", rows)
+        .filter("level >= 0")
+        .groupBy(*node)
+        .agg(
+            F.collect_list(F.when(F.col("depth") > 0, bucket)).alias("found"),
+            (F.max("rows") - F.coalesce(F.sum(F.when(F.col("depth") > 0, F.col("n"))), F.lit(0))).alias("none"),
+        )
     )
-    return found.select(*node, "depth", "n").unionByName(zero)
+    zero = F.array(F.struct(F.lit(0).alias("depth"), F.col("none").alias("n")))
+    return nodes.select(*node, F.explode(F.concat(zero, "found")).alias("e")).select(*node, "e.depth", "e.n")
 
 
 def coverage_cutoff(histogram: DataFrame, coverage: float) -> DataFrame:
@@ -187,11 +191,11 @@ def _ordered_leaves(leaves: DataFrame, fields: Sequence[str]) -> list:
     if len(rows) > MAX_LEAVES:
         raise ValueError("too many leaves for columns; use expand_long")
     place = {f: i for i, f in enumerate(fields)}
-    none = -1
-    return sorted(
-        (r for r in rows if r["field"] in place),
-        key=lambda r: (place[r["field"]], *(none if r[p] is None else r[p] for p in ("layer", "feature", "deposition"))),
-    )
+
+    def position(row) -> tuple:
+        return (place[row["field"]], *(-1 if row[p] is None else row[p] for p in ("layer", "feature", "deposition")))
+
+    return sorted((r for r in rows if r["field"] in place), key=position)
 
 
 def expand_wide(
@@ -205,29 +209,31 @@ def expand_wide(
     """
     names = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
     if leaves is None:
-        leaves = leaf_table(materialise(depth_histogram(node_profile(df, list(names))), "profile"))
-    wanted = _ordered_leaves(leaves, list(names))
+        leaves = leaf_table(depth_histogram(node_profile(df, list(names))))
+    return _pick_leaves(df, names, _ordered_leaves(leaves, list(names)), keep)
+
 
+def _pick_leaves(df: DataFrame, names: Mapping[str, str], wanted: Sequence, keep: Sequence[str]) -> DataFrame:
     nested: dict[str, Column] = {}
     picks: list[Column] = []
-    for number, field in enumerate(names):
+    slots = {field: i for i, field in enumerate(names)}
+    for leaf in wanted:
+        field, slot = leaf["field"], slots[leaf["field"]]
         layers = _layers(F.col(field).cast("string"))
-        for leaf in (r for r in wanted if r["field"] == field):
-            label = names[field] + leaf["child"][len(field):]
-            if leaf["layer"] is None:
-                nested[f"_r{number}"] = F.col(field)
-                pick = F.col(f"_r{number}")
-            elif leaf["feature"] is None:
-                nested[f"_l{number}"] = layers
-                pick = F.get(f"_l{number}", F.lit(leaf["layer"]))
-            elif leaf["deposition"] is None:
-                nested[f"_f{number}"] = _features(layers)
-                pick = F.get(F.get(f"_f{number}", F.lit(leaf["layer"])), F.lit(leaf["feature"]))
-            else:
-                nested[f"_s{number}"] = _steps(_features(layers))
-                pick = F.get(F.get(F.get(f"_s{number}", F.lit(leaf["layer"])), F.lit(leaf["feature"])),
-                             F.lit(leaf["deposition"]))
-            picks.append(pick.alias(label))
+        if leaf["layer"] is None:
+            name, column = f"_r{slot}", F.col(field)
+        elif leaf["feature"] is None:
+            name, column = f"_l{slot}", layers
+        elif leaf["deposition"] is None:
+            name, column = f"_f{slot}", _features(layers)
+        else:
+            name, column = f"_s{slot}", _steps(_features(layers))
+        nested[name] = column
+        pick = F.col(name)
+        for position in ("layer", "feature", "deposition"):
+            if leaf[position] is not None:
+                pick = F.get(pick, F.lit(leaf[position]))
+        picks.append(pick.alias(names[field] + leaf["child"][len(field):]))
     inner = df.select(*keep, *[c.alias(n) for n, c in nested.items()])
     return inner.select(*keep, *picks)
 
@@ -286,7 +292,7 @@ def build_catalog(df: DataFrame, reference: Sequence[tuple[str, str, str | None]
         F.col("parent").alias("child"),
     )
     leaves = leaf_table(histogram).unionByName(pass_through)
-    return Catalog(materialise(records, "records"), materialise(histogram, "histogram"), materialise(leaves, "leaves"))
+    return Catalog(records, histogram, leaves)
 
 
 def feature_records(catalog: Catalog) -> DataFrame:
@@ -357,18 +363,19 @@ def tree_nodes(catalog: Catalog) -> DataFrame:
     )
 
 
+def _surviving(catalog: Catalog) -> tuple[list[str], list]:
+    """Parents in catalog order, and the leaves that are left, in column order."""
+    fields = [r["parent"] for r in sorted(catalog.records.select("ordinal", "parent").collect())]
+    return fields, _ordered_leaves(catalog.leaves, fields)
+
+
 def surviving_columns(catalog: Catalog) -> list[str]:
     """Leaf names in record order; this is the column list of the expanded table."""
-    rows = feature_records(catalog).select("ordinal", "children").collect()
-    return [c for r in sorted(rows, key=lambda r: r["ordinal"]) for c in r["children"]]
+    return [r["child"] for r in _surviving(catalog)[1]]
 
 
 def expand_catalog(df: DataFrame, catalog: Catalog, keep: Sequence[str] = ()) -> DataFrame:
     """The columns the catalog still lists, decoded from ``df``; pruned leaves are never computed."""
-    records = sorted(catalog.records.select("ordinal", "parent", "layered").collect())
-    layered = [r["parent"] for r in records if r["layered"]]
-    plain = [r["parent"] for r in records if not r["layered"]]
-    kept = [*keep, *[c for c in plain if c not in keep]]
-    wide = expand_wide(df, layered, leaves=catalog.leaves, keep=kept) if layered else df.select(*kept)
-    order = [c for c in surviving_columns(catalog) if c not in keep]
-    return wide.select(*keep, *order)
+    fields, wanted = _surviving(catalog)
+    wanted = [r for r in wanted if r["child"] not in keep]
+    return _pick_leaves(df, {f: f for f in fields}, wanted, keep)
