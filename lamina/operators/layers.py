@@ -63,50 +63,56 @@ def expand_long(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ("ro
 # -- shape of the trees ----------------------------------------------------------
 
 
+def _shape(cell: Column) -> Column:
+    """Entries per step list, per feature, per layer: the tree of one cell without its text."""
+
+    def of_layer(text: Column) -> Column:
+        return F.transform(tokenise(text, FEATURE_MARK, packed=True), lambda c: token_count(c, STEP_MARK))
+
+    return F.transform(_layers(cell), of_layer)
+
+
 def node_profile(df: DataFrame, fields: Sequence[str], plain: Sequence[str] = ()) -> DataFrame:
     """``(field, level, layer, feature, depth, n)``: rows whose node has ``depth`` children.
 
     Level 0 is the field, 1 a layer, 2 a feature; absent positions are -1.  Level -1 holds
     the presence of the raw cell (depth 0 null, 1 not null), also for the ``plain``
-    fields.  Every row emits its nodes as one array and the counts are combined before
-    the shuffle, so the shuffled table has one row per node and depth and task.
+    fields.  One scan reduces every cell to its shape and counts equal shapes, combined
+    before the shuffle; nodes are only listed for the distinct shapes that are left.
     """
+    no_shape = F.lit(None).cast("array<array<int>>")
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"), F.col(f).isNotNull().alias("present"),
+                (_shape(F.col(f).cast("string")) if f in fields else no_shape).alias("shape"),
+            )
+            for f in [*fields, *plain]
+        ]
+    )
+    shapes = (
+        df.select(F.explode(cells).alias("e"))
+        .groupBy("e.field", "e.present", "e.shape")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
 
-    def node(field: str, level: int, layer: Column, feature: Column, depth: Column) -> Column:
+    def node(level: int, layer: Column, feature: Column, depth: Column) -> Column:
         return F.struct(
-            F.lit(field).alias("field"), F.lit(level).alias("level"), layer.cast("int").alias("layer"),
-            feature.cast("int").alias("feature"), depth.cast("int").alias("depth"),
+            F.lit(level).alias("level"), layer.alias("layer"), feature.alias("feature"), depth.alias("depth")
         )
 
     none = F.lit(-1)
-    packed = df.select(
-        *[F.col(f).isNotNull().alias(f"_p{i}") for i, f in enumerate([*fields, *plain])],
-        *[_features(_layers(F.col(f).cast("string"))).alias(f"_f{i}") for i, f in enumerate(fields)],
+    presence = node(-1, none, none, F.col("present").cast("int"))
+    root = node(0, none, none, F.size("shape"))
+    layers = F.transform("shape", lambda steps, i: node(1, i, none, F.size(steps)))
+    features = F.flatten(
+        F.transform("shape", lambda steps, i: F.transform(steps, lambda n, j: node(2, i, j, n)))
     )
-    parts = []
-    for i, f in enumerate([*fields, *plain]):
-        parts.append(F.array(node(f, -1, none, none, F.col(f"_p{i}"))))
-    for i, f in enumerate(fields):
-        features = F.col(f"_f{i}")
-        parts.append(F.array(node(f, 0, none, none, F.size(features))))
-        parts.append(F.transform(features, _layer_node(node, f)))
-        parts.append(F.flatten(F.transform(features, _feature_nodes(node, f))))
-    return (
-        packed.select(F.explode(F.concat(*parts)).alias("e"))
-        .groupBy("e.field", "e.level", "e.layer", "e.feature", "e.depth")
-        .agg(F.count(F.lit(1)).alias("n"))
+    nodes = F.when(F.col("shape").isNull(), F.array(presence)).otherwise(
+        F.concat(F.array(presence, root), layers, features)
     )
-
-
-def _layer_node(node, field: str):
-    return lambda fs, layer: node(field, 1, layer, F.lit(-1), F.size(fs))
-
-
-def _feature_nodes(node, field: str):
-    def of_layer(fs: Column, layer: Column) -> Column:
-        return F.transform(fs, lambda c, j: node(field, 2, layer, j, token_count(c, STEP_MARK)))
-
-    return of_layer
+    listed = shapes.select("field", "rows", F.explode(nodes).alias("e"))
+    return listed.groupBy("field", "e.level", "e.layer", "e.feature", "e.depth").agg(F.sum("rows").alias("n"))
 
 
 def depth_histogram(profile: DataFrame) -> DataFrame:
@@ -155,22 +161,42 @@ def coverage_cutoff(histogram: DataFrame, coverage: float) -> DataFrame:
     )
 
 
+def node_map(table: DataFrame, value: str) -> DataFrame:
+    """``(field, nodes)``: a value per node as a map; its size is that of one field's tree."""
+    entry = F.struct(F.struct("level", "layer", "feature").alias("node"), F.col(value).alias("value"))
+    return table.groupBy("field").agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
+
+
+def _of_node(level: int, layer: Column, feature: Column) -> Column:
+    key = F.struct(F.lit(level).alias("level"), layer.alias("layer"), feature.alias("feature"))
+    return F.try_element_at(F.col("nodes"), key)
+
+
+def values_on_path() -> list[Column]:
+    """The values of a leaf's nodes at the three levels, null below the leaf."""
+    none = F.lit(-1)
+    return [
+        _of_node(0, none, none),
+        F.when(F.col("layer").isNotNull(), _of_node(1, F.coalesce("layer", none), none)),
+        F.when(F.col("feature").isNotNull(), _of_node(2, F.coalesce("layer", none), F.coalesce("feature", none))),
+    ]
+
+
 def leaf_table(histogram: DataFrame) -> DataFrame:
     """``(field, layer, feature, deposition, w0, w1, w2, child)``, one row per leaf of each tree.
 
     Positions are null below a leaf.  In the name, a part appears only where its parent has
     several children.
     """
-    widths = histogram.groupBy("field", "level", "layer", "feature").agg(F.max("depth").cast("int").alias("w"))
-    children = lambda w: F.when(F.col(w) > 0, F.sequence(F.lit(0), F.col(w) - 1))
-    top = widths.filter("level = 0").select("field", F.col("w").alias("w0"))
-    one = widths.filter("level = 1").select("field", "layer", F.col("w").alias("w1"))
-    two = widths.filter("level = 2").select("field", "layer", "feature", F.col("w").alias("w2"))
-    tree = top.select("*", F.explode_outer(children("w0")).alias("layer")).join(one, ["field", "layer"], "left")
-    tree = tree.select("*", F.explode_outer(children("w1")).alias("feature")).join(
-        two, ["field", "layer", "feature"], "left"
-    )
-    tree = tree.select("*", F.explode_outer(children("w2")).alias("deposition"))
+    widths = histogram.groupBy("field", "level", "layer", "feature").agg(F.max("depth").alias("width"))
+
+    def children(width: Column) -> Column:
+        return F.explode_outer(F.when(width > 0, F.sequence(F.lit(0), width - 1)))
+
+    nothing = F.lit(None).cast("int")
+    tree = node_map(widths, "width").withColumns({"layer": nothing, "feature": nothing})
+    for level, position in enumerate(("layer", "feature", "deposition")):
+        tree = tree.withColumn(f"w{level}", values_on_path()[level]).withColumn(position, children(F.col(f"w{level}")))
     name = F.concat_ws(
         "_",
         "field",

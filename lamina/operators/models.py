@@ -107,9 +107,24 @@ class Fitted(NamedTuple):
         return assemble(df, self.features, self.missing, keep)
 
 
+def balanced(data: DataFrame) -> DataFrame:
+    """``data`` persisted for repeated passes, dealt out evenly if it has fewer partitions than cores.
+
+    A table with enough partitions is not shuffled.  A lost block is computed again.
+    """
+    data = data.persist()
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() >= cores:
+        return data
+    spread = data.repartition(cores).persist()
+    spread.count()
+    data.unpersist()
+    return spread
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any]) -> Fitted:
     missing = fit_missing(df, features)
-    data = assemble(df, features, missing, [label]).persist()
+    data = balanced(assemble(df, features, missing, [label]))
     try:
         model = create_estimator(config, label=label).fit(data)
     finally:
@@ -179,7 +194,8 @@ def cross_validate(
     if unknown:
         raise ValueError(f"unsupported metrics {unknown}")
     side = [F.col(role).alias("_role")] if role else []
-    data = folded.select(fold, *side, F.col(label).alias("label"), *[F.col(c).cast("double") for c in features]).persist()
+    columns = [fold, *side, F.col(label).alias("label"), *[F.col(c).cast("double") for c in features]]
+    data = balanced(folded.select(*columns))
     numbers = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
 
     def scores(number) -> DataFrame:
@@ -236,7 +252,7 @@ def boosting_curve(fitted: Fitted, parts: Mapping[str, DataFrame], label: str) -
     """``(iter, split, loss)``: RMSE after every boosting round on each part."""
     rows = []
     for name, part in parts.items():
-        data = fitted.vectors(part, [label]).persist()
+        data = balanced(fitted.vectors(part, [label]))
         for i, loss in enumerate(fitted.model.evaluateEachIteration(data, "squared")):
             rows.append((i, name, float(loss) ** 0.5))
         data.unpersist()

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.layers import Catalog, build_catalog, coverage_cutoff, expand_catalog, flag_layered
+from lamina.operators.layers import (
+    Catalog, build_catalog, coverage_cutoff, expand_catalog, flag_layered, node_map, values_on_path,
+)
 from lamina.operators.rows import normalise_nulls, promote_numeric
 from lamina.operators.stats import dense_columns
 
@@ -48,16 +50,11 @@ def prune_breadth(catalog: Catalog, sparsity_threshold: float = 0.25) -> Catalog
 
 def prune_leaves(leaves: DataFrame, histogram: DataFrame, coverage: float) -> DataFrame:
     """Leaves whose position is kept at every node above them."""
-    cut = coverage_cutoff(histogram, coverage)
-    top = cut.filter("level = 0").select("field", F.col("keep").alias("k0"))
-    one = cut.filter("level = 1").select("field", "layer", F.col("keep").alias("k1"))
-    two = cut.filter("level = 2").select("field", "layer", "feature", F.col("keep").alias("k2"))
-    joined = leaves.join(top, "field", "left").join(one, ["field", "layer"], "left").join(
-        two, ["field", "layer", "feature"], "left"
-    )
+    keep = node_map(coverage_cutoff(histogram, coverage), "keep")
+    joined = leaves.join(keep, "field", "left")
     kept = F.lit(True)
-    for position, k in (("layer", "k0"), ("feature", "k1"), ("deposition", "k2")):
-        kept = kept & F.coalesce(F.col(position) < F.col(k), F.lit(True))
+    for position, limit in zip(("layer", "feature", "deposition"), values_on_path()):
+        kept = kept & F.coalesce(F.col(position) < limit, F.lit(True))
     return joined.filter(kept).select(*leaves.columns)
 
 
