@@ -122,9 +122,15 @@ def balanced(data: DataFrame) -> DataFrame:
     return spread
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any]) -> Fitted:
+def fit(
+    df: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any], is_balanced: bool = False
+) -> Fitted:
+    """Train on ``df``.  The learner keeps its own binned copy; ``is_balanced`` data are only read for it."""
     missing = fit_missing(df, features)
-    data = balanced(assemble(df, features, missing, [label]))
+    data = assemble(df, features, missing, [label])
+    if is_balanced:
+        return Fitted(create_estimator(config, label=label).fit(data), tuple(features), missing)
+    data = balanced(data)
     try:
         model = create_estimator(config, label=label).fit(data)
     finally:
@@ -204,7 +210,7 @@ def cross_validate(
         else:
             test = F.col(fold) == number
             part = data.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
-        fitted = fit(part.filter(F.col("split") == "train"), features, "label", config)
+        fitted = fit(part.filter(F.col("split") == "train"), features, "label", config, is_balanced=True)
         table = regression_metrics(predict(fitted, part, ["split", "label"]), ["split"], metrics)
         return table.select(F.lit(number).alias("fold"), "split", "metric", "value")
 

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from lamina.functions.hashing import key_hash
 from lamina.plans.cuts import hash_cuts
+from lamina.plans.lookup import lookup_join
+from lamina.plans.ranks import key_literal, keys_at_ranks, nulls_first, order_key
 from lamina.plans.row_index import with_row_index
 from lamina.session import BROADCAST_ROWS
 
+# Block starts that are looked up and compared per row.
+MAX_EDGES = 200
+
 
 def row_key(*columns: str) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
@@ -49,78 +54,127 @@ def shuffle_split(
     return df.select("*", F.explode(roles).alias("_r")).select(*df.columns, "_r.split_no", "_r.role")
 
 
+def _blocks(df: DataFrame, order: Sequence[str], starts: Sequence[int], total: int) -> tuple[Column, list[Column | None]]:
+    """The order key and the key at the start of every block; None past the end."""
+    key = order_key(df, order)
+    found = keys_at_ranks(df, key, starts, total)
+    return key, [key_literal(df, key, found[s]) if s in found else None for s in starts]
+
+
 def kfold(
     df: DataFrame, order: Sequence[str], n_splits: int = 5, shuffle: bool = False, seed: int = 0
 ) -> DataFrame:
-    """Add ``fold``: contiguous blocks of rows in ``order``, the first n mod k one row longer."""
+    """Add ``fold``: contiguous blocks of rows in ``order``, the first n mod k one row longer.
+
+    ``order`` must identify a row.  Only the keys at the k - 1 block starts are looked up; the
+    rows get their fold by comparison and stay where they are.
+    """
     if n_splits < 2:
         raise ValueError("at least two folds are needed")
-    if shuffle:
-        hashed = df.withColumn("_hash", key_hash(seed, row_key(*order)))
-        frame, total = with_row_index(hashed, ["_hash", *order], "_row")
-        frame = frame.drop("_hash")
-    else:
-        frame, total = with_row_index(df, order, "_row")
+    frame = df.withColumn("_hash", key_hash(seed, row_key(*order))) if shuffle else df
+    by = ["_hash", *order] if shuffle else list(order)
+    total = df.count()
     base, longer = divmod(total, n_splits)
-    row, edge = F.col("_row"), longer * (base + 1)
-    fold = F.when(row < edge, F.floor(row / F.lit(base + 1)))
-    if base:
-        fold = fold.otherwise(F.lit(longer) + F.floor((row - F.lit(edge)) / F.lit(base)))
-    return frame.withColumn("fold", fold.cast("int")).drop("_row")
+    starts = [b * base + min(b, longer) for b in range(1, n_splits)]
+    key, edges = _blocks(frame, by, starts, total)
+    fold = F.lit(0)
+    for edge in edges:
+        if edge is not None:
+            fold = fold + F.when(key >= edge, F.lit(1)).otherwise(F.lit(0))
+    return frame.select(*df.columns, fold.cast("int").alias("fold"))
 
 
-def stratified_kfold(df: DataFrame, label: str, order: Sequence[str], n_splits: int = 5) -> DataFrame:
+def stratified_kfold(
+    df: DataFrame, label: str, order: Sequence[str], n_splits: int = 5, max_edges: int = MAX_EDGES
+) -> DataFrame:
     """Add ``fold`` so that every class is spread evenly, in contiguous runs within the class.
 
     Classes are laid end to end in order of first appearance; position p of that line
     belongs to fold p mod k, which fixes how many rows of a class each fold gets.  Within
-    the class the first rows go to fold 0, and so on.  Ranks come from global row numbers,
-    so a class with most of the rows is not gathered anywhere.
+    the class the first rows go to fold 0, and so on.  The runs' first keys are looked up as
+    in :func:`kfold`; with too many classes for that, rows are numbered by class instead.
     """
-    ranked, _ = with_row_index(df, order, "_row")
-    # Sorting by class and then row makes the rank within the class a subtraction.
-    by_class, _ = with_row_index(ranked, [label, "_row"], "_line")
-    classes = by_class.groupBy(label).agg(
-        F.min("_row").alias("_first"), F.min("_line").alias("_from"), F.count(F.lit(1)).alias("_size")
+    first = F.min(order_key(df, order)).alias("_first")
+    classes = df.groupBy(F.col(label).alias("_class")).agg(first, F.count(F.lit(1)).alias("_size"))
+    listed = classes.orderBy("_class").limit(max_edges // (n_splits - 1) + 1).collect()
+    if len(listed) * (n_splits - 1) > max_edges:
+        return _stratified_by_rank(df, label, order, n_splits)
+    by_first = sorted(listed, key=lambda r: nulls_first(r["_first"]))
+    shares, start = {}, 0
+    for r in by_first:
+        end = start + r["_size"]
+        shares[r["_class"]] = [-(-(end - f) // n_splits) - -(-(start - f) // n_splits) for f in range(n_splits)]
+        start = end
+    # Global ranks in the order (class, row) at which each fold's run starts.
+    starts, begin = [], 0
+    for r in listed:
+        at = begin
+        for share in shares[r["_class"]][:-1]:
+            at += share
+            starts.append(at)
+        begin += r["_size"]
+    key, edges = _blocks(df, [label, *order], starts, begin)
+    fold = F.lit(0)
+    for i, r in enumerate(listed):
+        own = F.col(label).eqNullSafe(F.lit(r["_class"]))
+        inner = F.lit(0)
+        for edge in edges[i * (n_splits - 1):(i + 1) * (n_splits - 1)]:
+            if edge is not None:
+                inner = inner + F.when(key >= edge, F.lit(1)).otherwise(F.lit(0))
+        fold = F.when(own, inner).otherwise(fold)
+    return df.withColumn("fold", fold.cast("int"))
+
+
+def _stratified_by_rank(df: DataFrame, label: str, order: Sequence[str], n_splits: int) -> DataFrame:
+    """The same folds from global row numbers, for any number of classes."""
+    by_class, _ = with_row_index(df, [F.col(label), *map(F.col, order)], "_line")
+    classes = by_class.groupBy(F.col(label).alias("_class")).agg(
+        F.min(order_key(df, order)).alias("_first"), F.min("_line").alias("_from"), F.count(F.lit(1)).alias("_size")
     )
-    if classes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"{label} has too many classes to stratify by")
-    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    # rows of fold f in positions [start, start + size): counts of p = f (mod k)
+    laid = with_row_index(classes, ["_first"], "_nth").frame
+    chunk = F.floor(F.col("_nth") / F.lit(BROADCAST_ROWS))
+    # Sizes of earlier classes: inside a chunk by a window, before it by the chunks' sums.
+    sums = laid.groupBy(chunk.alias("_chunk")).agg(F.sum("_size").alias("_sum"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_chunk").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("_chunk", chunk).join(sums, "_chunk").withColumn(
+        "_start", F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    )
+
     def upto(position: Column, f: Column) -> Column:
-        return F.floor((position - f + F.lit(n_splits - 1)) / F.lit(n_splits)).cast("bigint")
+        return F.ceil((position - f) / F.lit(n_splits)).cast("bigint")
 
     folds = F.sequence(F.lit(0), F.lit(n_splits - 1))
     shares = F.transform(folds, lambda f: upto(F.col("_start") + F.col("_size"), f) - upto(F.col("_start"), f))
-    classes = classes.withColumn("_shares", shares).select(F.col(label).alias("_class"), "_from", "_shares")
-    joined = by_class.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("_class")))
+    known = laid.select("_class", "_from", shares.alias("_shares"), "_size")
+    joined = lookup_join(by_class.withColumn("_class", F.col(label)), known, "_class", "_size")
     rank = F.col("_line") - F.col("_from")
     ends = F.transform(
         folds, lambda f: F.aggregate(F.slice("_shares", F.lit(1), f + 1), F.lit(0).cast("bigint"), lambda a, s: a + s)
     )
-    fold = F.size(F.filter(ends, lambda end: end <= rank))
-    return joined.select(*df.columns, fold.cast("int").alias("fold"))
+    return joined.select(*df.columns, F.size(F.filter(ends, lambda end: end <= rank)).cast("int").alias("fold"))
 
 
 def time_series_split(df: DataFrame, order: Sequence[str], n_splits: int = 5) -> DataFrame:
     """Each row once per split it takes part in, with ``split_no`` and ``role``.
 
     The last n_splits blocks of n // (n_splits + 1) rows are the test blocks; everything
-    before a block is its training part.
+    before a block is its training part.  ``order`` must identify a row.
     """
-    frame, total = with_row_index(df, order, "_row")
+    total = df.count()
     size = total // (n_splits + 1)
     if size < 1:
         raise ValueError("too few rows for the number of splits")
-    first = total - n_splits * size
+    starts = [total - (n_splits - s) * size for s in range(n_splits)]
+    key, edges = _blocks(df, order, starts, total)
     roles = []
     for s in range(n_splits):
-        start = first + s * size
-        role = F.when(F.col("_row") < start, F.lit("train")).when(F.col("_row") < start + size, F.lit("test"))
+        test = key < edges[s + 1] if s + 1 < n_splits else F.lit(True)
+        role = F.when(key < edges[s], F.lit("train")).when(test, F.lit("test"))
         roles.append(F.struct(F.lit(s).alias("split_no"), role.alias("role")))
     return (
-        frame.select("*", F.explode(F.filter(F.array(*roles), lambda r: r["role"].isNotNull())).alias("_r"))
+        df.select("*", F.explode(F.filter(F.array(*roles), lambda r: r["role"].isNotNull())).alias("_r"))
         .select(*df.columns, "_r.split_no", "_r.role")
     )
 
