@@ -27,12 +27,12 @@ def section_rows(documents: DataFrame, column: str = "value") -> DataFrame:
 
 def read_section_map(spark: SparkSession, path: str) -> DataFrame:
     """``(section, fields)`` from a JSON object of section name to field list."""
-    return section_rows(spark.read.option("wholetext", True).text(path))
+    return section_rows(spark.read.text(path, wholetext=True))
 
 
 def read_null_tokens(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Keys of a JSON object; they end up inside one expression."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("token"))
     return tuple(sorted(r["token"] for r in parsed.collect()))
 
