@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,26 +11,31 @@ from pyspark.sql import functions as F
 def group_modes(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mode of each column per key tuple; smallest value on ties, null when there is none.
 
-    Values are counted per ``(key, value)`` first, so a key that owns a third of the rows
-    arrives at its task as one row per distinct value.
+    Values are counted per ``(key, column, value)`` first, so a key that owns a third of the
+    rows arrives at its task as at most one row per distinct value and earlier task.  All
+    columns share one scan; values travel in one slot per data type.
     """
-    by_type = defaultdict(list)
-    for c in columns:
-        by_type[df.schema[c].dataType.simpleString()].append(c)
-    parts = [_modes_of_one_type(df, list(keys), cs) for cs in by_type.values()]
-    return reduce(lambda a, b: a.join(b, list(keys)), parts).select(*keys, *columns)
+    keys = list(keys)
+    types = list(dict.fromkeys(df.schema[c].dataType for c in columns))
+    typed = {c: f"v{types.index(df.schema[c].dataType)}" for c in columns}
 
+    def entry(i: int, c: str):
+        values = [
+            (F.col(c) if typed[c] == f"v{t}" else F.lit(None)).cast(kind).alias(f"v{t}") for t, kind in enumerate(types)
+        ]
+        return F.struct(F.lit(i).alias("slot"), F.col(c).isNotNull().alias("known"), *values)
 
-def _modes_of_one_type(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(c).alias("value")) for i, c in enumerate(columns)])
+    fields = ["slot", "known", *[f"v{t}" for t in range(len(types))]]
     counts = (
-        df.select(*keys, F.explode(slots).alias("e"))
-        .groupBy(*keys, F.col("e.slot").alias("slot"), F.col("e.value").alias("value"))
-        .agg(F.count("e.value").alias("n"))
+        df.select(*keys, F.explode(F.array(*[entry(i, c) for i, c in enumerate(columns)])).alias("e"))
+        .select(*keys, *[F.col(f"e.{f}").alias(f"_{f}") for f in fields])
+        .groupBy(*keys, *[f"_{f}" for f in fields])
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    # A null value has n = 0 and loses against every real value.
+    # A missing value ranks behind every real one, whatever its count.
+    rank = F.when(F.col("_known"), -F.col("_n")).otherwise(F.lit(0)).alias("rank")
     best = [
-        F.min(F.when(F.col("slot") == i, F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))))["value"].alias(c)
+        F.min(F.when(F.col("_slot") == i, F.struct(rank, F.col(f"_{typed[c]}").alias("value"))))["value"].alias(c)
         for i, c in enumerate(columns)
     ]
     return counts.groupBy(*keys).agg(*best)

@@ -40,15 +40,14 @@ def nearest(
     asked = materialise(keyed.groupBy("_key", "space", "vec").agg(F.count(F.lit(1)).alias("_n")), "asked")
     # Equal vectors can never contribute more than the k smallest ids.
     same = Window.partitionBy("_key", "space", "vec").orderBy("id")
+    named = donors.withColumn("_key", _vector_key())
     given = (
-        donors.withColumn("_key", _vector_key())
-        .withColumn("_rank", F.row_number().over(same))
+        named.withColumn("_rank", F.row_number().over(same))
         .filter(F.col("_rank") <= k)
         .groupBy("_key", "space", "vec")
         .agg(F.min("id").alias("first_id"), F.collect_list(F.struct("id", "value")).alias("holders"))
     )
-    given = materialise(given, "donors")
-    pivots = _choose_pivots(given, max_pivots)
+    pivots = _choose_pivots(named, max_pivots)
     placed = materialise(_placed(given, pivots), "placed")
     cells = {
         (r["space"], r["cell"]): (r["n"], r["reach"])
@@ -101,24 +100,22 @@ def _vector_key():
     return F.concat_ws("|", F.col("space"), F.concat_ws(",", F.col("vec").cast("array<string>")))
 
 
-def _choose_pivots(given: DataFrame, max_pivots: int) -> dict[str, np.ndarray]:
-    sizes = {r["space"]: r["count"] for r in given.groupBy("space").count().collect()}
-    limit = F.lit(0)
-    for space, n in sizes.items():
-        limit = F.when(F.col("space") == space, F.lit(min(max_pivots, math.ceil(math.sqrt(n))))).otherwise(limit)
-    by_hash = Window.partitionBy("space").orderBy(F.xxhash64("_key"), "_key")
+def _choose_pivots(donors: DataFrame, max_pivots: int) -> dict[str, np.ndarray]:
+    """About the square root of the donors per space, drawn by hash; equal vectors count once."""
+    sizes = {r["space"]: r["count"] for r in donors.groupBy("space").count().collect()}
+    by_hash = Window.partitionBy("space").orderBy(F.xxhash64("_key", "id"), "id")
     rows = (
-        given.select("space", "vec", "_key")
+        donors.select("space", "vec", "_key", "id")
         .withColumn("_rank", F.row_number().over(by_hash))
         .filter(F.col("_rank") <= max_pivots)
-        .filter(F.col("_rank") <= limit)
-        .select("space", "vec")
+        .select("space", "vec", "_rank")
         .collect()
     )
-    grouped: dict[str, list] = {space: [] for space in sizes}
+    grouped: dict[str, set] = {space: set() for space in sizes}
     for r in rows:
-        grouped[r["space"]].append(r["vec"])
-    return {space: np.array(vecs, dtype=float) for space, vecs in grouped.items()}
+        if r["_rank"] <= math.ceil(math.sqrt(sizes[r["space"]])):
+            grouped[r["space"]].add(tuple(r["vec"]))
+    return {space: np.array(sorted(vecs), dtype=float) for space, vecs in grouped.items()}
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

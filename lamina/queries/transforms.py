@@ -130,13 +130,13 @@ def encode_onehot(spark, sf_dir):
 
 
 @query("encode_ordinal", oracle("numeric", f"""
-, kept AS (SELECT DISTINCT cat FROM src WHERE l_linenumber > 2 AND cat <> 'N')
+, kept AS (SELECT DISTINCT cat FROM src WHERE cat <> 'N')
 , codes AS (SELECT cat, CAST(row_number() OVER (ORDER BY cat) - 1 AS DOUBLE) AS code FROM kept)
 SELECT {KEYS}, CASE WHEN l_linenumber = 1 THEN NULL ELSE coalesce(code, -1.0e0) END AS cat FROM src LEFT JOIN codes USING (cat)"""))
 def encode_ordinal(spark, sf_dir):
     df = _numeric(spark, sf_dir, "cat")
     # Codes from rows without N, applied where N is unknown and the first lines are null.
-    codes = transform.fit_ordinal(df.filter("l_linenumber > 2 and cat <> 'N'"), "cat")
+    codes = transform.fit_ordinal(df.filter("cat <> 'N'"), "cat")
     gaps = df.withColumn("cat", F.when(F.col("l_linenumber") != 1, F.col("cat")))
     return transform.apply_ordinal(gaps, "cat", codes, "use_encoded_value", -1)
 
