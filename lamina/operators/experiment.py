@@ -21,7 +21,9 @@ from lamina.operators.rows import promote_numeric
 from lamina.operators.transform import apply_pipeline, fit_pipeline
 from lamina.session import materialise
 
-VALIDATORS = ("kfold", "stratified_kfold", "shuffle_split", "time_series_split")
+VALIDATORS = ("kfold", "stratified_kfold", "shuffle_split", "leave_one_out", "time_series_split")
+# One fit per row; the neighbour regressor has a way without fits for any number of rows.
+MAX_LEAVE_ONE_OUT = 200
 
 
 class Prepared(NamedTuple):
@@ -77,14 +79,23 @@ def assign_folds(df: DataFrame, keys: Sequence[str], validation: Mapping[str, An
     if method == "time_series_split":
         return split.time_series_split(df, keys, **options).withColumnRenamed("split_no", "fold"), "role"
     if method == "leave_one_out":
-        raise ValueError("leave_one_out needs one fit per row; it is available for knn as knn_leave_one_out")
-    raise ValueError(f"unknown validation method {method!r}; known: {VALIDATORS} and leave_one_out for knn")
+        rows = df.count()
+        if rows > MAX_LEAVE_ONE_OUT:
+            raise ValueError(f"leave_one_out needs {rows} fits; beyond {MAX_LEAVE_ONE_OUT} rows it is for knn only")
+        return split.kfold(df, keys, rows), None
+    raise ValueError(f"unknown validation method {method!r}; known: {VALIDATORS}")
 
 
 def validate(prepared: Prepared, config: Mapping[str, Any], keys: Sequence[str]) -> DataFrame:
     """``(fold, split, metric, value)`` of the training part."""
     validation = config["validation"]
     train = prepared.frame.filter(F.col("split") == "train").drop("split")
+    if validation.get("method") == "leave_one_out" and config["model"].get("model_type") == "knn":
+        missing = models.fit_missing(train, prepared.features)
+        numbered = split.number_rows(train.select(*keys, "label", *models.filled(prepared.features, missing)), keys, "_row")
+        neighbours = config["model"].get("n_neighbors", 5)
+        scored = models.knn_leave_one_out(numbered, prepared.features, "label", "_row", neighbours)
+        return models.leave_one_out_scores(scored, "_row", validation.get("metrics", ["rmse"]))
     folded, role = assign_folds(train, keys, validation)
     return models.cross_validate(
         folded, prepared.features, "label", config["model"], validation.get("metrics", ["rmse"]), role=role

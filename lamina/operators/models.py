@@ -122,11 +122,43 @@ def balanced(data: DataFrame) -> DataFrame:
     return spread
 
 
+class Neighbours(NamedTuple):
+    """A neighbour regressor: its training rows ``(id, f0.., label)`` and options."""
+
+    rows: DataFrame
+    n_neighbors: int = 5
+    weights: str = "uniform"
+
+
+def _fit_knn(df: DataFrame, features: Sequence[str], label: str, missing: Mapping[str, float], config: Mapping[str, Any]) -> Neighbours:
+    options = {k: v for k, v in config.items() if k not in _IGNORED and k != "model_type"}
+    if options.pop("p", 2) != 2 or options.pop("metric", "minkowski") not in ("minkowski", "euclidean"):
+        raise ValueError("knn uses the Euclidean distance")
+    if set(options) - {"n_neighbors", "weights"} or options.get("weights", "uniform") not in ("uniform", "distance"):
+        raise ValueError(f"knn options without a counterpart in {sorted(options)}")
+    cells = [c.alias(f"f{i}") for i, c in enumerate(filled(features, missing))]
+    narrow = df.select(*cells, F.col(label).cast("double").alias("label"))
+    # Rows have no number here; equal distances are ordered by a hash of the row.
+    return Neighbours(narrow.withColumn("id", F.xxhash64(*narrow.columns)), **options)
+
+
+def _predict_knn(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    model = fitted.model
+    vec = F.array(*[F.col(f"f{i}") for i in range(len(fitted.features))])
+    given = model.rows.select(F.lit("0").alias("space"), vec.alias("vec"), "id", F.col("label").alias("value"))
+    asked = df.select(*keep, F.lit("0").alias("space"), F.array(*filled(fitted.features, fitted.missing)).alias("vec"))
+    near = nearest(asked, given, model.n_neighbors)
+    value = _mean_value(F.col("near")) if model.weights == "uniform" else _weighted_value(F.col("near"))
+    return near.select(*keep, value.alias("prediction"))
+
+
 def fit(
     df: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any], is_balanced: bool = False
 ) -> Fitted:
     """Train on ``df``.  The learner keeps its own binned copy; ``is_balanced`` data are only read for it."""
     missing = fit_missing(df, features)
+    if config.get("model_type") == "knn":
+        return Fitted(_fit_knn(df, features, label, missing, config), tuple(features), missing)
     data = assemble(df, features, missing, [label])
     if is_balanced:
         return Fitted(create_estimator(config, label=label).fit(data), tuple(features), missing)
@@ -140,6 +172,8 @@ def fit(
 
 def predict(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns and ``prediction``."""
+    if isinstance(fitted.model, Neighbours):
+        return _predict_knn(fitted, df, keep)
     return fitted.model.transform(fitted.vectors(df, keep)).drop("features")
 
 
@@ -165,6 +199,19 @@ def _mean_value(near: Column) -> Column:
     return F.aggregate(near, F.lit(0.0), lambda acc, n: acc + n["value"], lambda acc: acc / F.size(near))
 
 
+def _weighted_value(near: Column) -> Column:
+    """Mean weighted by inverse distance; donors at distance 0 count alone."""
+    exact = F.filter(near, lambda n: n["d2"] == 0.0)
+    zero = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"))
+
+    def add(acc: Column, n: Column) -> Column:
+        weight = F.lit(1.0) / F.sqrt(n["d2"])
+        return F.struct((acc["value"] + n["value"] * weight).alias("value"), (acc["weight"] + weight).alias("weight"))
+
+    inverse = F.aggregate(near, zero, add, lambda acc: acc["value"] / acc["weight"])
+    return F.when(F.size(exact) > 0, _mean_value(exact)).otherwise(inverse)
+
+
 def knn_leave_one_out(
     df: DataFrame, features: Sequence[str], label: str, row_id: str, n_neighbors: int = 5
 ) -> DataFrame:
@@ -218,6 +265,19 @@ def cross_validate(
         return reduce(DataFrame.unionByName, pool.map(scores, numbers))
 
 
+def leave_one_out_scores(scored: DataFrame, row_id: str, metrics: Sequence[str]) -> DataFrame:
+    """``(fold, split, metric, value)`` with one fold per row of ``(row_id, label, prediction)``."""
+    error = F.abs(F.col("label") - F.col("prediction"))
+    known = {"mae": error, "rmse": error, "mse": error * error, "r2": F.lit(float("nan")), "r": F.lit(float("nan"))}
+    unknown = [m for m in metrics if m not in known]
+    if unknown:
+        raise ValueError(f"unsupported metrics {unknown}")
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), known[m].alias("value")) for m in metrics])
+    return scored.select(F.col(row_id).alias("fold"), F.explode(entries).alias("e")).select(
+        "fold", F.lit("test").alias("split"), "e.metric", "e.value"
+    )
+
+
 def paired_scores(scores: DataFrame) -> DataFrame:
     """``(fold, metric, train, test)`` of ``(fold, split, metric, value)``."""
     return scores.groupBy("fold", "metric").agg(

@@ -118,3 +118,37 @@ def test_leave_one_out_with_copies(spark):
     df = spark.createDataFrame(rows, "id bigint, x double, y double")
     got = {r["id"]: r["prediction"] for r in models.knn_leave_one_out(df, ["x"], "y", "id", 3).collect()}
     assert got[0] == 2.0 and got[1] == pytest.approx(5 / 3) and got[11] == 1.0 and got[12] == 1.0
+
+
+def test_knn_as_a_model(spark, data, tmp_path):
+    config = {"model_type": "knn", "n_neighbors": 2, "weights": "distance", "n_jobs": -1}
+    train = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (4.0, 9.0)], "x double, y double")
+    fitted = models.fit(train, ["x"], "y", config)
+    asked = spark.createDataFrame([(1, 0.0), (2, 0.25)], "id int, x double")
+    got = {r["id"]: r["prediction"] for r in models.predict(fitted, asked, ["id"]).collect()}
+    # at 0.25: weights 4 and 4/3
+    assert got == {1: 1.0, 2: pytest.approx((1 * 4 + 2 * 4 / 3) / (4 + 4 / 3))}
+    save_model(fitted, config, str(tmp_path / "knn"), spark)
+    again, _ = load_model(str(tmp_path / "knn"), spark)
+    assert {r["id"]: r["prediction"] for r in models.predict(again, asked, ["id"]).collect()} == got
+    _, report = models.train_report(data, FEATURES, "label", {"model_type": "knn"})
+    assert {r["split"] for r in report.collect()} == {"train", "val"}
+    for bad in ({"p": 1}, {"weights": "cubic"}, {"leaf_size": 3}):
+        with pytest.raises(ValueError):
+            models.fit(train, ["x"], "y", {"model_type": "knn", **bad})
+
+
+def test_leave_one_out_of_an_experiment(spark, data):
+    from lamina.operators import experiment
+
+    part = data.filter("id < 60").select("id", "split", "label", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
+    prepared = experiment.Prepared(part, tuple(FEATURES))
+    config = {"model": {"model_type": "knn", "n_neighbors": 3}, "validation": {"method": "leave_one_out", "metrics": ["mae", "mse"]}}
+    scores = experiment.validate(prepared, config, ["id"]).collect()
+    rows = {r["id"]: r for r in part.filter("split = 'train'").collect()}
+    assert len(scores) == 2 * len(rows)
+    total = 0.0
+    for i, r in rows.items():
+        others = sorted((sum((r[f] - o[f]) ** 2 for f in FEATURES), j, o["label"]) for j, o in rows.items() if j != i)
+        total += abs(r["label"] - sum(label for _, _, label in others[:3]) / 3)
+    assert sum(s["value"] for s in scores if s["metric"] == "mae") == pytest.approx(total)
