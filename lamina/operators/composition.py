@@ -45,7 +45,7 @@ def ion_vocabulary(df: DataFrame, ions: str, coefficients: str) -> list[str]:
     names = F.transform(ion_pairs(F.col(ions), F.col(coefficients)), lambda p: p["name"])
     rows = df.select(F.explode(names).alias("name")).distinct().limit(MAX_IONS + 1).collect()
     if len(rows) > MAX_IONS:
-        raise ValueError(f"more than {MAX_IONS} ions in {ions}")
+        raise ValueError(f"more than {MAX_IONS} ions in {ions}; use ion_long")
     return sorted(r["name"] for r in rows)
 
 
@@ -64,6 +64,21 @@ def ion_composition(
     return df.select(*keep, *pairs).select(*keep, *columns)
 
 
+def ion_long(df: DataFrame, keep: Sequence[str] = ("compound",)) -> DataFrame:
+    """``(keep..., site, ion, coeff)``: the composition for any number of ions.  A repeated ion keeps its last value."""
+
+    def site_entries(site: str) -> Column:
+        pairs = F.col(f"_{site}")
+        last = F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["name"] == p["name"])
+        )
+        return F.transform(last, lambda p: F.struct(F.lit(site).alias("site"), p["name"].alias("ion"), p["value"].alias("coeff")))
+
+    pairs = [ion_pairs(F.col(f"{s}_ions"), F.col(f"{s}_coeff")).alias(f"_{s}") for s in SITES]
+    entries = F.concat(*[F.coalesce(site_entries(s), F.array().cast("array<struct<site:string,ion:string,coeff:double>>")) for s in SITES])
+    return df.select(*keep, *pairs).select(*keep, F.explode(entries).alias("e")).select(*keep, "e.*")
+
+
 def clean_ions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with all given columns and no missing A-site ion."""
     return exclude_containing(drop_null_rows(df.select(*columns)), "a_ions", "nan")

@@ -17,7 +17,6 @@ from lamina.plans.row_index import with_row_index
 from lamina.session import BROADCAST_ROWS, materialise
 
 MAX_ONEHOT_COLUMNS = 5_000
-MAX_MISSING_PATTERNS = 256
 
 
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -52,50 +51,40 @@ def impute_knn(df: DataFrame, columns: Sequence[str], row_id: str, n_neighbors:
     fixed, so each pair of patterns is an ordinary exact neighbour search, and the k best
     over all donor patterns follow.  Without any usable donor the column mean is used.
     """
-    present = [F.col(c).isNotNull() for c in columns]
-    mask = sum((F.when(p, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(present)), F.lit(0))
-    marked = df.withColumn("_mask", mask.cast("bigint"))
-    found = marked.groupBy("_mask").count().limit(MAX_MISSING_PATTERNS + 1).collect()
-    if len(found) > MAX_MISSING_PATTERNS:
-        raise ValueError(f"more than {MAX_MISSING_PATTERNS} patterns of missing columns; impute fewer columns together")
-    masks = sorted(r["_mask"] for r in found)
-    searches = [  # (column position, receiver mask, donor mask, shared mask)
-        (i, r, d, r & d)
-        for i in range(len(columns))
-        for r in masks if not r >> i & 1
-        for d in masks if d >> i & 1 and r & d
-    ]
+    p = len(columns)
+    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
+    marked = df.select(row_id, *columns, mask.cast("bigint").alias("_mask"))
+    masks = [r["_mask"] for r in marked.select("_mask").distinct().limit(BROADCAST_ROWS).collect()]
     means = fit_impute(df, columns, "mean")
-    receivers = marked.filter(F.col("_mask") != (1 << len(columns)) - 1)
+    searches = [
+        (slot, r, d, r & d, p / (r & d).bit_count())
+        for slot in range(p)
+        for r in masks if not r >> slot & 1
+        for d in masks if d >> slot & 1 and r & d
+    ]
     if not searches:
         return apply_impute(df, means)
-
-    def entries(side: int, with_value: bool) -> Column:
-        """The searches a row takes part in, as (space, shared coordinates[, value]) structs."""
-        out = []
-        for search in searches:
-            i, r, d, shared = search
-            vec = F.array(
-                *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if shared >> j & 1 else F.lit(0.0)
-                  for j, c in enumerate(columns)]
-            )
-            fields = [F.lit(f"{i}:{r}:{d}").alias("space"), vec.alias("vec")]
-            if with_value:
-                fields.append(F.col(columns[i]).cast("double").alias("value"))
-            out.append(F.when(F.col("_mask") == search[side], F.struct(*fields)))
-        return F.explode(F.filter(F.array(*out), lambda e: e.isNotNull()))
-
-    asked = receivers.select(F.col(row_id).alias("_id"), entries(1, False).alias("e")).select("_id", "e.*")
-    given = marked.select(F.col(row_id).alias("id"), entries(2, True).alias("e")).select("id", "e.*")
-    answers = nearest(asked, given, n_neighbors)
-
-    scale = F.lit(1.0)
-    for i, r, d, shared in searches:
-        scale = F.when(F.col("space") == f"{i}:{r}:{d}", F.lit(len(columns) / shared.bit_count())).otherwise(scale)
-    donors = answers.select(
-        "_id", F.split("space", ":")[0].cast("int").alias("slot"),
-        F.transform("near", lambda n: F.struct((n["d2"] * scale).alias("d2"), n["id"].alias("id"), n["value"].alias("value"))).alias("near"),
+    if len(searches) > BROADCAST_ROWS:
+        raise ValueError(f"{len(masks)} patterns of missing columns; impute fewer columns together")
+    # One row per column, receiver pattern and donor pattern.
+    plan = F.broadcast(
+        df.sparkSession.createDataFrame(searches, "slot int, receiver bigint, donor bigint, shared bigint, scale double")
     )
+    space = F.concat_ws(":", "slot", "receiver", "donor").alias("space")
+    cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    is_shared = [F.col("shared").bitwiseAND(F.lit(1 << i)) != 0 for i in range(p)]
+    vec = F.array(*[F.when(s, c).otherwise(F.lit(0.0)) for s, c in zip(is_shared, cells)]).alias("vec")
+    value = F.get(F.array(*[F.col(c).cast("double") for c in columns]), F.col("slot")).alias("value")
+    asked = marked.join(plan, F.col("_mask") == F.col("receiver")).select(
+        F.col(row_id).alias("_id"), "slot", "scale", space, vec
+    )
+    given = marked.join(plan, F.col("_mask") == F.col("donor")).select(F.col(row_id).alias("id"), space, vec, value)
+    answers = nearest(asked, given.withColumn("id", F.col("id").cast("bigint")), n_neighbors)
+
+    def scaled(n: Column) -> Column:
+        return F.struct((n["d2"] * F.col("scale")).alias("d2"), n["id"].alias("id"), n["value"].alias("value"))
+
+    donors = answers.select("_id", "slot", F.transform("near", scaled).alias("near"))
     # Per receiver and column: k donors from each donor pattern.
     merged = donors.groupBy("_id", "slot").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, n_neighbors).alias("near")

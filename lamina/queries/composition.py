@@ -149,6 +149,18 @@ def composition_ions(spark, sf_dir):
     return _parsed_lists(spark, sf_dir)
 
 
+def long_site_sql(site: str) -> str:
+    return f"""SELECT row_id, '{site}' AS site, n[i] AS ion, coalesce(try_cast(c[i] AS DOUBLE), 0.0e0) AS coeff
+FROM (SELECT row_id, n, c, unnest(range(1, least(len(n), len(c)) + 1)) AS i FROM
+  (SELECT row_id, string_split(replace({site}_ions, ' ', ''), ';') AS n, string_split(replace({site}_coeff, ' ', ''), ';') AS c FROM src
+   WHERE {site}_ions IS NOT NULL AND {site}_coeff IS NOT NULL))"""
+
+
+@query("composition_long", oracle("compounds", "\n" + "\nUNION ALL ".join(long_site_sql(s) for s in "abc")))
+def composition_long(spark, sf_dir):
+    return comp.ion_long(fixture(spark, sf_dir, "compounds"), ["row_id"])
+
+
 @query("group_mode_all", oracle("compounds", ION_MODES_SQL + f"\nSELECT compound, E_g, {', '.join(ION_COLUMNS)} FROM modes"))
 def group_mode_all(spark, sf_dir):
     return comp.ion_route(_cleaned_lists(spark, sf_dir))

@@ -65,6 +65,8 @@ def test_ion_table_with_found_vocabulary(spark):
         "compound string, E_g double, a_ions string, a_coeff string, b_ions string, b_coeff string, c_ions string, c_coeff string",
     )
     wide = composition.ion_composition(df)
+    repeated = df.limit(1).withColumns({"a_ions": F.lit("Cs; FA; Cs"), "a_coeff": F.lit("1; 2; 3")})
+    assert sorted(r[1:] for r in composition.ion_long(repeated).filter("site = 'a'").collect()) == [("a", "Cs", 3.0), ("a", "FA", 2.0)]
     assert wide.columns == ["compound", "E_g", "a_Cs", "a_MA", "a_PEA", "b_Pb", "b_Sn", "c_Br", "c_I"]
     assert sorted(wide.collect())[0][2:] == (0.1, 0.0, 0.9, 1.0, 0.0, 0.0, 3.0)
 
