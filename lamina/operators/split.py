@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lamina.functions.hashing import key_hash
 from lamina.plans.cuts import hash_cuts
 from lamina.plans.lookup import lookup_join
-from lamina.plans.ranks import key_literal, keys_at_ranks, nulls_first, order_key
+from lamina.plans.ranks import key_literals, keys_at_ranks, nulls_first, order_key
 from lamina.plans.row_index import with_row_index
 from lamina.session import BROADCAST_ROWS
 
@@ -58,7 +58,8 @@ def _blocks(df: DataFrame, order: Sequence[str], starts: Sequence[int], total: i
     """The order key and the key at the start of every block; None past the end."""
     key = order_key(df, order)
     found = keys_at_ranks(df, key, starts, total)
-    return key, [key_literal(df, key, found[s]) if s in found else None for s in starts]
+    literal = key_literals(df, key)
+    return key, [literal(found[s]) if s in found else None for s in starts]
 
 
 def kfold(

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 100_000
-BRACKET_ROWS = 100_000
+# The sample grows with the square root of the rows between these bounds.
+SAMPLE_ROWS = (10_000, 100_000)
+BRACKET_ROWS = 50_000
 
 
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:
@@ -32,15 +34,20 @@ def order_key(df: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*parts)
 
 
-def key_literal(df: DataFrame, key: Column, value: Sequence) -> Column:
-    """``value`` as a struct literal comparable with ``key``."""
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, value)])
+def key_literals(df: DataFrame, key: Column) -> Callable[[Sequence], Column]:
+    """A function from key values to struct literals comparable with ``key``, each built once."""
+    fields = [(f.name, f.dataType.simpleString()) for f in df.select(key.alias("k")).schema["k"].dataType.fields]
+
+    @cache
+    def literal(value: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, value)])
+
+    return lambda value: literal(tuple(value))
 
 
 def keys_at_ranks(
     df: DataFrame, key: Column, ranks: Sequence[int], total: int,
-    sample_rows: int = SAMPLE_ROWS, bracket_rows: int = BRACKET_ROWS,
+    sample_rows: int | None = None, bracket_rows: int = BRACKET_ROWS,
 ) -> dict[int, tuple]:
     """The key at each 0-based rank; keys are expected to be unique.
 
@@ -49,6 +56,9 @@ def keys_at_ranks(
     the key columns are read and nothing is shuffled but those last rows.
     """
     keys = df.select(key.alias("k"))
+    if sample_rows is None:
+        sample_rows = min(max(math.isqrt(total), SAMPLE_ROWS[0]), SAMPLE_ROWS[1])
+    literal = key_literals(df, key)
     # open brackets: rank -> (low, high, rows below low, rows inside)
     state: dict[int, tuple] = {r: (None, None, 0, total) for r in ranks if 0 <= r < total}
     found: dict[int, tuple] = {}
@@ -56,18 +66,19 @@ def keys_at_ranks(
     while state:
         small = {r: b for r, b in state.items() if b[3] <= bracket_rows}
         if small:
-            found.update(_sorted_lookup(keys, small))
+            found.update(_sorted_lookup(keys, literal, small))
             state = {r: b for r, b in state.items() if r not in small}
             continue
         rows = max(b[3] for b in state.values())
-        drawn = keys.filter(_in_any(keys, state)).sample(min(1.0, sample_rows / rows), seed=len(found) + 1)
-        sample = sorted((tuple(r["k"]) for r in drawn.limit(8 * sample_rows).collect()), key=nulls_first)
+        drawn = keys.filter(_in_any(literal, state)).sample(min(1.0, sample_rows / rows), seed=len(found) + 1)
+        columns = drawn.limit(8 * sample_rows).select("k.*").toArrow().columns
+        sample = sorted(zip(*[c.to_pylist() for c in columns]), key=nulls_first)
         places = [nulls_first(s) for s in sample]
         guesses = {r: _bracket(sample, places, b, r, spread) for r, b in state.items()}
         aggregates = []
         for i, (lo, hi) in enumerate(guesses.values()):
-            aggregates.append((F.count_if(F.col("k") < _literal(keys, lo)) if lo is not None else F.lit(0)).alias(f"a{i}"))
-            aggregates.append((F.count_if(F.col("k") <= _literal(keys, hi)) if hi is not None else F.lit(total)).alias(f"b{i}"))
+            aggregates.append((F.count_if(F.col("k") < literal(lo)) if lo is not None else F.lit(0)).alias(f"a{i}"))
+            aggregates.append((F.count_if(F.col("k") <= literal(hi)) if hi is not None else F.lit(total)).alias(f"b{i}"))
         seen = keys.agg(F.count(F.lit(1)).alias("n"), *aggregates).first()
         smaller = False
         for i, (r, (lo, hi)) in enumerate(guesses.items()):
@@ -88,25 +99,16 @@ def nulls_first(key: Sequence) -> tuple:
     return tuple((v is not None, v) if v is not None else (False,) for v in key)
 
 
-def _literal(keys: DataFrame, value: Sequence) -> Column:
-    fields = keys.schema["k"].dataType.fields
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, value)])
-
-
-def _inside(keys: DataFrame, bracket: tuple) -> Column:
+def _inside(literal: Callable, bracket: tuple) -> Column:
     lo, hi = bracket[0], bracket[1]
-    test = F.lit(True)
-    if lo is not None:
-        test = test & (F.col("k") >= _literal(keys, lo))
-    if hi is not None:
-        test = test & (F.col("k") <= _literal(keys, hi))
-    return test
+    above = F.lit(True) if lo is None else F.col("k") >= literal(lo)
+    return above if hi is None else above & (F.col("k") <= literal(hi))
 
 
-def _in_any(keys: DataFrame, state: Mapping[int, tuple]) -> Column:
+def _in_any(literal: Callable, state: Mapping[int, tuple]) -> Column:
     test = F.lit(False)
     for bracket in state.values():
-        test = test | _inside(keys, bracket)
+        test = test | _inside(literal, bracket)
     return test
 
 
@@ -124,13 +126,13 @@ def _bracket(sample: list, places: list, bracket: tuple, rank: int, spread: floa
     return new_lo, new_hi
 
 
-def _sorted_lookup(keys: DataFrame, brackets: Mapping[int, tuple]) -> dict[int, tuple]:
+def _sorted_lookup(keys: DataFrame, literal: Callable, brackets: Mapping[int, tuple]) -> dict[int, tuple]:
     """Ranks inside brackets of at most BRACKET_ROWS rows each."""
     order = list(brackets)
     slots = F.filter(
-        F.array(*[F.when(_inside(keys, brackets[r]), F.lit(i)) for i, r in enumerate(order)]), lambda s: s.isNotNull()
+        F.array(*[F.when(_inside(literal, brackets[r]), F.lit(i)) for i, r in enumerate(order)]), lambda s: s.isNotNull()
     )
-    rows = keys.select("k", F.explode(slots).alias("slot"))
+    rows = keys.filter(_in_any(literal, brackets)).select("k", F.explode(slots).alias("slot"))
     ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("slot").orderBy("k")) - 1)
     wanted = F.lit(False)
     for i, r in enumerate(order):
