@@ -22,6 +22,8 @@ from lamina.plans.lookup import lookup_join
 from lamina.session import materialise
 
 MAX_PIVOTS = 1024
+# Over all spaces; pivots and cell sizes are what the driver and the tasks hold in memory.
+TOTAL_PIVOTS = 50_000
 BLOCK_ROWS = 8192
 _CELLS_IN_MEMORY = 4_000_000
 
@@ -103,6 +105,7 @@ def _vector_key():
 def _choose_pivots(donors: DataFrame, max_pivots: int) -> dict[str, np.ndarray]:
     """About the square root of the donors per space, drawn by hash; equal vectors count once."""
     sizes = {r["space"]: r["count"] for r in donors.groupBy("space").count().collect()}
+    max_pivots = max(1, min(max_pivots, TOTAL_PIVOTS // max(1, len(sizes))))
     by_hash = Window.partitionBy("space").orderBy(F.xxhash64("_key", "id"), "id")
     rows = (
         donors.select("space", "vec", "_key", "id")

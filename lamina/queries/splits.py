@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lamina.operators import split
 from lamina.queries.fixtures import LINE_KEYS, fixture, oracle, table
 from lamina.queries.registry import query
