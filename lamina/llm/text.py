@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 # The separators of a word, and A-Z in lower case.
 SPACES = b" \t\n\x0b\x0c\r"
+BLANKS = np.isin(np.arange(256), list(SPACES))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # Lower-case bytes, every separator a blank.
 WORD_TABLE = bytes(32 if b in SPACES else LOWER[b] for b in range(256))
@@ -33,24 +34,50 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as bytes, about ``limit`` bytes each."""
+def column_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
-        lengths = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index("text")))
         begin, size = 0, 0
-        for at, length in enumerate(lengths.tolist()):
+        for at, length in enumerate(np.asarray(lengths.fill_null(0)).tolist()):
             if size and size + length > limit:
-                yield _slice(batch, column, begin, at)
+                yield batch.slice(begin, at - begin)
                 begin, size = at, 0
             size += length
         if begin < batch.num_rows:
-            yield _slice(batch, column, begin, batch.num_rows)
+            yield batch.slice(begin)
 
 
-def _slice(batch: pa.RecordBatch, column: pa.Array, begin: int, end: int):
-    texts = column.slice(begin, end - begin).cast(pa.large_binary()).to_pylist()
-    return batch.slice(begin, end - begin), [t or b"" for t in texts]
+def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as bytes, a null text as no bytes."""
+    for batch in column_chunks(batches, limit):
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+        yield batch, [t or b"" for t in texts.to_pylist()]
+
+
+def blank_separated(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The pieces of texts between blanks: numbers into the distinct ones, those, and how many each text has."""
+    column = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~BLANKS[data]
+    # a piece ends at a blank or with its text
+    breaks = np.r_[True, ~inside]
+    breaks[offsets] = True
+    starts = np.flatnonzero(inside & breaks[:-1])
+    breaks = np.r_[~inside, True]
+    breaks[offsets] = True
+    ends = np.flatnonzero(inside & breaks[1:]) + 1
+    bounds = np.r_[0, np.cumsum(ends - starts)]
+    packed = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
+    )
+    coded = packed.dictionary_encode()
+    _, cuts, raw = coded.dictionary.buffers()
+    raw, cuts = raw.to_pybytes() if raw else b"", np.frombuffer(cuts, np.int64)[: len(coded.dictionary) + 1].tolist()
+    distinct = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    return np.asarray(coded.indices, dtype=np.int64), distinct, np.diff(np.searchsorted(starts, offsets))
 
 
 class Words:
