@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact, mix_sources, simhash, token_count, token_store
+from lamina.llm import decontaminate, exact, mix_sources, simhash, token_count, token_store, toxicity
 from lamina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,14 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels, train=lambda i: toxicity.remainder(i, 4) != 2)
+    held_out = (toxicity.remainder("id", 4) == 2).alias("held_out")
+    return toxicity.score(docs, lexicon).select(F.col("id").alias("doc_id"), held_out, "score", "predicted")
+
+
 ORACLES["op4_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
