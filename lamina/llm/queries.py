@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact, mix_sources, simhash, token_count, token_store, toxicity
+from lamina.llm import decontaminate, exact, mix_sources, mixing_lm, simhash, token_count, token_store, toxicity
 from lamina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = mixing_lm.score_texts(documents(spark, sf_dir), lambda i: toxicity.remainder(i, 10) == 0)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
