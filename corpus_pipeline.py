@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import mix_sources, simhash
-from lamina.session import materialise
+from lamina.llm import decontaminate, mix_sources, simhash, token_store, toxicity
+from lamina.llm.queries import tokenizer_file
+from lamina.session import materialise, scratch_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the lexicon is learned from the labelled documents among ``docs``."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +19,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with passages of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source weights take them."""
     return mix_sources.take_mix(docs)
 
 
-STAGES = [("SimHash near-dedup", near_dedup), ("mixing sources", mixing)]
-# Fingerprints, drawing and entropy coding have no SQL counterpart; tests compare with brute force.
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written to a store and read back: where each document starts, its tokens and their checksum."""
+    path = scratch_path(spark, "corpus")
+    token_store.write_tokens(docs, path, tokenizer_file())
+    return token_store.read_digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources", mixing),
+    ("token-ID output", tokens),
+]
+# Learned scores, fingerprints, draws and entropy coding have no SQL counterpart; tests compare with brute force.
 ORACLE_SQL = None
 
 
