@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact, mix_sources, mixing_lm, pseudonyms, simhash, token_count, token_store, toxicity
+from lamina.llm import decontaminate, exact, fuzzy_lines, mix_sources, mixing_lm, pseudonyms, simhash, token_count, token_store, toxicity
 from lamina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
