@@ -23,9 +23,9 @@ MOST = 3
 FLIGHT_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 SETTLED = 1e-9
-# The largest documents of a source's last flight wait for the landing, which looks at all subsets of what is
-# left (at most two more) and draws one of the few nearest to the totals.
-LANDING_RESERVE = 10
+# Some documents of a source's last flight, the largest and ever smaller ones, wait for the landing, which looks at
+# all subsets of what is left (at most two more) and draws one of the few nearest to the totals.
+LANDING_RESERVE = 12
 LANDING_CHOICES = 4
 
 
@@ -69,6 +69,12 @@ class Flight:
         self.seed, self.name, self.units, self.steps = seed, name, [], 0
         self.reserve, self.kept = reserve, []
 
+    def _waits(self, size: int) -> bool:
+        """The largest units wait for the landing, and then one of each half of the size of the last."""
+        if len(self.kept) < self.reserve // 2:
+            return True
+        return len(self.kept) < self.reserve and bool(size) and 2 * size <= self.kept[-1][1]
+
     def _move(self, way: tuple) -> None:
         """Along ``way``, or against it, until a chance is 0 or 1; the expected chances stay."""
         up = down = float("inf")
@@ -93,7 +99,7 @@ class Flight:
         """Take a unit in; the units that are decided by it come back."""
         self.units.append([chance, size, row])
         done = self._settled()
-        if not done and len(self.kept) < self.reserve:
+        if not done and self._waits(size):
             self.kept.append(self.units.pop())
         while True:
             sizes = [u[1] for u in self.units]
@@ -188,8 +194,8 @@ def mix(
     floor or ceil of target / source_size times.  The fraction is drawn by the cube method: chances
     move inside the null space of the document and token totals, three open documents at a time, until all
     but two of a flight are 0 or 1.  The open ones of all flights fly again
-    until each source is a single flight.  The largest documents wait for the landing, a choice among
-    all subsets of a dozen documents.
+    until each source is a single flight.  A dozen documents of many sizes wait for the landing, a choice
+    among all their subsets.
 
     The result is a function of the rows and ``seed``, not of partitions.  A null text has size 0; a null
     source is a source of its own, the last; a source without words takes none.  Repeated rows
