@@ -19,17 +19,20 @@ MAX_LABELLED = 10_000
 # A term is this much likelier in toxic text, and its counts are unlikely to be chance given how many were tried.
 MIN_RATIO = 8.0
 EXTRA_EVIDENCE = 2.0
-MAX_TERMS = 2000
+MAX_TERMS = 1000
 STEM_LENGTHS = range(5, 13)
-# Whole words of this length on may have one edit, if few clean words are that near.
+# Whole words of this length on, the strongest of them, may have one edit, if few clean words are that near.
 FUZZY_LENGTH = 5
+MAX_FUZZY = 300
+# States an automaton keeps; it starts afresh beyond them, which changes time only.
+MAX_STATES = 1 << 14
 FUZZY_NEIGHBOURS = 3
 FUZZY_SHARE = 0.8
 MAX_NEIGHBOURS = 100_000
 # Words on each side that are a match's context, and the share of its weight a quoted match keeps.
 WINDOW = 4
 QUOTED_SHARE = 0.2
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 THRESHOLD = 0.3
 # Marks of quotation, stems of words that report speech in en, de, fr and es, letters written as digits or signs.
 QUOTES = "\"“”„«»‘’‹›"
@@ -71,10 +74,13 @@ class Automaton:
             if term in fuzzy:
                 self.soft[node] = term
         self.weights = whole
+        self._restart()
+
+    def _restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.table = np.zeros((0, self.alphabet), np.int32)
-        self.start = self._number(self._closed({(0, 0)}), 0.0)
+        self.start = self._number(self._closed({0}), 0.0)
 
     def _node(self, term: str, fuzzy: bool = False) -> int:
         node = 0
@@ -91,10 +97,10 @@ class Automaton:
         self.below[node] |= fuzzy
         return node
 
-    def _closed(self, items: set) -> frozenset:
-        """With the states reached by leaving out a letter of a term."""
-        more = {(c, 1) for node, edits in items if not edits and self.below[node]
-                for c in self.children[node].values() if self.below[c]}
+    def _closed(self, items: set[int]) -> frozenset:
+        """With the states reached by leaving out a letter of a term; an item is twice a node, plus one after an edit."""
+        more = {2 * c + 1 for item in items if not item & 1 and self.below[item >> 1]
+                for c in self.children[item >> 1].values() if self.below[c]}
         return frozenset(items | more)
 
     def _number(self, items: frozenset, stem: float) -> int:
@@ -109,19 +115,22 @@ class Automaton:
     def _step(self, state: int, letter: int) -> int:
         items, stem = self.states[state]
         reached = set()
-        for node, edits in items:
+        for item in items:
+            node, edits = item >> 1, item & 1
             child = self.children[node].get(letter)
             if child is not None and (not edits or self.below[child]):
-                reached.add((child, edits))
+                reached.add(2 * child + edits)
                 if not edits:
                     stem = max(stem, self.stem[child])
             if not edits and self.below[node]:
-                reached.add((node, 1))
-                reached.update((c, 1) for c in self.children[node].values() if self.below[c])
+                reached.add(2 * node + 1)
+                reached.update(2 * c + 1 for c in self.children[node].values() if self.below[c])
         return self._number(self._closed(reached), stem)
 
     def walk(self, words: list[str]) -> np.ndarray:
         """The state each word ends in; letters beyond the longest term can't lead back to one."""
+        if len(self.states) > MAX_STATES:
+            self._restart()
         if not words or not self.length:
             return np.full(len(words), self.start)
         letters = np.array(words, dtype=f"U{self.length}").view(np.uint32).reshape(len(words), self.length)
@@ -145,7 +154,8 @@ class Automaton:
         """Weight of the exact term or best stem, and the best term one edit away."""
         items, stem = self.states[state]
         exact, near = stem, None
-        for node, edits in items:
+        for item in items:
+            node, edits = item >> 1, item & 1
             if not edits:
                 exact = max(exact, self.whole[node])
             elif self.soft[node] and (near is None or (self.weights[self.soft[node]], self.soft[node]) > (self.weights[near], near)):
@@ -329,7 +339,7 @@ def fit(
     ).orderBy(F.desc("evidence"), "term").limit(MAX_TERMS).collect()
     for row in found:
         (lexicon.whole if row["whole"] else lexicon.stems)[row["term"]] = log(row["ratio"])
-    lexicon.fuzzy = {w for w in lexicon.whole if len(w) >= FUZZY_LENGTH}
+    lexicon.fuzzy = set([w for w in lexicon.whole if len(w) >= FUZZY_LENGTH][:MAX_FUZZY])
     _keep_apart(lexicon, words)
     lexicon.weights = _weights(sample, lexicon, toxic_total, clean_total)
     return lexicon
