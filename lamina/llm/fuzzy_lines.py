@@ -17,9 +17,11 @@ from lamina.session import materialise
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
-# Buckets of up to this many lines are compared line by line; in larger ones every line meets this many leaders.
+# Buckets of up to this many lines are compared line by line; in larger ones every line meets the first few of them.
 SMALL_BUCKET = 6
-LEADERS = 3
+LEADERS = 2
+# Pairs of one line that are verified in one task.
+SHARE_PAIRS = 4096
 # Bits of the filter that finds the texts of candidate lines again; its size is fixed.
 FILTER_BITS = 26
 SIGNATURE_SHINGLES = 1 << 16
@@ -147,41 +149,59 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs from rows sorted by bucket and line: a stream that holds a small bucket or its leaders."""
+    bucket, last, held, seen = None, None, [], 0
+    for batch in batches:
+        left, right = [], []
+        for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name != bucket:
+                bucket, held, seen = name, [], 0
+            elif key == last:
+                continue
+            last = key
+            seen += 1
+            left += held[:LEADERS] if seen > SMALL_BUCKET else held
+            right += [key] * min(len(held), LEADERS if seen > SMALL_BUCKET else len(held))
+            if seen <= SMALL_BUCKET:
+                held.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _verifier(similarity: float):
-    """Pairs of lines whose shingle sets are similar enough; the set of a line is kept while its pairs follow each other."""
+    """Links from rows sorted by (line, share), the line's own text before those of its partners."""
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: np.ndarray | None = None
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            good = []
-            known: str | None = None
-            own: np.ndarray | None = None
-            for x, y in zip(left, right):
-                if x != known:
-                    known, own = x, np.unique(shingle_hashes([x])[0])
-                other = np.unique(shingle_hashes([y])[0])
-                small, large = sorted((len(own), len(other)))
-                similar = False
+            left, right = [], []
+            for a, b, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = np.unique(shingle_hashes([line])[0])
+                if b is None:
+                    own = found
+                    continue
+                small, large = sorted((len(own), len(found)))
                 if small >= similarity * large:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    similar = both >= similarity * (small + large - both)
-                good.append(similar)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(good)], ["a", "b", "good"]).filter(pa.array(good)).select(["a", "b"])
+                    both = len(np.intersect1d(own, found, assume_unique=True))
+                    if both >= similarity * (small + large - both):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return verify
 
 
-def _candidates(bands: DataFrame) -> DataFrame:
-    """Pairs of lines that share a bucket: all pairs of a small one; of a larger one each line with a few leaders."""
-    buckets = bands.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("key"))) for i in range(LEADERS)]).alias("leaders"),
-    ).where("n > 1").select("bucket", "n", F.transform("leaders", lambda x: x["key"]).alias("leaders"))
-    shared = materialise(bands.join(buckets, "bucket"), "buckets")
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.collect_list("key").alias("keys"))
-    direct = small.select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b"))
-    led = shared.where(F.col("n") > SMALL_BUCKET).select("key", F.explode(F.array_distinct("leaders")).alias("b")).withColumnRenamed("key", "a")
-    return direct.unionByName(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose lines are similar: a line's text travels to its partners, in shares if it has many."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE_PAIRS).cast("int").alias("shares"))
+    own = texts.join(shares, texts["key"] == shares["a"]).select(
+        "a", F.lit(None).cast("bigint").alias("b"), "line", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    )
+    partners = pairs.join(shares, "a").join(texts, pairs["b"] == texts["key"]).select(
+        "a", "b", "line", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share")
+    )
+    dealt = own.unionByName(partners).repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
+    return dealt.select("a", "b", "line").mapInArrow(_verifier(similarity), "a bigint, b bigint")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -189,8 +209,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what line feeds separate.  Two lines link when the Jaccard similarity of their sets of five-letter shingles
     is at least ``similarity``.  Candidates share one of eight bands of four MinHash values, which misses
-    one pair in 65 at a similarity of 0.8 and one in 400 at 0.85; equal lines always meet.  In a bucket of more than six lines each
-    is compared with three leaders drawn anew for each band, so no bucket is expanded into its pairs.
+    one pair in 65 at a similarity of 0.8 and one in 400 at 0.85; equal lines always meet.  The first six lines of a bucket
+    are compared with each other and all further ones with the first two, so no bucket is expanded into its pairs.
     Every candidate pair is verified on whole lines.  Linked lines form components by distributed union-find; of each
     component the line with the smallest (id, position) is kept.
 
@@ -204,8 +224,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     bands = scanned.select(
         F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))).alias("x")
-    ).select("x.key", F.explode("x.bands").alias("bucket")).distinct()
-    pairs = materialise(_candidates(bands), "pairs")
+    ).select("x.key", F.explode("x.bands").alias("bucket")).select("bucket", "key")
+    dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "key")
+    pairs = materialise(dealt.mapInArrow(_pairer, "a bigint, b bigint").distinct(), "pairs")
     flags = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, 1 << 12)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     for row in ends.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_bits, "part int, bits binary").toLocalIterator():
@@ -214,10 +235,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialise(
         id_text(docs, id_col, text_col).mapInArrow(_text_finder(shared), "key bigint, line string").dropDuplicates(["key"]), "texts"
     )
-    asked = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("left")), "a").join(
-        texts.select(F.col("key").alias("b"), F.col("line").alias("right")), "b"
-    ).select("a", "b", "left", "right")
-    links = asked.mapInArrow(_verifier(similarity), "a bigint, b bigint")
+    links = _verified(pairs, texts, similarity)
     roots = materialise(components(links), "roots")
     lines = scanned.select("id", F.posexplode("keys").alias("position", "key")).where("key IS NOT NULL")
     grouped = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
