@@ -256,9 +256,12 @@ def _word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         numbers = {w: i for i, w in enumerate(names)}
         number = np.array([numbers[w] for w in words], np.int64)[which]
         hashes = np.array([hash_word(w) for w in names], np.uint64)[number] if len(number) else np.zeros(0, np.uint64)
-        around = np.zeros(len(number), np.uint64)
-        around[1:] = hashes[:-1]
-        around[:-1] ^= hashes[1:] * np.uint64(31)
+        # beyond a text's ends there is nothing, so that copies have equal surroundings everywhere
+        ends = np.cumsum(sizes)[sizes > 0]
+        before, after = np.r_[np.uint64(0), hashes[:-1]], np.r_[hashes[1:], np.uint64(0)]
+        before[ends - sizes[sizes > 0]] = 0
+        after[ends - 1] = 0
+        around = before[: len(number)] ^ after[: len(number)] * np.uint64(31)
         label = np.repeat(np.asarray(batch.column(2)).astype(np.int64), sizes)
         rows = np.unique(np.stack([number, around.view(np.int64), label]), axis=1)
         named = pa.array(list(names), pa.string()).take(pa.array(rows[0]))
@@ -309,7 +312,7 @@ def fit(
     lexicon = Lexicon({}, {}, set())
     prior = (toxic_total + 0.5) / (toxic_total + clean_total + 1) if toxic_total else 0.0
     lexicon.weights = [log(prior / (1 - prior)) if prior else -30.0, 0.0, 0.0, 0.0, 0.0]
-    if not toxic_total or not clean_total:
+    if not toxic_total or not clean_total or sample.isEmpty():
         return lexicon
     pairs = sample.select("id", "text", "toxic").mapInArrow(_word_batches, "word string, around bigint, toxic int")
     words = materialise(

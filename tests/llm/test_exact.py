@@ -27,6 +27,6 @@ def test_one_row_of_each_text_stays(awkward, rows, nothing):
     assert drop_duplicates(nothing).count() == 0
 
 
-def test_no_python_on_the_executors(awkward):
-    plan = duplicate_groups(awkward)._jdf.queryExecution().executedPlan().toString()
+def test_no_python_on_the_executors(spark, sf_dir):
+    plan = duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
