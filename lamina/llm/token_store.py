@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.text import CHUNK_BYTES, blank_separated, column_chunks, id_text, id_type
+from lamina.llm.text import blank_separated, column_chunks, id_text, id_type
 from lamina.llm.token_count import byte_letters, merges
 from lamina.session import scratch_path
 
@@ -61,11 +62,9 @@ class Encoder:
         self.words, self.index, self.ids = {}, {b"": 0}, np.zeros(0, np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _word(self, word: str) -> list[int]:
-        known = self.words.get(word)
-        if known is None:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-            known = self.words[word] = [t.id for t in self.model.tokenize(spelled)]
+    def _word(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        known = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return known
 
     def learn(self, pieces: list[bytes]) -> None:
@@ -75,19 +74,21 @@ class Encoder:
         plain = [p for p in fresh if b"<|" not in p]
         if plain:
             found = self.merges.pre_tokens(plain)
-            lists = [self._word(w) if w != "\n" else () for w in found]
-            sizes = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+            known = self.words
+            lists = [known.get(w) or self._word(w) if w != "\n" else b"" for w in found]
+            sizes = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) // 4
             ends = sizes[[i for i, w in enumerate(found) if w == "\n"]]
-            self._add(plain, lists, np.diff(np.r_[0, ends]))
+            self._add(plain, np.frombuffer(b"".join(lists), np.uint32), np.diff(np.r_[0, ends]))
         marked = [p for p in fresh if b"<|" in p]
         if marked:
             encoded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in marked], add_special_tokens=False)
-            self._add(marked, [e.ids for e in encoded], np.array([len(e.ids) for e in encoded]))
+            ids = np.array([i for e in encoded for i in e.ids], np.uint32)
+            self._add(marked, ids, np.array([len(e.ids) for e in encoded]))
 
-    def _add(self, pieces: list[bytes], lists: list, sizes: np.ndarray) -> None:
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.index.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,8 @@ class Encoder:
         sizes = np.insert(self.sizes[which], ends, 1)
         starts = np.insert(self.starts[which], ends, len(self.ids))
         known = np.r_[self.ids, np.uint32(end_id)]
-        out = known[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        begins = (starts - np.cumsum(sizes) + sizes).astype(np.int32)
+        out = known[np.repeat(begins, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
         totals = np.cumsum(sizes)[ends + np.arange(len(ends))]
         return out, np.diff(np.r_[0, totals])
 
@@ -113,7 +115,7 @@ def encoder(path: str) -> Encoder:
 
 def _tokeniser(path: str, end_id: int):
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in column_chunks(batches, 2 * CHUNK_BYTES):
+        for batch in column_chunks(batches):
             ids, counts = encoder(path).encode(batch.column(1), end_id)
             raw, ends = ids.astype("<u4"), np.cumsum(counts)
             parts = [_packed(raw[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())]
