@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions.text import number
+
 # Symbols per site, the formula grammar and the accepted site sums.
 SITES = {"a": ("Cs", "FA", "MA"), "b": ("Pb", "Sn"), "c": ("I", "Br")}
 SYMBOLS = ("Cs", "FA", "MA", "Pb", "Sn", "I", "Br")
@@ -15,6 +17,7 @@ FORMULA_PART = r"(Cs|MA|FA|Pb|Sn|I|Br)(\d*\.\d+|\d*)"
 SITE_SUMS = {"a": 1.0, "b": 1.0, "c": 3.0}
 SITE_RANGES = {"a": (0.90, 1.10), "b": (0.90, 1.10), "c": (2.90, 3.10)}
 ION_NOISE = r"[()\s]"
+NUMBER_WORDS = r"(?i)^[+-]?(?:nan|inf|infinity)$"
 
 
 def _last(pairs: Column, name: str) -> Column:
@@ -47,11 +50,16 @@ def ion_pairs(ions: Column, coefficients: Column) -> Column:
         F.slice(names, F.lit(1), shared),
         F.slice(parts, F.lit(1), shared),
         lambda n, p: F.struct(
-            n.alias("name"), F.coalesce(p.try_cast("double"), F.lit(0.0)).alias("value")
+            n.alias("name"), F.coalesce(coefficient(p), F.lit(0.0)).alias("value")
         ),
     )
 
 
+def coefficient(text: Column) -> Column:
+    """Double value of numeric text or of ``nan`` and ``inf``; null for other text, also for ``1d``."""
+    return F.coalesce(number(text), F.when(text.rlike(NUMBER_WORDS), F.regexp_replace(text, r"^\+", "").try_cast("double")))
+
+
 def pair_columns(pairs: Column, names: Sequence[str], prefix: str = "") -> list[Column]:
     """One column per name, 0 where absent.  A repeated name keeps its last value."""
     return [F.coalesce(_last(pairs, n), F.lit(0.0)).alias(prefix + n) for n in names]

@@ -16,8 +16,6 @@ from lamina.operators.rows import (
 )
 from lamina.operators.stats import group_mode
 
-MAX_IONS = 5_000
-
 
 def clean_composition(df: DataFrame, formula: str, flags: Sequence[str]) -> DataFrame:
     """Rows with a formula of one layer whose structure flags are all true."""
@@ -40,12 +38,13 @@ def formula_route(df: DataFrame, formula: str, gap: str, flags: Sequence[str]) -
     return formula_composition(allowed_formulas(modes, "compound"))
 
 
-def ion_vocabulary(df: DataFrame, ions: str, coefficients: str) -> list[str]:
-    """Distinct ion names of one site, sorted; they become columns."""
+def ion_vocabulary(df: DataFrame, ions: str, coefficients: str, max_ions: int | None = None) -> list[str]:
+    """Distinct ion names of one site, sorted; they become columns.  More than ``max_ions``, if given, are an error."""
     names = F.transform(ion_pairs(F.col(ions), F.col(coefficients)), lambda p: p["name"])
-    rows = df.select(F.explode(names).alias("name")).distinct().limit(MAX_IONS + 1).collect()
-    if len(rows) > MAX_IONS:
-        raise ValueError(f"more than {MAX_IONS} ions in {ions}; use ion_long")
+    found = df.select(F.explode(names).alias("name")).distinct()
+    rows = (found if max_ions is None else found.limit(max_ions + 1)).collect()
+    if max_ions is not None and len(rows) > max_ions:
+        raise ValueError(f"more than {max_ions} ions in {ions}; use ion_long")
     return sorted(r["name"] for r in rows)
 
 

@@ -22,8 +22,6 @@ from lamina.operators.transform import apply_pipeline, fit_pipeline
 from lamina.session import materialise
 
 VALIDATORS = ("kfold", "stratified_kfold", "shuffle_split", "leave_one_out", "time_series_split")
-# One fit per row; the neighbour regressor has a way without fits for any number of rows.
-MAX_LEAVE_ONE_OUT = 200
 
 
 class Prepared(NamedTuple):
@@ -79,10 +77,8 @@ def assign_folds(df: DataFrame, keys: Sequence[str], validation: Mapping[str, An
     if method == "time_series_split":
         return split.time_series_split(df, keys, **options).withColumnRenamed("split_no", "fold"), "role"
     if method == "leave_one_out":
-        rows = df.count()
-        if rows > MAX_LEAVE_ONE_OUT:
-            raise ValueError(f"leave_one_out needs {rows} fits; beyond {MAX_LEAVE_ONE_OUT} rows it is for knn only")
-        return split.kfold(df, keys, rows), None
+        # one fit per row, however many; the neighbour regressor has a way without fits
+        return split.number_rows(df, keys, "fold"), None
     raise ValueError(f"unknown validation method {method!r}; known: {VALIDATORS}")
 
 
@@ -93,8 +89,8 @@ def validate(prepared: Prepared, config: Mapping[str, Any], keys: Sequence[str])
     if validation.get("method") == "leave_one_out" and config["model"].get("model_type") == "knn":
         missing = models.fit_missing(train, prepared.features)
         numbered = split.number_rows(train.select(*keys, "label", *models.filled(prepared.features, missing)), keys, "_row")
-        neighbours = config["model"].get("n_neighbors", 5)
-        scored = models.knn_leave_one_out(numbered, prepared.features, "label", "_row", neighbours)
+        options = {k: v for k, v in config["model"].items() if k in ("n_neighbors", "weights")}
+        scored = models.knn_leave_one_out(numbered, prepared.features, "label", "_row", **options)
         return models.leave_one_out_scores(scored, "_row", validation.get("metrics", ["rmse"]))
     folded, role = assign_folds(train, keys, validation)
     return models.cross_validate(

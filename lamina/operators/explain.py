@@ -3,75 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import key_hash
-from lamina.operators.models import Fitted, filled
+from lamina.operators.models import Fitted, filled, predict_arrays
+from lamina.plans.row_index import with_row_index
 
 
-def background_rows(df: DataFrame, fitted: Fitted, keys: Column, rows: int, seed: int) -> list[list[float]]:
-    """A seeded sample of complete feature rows; ``rows`` bounds what is shipped to the tasks."""
-    sample = (
-        df.select(key_hash(seed, keys).alias("_h"), keys.alias("_k"), *filled(fitted.features, fitted.missing))
-        .orderBy("_h", "_k").limit(rows).collect()
-    )
-    return [[r[f] for f in fitted.features] for r in sample]
-
+def _score(fitted: Fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the prediction for the coordinates in ``_v``, whatever the model's type."""
+    return predict_arrays(fitted, rows, keep, "_v")
 
-def _score(fitted: Fitted, rows: DataFrame, keep: Sequence[str], coordinates: Sequence[Column]) -> DataFrame:
-    numbers = [c.alias(f"_x{i}") for i, c in enumerate(coordinates)]
-    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(numbers))], outputCol="features")
-    return fitted.model.transform(assembler.transform(rows.select(*keep, *numbers)).select(*keep, "features")).drop("features")
 
+def _prepared(df: DataFrame, fitted: Fitted, row_id: str, n_samples: int, seed: int) -> DataFrame:
+    """One line per row and sample: own values x, background values z, one random number per feature.
 
-def _prepared(df: DataFrame, fitted: Fitted, row_id: str, n_samples: int, background: list, seed: int) -> DataFrame:
-    """One line per row and sample: own values x, background values z, one random number per feature."""
-    p = len(fitted.features)
-    table = F.array(*[F.array(*map(F.lit, row)) for row in background])
-    pick = F.pmod(F.xxhash64(F.lit(seed), row_id, "_m"), F.lit(len(background))).cast("int")
-    # The compact rows are placed by row_id once; everything after it stays in the partition.
-    return (
-        df.select(F.col(row_id), F.array(*filled(fitted.features, fitted.missing)).alias("_x"))
-        .repartition(row_id)
-        .withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-        .withColumn("_z", F.get(table, pick))
-        .withColumn("_r", F.array(*[F.xxhash64(F.lit(seed + 1), row_id, "_m", F.lit(f)) for f in range(p)]))
-    )
+    The background row is drawn from the whole table, by its row number.
+    """
+    own = df.select(F.col(row_id), F.array(*filled(fitted.features, fitted.missing)).alias("_x"))
+    key = key_hash(seed, F.col(row_id).cast("string"))
+    table = with_row_index(own.select(key.alias("_h"), F.col(row_id).cast("string").alias("_k"), "_x"), ["_h", "_k"], "_i")
+    pick = F.pmod(F.xxhash64(F.lit(seed), row_id, "_m"), F.lit(max(1, table.total)))
+    drawn = own.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).withColumn("_i", pick)
+    background = table.frame.select("_i", F.col("_x").alias("_z"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(len(fitted.features) - 1)), lambda f: F.xxhash64(F.lit(seed + 1), row_id, "_m", f))
+    return drawn.join(background, "_i").drop("_i").withColumn("_r", numbers)
 
 
 def sampled_shapley(
-    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, n_background: int = 64, seed: int = 42
+    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Attributions ``(row_id, feature, value)`` and ``(row_id, base, prediction)``.
 
-    For every row and sample a random order of the features and a background row are drawn
+    For every row and sample a random order of the features and a background row of the whole table are drawn
     (Strumbelj and Kononenko, 2014).  Replacing the background values by the row's own in that
     order, each step's change of the prediction belongs to the feature that changed; the
     changes are averaged.  They add up to the prediction minus the mean background prediction.
+    The plan does not grow with the number of features.
     """
     p = len(fitted.features)
-    background = background_rows(df, fitted, F.col(row_id).cast("string"), n_background, seed)
-    lines = _prepared(df, fitted, row_id, n_samples, background, seed)
-    # place of each feature in the random order; equal numbers go by position
-    place = F.array(
-        *[
-            sum(
-                (
-                    F.when((F.col("_r")[g] < F.col("_r")[f]) if g > f else (F.col("_r")[g] <= F.col("_r")[f]), 1).otherwise(0)
-                    for g in range(p) if g != f
-                ),
-                F.lit(0),
-            )
-            for f in range(p)
-        ]
+    lines = _prepared(df, fitted, row_id, n_samples, seed)
+    # features in the random order, equal numbers by position; then each one's place in it
+    ordered = F.transform(
+        F.array_sort(F.transform("_r", lambda r, f: F.struct(r.alias("r"), f.alias("f")))), lambda e: e["f"]
+    )
+    placed = lines.withColumn("_o", ordered).withColumn(
+        "_p", F.transform("_o", lambda _, f: F.array_position("_o", f).cast("int") - 1)
     )
-    steps = lines.withColumn("_p", place).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    coordinates = [F.when(F.col("_p")[f] < F.col("_s"), F.col("_x")[f]).otherwise(F.col("_z")[f]) for f in range(p)]
-    scored = _score(fitted, steps, [row_id, "_s", "_p"], coordinates)
+    steps = placed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    mixed = F.transform("_x", lambda x, f: F.when(F.get("_p", f) < F.col("_s"), x).otherwise(F.get("_z", f)))
+    scored = _score(fitted, steps.withColumn("_v", mixed), [row_id, "_s", "_p"])
     # Prediction s closes the step of the feature at place s - 1 and opens that of the one at s.
     def feature_at(s: Column) -> Column:
         return F.array_position("_p", s).cast("int") - 1
@@ -98,7 +81,7 @@ def sampled_shapley(
 
 
 def sampled_interactions(
-    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, n_background: int = 64, seed: int = 42
+    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, seed: int = 42
 ) -> DataFrame:
     """``(row_id, feature_i, feature_j, value)`` for i <> j, symmetric.
 
@@ -106,25 +89,19 @@ def sampled_interactions(
     before the pair in a random order; it is zero for an additive model.
     """
     p = len(fitted.features)
-    pairs = list(combinations(range(p), 2))
-    background = background_rows(df, fitted, F.col(row_id).cast("string"), n_background, seed)
-    lines = _prepared(df, fitted, row_id, n_samples, background, seed)
-    corners = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(bool(a)).alias("a"), F.lit(bool(b)).alias("b"))
-            for i, j in pairs for a in (0, 1) for b in (0, 1)
-        ]
+    lines = _prepared(df, fitted, row_id, n_samples, seed)
+    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (False, True) for b in (False, True)])
+    firsts = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(p - 2)))) if p > 1 else lines.limit(0).withColumn("i", F.lit(0))
+    pairs = firsts.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(p - 1))))
+    steps = pairs.withColumn("_mark", F.xxhash64(F.lit(seed + 2), row_id, "_m", "i", "j")).withColumn("_c", F.explode(corners)).select(
+        row_id, "_m", "_x", "_z", "_r", "_mark", "i", "j", "_c.a", "_c.b"
     )
-    steps = lines.withColumn("_c", F.explode(corners)).select(row_id, "_m", "_x", "_z", "_r", "_c.*")
-    mark = F.xxhash64(F.lit(seed + 2), row_id, "_m", "i", "j")
-    steps = steps.withColumn("_mark", mark)
-    coordinates = []
-    for f in range(p):
-        own = (
-            F.when(F.col("i") == f, F.col("a")).when(F.col("j") == f, F.col("b")).otherwise(F.col("_r")[f] < F.col("_mark"))
-        )
-        coordinates.append(F.when(own, F.col("_x")[f]).otherwise(F.col("_z")[f]))
-    scored = _score(fitted, steps, [row_id, "i", "j", "a", "b"], coordinates)
+
+    def own(f: Column) -> Column:
+        return F.when(f == F.col("i"), F.col("a")).when(f == F.col("j"), F.col("b")).otherwise(F.get("_r", f) < F.col("_mark"))
+
+    mixed = F.transform("_x", lambda x, f: F.when(own(f), x).otherwise(F.get("_z", f)))
+    scored = _score(fitted, steps.withColumn("_v", mixed), [row_id, "i", "j", "a", "b"])
     signed = F.when(F.col("a") == F.col("b"), F.col("prediction")).otherwise(-F.col("prediction"))
     halves = scored.groupBy(row_id, "i", "j").agg((F.sum(signed) / F.lit(2.0 * n_samples)).alias("value"))
     both = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
@@ -172,34 +149,26 @@ def interaction_pairs(matrix: DataFrame, threshold: float = 1.0) -> DataFrame:
     )
 
 
-def dependence_plan(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, str | None]]:
-    """``(feature_i, feature_j, colour)`` extracts: each first feature's own once, then every pair."""
-    plan, seen = [], set()
-    for i, j in pairs:
-        if i not in seen:
-            plan.append((i, i, None))
-            seen.add(i)
-        plan.append((i, j, j))
-    return plan
+def dependence_plan(pairs: DataFrame) -> DataFrame:
+    """``(feature_i, feature_j, colour)`` of the extracts for ``(feature_i, feature_j)`` pairs: each distinct
+    first feature against itself without a colour, united with the pairs coloured by their second feature."""
+    alone = pairs.select("feature_i").distinct().select(
+        "feature_i", F.col("feature_i").alias("feature_j"), F.lit(None).cast("string").alias("colour")
+    )
+    return alone.unionByName(pairs.distinct().select("feature_i", "feature_j", F.col("feature_j").alias("colour")))
 
 
-def dependence_points(
-    values: DataFrame, pairs: DataFrame, row_id: str, plan: Sequence[tuple[str, str, str | None]]
-) -> DataFrame:
+def dependence_points(values: DataFrame, pairs: DataFrame, row_id: str, plan: DataFrame) -> DataFrame:
     """``(row_id, feature_i, feature_j, x, attribution, colour)`` for every extract of the plan.
 
     ``values`` is the wide feature table, ``pairs`` the long ``(row_id, feature_i, feature_j, value)``.
     """
-    wanted = pairs.filter(
-        F.struct("feature_i", "feature_j").isin([F.struct(F.lit(i), F.lit(j)) for i, j, _ in plan])
-    )
-    joined = wanted.join(values, row_id)
-    x, colour = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, j, c in plan:
-        here = (F.col("feature_i") == i) & (F.col("feature_j") == j)
-        x = F.when(here, F.col(i).cast("double")).otherwise(x)
-        if c is not None:
-            colour = F.when(here, F.col(c).cast("double")).otherwise(colour)
+    features = [c for c in values.columns if c != row_id]
+    cells = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.col(c).cast("double") for c in features]))
+    wanted = pairs.join(plan.withColumnRenamed("colour", "_by"), ["feature_i", "feature_j"])
+    joined = wanted.join(values.select(row_id, cells.alias("_cells")), row_id)
+    by = F.when(F.col("_by").isNotNull(), F.try_element_at("_cells", F.col("_by")))
     return joined.select(
-        row_id, "feature_i", "feature_j", x.alias("x"), F.col("value").alias("attribution"), colour.alias("colour")
+        row_id, "feature_i", "feature_j", F.try_element_at("_cells", F.col("feature_i")).alias("x"),
+        F.col("value").alias("attribution"), by.alias("colour"),
     )

@@ -18,8 +18,6 @@ from lamina.functions.text import LEVELS, is_layered, token_count, tokenise
 from lamina.session import materialise
 
 (LAYER, LAYER_MARK), (FEATURE, FEATURE_MARK), (STEP, STEP_MARK) = LEVELS
-# A wide table with more columns than this is refused; the long form has no such limit.
-MAX_LEAVES = 20_000
 
 
 def _layers(cell: Column) -> Column:
@@ -38,8 +36,6 @@ def child_columns(df: DataFrame, column: str, delimiter: str, keep: Sequence[str
     """One column per list position, null past the end; the width is that of the longest list."""
     entries = tokenise(F.col(column), delimiter)
     width = df.agg(F.max(F.size(entries))).first()[0] or 0
-    if width > MAX_LEAVES:
-        raise ValueError(f"{width} positions in {column}; use expand_long")
     listed = df.select(*keep, entries.alias("_entries"))
     return listed.select(*keep, *[F.get("_entries", F.lit(i)).alias(f"child_{i}") for i in range(width)])
 
@@ -212,10 +208,8 @@ def leaf_table(histogram: DataFrame) -> DataFrame:
 
 
 def _ordered_leaves(leaves: DataFrame, fields: Sequence[str]) -> list:
-    # Becomes the schema of the result; bounded by MAX_LEAVES.
-    rows = leaves.select("field", "layer", "feature", "deposition", "child").limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError("too many leaves for columns; use expand_long")
+    # Becomes the schema of the result, one row per column of the wide table.
+    rows = leaves.select("field", "layer", "feature", "deposition", "child").collect()
     place = {f: i for i, f in enumerate(fields)}
 
     def position(row) -> tuple:

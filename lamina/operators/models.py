@@ -8,6 +8,7 @@ from functools import reduce
 from typing import Any, NamedTuple
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from lamina.functions.hashing import key_hash
 from lamina.operators.split import row_key
 from lamina.operators.stats import metric_aggregates, regression_metrics
-from lamina.plans.neighbours import nearest
+from lamina.plans.neighbours import mean_value, nearest, weighted_value
 from lamina.plans.row_index import with_row_index
+from lamina.session import materialise
 
 FIT_THREADS = 4
+# The deepest tree that can be trained; stands for no limit.
+UNLIMITED_DEPTH = 30
 
 # Option names of each model type and the Spark ML parameter they set.
 _FOREST = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
@@ -43,8 +47,16 @@ MODELS = {
 
 
 def create_estimator(config: Mapping[str, Any], features: str = "features", label: str = "label"):
-    """Estimator for a config with ``model_type`` and options; an option without a counterpart is an error."""
+    """Estimator for a config with ``model_type`` and options.
+
+    An option without a counterpart is an error, unless the config says ``unsupported = "record"``: then it is
+    left out and ``dropped_options`` names it.  Two options only come close to their namesakes: ``gamma`` is a least gain of variance, and
+    ``colsample_bytree`` and ``rsm`` draw features for each node rather than for each tree.
+    """
     options = dict(config)
+    unsupported = options.pop("unsupported", "error")
+    if unsupported not in ("error", "record"):
+        raise ValueError(f"unknown option unsupported={unsupported!r}")
     kind = options.pop("model_type", None)
     if kind not in MODELS:
         raise ValueError(f"unknown model type {kind!r}; known: {sorted(MODELS)} and knn")
@@ -54,18 +66,40 @@ def create_estimator(config: Mapping[str, Any], features: str = "features", labe
         if option in _IGNORED:
             continue
         if option not in names:
+            if unsupported == "record":
+                continue
             raise ValueError(f"{kind} option {option!r} has no counterpart")
         param = names[option]
-        if param == "featureSubsetStrategy" and not isinstance(value, str):
-            value = "all" if value in (1, 1.0) else str(value)
+        if param == "featureSubsetStrategy":
+            value = _feature_subset(kind, option, value)
         if param == "minInstancesPerNode":
+            if isinstance(value, float) and 0 < value < 1:
+                raise ValueError(f"{kind} option {option}={value} is a share of the rows; give a number of rows")
             value = max(1, int(value))
+        if param == "maxDepth" and value is None:
+            value = UNLIMITED_DEPTH
         if param == "maxBins":
             value = max(2, int(value))
         params[param] = value
     return estimator(featuresCol=features, labelCol=label, predictionCol="prediction", **params)
 
 
+def dropped_options(config: Mapping[str, Any]) -> list[str]:
+    """Options of a config that its model type has no counterpart for."""
+    known = {"model_type", "unsupported", *_IGNORED, *MODELS.get(config.get("model_type"), (None, {}, None))[1]}
+    return [] if config.get("model_type") == "knn" else sorted(set(config) - known)
+
+
+def _feature_subset(kind: str, option: str, value) -> str:
+    """Spark's name for a number of features: a whole number counts them, a fraction is a share, None is all."""
+    if value is None or isinstance(value, float) and value == 1.0:
+        return "all"
+    if isinstance(value, int) and option != "max_features":
+        # a share in these options, whatever its type
+        return "all" if value == 1 else str(value)
+    return str(value)
+
+
 # -- feature vectors -------------------------------------------------------------
 
 
@@ -142,13 +176,13 @@ def _fit_knn(df: DataFrame, features: Sequence[str], label: str, missing: Mappin
     return Neighbours(narrow.withColumn("id", F.xxhash64(*narrow.columns)), **options)
 
 
-def _predict_knn(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _predict_knn(fitted: Fitted, df: DataFrame, keep: Sequence[str], cells: Column) -> DataFrame:
     model = fitted.model
     vec = F.array(*[F.col(f"f{i}") for i in range(len(fitted.features))])
     given = model.rows.select(F.lit("0").alias("space"), vec.alias("vec"), "id", F.col("label").alias("value"))
-    asked = df.select(*keep, F.lit("0").alias("space"), F.array(*filled(fitted.features, fitted.missing)).alias("vec"))
+    asked = df.select(*keep, F.lit("0").alias("space"), cells.alias("vec"))
     near = nearest(asked, given, model.n_neighbors)
-    value = _mean_value(F.col("near")) if model.weights == "uniform" else _weighted_value(F.col("near"))
+    value = mean_value(F.col("near")) if model.weights == "uniform" else weighted_value(F.col("near"))
     return near.select(*keep, value.alias("prediction"))
 
 
@@ -173,10 +207,17 @@ def fit(
 def predict(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns and ``prediction``."""
     if isinstance(fitted.model, Neighbours):
-        return _predict_knn(fitted, df, keep)
+        return _predict_knn(fitted, df, keep, F.array(*filled(fitted.features, fitted.missing)))
     return fitted.model.transform(fitted.vectors(df, keep)).drop("features")
 
 
+def predict_arrays(fitted: Fitted, df: DataFrame, keep: Sequence[str], cells: str) -> DataFrame:
+    """``keep`` columns and ``prediction`` for rows whose complete feature values are in an array column."""
+    if isinstance(fitted.model, Neighbours):
+        return _predict_knn(fitted, df, keep, F.col(cells))
+    return fitted.model.transform(df.select(*keep, array_to_vector(cells).alias("features"))).drop("features")
+
+
 # -- nearest neighbours ----------------------------------------------------------
 
 
@@ -192,28 +233,11 @@ def knn_predict(
         F.col(label).cast("double").alias("value"),
     )
     near = nearest(asked, given, n_neighbors)
-    return near.select(row_id, *keep, _mean_value(F.col("near")).alias("prediction"))
-
-
-def _mean_value(near: Column) -> Column:
-    return F.aggregate(near, F.lit(0.0), lambda acc, n: acc + n["value"], lambda acc: acc / F.size(near))
-
-
-def _weighted_value(near: Column) -> Column:
-    """Mean weighted by inverse distance; donors at distance 0 count alone."""
-    exact = F.filter(near, lambda n: n["d2"] == 0.0)
-    zero = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"))
-
-    def add(acc: Column, n: Column) -> Column:
-        weight = F.lit(1.0) / F.sqrt(n["d2"])
-        return F.struct((acc["value"] + n["value"] * weight).alias("value"), (acc["weight"] + weight).alias("weight"))
-
-    inverse = F.aggregate(near, zero, add, lambda acc: acc["value"] / acc["weight"])
-    return F.when(F.size(exact) > 0, _mean_value(exact)).otherwise(inverse)
+    return near.select(row_id, *keep, mean_value(F.col("near")).alias("prediction"))
 
 
 def knn_leave_one_out(
-    df: DataFrame, features: Sequence[str], label: str, row_id: str, n_neighbors: int = 5
+    df: DataFrame, features: Sequence[str], label: str, row_id: str, n_neighbors: int = 5, weights: str = "uniform"
 ) -> DataFrame:
     """``(row_id, label, prediction)``, each row predicted from all the others.
 
@@ -227,7 +251,8 @@ def knn_leave_one_out(
     )
     near = nearest(asked, given, n_neighbors + 1)
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col(row_id)), 1, n_neighbors)
-    return near.withColumn("_others", others).select(row_id, "label", _mean_value(F.col("_others")).alias("prediction"))
+    value = mean_value(F.col("_others")) if weights == "uniform" else weighted_value(F.col("_others"))
+    return near.withColumn("_others", others).select(row_id, "label", value.alias("prediction"))
 
 
 # -- cross-validation and reports ------------------------------------------------
@@ -261,8 +286,12 @@ def cross_validate(
         table = regression_metrics(predict(fitted, part, ["split", "label"]), ["split"], metrics)
         return table.select(F.lit(number).alias("fold"), "split", "metric", "value")
 
-    with ThreadPoolExecutor(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(scores, numbers))
+    try:
+        with ThreadPoolExecutor(threads) as pool:
+            # written, so that the result doesn't need the persisted rows any more
+            return materialise(reduce(DataFrame.unionByName, pool.map(scores, numbers)), "scores")
+    finally:
+        data.unpersist()
 
 
 def leave_one_out_scores(scored: DataFrame, row_id: str, metrics: Sequence[str]) -> DataFrame:

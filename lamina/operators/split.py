@@ -20,7 +20,9 @@ MAX_EDGES = 200
 
 
 def row_key(*columns: str) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    """The columns' texts joined by ``|``; a mark inside a text and a null are escaped, so different keys differ."""
+    texts = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat_ws("|", *[F.coalesce(t, F.lit("\\N")) for t in texts])
 
 
 def _test_rows(test_size: float | int):

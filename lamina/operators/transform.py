@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from lamina.operators.rows import categorical_columns, numeric_columns
 from lamina.plans.lookup import lookup_join
 from lamina.plans.modes import column_modes
-from lamina.plans.neighbours import nearest
+from lamina.plans.neighbours import mean_value, nearest, weighted_value
 from lamina.plans.order_stats import exact_percentiles
 from lamina.plans.row_index import with_row_index
 from lamina.session import BROADCAST_ROWS, materialise
 
-MAX_ONEHOT_COLUMNS = 5_000
-
 
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
@@ -43,60 +41,91 @@ def apply_impute(df: DataFrame, fills: Mapping[str, Any]) -> DataFrame:
     return _replace(df, {c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if v is not None})
 
 
-def impute_knn(df: DataFrame, columns: Sequence[str], row_id: str, n_neighbors: int = 5) -> DataFrame:
+class KnnImputer(NamedTuple):
+    """Fitted state: the donor rows ``(_id, columns...)`` and the means that stand in without a donor."""
+
+    donors: DataFrame
+    columns: tuple[str, ...]
+    means: dict[str, Any]
+    n_neighbors: int = 5
+    weights: str = "uniform"
+
+
+def fit_impute_knn(
+    df: DataFrame, columns: Sequence[str], n_neighbors: int = 5, weights: str = "uniform", row_id: str | None = None
+) -> KnnImputer:
+    """Keep the rows of ``df`` as donors.  Equal distances go by ``row_id``, or by a hash of the row."""
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights!r}")
+    cells = [F.col(c).cast("double").alias(c) for c in columns]
+    order = F.xxhash64(*[F.col(c).cast("double") for c in columns]) if row_id is None else F.col(row_id).cast("bigint")
+    donors = materialise(df.select(order.alias("_id"), *cells, _pattern(columns).alias("_mask")), "donors")
+    return KnnImputer(donors, tuple(columns), fit_impute(donors, columns, "mean"), n_neighbors, weights)
+
+
+def _pattern(columns: Sequence[str]) -> Column:
+    """Which columns a row has, one letter each: any number of columns fits."""
+    return F.concat(F.lit(""), *[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
+
+
+def apply_impute_knn(df: DataFrame, fitted: KnnImputer, row_id: str | None = None) -> DataFrame:
     """Mean of the nearest donors' values, by distance over the coordinates both rows have.
 
     The squared distance is scaled by all / shared coordinates.  Rows fall into patterns of
     missing columns; for a receiver pattern and a donor pattern the shared coordinates are
     fixed, so each pair of patterns is an ordinary exact neighbour search, and the k best
     over all donor patterns follow.  Without any usable donor the column mean is used.
+
+    Donors are the rows that were fitted, never those of ``df``.  Without a ``row_id`` the rows are written once with a number.
     """
-    p = len(columns)
-    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
-    marked = df.select(row_id, *columns, mask.cast("bigint").alias("_mask"))
-    masks = [r["_mask"] for r in marked.select("_mask").distinct().limit(BROADCAST_ROWS).collect()]
-    means = fit_impute(df, columns, "mean")
-    searches = [
-        (slot, r, d, r & d, p / (r & d).bit_count())
-        for slot in range(p)
-        for r in masks if not r >> slot & 1
-        for d in masks if d >> slot & 1 and r & d
-    ]
+    columns, k, p = fitted.columns, fitted.n_neighbors, len(fitted.columns)
+    if row_id is None:
+        df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "receivers")
+    key = row_id or "_row"
+    cells = [F.col(c).cast("double").alias(c) for c in columns]
+    # written, as a condition on an expression over all columns keeps the optimiser busy at every later step
+    asked_rows = materialise(df.select(F.col(key).alias("_id"), *cells, _pattern(columns).alias("_mask")), "asked")
+    asked_rows, given_rows = asked_rows.filter(F.col("_mask").contains("0")), fitted.donors
+    # one row per pattern of missing columns on either side
+    asking, giving = ([r[0] for r in rows.select("_mask").distinct().collect()] for rows in (asked_rows, given_rows))
+    searches = []
+    for r in asking:
+        for d in giving:
+            shared = "".join("1" if x == y == "1" else "0" for x, y in zip(r, d))
+            common = shared.count("1")
+            if common:
+                searches += [(i, r, d, shared, p / common) for i in range(p) if r[i] == "0" and d[i] == "1"]
     if not searches:
-        return apply_impute(df, means)
-    if len(searches) > BROADCAST_ROWS:
-        raise ValueError(f"{len(masks)} patterns of missing columns; impute fewer columns together")
+        return apply_impute(df, fitted.means).drop("_row") if row_id is None else apply_impute(df, fitted.means)
     # One row per column, receiver pattern and donor pattern.
-    plan = F.broadcast(
-        df.sparkSession.createDataFrame(searches, "slot int, receiver bigint, donor bigint, shared bigint, scale double")
-    )
+    plan = df.sparkSession.createDataFrame(searches, "slot int, receiver string, donor string, shared string, scale double")
+    plan = F.broadcast(plan) if len(searches) <= BROADCAST_ROWS else materialise(plan, "patterns")
     space = F.concat_ws(":", "slot", "receiver", "donor").alias("space")
-    cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    is_shared = [F.col("shared").bitwiseAND(F.lit(1 << i)) != 0 for i in range(p)]
-    vec = F.array(*[F.when(s, c).otherwise(F.lit(0.0)) for s, c in zip(is_shared, cells)]).alias("vec")
-    value = F.get(F.array(*[F.col(c).cast("double") for c in columns]), F.col("slot")).alias("value")
-    asked = marked.join(plan, F.col("_mask") == F.col("receiver")).select(
-        F.col(row_id).alias("_id"), "slot", "scale", space, vec
+    cells = F.array(*columns)
+    vec = F.transform(cells, lambda c, i: F.when(F.substring("shared", i + 1, F.lit(1)) == "1", c).otherwise(F.lit(0.0))).alias("vec")
+    asked = asked_rows.join(plan, F.col("_mask") == F.col("receiver")).select("_id", "slot", "scale", space, vec)
+    given = given_rows.join(plan, F.col("_mask") == F.col("donor")).select(
+        F.col("_id").alias("id"), space, vec, F.get(cells, F.col("slot")).alias("value")
     )
-    given = marked.join(plan, F.col("_mask") == F.col("donor")).select(F.col(row_id).alias("id"), space, vec, value)
-    answers = nearest(asked, given.withColumn("id", F.col("id").cast("bigint")), n_neighbors)
+    answers = nearest(asked, given, k)
 
     def scaled(n: Column) -> Column:
         return F.struct((n["d2"] * F.col("scale")).alias("d2"), n["id"].alias("id"), n["value"].alias("value"))
 
     donors = answers.select("_id", "slot", F.transform("near", scaled).alias("near"))
     # Per receiver and column: k donors from each donor pattern.
-    merged = donors.groupBy("_id", "slot").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, n_neighbors).alias("near")
-    )
-    mean_of = F.aggregate("near", F.lit(0.0), lambda acc, n: acc + n["value"], lambda acc: acc / F.size("near"))
-    fills = merged.filter(F.size("near") > 0).select("_id", "slot", mean_of.alias("fill"))
-    wide = fills.groupBy("_id").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("fill"))).alias(f"_fill{i}") for i in range(len(columns))]
-    )
-    joined = df.join(wide, df[row_id] == wide["_id"], "left")
-    new = {c: F.coalesce(F.col(c), F.col(f"_fill{i}"), F.lit(means[c])) for i, c in enumerate(columns)}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+    merged = donors.groupBy("_id", "slot").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    value = mean_value(F.col("near")) if fitted.weights == "uniform" else weighted_value(F.col("near"))
+    fills = merged.filter(F.size("near") > 0).select("_id", "slot", value.alias("fill"))
+    by_slot = fills.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "fill"))).alias("_fill"))
+    joined = df.join(by_slot, df[key] == by_slot["_id"], "left")
+    new = {c: F.coalesce(F.col(c), F.try_element_at("_fill", F.lit(i)), F.lit(fitted.means[c])) for i, c in enumerate(columns)}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns if row_id or c != "_row"])
+
+
+def impute_knn(df: DataFrame, columns: Sequence[str], row_id: str | None = None, n_neighbors: int = 5, weights: str = "uniform") -> DataFrame:
+    """Fit on ``df`` and apply to it; see :func:`apply_impute_knn`."""
+    return apply_impute_knn(df, fit_impute_knn(df, columns, n_neighbors, weights, row_id), row_id)
 
 
 # -- scaling ---------------------------------------------------------------------
@@ -168,10 +197,14 @@ def apply_ordinal(
     return joined.select(*[code.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def fit_onehot(df: DataFrame, column: str, max_columns: int = MAX_ONEHOT_COLUMNS) -> list:
-    """Sorted distinct values, null last if it occurs; they become column names."""
-    rows = df.select(column).distinct().limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
+def fit_onehot(df: DataFrame, column: str, max_columns: int | None = None) -> list:
+    """Sorted distinct values, null last if it occurs; they become column names.
+
+    More than ``max_columns``, if given, are an error.
+    """
+    found = df.select(column).distinct()
+    rows = (found if max_columns is None else found.limit(max_columns + 1)).collect()
+    if max_columns is not None and len(rows) > max_columns:
         raise ValueError(f"{column} has more than {max_columns} categories; use onehot_vector")
     values = [r[0] for r in rows]
     return sorted(v for v in values if v is not None) + ([None] if None in values else [])
@@ -240,7 +273,7 @@ def _fit_step(df: DataFrame, columns: Sequence[str], step: dict) -> tuple[str, s
     if (kind, method) == ("impute", "simple"):
         return kind, method, fit_impute(df, columns, **step)
     if (kind, method) == ("impute", "knn"):
-        return kind, method, step
+        return kind, method, (fit_impute_knn(df, columns, **step), step.get("row_id"))
     if (kind, method) == ("scale", "normalize"):
         return kind, method, step.get("norm", "l2")
     if kind == "scale" and method in ("standard", "minmax", "robust"):
@@ -260,7 +293,7 @@ def apply_step(df: DataFrame, columns: Sequence[str], step: tuple[str, str, Any]
     if (kind, method) == ("impute", "simple"):
         return apply_impute(df, params), columns
     if (kind, method) == ("impute", "knn"):
-        return impute_knn(df, columns, **params), columns
+        return apply_impute_knn(df, *params), columns
     if (kind, method) == ("scale", "normalize"):
         return normalise_rows(df, columns, params), columns
     if kind == "scale":

@@ -15,14 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.plans.lookup import lookup_join
 from lamina.session import materialise
 
-MAX_PIVOTS = 1024
-# Over all spaces; pivots and cell sizes are what the driver and the tasks hold in memory.
+# Expected pivots over all spaces; they and the cell sizes are what the driver and the tasks hold in memory.
 TOTAL_PIVOTS = 50_000
 BLOCK_ROWS = 8192
 _CELLS_IN_MEMORY = 4_000_000
@@ -30,7 +29,7 @@ _CELLS_IN_MEMORY = 4_000_000
 
 def nearest(
     queries: DataFrame, donors: DataFrame, k: int,
-    max_pivots: int = MAX_PIVOTS, block_rows: int = BLOCK_ROWS,
+    max_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``near``: the k nearest donors as ``array<struct<d2, id, value>>``, nearest first.
 
@@ -58,7 +57,7 @@ def nearest(
     routed = materialise(_routed(asked, pivots, cells, k), "routed")
     visits = {(r["space"], r["cell"]): r["count"] for r in routed.groupBy("space", "cell").count().collect()}
 
-    # One row per cell: bounded by spaces x max_pivots.
+    # One row per cell: bounded by TOTAL_PIVOTS.
     shards = queries.sparkSession.createDataFrame(
         [
             (space, cell, math.ceil(n / block_rows), math.ceil(visits[space, cell] / block_rows))
@@ -97,36 +96,53 @@ def nearest(
     return lookup_join(keyed, materialise(answers, "answers"), "_key", "_n").drop("_key")
 
 
+def mean_value(near: Column) -> Column:
+    return F.aggregate(near, F.lit(0.0), lambda acc, n: acc + n["value"], lambda acc: acc / F.size(near))
+
+
+def weighted_value(near: Column) -> Column:
+    """Mean weighted by inverse distance; donors at distance 0 count alone."""
+    exact = F.filter(near, lambda n: n["d2"] == 0.0)
+    zero = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"))
+
+    def add(acc: Column, n: Column) -> Column:
+        weight = F.lit(1.0) / F.sqrt(n["d2"])
+        return F.struct((acc["value"] + n["value"] * weight).alias("value"), (acc["weight"] + weight).alias("weight"))
+
+    inverse = F.aggregate(near, zero, add, lambda acc: acc["value"] / acc["weight"])
+    return F.when(F.size(exact) > 0, mean_value(exact)).otherwise(inverse)
+
+
 def _vector_key():
-    # The text of a double identifies it, so the key identifies the vector.
-    return F.concat_ws("|", F.col("space"), F.concat_ws(",", F.col("vec").cast("array<string>")))
-
-
-def _choose_pivots(donors: DataFrame, max_pivots: int) -> dict[str, np.ndarray]:
-    """About the square root of the donors per space, drawn by hash; equal vectors count once."""
-    sizes = {r["space"]: r["count"] for r in donors.groupBy("space").count().collect()}
-    max_pivots = max(1, min(max_pivots, TOTAL_PIVOTS // max(1, len(sizes))))
-    by_hash = Window.partitionBy("space").orderBy(F.xxhash64("_key", "id"), "id")
-    rows = (
-        donors.select("space", "vec", "_key", "id")
-        .withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= max_pivots)
-        .select("space", "vec", "_rank")
-        .collect()
-    )
-    grouped: dict[str, set] = {space: set() for space in sizes}
+    # The text of a double identifies it; its 128-bit hash names the vector, which stays beside it in every group.
+    return F.md5(F.concat_ws("|", F.col("space"), F.concat_ws(",", F.col("vec").cast("array<string>"))))
+
+
+def _choose_pivots(donors: DataFrame, max_pivots: int | None) -> dict[str, np.ndarray]:
+    """About the square root of the donors per space, drawn by a hash of the row; equal vectors count once.
+
+    Every row decides for itself, by the size of its space; a space whose draw is empty gets the origin, as any point will do.
+    """
+    sizes = donors.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("vec")).alias("dims")).collect()
+    most = max(1, min(max_pivots or TOTAL_PIVOTS, TOTAL_PIVOTS // max(1, len(sizes))))
+    shares = [(r["space"], min(1.0, min(most, math.ceil(math.sqrt(r["n"]))) / r["n"])) for r in sizes]
+    rates = F.broadcast(donors.sparkSession.createDataFrame(shares, "space string, rate double"))
+    place = F.pmod(F.xxhash64("_key", "id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = donors.join(rates, "space").filter(place < F.col("rate")).select("space", "vec").collect()
+    grouped: dict[str, set] = {r["space"]: set() for r in sizes}
     for r in rows:
-        if r["_rank"] <= math.ceil(math.sqrt(sizes[r["space"]])):
-            grouped[r["space"]].add(tuple(r["vec"]))
-    return {space: np.array(sorted(vecs), dtype=float) for space, vecs in grouped.items()}
+        grouped[r["space"]].add(tuple(r["vec"]))
+    origin = {r["space"]: (0.0,) * r["dims"] for r in sizes}
+    return {space: np.array(sorted(vecs) or [origin[space]], dtype=float) for space, vecs in grouped.items()}
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances, summed dimension by dimension in order."""
-    total = np.zeros((len(a), len(b)))
+    total, diff = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
     for d in range(a.shape[1]):
-        diff = a[:, d, None] - b[None, :, d]
-        total += diff * diff
+        np.subtract(a[:, d, None], b[None, :, d], out=diff)
+        np.multiply(diff, diff, out=diff)
+        total += diff
     return total
 
 

@@ -17,6 +17,7 @@ def exact_percentiles(
     df: DataFrame, columns: Sequence[str], shares: Sequence[float], buffer_values: int = BUFFER_VALUES
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles of each column, nulls ignored."""
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     small = [c for c in columns if counts[c] <= buffer_values]
     result: dict[str, list[float | None]] = {}

@@ -12,7 +12,7 @@ from lamina.queries.registry import query
 from lamina.session import materialise
 
 ATTRIBUTIONS_SQL = """WITH a AS (SELECT vec_id AS row_id, concat('f', cast(i AS varchar)) AS feature, CAST(embedding[i + 1] AS DOUBLE) AS value
-  FROM embeddings, (SELECT unnest(range(8)) AS i))
+  FROM embeddings, (SELECT unnest(range(64)) AS i))
 , pairs AS (SELECT x.row_id, x.feature AS feature_i, y.feature AS feature_j, x.value * y.value AS value FROM a x JOIN a y USING (row_id))
 , sums AS (SELECT feature_i, feature_j, CASE WHEN feature_i = feature_j THEN 0.0e0 ELSE sum(abs(value)) END AS total FROM pairs GROUP BY feature_i, feature_j)
 , weights AS (SELECT feature_i AS feature, sum(total) AS weight FROM sums GROUP BY feature_i)
@@ -21,20 +21,20 @@ ATTRIBUTIONS_SQL = """WITH a AS (SELECT vec_id AS row_id, concat('f', cast(i AS
 
 def _values(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(8)])
+    return e.select(F.col("vec_id").alias("row_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])
 
 
 def _attributions(spark, sf_dir):
-    return _values(spark, sf_dir).unpivot(["row_id"], [f"f{i}" for i in range(8)], "feature", "value")
+    return _values(spark, sf_dir).unpivot(["row_id"], [f"f{i}" for i in range(64)], "feature", "value")
 
 
 def _pairs(spark, sf_dir):
     """A row x feature x feature tensor: the product of both coordinates."""
-    names = [f"f{i}" for i in range(8)]
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("feature_i"), F.lit(j).alias("feature_j"), (F.col(i) * F.col(j)).alias("value")) for i in names for j in names]
-    )
-    return _values(spark, sf_dir).select("row_id", F.explode(cells).alias("e")).select("row_id", "e.*")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    firsts = rows.select("row_id", "e", F.posexplode("e").alias("i", "x"))
+    both = firsts.select("row_id", "i", "x", F.posexplode("e").alias("j", "y"))
+    name = [F.concat(F.lit("f"), F.col(c).cast("string")).alias(f"feature_{c}") for c in ("i", "j")]
+    return both.select("row_id", *name, (F.col("x") * F.col("y")).alias("value"))
 
 
 @query("attribution_rank", ATTRIBUTIONS_SQL + "\nSELECT feature, round(avg(abs(value)), 9) AS importance FROM a GROUP BY feature")
@@ -63,7 +63,8 @@ SELECT p.row_id, feature_i, feature_j, x.value AS x, p.value AS attribution, c.v
 FROM pairs p JOIN plan USING (feature_i, feature_j) JOIN a x ON x.row_id = p.row_id AND x.feature = feature_i
 LEFT JOIN a c ON c.row_id = p.row_id AND c.feature = colour_by""")
 def dependence_points(spark, sf_dir):
-    plan = explain.dependence_plan([("f0", "f1"), ("f0", "f2"), ("f3", "f1")])
+    pairs = spark.createDataFrame([("f0", "f1"), ("f0", "f2"), ("f3", "f1")], "feature_i string, feature_j string")
+    plan = explain.dependence_plan(pairs)
     return explain.dependence_points(_values(spark, sf_dir), _pairs(spark, sf_dir), "row_id", plan)
 
 

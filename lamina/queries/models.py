@@ -99,13 +99,14 @@ def model_store(spark, sf_dir):
 
 # -- neighbours ------------------------------------------------------------------
 
-COORDINATES = [f"f{i}" for i in range(4)]
-VECTORS_SQL = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(4)) + ", CAST(label AS DOUBLE) AS label FROM embeddings"
+N_COORDINATES = 64
+COORDINATES = [f"f{i}" for i in range(N_COORDINATES)]
+VECTORS_SQL = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(N_COORDINATES)) + ", CAST(label AS DOUBLE) AS label FROM embeddings"
 DISTANCE_SQL = " + ".join(f"(q.{c} - d.{c}) * (q.{c} - d.{c})" for c in COORDINATES)
 
 
 def vectors(spark, sf_dir):
-    cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(4)]
+    cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(N_COORDINATES)]
     return table(spark, sf_dir, "embeddings").select("vec_id", *cells, F.col("label").cast("double").alias("label"))
 
 

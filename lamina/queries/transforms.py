@@ -52,36 +52,54 @@ def impute_constant(spark, sf_dir):
     return _impute(spark, sf_dir, "constant", fill_value=-1.5)
 
 
-# First four coordinates with gaps; a row keeps at least one of them.
+# All coordinates, two of them with gaps.
+COORDINATES = [f"f{i}" for i in range(64)]
 VECTORS_SQL = """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[1] AS DOUBLE) END AS f0,
   CASE WHEN vec_id % 5 = 1 THEN NULL ELSE CAST(embedding[2] AS DOUBLE) END AS f1,
-  CAST(embedding[3] AS DOUBLE) AS f2, CAST(embedding[4] AS DOUBLE) AS f3, CAST(label AS DOUBLE) AS label FROM embeddings"""
+  """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(2, 64)) + " FROM embeddings"
 
 
-def knn_fill_sql(c: str) -> str:
+def knn_fill_sql(c: str, donors: str = "true", receivers: str = "true") -> str:
     def part(f: str, out: str) -> str:
         return f"CASE WHEN q.{f} IS NULL OR d.{f} IS NULL THEN {out} ELSE "
 
-    total = " + ".join(f"{part(f'f{i}', '0.0e0')}(q.f{i} - d.f{i}) * (q.f{i} - d.f{i}) END" for i in range(4))
-    shared = " + ".join(f"{part(f'f{i}', '0')}1 END" for i in range(4))
+    total = " + ".join(f"{part(f, '0.0e0')}(q.{f} - d.{f}) * (q.{f} - d.{f}) END" for f in COORDINATES)
+    shared = " + ".join(f"{part(f, '0')}1 END" for f in COORDINATES)
     return f"""
-, r_{c} AS (SELECT q.vec_id, d.{c} AS v, row_number() OVER (PARTITION BY q.vec_id ORDER BY ({total}) * (4.0e0 / ({shared})), d.vec_id) AS rn
-  FROM v q JOIN v d ON q.{c} IS NULL AND d.{c} IS NOT NULL)
+, r_{c} AS (SELECT q.vec_id, d.{c} AS v, row_number() OVER (PARTITION BY q.vec_id ORDER BY ({total}) * (64.0e0 / ({shared})), d.vec_id) AS rn
+  FROM v q JOIN v d ON q.{c} IS NULL AND d.{c} IS NOT NULL AND {donors} AND {receivers})
 , fill_{c} AS (SELECT vec_id, avg(v) AS fill FROM r_{c} WHERE rn <= 5 GROUP BY vec_id)"""
 
 
-@query("impute_knn", f"WITH v AS ({VECTORS_SQL}){knn_fill_sql('f0')}{knn_fill_sql('f1')}" + """
-SELECT v.vec_id, round(coalesce(f0, a.fill), 6) AS f0, round(coalesce(f1, b.fill), 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3
-FROM v LEFT JOIN fill_f0 a ON v.vec_id = a.vec_id LEFT JOIN fill_f1 b ON v.vec_id = b.vec_id""")
+FILLED_SQL = "SELECT v.vec_id, round(coalesce(f0, a.fill), 6) AS f0, round(coalesce(f1, b.fill), 6) AS f1, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in COORDINATES[2:]
+) + " FROM v LEFT JOIN fill_f0 a ON v.vec_id = a.vec_id LEFT JOIN fill_f1 b ON v.vec_id = b.vec_id"
+
+
+def _gappy_vectors(spark, sf_dir):
+    cells = [F.get("embedding", F.lit(i)).cast("double") for i in range(64)]
+    cells[0] = F.when(F.col("vec_id") % 7 != 0, cells[0])
+    cells[1] = F.when(F.col("vec_id") % 5 != 1, cells[1])
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(n) for c, n in zip(cells, COORDINATES)])
+
+
+@query("impute_knn", f"WITH v AS ({VECTORS_SQL}){knn_fill_sql('f0')}{knn_fill_sql('f1')}\n{FILLED_SQL}")
 def impute_knn(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    cell = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
-    df = e.select(
-        "vec_id", F.when(F.col("vec_id") % 7 != 0, cell[0]).alias("f0"), F.when(F.col("vec_id") % 5 != 1, cell[1]).alias("f1"),
-        cell[2].alias("f2"), cell[3].alias("f3"),
-    )
-    columns = ["f0", "f1", "f2", "f3"]
-    return _rounded(transform.impute_knn(df, columns, "vec_id"), columns)
+    return _rounded(transform.impute_knn(_gappy_vectors(spark, sf_dir), COORDINATES, "vec_id"), COORDINATES)
+
+
+TRAIN_ONLY = ("d.vec_id % 3 <> 0", "q.vec_id % 3 = 0")
+
+
+@query(
+    "impute_knn_train_only",
+    f"WITH v AS ({VECTORS_SQL}){knn_fill_sql('f0', *TRAIN_ONLY)}{knn_fill_sql('f1', *TRAIN_ONLY)}\n{FILLED_SQL} WHERE v.vec_id % 3 = 0",
+)
+def impute_knn_train_only(spark, sf_dir):
+    """Donors are the training rows alone; the other rows are filled from them."""
+    df = _gappy_vectors(spark, sf_dir)
+    fitted = transform.fit_impute_knn(df.filter("vec_id % 3 <> 0"), COORDINATES, row_id="vec_id")
+    return _rounded(transform.apply_impute_knn(df.filter("vec_id % 3 = 0"), fitted, "vec_id"), COORDINATES)
 
 
 def scale_sql(shift: str, divisor: str) -> str:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,7 @@ def _setting(spark: SparkSession, key: str) -> str | None:
 
 
 _local_scratch: str | None = None
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,13 +47,32 @@ def shared_folder(spark: SparkSession) -> str:
     folder = _setting(spark, "spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    # one process with one file system; local-cluster has several
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="lamina-")
     return _local_scratch
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for workers whose Python path doesn't have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the driver's own copy of the code; Spark's file service hands it out
+    archive = os.path.join(tempfile.mkdtemp(prefix="lamina-"), "lamina.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(__file__))):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lamina/{name}-{uuid.uuid4().hex}"
 

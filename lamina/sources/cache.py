@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +16,21 @@ from lamina.operators.rows import promote_numeric
 from lamina.sources.datasets import DatasetError, load, path_exists, save, validate
 
 
-def _places(folder: str, target: str) -> tuple[str, str]:
-    root = f"{folder.rstrip('/')}/target={target}"
-    return f"{root}/dataset.parquet", f"{root}/features"
+def _root(folder: str, target: str) -> str:
+    return f"{folder.rstrip('/')}/target={target}"
+
+
+def _places(version: str) -> tuple[str, str]:
+    return f"{version}/dataset.parquet", f"{version}/features"
+
+
+def _published(spark, root: str) -> str | None:
+    """The folder of the newest complete version; a version is complete once its marker has been written."""
+    marks = f"{root}/published"
+    if not path_exists(spark, marks):
+        return None
+    newest = spark.read.schema("version string, at bigint").json(marks).orderBy(F.desc("at"), F.desc("version")).first()
+    return f"{root}/{newest['version']}" if newest else None
 
 
 def save_catalog(catalog: Catalog, path: str) -> None:
@@ -38,23 +54,34 @@ def cache_or_compute(
     """
     if not target:
         raise DatasetError("a target feature is needed")
-    data_path, catalog_path = _places(folder, target)
-    parts = [data_path, *[f"{catalog_path}/{n}.parquet" for n in ("records", "histogram", "leaves")]]
-    if not force_recompute and all(path_exists(spark, p) for p in parts):
+    root = _root(folder, target)
+    if not force_recompute:
         try:
-            return load(spark, data_path)[0], load_catalog(spark, catalog_path)
-        except DatasetError:
+            published = _published(spark, root)
+            if published:
+                data_path, catalog_path = _places(published)
+                return load(spark, data_path)[0], load_catalog(spark, catalog_path)
+        except (DatasetError, PySparkException, Py4JJavaError):
+            # whatever can't be read counts as missing
             pass
+    version = f"version-{uuid.uuid4().hex}"
+    data_path, catalog_path = _places(f"{root}/{version}")
     rows = source().filter(F.col(target).isNotNull())
     catalog = build_catalog(rows, reference)
     wide = promote_numeric(expand_catalog(rows, catalog, keep=keep))
     save(wide, data_path, overwrite=True, target_feature=target)
     save_catalog(catalog, catalog_path)
+    # the last write: until it is done, earlier versions are served
+    mark = spark.createDataFrame([(version, time.time_ns())], "version string, at bigint")
+    mark.coalesce(1).write.mode("append").json(f"{root}/published")
     return load(spark, data_path)[0], load_catalog(spark, catalog_path)
 
 
 def check_cache(folder: str, target: str, spark) -> None:
-    data, metadata = load(spark, _places(folder, target)[0])
+    published = _published(spark, _root(folder, target))
+    if published is None:
+        raise DatasetError(f"nothing is published for {target}")
+    data, metadata = load(spark, _places(published)[0])
     validate(data, metadata)
 
 

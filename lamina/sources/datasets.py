@@ -58,8 +58,9 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     Two independent 64-bit row hashes are summed, so equal rows do not cancel out; floats
     are exact because only integers are added.
     """
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
-    row = F.concat_ws("\u0001", *cells)
+    # each cell with its length, so that neither a separator nor a null mark can occur in a text
+    texts = [F.col(c).cast("string") for c in df.columns]
+    row = F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts])
     first, second = F.xxhash64(F.lit(1), row), F.xxhash64(F.lit(2), row)
     sums = df.select(first.alias("a"), second.alias("b")).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -80,8 +80,8 @@ def linear(data, spark):
 
 
 def test_shapley_adds_up(spark, data):
-    for fitted in (models.fit(data, FEATURES, "label", FOREST), linear(data, spark)):
-        values, ends = explain.sampled_shapley(fitted, data, "id", n_samples=6, n_background=16)
+    for fitted in (models.fit(data, FEATURES, "label", FOREST), linear(data, spark), models.fit(data, FEATURES, "label", {"model_type": "knn"})):
+        values, ends = explain.sampled_shapley(fitted, data, "id", n_samples=6)
         sums = {r["id"]: r["s"] for r in values.groupBy("id").agg(F.sum("value").alias("s")).collect()}
         direct = {r["id"]: r["prediction"] for r in models.predict(fitted, data, ["id"]).collect()}
         rows = ends.collect()
@@ -93,19 +93,22 @@ def test_shapley_adds_up(spark, data):
 
 def test_shapley_of_a_linear_model_is_exact(spark, data):
     fitted = linear(data, spark)
-    background = explain.background_rows(data, fitted, F.col("id").cast("string"), 1, 42)
-    values, _ = explain.sampled_shapley(fitted, data, "id", n_samples=2, n_background=1)
-    rows = {r["id"]: [r[f] for f in FEATURES] for r in data.select("id", *models.filled(FEATURES, fitted.missing)).collect()}
+    lines = explain._prepared(data, fitted, "id", 2, 42).select("id", "_x", "_z").collect()
+    values, _ = explain.sampled_shapley(fitted, data, "id", n_samples=2)
+    expected = {}
+    for r in lines:
+        for i, (x, z) in enumerate(zip(r["_x"], r["_z"])):
+            expected[r["id"], FEATURES[i]] = expected.get((r["id"], FEATURES[i]), 0.0) + fitted.model.coefficients[i] * (x - z) / 2
+    # backgrounds come from the whole table, not from a few rows
+    assert len({tuple(r["_z"]) for r in lines}) > 150
     for r in values.collect():
-        i = FEATURES.index(r["feature"])
-        expected = fitted.model.coefficients[i] * (rows[r["id"]][i] - background[0][i])
-        assert r["value"] == pytest.approx(expected, abs=1e-9)
+        assert r["value"] == pytest.approx(expected[r["id"], r["feature"]], abs=1e-9)
 
 
 def test_interactions(spark, data):
-    additive = explain.sampled_interactions(linear(data, spark), data, "id", 2, 4)
+    additive = explain.sampled_interactions(linear(data, spark), data, "id", 2)
     assert additive.agg(F.max(F.abs("value"))).first()[0] < 1e-9
-    pairs = explain.sampled_interactions(models.fit(data, FEATURES, "label", FOREST), data, "id", 2, 4)
+    pairs = explain.sampled_interactions(models.fit(data, FEATURES, "label", FOREST), data, "id", 2)
     got = {(r["id"], r["feature_i"], r["feature_j"]): r["value"] for r in pairs.collect()}
     assert len(got) == 400 * 6 and all(v == got[i, b, a] for (i, a, b), v in got.items())
     matrix = explain.interaction_matrix(pairs)
@@ -152,3 +155,33 @@ def test_leave_one_out_of_an_experiment(spark, data):
         others = sorted((sum((r[f] - o[f]) ** 2 for f in FEATURES), j, o["label"]) for j, o in rows.items() if j != i)
         total += abs(r["label"] - sum(label for _, _, label in others[:3]) / 3)
     assert sum(s["value"] for s in scores if s["metric"] == "mae") == pytest.approx(total)
+
+
+def test_options_by_value_type():
+    def setting(kind, name, **options):
+        return models.create_estimator({"model_type": kind, **options}).getOrDefault(name)
+
+    table = [
+        ("random_forest", "featureSubsetStrategy", {"max_features": 1}, "1"), ("random_forest", "featureSubsetStrategy", {"max_features": 1.0}, "all"),
+        ("random_forest", "featureSubsetStrategy", {"max_features": 0.5}, "0.5"), ("random_forest", "featureSubsetStrategy", {"max_features": None}, "all"),
+        ("random_forest", "maxDepth", {"max_depth": None}, 30), ("random_forest", "minInstancesPerNode", {"min_samples_leaf": 3}, 3),
+        ("xgboost", "featureSubsetStrategy", {"colsample_bytree": 1}, "all"),
+    ]
+    for kind, name, options, expected in table:
+        assert setting(kind, name, **options) == expected
+    with pytest.raises(ValueError):
+        models.create_estimator({"model_type": "random_forest", "min_samples_leaf": 0.1})
+    sweep_options = {"model_type": "catboost", "l2_leaf_reg": 3, "od_type": "Iter", "depth": 4}
+    with pytest.raises(ValueError):
+        models.create_estimator(sweep_options)
+    assert models.create_estimator({**sweep_options, "unsupported": "record"}).getMaxDepth() == 4
+    assert models.dropped_options(sweep_options) == ["l2_leaf_reg", "od_type"]
+
+
+def test_leave_one_out_weights_matter(spark):
+    rows = [(i, float(i), float(i * i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    plain, near = (
+        [r["prediction"] for r in models.knn_leave_one_out(df, ["x"], "y", "id", 3, w).orderBy("id").collect()] for w in ("uniform", "distance")
+    )
+    assert plain != near

@@ -74,7 +74,7 @@ def test_bundle(spark, tmp_path):
         bundle.load_bundle(spark, str(tmp_path / "absent"))
 
 
-def test_cache(spark, tmp_path):
+def test_cache(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("a | b", 1.0), ("c", None), (None, 3.0)], "F string, y double")
     reference = [("s", "F", "[a | b]"), ("t", "y", None)]
     calls = []
@@ -90,16 +90,28 @@ def test_cache(spark, tmp_path):
     assert again.columns == ["F_Layer_0", "F_Layer_1", "y"] and again.count() == 2
     assert layers.surviving_columns(prune.prune_depth(same, 0.5)) == ["F_Layer_0", "y"]
     cache.check_cache(str(tmp_path), "y", spark)
-    records = spark.read.json(str(tmp_path / "target=y" / "features" / "records.json"))
+    (version,) = (tmp_path / "target=y").glob("version-*")
+    records = spark.read.json(str(version / "features" / "records.json"))
     assert sorted(r["parent"] for r in records.collect()) == ["F", "y"]
     cache.cache_or_compute(*args, force_recompute=True)
     assert len(calls) == 2
     with pytest.raises(datasets.DatasetError):
         cache.cache_or_compute(source, reference, "", str(tmp_path), spark)
     # data without their metadata count as a miss
-    (tmp_path / "target=y" / "dataset.parquet.metadata").rename(tmp_path / "elsewhere")
+    for number, version in enumerate((tmp_path / "target=y").glob("version-*")):
+        (version / "dataset.parquet.metadata").rename(tmp_path / f"elsewhere{number}")
     cache.cache_or_compute(*args)
     assert len(calls) == 3
+    # a run that dies before its last write leaves the earlier version in place
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(cache, "save_catalog", dies)
+    with pytest.raises(RuntimeError):
+        cache.cache_or_compute(*args, force_recompute=True)
+    monkeypatch.undo()
+    table, kept = cache.cache_or_compute(*args)
+    assert len(calls) == 4 and table.columns == again.columns and layers.surviving_columns(kept)
 
 
 def test_runs_and_metrics(spark, tmp_path):

@@ -126,6 +126,15 @@ def test_best_trial_skips_missing(spark):
     assert sweep.best_trial(study, "maximize").collect() == [(3, 2.0)]
 
 
-def test_dependence_plan():
-    plan = explain.dependence_plan([("a", "b"), ("a", "c"), ("b", "a")])
-    assert plan == [("a", "a", None), ("a", "b", "b"), ("a", "c", "c"), ("b", "b", None), ("b", "a", "a")]
+def test_dependence_plan(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "feature_i string, feature_j string")
+    plan = {tuple(r) for r in explain.dependence_plan(pairs).collect()}
+    assert plan == {("a", "a", None), ("a", "b", "b"), ("a", "c", "c"), ("b", "b", None), ("b", "a", "a")}
+
+
+def test_ion_coefficients(spark):
+    from lamina.functions.composition import coefficient
+
+    texts = ["1d", "1.5f", "0.5", "x", "", "nan", "inf", "-Infinity", "1e2"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(coefficient(F.col("t"))).collect()]
+    assert got[:5] == [None, None, 0.5, None, None] and got[5] != got[5] and got[6:] == [float("inf"), float("-inf"), 100.0]

@@ -86,3 +86,27 @@ def test_pipeline(spark):
     assert same.columns == ["id", "n", "s", "f"]
     with pytest.raises(ValueError):
         transform.fit_pipeline(df, [{"type": "scale", "method": "none"}])
+
+
+def test_impute_knn_takes_donors_from_the_fitted_rows(spark):
+    train = spark.createDataFrame([(i, float(i), float(i)) for i in range(10)], "id int, a double, b double")
+    test = spark.createDataFrame([(100, None, 5.0), (101, 1000.0, 5.0)], "id int, a double, b double")
+    steps = [{"type": "impute", "method": "knn", "n_neighbors": 1}]
+    _, fitted = transform.fit_pipeline(train, steps, exclude=["id"])
+    got = {r["id"]: r["a"] for r in transform.apply_pipeline(test, fitted, exclude=["id"]).collect()}
+    assert got == {100: 5.0, 101: 1000.0}
+
+
+def test_impute_knn_over_many_columns(spark):
+    names = [f"c{i}" for i in range(70)]
+    rows = [(i, *[None if j == i % 3 else float(i) for j in range(70)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
+    filled = transform.impute_knn(df, names, "id", n_neighbors=2)
+    assert filled.filter(" or ".join(f"{n} is null" for n in names)).count() == 0
+
+
+def test_percentiles_of_decimals(spark):
+    df = spark.range(100).selectExpr("cast(id as decimal(10, 2)) as x")
+    from lamina.plans.order_stats import exact_percentiles
+
+    assert exact_percentiles(df, ["x"], [0.5]) == exact_percentiles(df, ["x"], [0.5], buffer_values=5) == {"x": [49.5]}
