@@ -17,9 +17,14 @@ from lamina.session import materialise
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
-# Buckets of up to this many lines are compared line by line; in larger ones every line meets the first few of them.
+# Buckets of up to this many lines are compared line by line; in larger ones every line meets the first few of them,
+# and then, block by block, all lines of the bucket that it isn't connected with yet.
 SMALL_BUCKET = 6
 LEADERS = 2
+# Lines and letters a block holds at most on average, and lines that are sent past it in one task.
+BLOCK_ROWS = 2048
+BLOCK_LETTERS = 1 << 21
+GUEST_ROWS = 1 << 14
 # Pairs of one line that are verified in one task.
 SHARE_PAIRS = 4096
 # Bits of the filter that finds the texts of candidate lines again; its size is fixed.
@@ -150,10 +155,10 @@ def jaccard(a: str, b: str) -> float:
 
 
 def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by bucket and line: a stream that holds a small bucket or its leaders."""
+    """Candidate pairs from rows sorted by bucket and line, and all lines of a large bucket as pairs of none with its name."""
     bucket, last, held, seen = None, None, [], 0
     for batch in batches:
-        left, right = [], []
+        left, right, large = [], [], []
         for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if name != bucket:
                 bucket, held, seen = name, [], 0
@@ -161,11 +166,22 @@ def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             last = key
             seen += 1
-            left += held[:LEADERS] if seen > SMALL_BUCKET else held
-            right += [key] * min(len(held), LEADERS if seen > SMALL_BUCKET else len(held))
-            if seen <= SMALL_BUCKET:
+            if seen == SMALL_BUCKET + 1:
+                left += [None] * SMALL_BUCKET
+                right += held
+                large += [name] * SMALL_BUCKET
+                held = held[:LEADERS]
+            met = len(held)
+            left += held
+            right += [key] * met
+            large += [None] * met
+            if seen > SMALL_BUCKET:
+                left.append(None)
+                right.append(key)
+                large.append(name)
+            else:
                 held.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, large)], ["a", "b", "bucket"])
 
 
 def _verifier(similarity: float):
@@ -204,14 +220,149 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return dealt.select("a", "b", "line").mapInArrow(_verifier(similarity), "a bigint, b bigint")
 
 
+class Block:
+    """Lines of one bucket as sets of shingles, found by the rare shingles that similar lines must share.
+
+    Of two sets with a Jaccard similarity of t, each has a share of t in the other; so, in any one order of all
+    shingles, the first (1 - t) of each set and one more can't be without a common one.  The order is by how many
+    lines of the block have a shingle, so that what the whole bucket shares finds nothing.
+    """
+
+    def __init__(self, groups: list[int], lines: list[np.ndarray], similarity: float):
+        self.similarity, self.parent, self.links = similarity, {g: g for g in groups}, []
+        self.sizes = np.array([len(x) for x in lines], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.names, place, often = np.unique(np.concatenate(lines), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(often), np.int64)
+        self.rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        owner = np.repeat(np.arange(len(lines)), self.sizes)
+        ranks = self.rank[place]
+        self.ranks = ranks[np.lexsort((ranks, owner))]
+        first = ragged(self.sizes) < np.repeat([self._prefix(n) for n in self.sizes.tolist()], self.sizes)
+        order = np.argsort(self.ranks[first], kind="stable")
+        self.posted, self.owner = self.ranks[first][order], owner[first][order]
+        self.group = np.array(groups, np.int64)
+        self.mark = np.zeros(len(often), bool)
+
+    def _prefix(self, size: int) -> int:
+        return min(size, size - int(np.ceil(self.similarity * size - 1e-9)) + 1)
+
+    def root(self, group: int) -> int:
+        while self.parent.setdefault(group, group) != group:
+            group = self.parent[group]
+        return group
+
+    def inside(self) -> None:
+        for i, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist())):
+            self._meet(self.group[i].item(), self.ranks[start:start + size], 0, size, i)
+
+    def guest(self, group: int, line: np.ndarray) -> None:
+        place = np.minimum(np.searchsorted(self.names, line), len(self.names) - 1)
+        known = np.sort(self.rank[place[self.names[place] == line]])
+        self._meet(group, known, len(line) - len(known), len(line), len(self.sizes))
+
+    def _meet(self, group: int, ranks: np.ndarray, unknown: int, size: int, before: int) -> None:
+        """Link a line with those of the first lines of the block that it is similar to and not connected with."""
+        rare = ranks[: max(0, self._prefix(size) - unknown)]
+        begin, end = np.searchsorted(self.posted, rare), np.searchsorted(self.posted, rare, side="right")
+        found = np.unique(self.owner[np.repeat(begin, end - begin) + ragged(end - begin)])
+        own = self.root(group)
+        small, large = np.minimum(self.sizes[found], size), np.maximum(self.sizes[found], size)
+        found = found[(found < before) & (self.group[found] != own) & (small >= self.similarity * large)]
+        if not len(found):
+            return
+        sizes = self.sizes[found]
+        self.mark[ranks] = True
+        hits = self.mark[self.ranks[np.repeat(self.starts[found], sizes) + ragged(sizes)]]
+        both = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[ranks] = False
+        for other in np.unique(self.group[found[both >= self.similarity * (sizes + size - both)]]).tolist():
+            self.links.append((own, other))
+            self.parent[own] = other
+            self.group[self.group == own] = other
+            own = other
+
+
+def _block_linker(similarity: float):
+    """Links between groups of lines, from rows sorted by (bucket, block, share), a block's own lines before those sent past it."""
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, groups, lines, block = None, [], [], None
+
+        def closed() -> Block:
+            made = Block(groups, lines, similarity)
+            if not key[2]:
+                made.inside()
+            return made
+
+        for batch in batches:
+            done = []
+            for *name, guest, group, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != key:
+                    if lines:
+                        done += (block or closed()).links
+                    key, groups, lines, block = name, [], [], None
+                found = np.unique(shingle_hashes([line])[0])
+                if not guest:
+                    groups.append(group)
+                    lines.append(found)
+                    continue
+                block = block or closed()
+                block.guest(group, found)
+            if block:
+                done += block.links
+                block.links = []
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if lines:
+            done = (block or closed()).links
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return link
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between groups that have similar lines in one large bucket.
+
+    Of each bucket whose lines aren't all connected, the lines outside its largest group are cut into blocks.  A
+    block is compared inside and with all lines of the largest group and of earlier blocks, which are sent past it in shares.
+    """
+    named = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "bucket", "key", F.coalesce("root", "key").alias("group")
+    )
+    lengths = texts.select("key", F.length("line").alias("length"))
+    named = materialise(named.join(lengths, "key"), "members")
+    sizes = named.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("letters"))
+    largest = F.max(F.struct("n", "group", "letters"))
+    buckets = sizes.groupBy("bucket").agg(
+        largest.alias("most"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("letters").alias("letters")
+    ).where("groups > 1").select(
+        "bucket", F.col("most.group").alias("most"),
+        F.ceil(F.greatest((F.col("n") - F.col("most.n")) / BLOCK_ROWS, (F.col("letters") - F.col("most.letters")) / BLOCK_LETTERS)).cast("int").alias("blocks"),
+        F.ceil(F.col("n") / GUEST_ROWS).cast("int").alias("shares"),
+    )
+    placed = named.drop("length").join(buckets, "bucket").withColumn(
+        "block", F.when(F.col("group") == F.col("most"), F.col("blocks")).otherwise(F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    )
+    shares = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    hosts = placed.where("block < blocks").select("bucket", "block", shares, F.lit(0).alias("guest"), "group", "key")
+    share = F.pmod(F.xxhash64("key", F.lit(1)), "shares").cast("int").alias("share")
+    guests = placed.where("block > 0").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), share, F.lit(1).alias("guest"), "group", "key"
+    )
+    rows = hosts.unionByName(guests).join(texts, "key").select("bucket", "block", "share", "guest", "group", "line")
+    dealt = rows.repartition("bucket", "block", "share").sortWithinPartitions("bucket", "block", "share", "guest")
+    return dealt.mapInArrow(_block_linker(similarity), "a bigint, b bigint")
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, position, key, group_key, kept)`` for every line of ``docs`` that isn't blank.
 
     Lines are what line feeds separate.  Two lines link when the Jaccard similarity of their sets of five-letter shingles
     is at least ``similarity``.  Candidates share one of eight bands of four MinHash values, which misses
     one pair in 65 at a similarity of 0.8 and one in 400 at 0.85; equal lines always meet.  The first six lines of a bucket
-    are compared with each other and all further ones with the first two, so no bucket is expanded into its pairs.
-    Every candidate pair is verified on whole lines.  Linked lines form components by distributed union-find; of each
+    are compared with each other and all further ones with the first two.  Lines of a bucket that are not connected then are
+    compared in blocks, so that every similar pair of a bucket ends in one component; no bucket is expanded into its pairs.
+    Similarity is computed on whole lines.  Linked lines form components by distributed union-find; of each
     component the line with the smallest (id, position) is kept.
 
     Blank lines are no lines here.  A null id comes first.  Rows that repeat an id share its lines.  Lines are named by
@@ -226,7 +377,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))).alias("x")
     ).select("x.key", F.explode("x.bands").alias("bucket")).select("bucket", "key")
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "key")
-    pairs = materialise(dealt.mapInArrow(_pairer, "a bigint, b bigint").distinct(), "pairs")
+    met = materialise(dealt.mapInArrow(_pairer, "a bigint, b bigint, bucket bigint").distinct(), "pairs")
+    pairs = met.where("a IS NOT NULL").select("a", "b")
+    members = met.where("a IS NULL").select("bucket", F.col("b").alias("key"))
     flags = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, 1 << 12)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     for row in ends.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_bits, "part int, bits binary").toLocalIterator():
@@ -236,7 +389,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         id_text(docs, id_col, text_col).mapInArrow(_text_finder(shared), "key bigint, line string").dropDuplicates(["key"]), "texts"
     )
     links = _verified(pairs, texts, similarity)
-    roots = materialise(components(links), "roots")
+    early = materialise(components(links), "roots")
+    joined = materialise(components(_rest(members, early, texts, similarity)), "joined")
+    later = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    roots = early.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(
+        joined.join(early.select("node"), "node", "left_anti").select("node", "root")
+    )
     lines = scanned.select("id", F.posexplode("keys").alias("position", "key")).where("key IS NOT NULL")
     grouped = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "id", "position", "key", F.coalesce("root", "key").alias("group_key")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from brute import classes, shingles
 
-from lamina.llm.fuzzy_lines import drop_fuzzy_lines, jaccard, line_groups, line_report, shingle_hashes
+from lamina.llm import fuzzy_lines
+from lamina.llm.fuzzy_lines import drop_fuzzy_lines, jaccard, line_groups, line_report, shingle_hashes, signatures
 
 SCHEMA = "doc_id long, text string, key long, position string"
 
@@ -73,6 +74,41 @@ def test_large_group_links_with_few_pairs(spark):
     assert len({r["group_key"] for r in groups}) == 1 and [r["id"] for r in groups if r["kept"]] == [0]
 
 
+def test_lines_away_from_the_leaders_link(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefghijkl") for _ in range(240))
+    lines = []
+    for _ in range(250):
+        at = sorted(rng.sample(range(240), 9))
+        own = "".join(rng.choice("mnopqrst") if i in at else c for i, c in enumerate(base))
+        lines += [own, *(near(near(near(own, rng), rng), rng) for _ in range(2))]
+    found = {r["id"]: r["group_key"] for r in line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    bands, sets = signatures(lines), [shingles(line) for line in lines]
+    pairs = [
+        (a, b) for a in range(len(lines)) for b in range(a)
+        if (bands[a] == bands[b]).any() and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    group = classes(len(lines), pairs)
+    assert len(set(group)) > 1 and len(set(zip(group, map(found.get, range(len(lines)))))) == len(set(group)) == len(set(found.values()))
+
+
+@pytest.mark.parametrize("rows, guests", [(5, 7), (100, 1000)])
+def test_blocks_of_a_bucket_find_every_link(spark, monkeypatch, rows, guests):
+    monkeypatch.setattr(fuzzy_lines, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(fuzzy_lines, "GUEST_ROWS", guests)
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("abcdef") for _ in range(70)) for _ in range(4)]
+    lines = sorted({near(near(near(rng.choice(bases), rng), rng), rng) for _ in range(60)})
+    sets = [shingles(line) for line in lines]
+    group = classes(len(lines), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    early = spark.createDataFrame([(0, 0), (1, 0)] if group[0] == group[1] else [(0, 0)], "node long, root long")
+    members = spark.createDataFrame([(77, i) for i in range(len(lines))], "bucket long, key long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "key long, line string")
+    links = [(r["a"], r["b"]) for r in fuzzy_lines._rest(members, early, texts, 0.8).collect()]
+    links += [(0, 1)] if group[0] == group[1] else []
+    assert len(set(group)) > 4 and len(set(zip(group, classes(len(lines), links)))) == len(set(group)) == len(set(classes(len(lines), links)))
+
+
 def test_awkward_rows(awkward, nothing, rows):
     found = {repr(r["id"]): r for r in line_report(awkward).collect()}
     assert len(found) == len({i for i, _, _ in rows}) and found["1"]["n_lines"] == 0
