@@ -19,16 +19,16 @@ MAX_LABELLED = 10_000
 # A term is this much likelier in toxic text, and its counts are unlikely to be chance given how many were tried.
 MIN_RATIO = 8.0
 EXTRA_EVIDENCE = 2.0
-MAX_TERMS = 1000
 STEM_LENGTHS = range(5, 13)
-# Whole words of this length on, the strongest of them, may have one edit, if few clean words are that near.
+# Whole words of this length on may have one edit, if few clean words are that near.
 FUZZY_LENGTH = 5
-MAX_FUZZY = 300
-# States an automaton keeps; it starts afresh beyond them, which changes time only.
+# States an automaton keeps, and places in the trie that they hold together; it starts afresh beyond them, which changes
+# time only.  So many words take their steps together.
 MAX_STATES = 1 << 14
+MAX_PLACES = 1 << 19
+WALK_WORDS = 1 << 11
 FUZZY_NEIGHBOURS = 3
 FUZZY_SHARE = 0.8
-MAX_NEIGHBOURS = 100_000
 # Words on each side that are a match's context, and the share of its weight a quoted match keeps.
 WINDOW = 4
 QUOTED_SHARE = 0.2
@@ -79,6 +79,7 @@ class Automaton:
     def _restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
+        self.places = 0
         self.table = np.zeros((0, self.alphabet), np.int32)
         self.start = self._number(self._closed({0}), 0.0)
 
@@ -108,6 +109,7 @@ class Automaton:
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
+            self.places += len(items)
             if len(self.states) > len(self.table):
                 self.table = np.concatenate([self.table, np.full((max(64, len(self.table)), self.alphabet), -1, np.int32)])
         return self.numbers[key]
@@ -129,7 +131,7 @@ class Automaton:
 
     def walk(self, words: list[str]) -> np.ndarray:
         """The state each word ends in; letters beyond the longest term can't lead back to one."""
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or self.places > MAX_PLACES:
             self._restart()
         if not words or not self.length:
             return np.full(len(words), self.start)
@@ -190,9 +192,12 @@ class Lexicon:
         return [term if not exact else None for exact, term in results]
 
     def _results(self, words: list[str]) -> list[tuple[float, str | None]]:
-        states = self.automaton.walk(words)
-        found = {s: self.automaton.result(s) for s in np.unique(states).tolist()}
-        return [found[s] for s in states.tolist()]
+        results = []
+        for begin in range(0, len(words), WALK_WORDS):
+            states = self.automaton.walk(words[begin:begin + WALK_WORDS])
+            found = {s: self.automaton.result(s) for s in np.unique(states).tolist()}
+            results += [found[s] for s in states.tolist()]
+        return results
 
     def learn(self, pieces: list[bytes]) -> None:
         if len(self._cache) > CACHE_PIECES:
@@ -297,7 +302,7 @@ def fit(
 ) -> Lexicon:
     """Learn terms and weights from labelled documents for which ``train(id)`` holds.
 
-    Words and stems that are much likelier in toxic text than in clean text are the terms.  They are counted
+    All words and stems that are much likelier in toxic text than in clean text are the terms.  They are counted
     by the distinct pairs of words around them, so that copies of a document count once.
     Whole words may be met with one edit, unless several clean words are that near; clean words
     near a term are remembered.  A logistic model over four features of a document, fitted to the same documents
@@ -339,15 +344,25 @@ def fit(
     ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5) * (c_all / t_all)
     found = tried.withColumn("ratio", ratio).withColumn("evidence", evidence).where(
         (F.col("ratio") >= MIN_RATIO) & (F.col("evidence") >= log(max(tried.count(), 1)) + EXTRA_EVIDENCE)
-    ).orderBy(F.desc("evidence"), "term").limit(MAX_TERMS).collect()
+    ).orderBy(F.desc("evidence"), "term").collect()
     for row in found:
         (lexicon.whole if row["whole"] else lexicon.stems)[row["term"]] = log(row["ratio"])
-    lexicon.fuzzy = set([w for w in lexicon.whole if len(w) >= FUZZY_LENGTH][:MAX_FUZZY])
+    lexicon.stems = telling_stems(lexicon.stems)
+    lexicon.fuzzy = {w for w in lexicon.whole if len(w) >= FUZZY_LENGTH}
     _keep_apart(lexicon, words)
     lexicon.weights = _weights(sample, lexicon, toxic_total, clean_total)
     return lexicon
 
 
+def telling_stems(stems: dict[str, float]) -> dict[str, float]:
+    """Without the stems that weigh no more than a shorter stem of theirs: a word gets the largest weight of its stems."""
+    kept: dict[str, float] = {}
+    for stem in sorted(stems, key=len):
+        if all(kept.get(stem[:n], -np.inf) < stems[stem] for n in STEM_LENGTHS if n < len(stem)):
+            kept[stem] = stems[stem]
+    return kept
+
+
 def _keep_apart(lexicon: Lexicon, words: DataFrame) -> None:
     """Remember the clean words one edit from a term; a term with several of them must be spelled exactly."""
     shared = words.sparkSession.sparkContext.broadcast(lexicon)
@@ -359,7 +374,7 @@ def _keep_apart(lexicon: Lexicon, words: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["word", "term"])
 
     clean = words.where("c > 0").select("word").mapInArrow(near, "word string, term string")
-    rows = clean.orderBy("word").limit(MAX_NEIGHBOURS).collect()
+    rows = clean.collect()
     neighbours: dict[str, int] = {}
     for row in rows:
         neighbours[row["term"]] = neighbours.get(row["term"], 0) + 1

@@ -111,3 +111,38 @@ def test_lexicon_travels(spark):
     lexicon = Lexicon({"idiot": 4.0}, {}, {"idiot"}, weights=[-4, 1, 0, 0, 0])
     before = scores(lexicon, ["an idiot", None, ""])
     assert scores(pickle.loads(pickle.dumps(lexicon)), ["an idiot", None, ""]) == before
+
+
+def test_every_term_is_kept(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    bad = ["".join(rng.choice("klmnopqrst") for _ in range(14)) for _ in range(400)]
+    rows, marks = [], []
+    for i in range(2000):
+        words = rng.choices(plain, k=20)
+        if i % 2:
+            words[::4] = [bad[(i // 2 * 5 + k) * 7 % 400] for k in range(5)]
+            words += [w for pair in ((bad[(i * 11 + k) % 400], rng.choice(plain)) for k in range(8)) for w in pair]
+        rows.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    lexicon = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert set(lexicon.whole) >= set(bad) and lexicon.fuzzy >= set(bad)
+    assert lexicon.near([w[0] + "z" + w[2:] for w in bad]) == bad
+
+
+def test_stems_that_add_nothing_go():
+    from lamina.llm.toxicity import telling_stems
+
+    assert telling_stems({"grumb": 2.0, "grumbl": 2.0, "grumble": 3.0, "grumbler": 2.5, "scoun": 1.0}) == {"grumb": 2.0, "grumble": 3.0, "scoun": 1.0}
+
+
+def test_fresh_starts_change_nothing(monkeypatch):
+    from lamina.llm import toxicity
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(600)]
+    terms = dict.fromkeys(words[:60], 1.0)
+    whole = Lexicon(terms, {"abcab": 0.5}, set(terms))._results(words)
+    monkeypatch.setattr(toxicity, "MAX_PLACES", 50)
+    monkeypatch.setattr(toxicity, "WALK_WORDS", 7)
+    assert Lexicon(terms, {"abcab": 0.5}, set(terms))._results(words) == whole
