@@ -225,16 +225,22 @@ def mix(
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that share an id and a source are drawn as one.
+    """``docs`` with each row as often as the mix takes it; rows that share an id, a source and a text are drawn as one.
 
     A row without an id can't be told from others by name; it stays once.
     """
-    one = docs.dropDuplicates([id_col]) if _repeats(docs, id_col) else docs
-    drawn = mix(one.where(col(id_col).isNotNull()), id_col, text_col, source_col, **options)
+    named = docs.where(col(id_col).isNotNull())
+    if _repeats(docs, id_col):
+        same = F.struct(col(id_col).cast("string").alias("id"), col(source_col).cast("string").alias("source"), F.sha2(col(text_col), 256).alias("text"))
+        one = named.withColumn("_draw", F.sha2(F.to_json(same), 256)).dropDuplicates(["_draw"])
+    else:
+        one = named.withColumn("_draw", col(id_col))
+    drawn = mix(one, "_draw", text_col, source_col, **options)
     times = materialise(drawn.select(F.col("id").alias("_id"), F.col("times").alias("_times")), "times")
-    taken = one.join(times, col(id_col) == F.col("_id"), "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")
-    return taken.where("_times > 0").select(*[col(c) for c in docs.columns], copies).drop("_copy")
+    columns = [col(c) for c in docs.columns]
+    taken = one.join(times, F.col("_draw") == F.col("_id")).where("_times > 0").select(*columns, copies).drop("_copy")
+    return taken.union(docs.where(col(id_col).isNull()).select(*columns))
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:

@@ -72,3 +72,9 @@ def test_awkward_rows(awkward, nothing, rows):
     taken = take_mix(awkward)
     assert taken.columns == awkward.columns
     assert sum(r["doc_id"] is None for r in taken.collect()) in (1, 2)
+
+
+def test_rows_of_one_id_and_of_none_stay(spark):
+    rows = [(1, "a b"), (1, "c d"), (1, "a b"), (2, "e"), (None, "f"), (None, "g"), (None, "f")]
+    taken = take_mix(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")).collect()
+    assert sorted(r["text"] for r in taken) == ["a b", "c d", "e", "f", "f", "g"]
