@@ -194,17 +194,20 @@ def contamination(
         col(id_col).alias("id"), col(text_col).alias("text"),
         F.expr("CAST(array() AS array<int>)").alias("hit"), F.expr("CAST(array() AS array<string>)").alias("items"),
     )
-    slices = list(_slices(benchmark.select(col(item_col).cast("string"), col(item_text_col)), pass_bytes))
-    for number, items in enumerate(slices):
+    # two slices at most are in the driver: whether one is the last shows in the next
+    slices = _slices(benchmark.select(col(item_col).cast("string"), col(item_text_col)), pass_bytes)
+    items, following = next(slices), next(slices, None)
+    while following is not None:
         search = spark.sparkContext.broadcast(Search(items, width))
-        if number + 1 < len(slices):
-            found = materialise(found.select("id", "text", "hit", "items").mapInArrow(
-                _searcher(search), f"id {kind}, text string, n_words bigint, hit array<int>, items array<string>"
-            ), "search")
-        else:
-            found = found.select("id", "text", "hit", "items").mapInArrow(
-                _finished(search), f"id {kind}, n_words bigint, n_hit bigint, items array<string>"
-            )
+        found = materialise(found.select("id", "text", "hit", "items").mapInArrow(
+            _searcher(search), f"id {kind}, text string, n_words bigint, hit array<int>, items array<string>"
+        ), "search")
+        search.unpersist()
+        items, following = following, next(slices, None)
+    search = spark.sparkContext.broadcast(Search(items, width))
+    found = found.select("id", "text", "hit", "items").mapInArrow(
+        _finished(search), f"id {kind}, n_words bigint, n_hit bigint, items array<string>"
+    )
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words")))
 
 

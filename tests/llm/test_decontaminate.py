@@ -48,3 +48,13 @@ def test_search_of_random_texts(seed):
     got = list(decontaminate.Search(bench, 4).scan([d.encode() for d in docs]))
     for d, (n, hit, found) in zip(docs, got):
         assert (n, len(hit), sorted(found)) == contamination(d, bench, 4)
+
+
+def test_benchmark_slices_are_fetched_one_ahead(spark, monkeypatch):
+    fetched, made, slices, init = [], [], decontaminate._slices, decontaminate.Search.__init__
+    monkeypatch.setattr(decontaminate, "_slices", lambda *a: (fetched.append(part) or part for part in slices(*a)))
+    monkeypatch.setattr(decontaminate.Search, "__init__", lambda *a: made.append(len(fetched)) or init(*a))
+    bench = spark.createDataFrame([(str(i), f"word{i}") for i in range(4)], "item_id string, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, "word0 word3"), (2, "none")], "doc_id long, text string").coalesce(1)
+    found = {r["id"]: list(r["items"]) for r in decontaminate.contamination(docs, bench, pass_bytes=1).collect()}
+    assert found == {1: ["0", "3"], 2: []} and made == [2, 3, 4, 4]
