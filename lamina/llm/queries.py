@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact, fuzzy_lines, mix_sources, mixing_lm, pseudonyms, simhash, token_count, token_store, toxicity
+from lamina.llm import decontaminate, exact, fuzzy_lines, mix_sources, mixing_lm, pseudonyms, simhash, suffix_dedup, token_count, token_store, toxicity
 from lamina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select(F.col("id").alias("doc_id"), held_out, "score", "predicted")
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_text(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 ORACLES["op4_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
