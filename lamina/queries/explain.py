@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import explain, models
+from lamina.operators import attributions, explain, models
 from lamina.operators.split import number_rows
 from lamina.queries.fixtures import LINE_KEYS, table
 from lamina.queries.models import FEATURES, FOREST, GRADIENT, model_table
@@ -75,19 +75,147 @@ def _numbered(spark, sf_dir):
 @query("shapley_sampled")
 def shapley_sampled(spark, sf_dir):
     df = _numbered(spark, sf_dir)
-    values, _ = explain.sampled_shapley(models.fit(df, FEATURES, "label", GRADIENT), df, "row_id", n_samples=4)
+    values, _ = explain.sampled_shapley(models.fit(df, FEATURES, "label", GRADIENT), df, "row_id")
     return values
 
 
 @query("shapley_interactions")
 def shapley_interactions(spark, sf_dir):
     df = _numbered(spark, sf_dir)
-    fitted = models.fit(df, FEATURES, "label", {**FOREST, "n_estimators": 3})
-    return explain.sampled_interactions(fitted, df, "row_id", n_samples=2)
+    fitted = models.fit(df, FEATURES, "label", FOREST)
+    return explain.sampled_interactions(fitted, df, "row_id")
 
 
 @query("shapley_rank")
 def shapley_rank(spark, sf_dir):
     df = _numbered(spark, sf_dir)
-    values, _ = explain.sampled_shapley(models.fit(df, FEATURES, "label", FOREST), df, "row_id", n_samples=2)
+    values, _ = explain.sampled_shapley(models.fit(df, FEATURES, "label", FOREST), df, "row_id")
     return explain.attribution_rank(materialise(values, "shapley"))
+
+
+# -- exact attributions ------------------------------------------------------------
+
+EXACT_FEATURES = ["l_discount", "l_tax", "l_quantity", "l_linenumber"]
+# A tree of given splits (feature, threshold, left, right); what reaches its nodes and the mean of its leaves come from the table.
+EXACT_TREE = (2, 25.0, (0, 0.05, 0, (1, 0.03, 0, 0)), (3, 2.0, (2, 40.0, (1, 0.05, 0, 0), 0), (0, 0.02, 0, (2, 33.0, 0, (1, 0.06, 0, 0)))))
+
+
+def _tree_rows(tree):
+    """``(node, condition, feature, threshold, left, right)``, parents first."""
+    rows = []
+
+    def grow(node, condition):
+        number = len(rows)
+        rows.append(None)
+        if not node:
+            rows[number] = (number, condition, None, None, -1, -1)
+            return number
+        feature, threshold, left, right = node
+        name = EXACT_FEATURES[feature]
+        children = [grow(child, f"{condition} AND {name} {sign} {threshold}e0") for child, sign in ((left, "<="), (right, ">"))]
+        rows[number] = (number, condition, feature, threshold, *children)
+        return number
+
+    grow(tree, "TRUE")
+    return rows
+
+
+def _tree_sums():
+    """SQL columns: rows and label sum of every node, all whole numbers."""
+    return ", ".join(
+        f"CAST(count(CASE WHEN {c} THEN 1 END) AS DOUBLE) AS n{k}, "
+        f"CAST(coalesce(sum(CASE WHEN {c} THEN l_partkey % 100 END), 0) AS DOUBLE) AS s{k}"
+        for k, c, *_ in _tree_rows(EXACT_TREE)
+    )
+
+
+def _exact_trees(spark, sf_dir):
+    row = spark.sql(f"SELECT {_tree_sums()} FROM {{lineitem}}", lineitem=table(spark, sf_dir, "lineitem")).first()
+    return attributions.flatten(
+        {"tree": 0, "node": k, "feature": f, "threshold": t, "left": a, "right": b, "weight": 1.0, "cover": row[f"n{k}"],
+         "value": row[f"s{k}"] / row[f"n{k}"] if row[f"n{k}"] else 0.0}
+        for k, _, f, t, a, b in _tree_rows(EXACT_TREE)
+    )
+
+
+def _leaf_products(known):
+    """SQL of the tree's value when the features of a bit set follow the row."""
+    nodes = {k: rest for k, *rest in _tree_rows(EXACT_TREE)}
+
+    def walk(k):
+        _, feature, threshold, left, right = nodes[k]
+        if feature is None:
+            return f"(s{k} / greatest(n{k}, 1))"
+        if known >> feature & 1:
+            return f"(CASE WHEN {EXACT_FEATURES[feature]} <= {threshold}e0 THEN {walk(left)} ELSE {walk(right)} END)"
+        return f"(({walk(left)} * n{left} + {walk(right)} * n{right}) / greatest(n{k}, 1))"
+
+    return walk(0)
+
+
+EXACT_SQL = f"WITH t AS (SELECT {_tree_sums()} FROM lineitem), f AS (SELECT {', '.join(LINE_KEYS)}, " + ", ".join(
+    f"{_leaf_products(s)} AS f{s}" for s in range(16)
+) + " FROM lineitem, t)\n"
+
+
+def _subset_sum(i):
+    """SQL of the attribution of feature ``i`` by all subsets of the others."""
+    sizes = {0: "6e0", 1: "2e0", 2: "2e0", 3: "6e0"}
+    return " + ".join(f"{sizes[s.bit_count()]} * (f{s | 1 << i} - f{s})" for s in range(16) if not s >> i & 1)
+
+
+def _pair_sum(i, j):
+    sizes = {0: "2e0", 1: "1e0", 2: "2e0"}
+    return " + ".join(
+        f"{sizes[s.bit_count()]} * (f{s | 1 << i | 1 << j} - f{s | 1 << i} - f{s | 1 << j} + f{s})"
+        for s in range(16) if not s >> i & 1 and not s >> j & 1
+    )
+
+
+@query("shapley_exact", EXACT_SQL + "\nUNION ALL ".join(
+    f"SELECT {', '.join(LINE_KEYS)}, '{name}' AS feature, round(({_subset_sum(i)}) / 24e0, 6) + 0e0 AS value, round(f0, 6) AS base FROM f"
+    for i, name in enumerate(EXACT_FEATURES)
+))
+def shapley_exact(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    trees = _exact_trees(spark, sf_dir)
+    keyed = df.withColumn("row_id", F.to_json(F.struct(*LINE_KEYS)))
+    values, _ = attributions.shapley_from(trees, EXACT_FEATURES, keyed, "row_id", [F.col(c).cast("double") for c in EXACT_FEATURES])
+    return _with_keys(df, values).select(*LINE_KEYS, "feature", (F.round("value", 6) + 0.0).alias("value"), F.round(F.lit(trees.base), 6).alias("base"))
+
+
+@query("interactions_exact", EXACT_SQL + "\nUNION ALL ".join(
+    f"SELECT {', '.join(LINE_KEYS)}, '{a}' AS feature_i, '{b}' AS feature_j, round(({_pair_sum(i, j)}) / 12e0, 6) + 0e0 AS value FROM f"
+    for i, a in enumerate(EXACT_FEATURES) for j, b in enumerate(EXACT_FEATURES) if i != j
+))
+def interactions_exact(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    trees = _exact_trees(spark, sf_dir)
+    keyed = df.withColumn("row_id", F.to_json(F.struct(*LINE_KEYS)))
+    pairs = attributions.interactions_from(trees, EXACT_FEATURES, keyed, "row_id", [F.col(c).cast("double") for c in EXACT_FEATURES])
+    return _with_keys(df, pairs).select(*LINE_KEYS, "feature_i", "feature_j", (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _with_keys(df, long):
+    """The key columns again from their text."""
+    schema = df.select(*LINE_KEYS).schema
+    return long.select(F.from_json("row_id", schema).alias("_k"), *[c for c in long.columns if c != "row_id"]).select("_k.*", "*")
+
+
+@query("shapley_exact_model", f"""SELECT model_type, count(*) AS n_rows, count(*) * {len(FEATURES)} AS n_values, 0.0e0 AS largest_gap
+FROM lineitem, (VALUES ('random_forest'), ('xgboost')) AS m(model_type) GROUP BY model_type""")
+def shapley_exact_model(spark, sf_dir):
+    """Of trained models: how far attributions and base are from the prediction at most, over all rows."""
+    df = _numbered(spark, sf_dir)
+    parts = []
+    for config in (FOREST, GRADIENT):
+        fitted = models.fit(df, FEATURES, "label", config)
+        values, ends = attributions.tree_shapley(fitted, df, "row_id")
+        sums = values.groupBy("row_id").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+        both = sums.join(ends, "row_id").join(models.predict(fitted, df, ["row_id"]).withColumnRenamed("prediction", "model"), "row_id")
+        gap = F.max(F.abs(F.col("base") + F.col("total") - F.col("model")))
+        parts.append(both.agg(
+            F.lit(config["model_type"]).alias("model_type"), F.count("*").alias("n_rows"), F.sum("n").alias("n_values"),
+            (F.round(gap, 6) + 0.0).alias("largest_gap"),
+        ))
+    return parts[0].unionByName(parts[1])
