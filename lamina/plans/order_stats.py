@@ -1,138 +1,138 @@
-"""Exact percentiles with bounded memory per task."""
+"""Exact percentiles of many columns at once, by radix selection."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many values per column the built-in exact percentile holds them in one buffer.
-BUFFER_VALUES = 1_000_000
-SKETCH_ACCURACY = 10_000
+# Bits of the key that one scan looks at, and the values left in all brackets from which on one scan takes the rest.
+DIGIT_BITS = 16
+FEW_VALUES = 200_000
+# Distinct entries a worker holds before it hands them on.
+HELD_ENTRIES = 1 << 20
+
+
+def sort_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the values; both zeros are one, NaN is above all others."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.uint64)
+    return bits ^ np.where(bits >> np.uint64(63), ~np.uint64(0), np.uint64(1 << 63))
+
+
+def key_value(key: int) -> float:
+    """The value of a key."""
+    bits = key ^ (1 << 63) if key >> 63 else key ^ (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(float)[0])
 
 
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], few_values: int = FEW_VALUES, digit_bits: int = DIGIT_BITS,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated percentiles of each column, nulls ignored."""
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    small = [c for c in columns if counts[c] <= buffer_values]
+    """Linearly interpolated percentiles of each column, nulls ignored; a column without values has none.
+
+    Values become 64-bit keys of the same order.  A scan counts the next digit of the keys that lie in an
+    open bracket, for all columns and ranks at once, and says in which digit each rank lies; so four scans find
+    any number of ranks in any number of columns.  When few values are left in the brackets, the next scan takes
+    all other digits.  Counts are combined in the worker; a task never sees more than a
+    column's histogram.
+    """
+    if not columns:
+        return {}
+    cells = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    # bracket: column and leading digits -> rows below it and inside it, all of the column at first
+    brackets: dict[tuple[int, int], tuple[int, int]] = {(k, 0): (0, 0) for k in range(len(columns))}
+    totals: dict[int, int] = {}
+    depth = 0
+    while depth < 64 and brackets:
+        bits = 64 - depth if depth and sum(n for _, n in brackets.values()) <= few_values else min(digit_bits, 64 - depth)
+        order = sorted(brackets)
+        wanted = {} if not totals else {
+            slot: sorted({r - brackets[c, p][0] for r in _ranks(totals[c], shares) if 0 <= r - brackets[c, p][0] < brackets[c, p][1]})
+            for slot, (c, p) in enumerate(order)
+        }
+        found = _hits(_histogram(cells, order, depth, bits), shares, wanted)
+        fresh: dict[tuple[int, int], tuple[int, int]] = {}
+        for row in found:
+            column, prefix = order[row["slot"]]
+            totals.setdefault(column, row["total"])
+            fresh[column, prefix << bits | row["digit"]] = (brackets[column, prefix][0] + row["below"], row["n"])
+        brackets, depth = fresh, depth + bits
     result: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in small]).first()
-        result.update({c: list(row[c]) if row[c] is not None else [None] * len(shares) for c in small})
-    large = [c for c in columns if counts[c] > buffer_values]
-    if large:
-        ranks = {c: sorted({r for s in shares for r in _neighbours(counts[c], s)}) for c in large}
-        values = _values_at(df, {c: (counts[c], r) for c, r in ranks.items()}, buffer_values)
-        for c in large:
-            result[c] = []
-            for s in shares:
-                lo, hi = _neighbours(counts[c], s)
-                part = (counts[c] - 1) * s - lo
-                result[c].append(values[c, lo] + (values[c, hi] - values[c, lo]) * part)
+    for k, name in enumerate(columns):
+        if k not in totals:
+            result[name] = [None] * len(shares)
+            continue
+        own = [(below, n, key_value(key)) for (c, key), (below, n) in brackets.items() if c == k]
+        result[name] = []
+        for share in shares:
+            position = (totals[k] - 1) * share
+            low, high = (next(v for below, n, v in own if below <= r < below + n) for r in (math.floor(position), math.ceil(position)))
+            result[name].append(low if low == high else low + (high - low) * (position - math.floor(position)))
     return result
 
 
-def _neighbours(n: int, share: float) -> tuple[int, int]:
-    position = (n - 1) * share
-    return math.floor(position), math.ceil(position)
+def _ranks(total: int, shares: Sequence[float]) -> set[int]:
+    return {r for s in shares for r in (math.floor((total - 1) * s), math.ceil((total - 1) * s))}
 
 
-def _values_at(
-    df: DataFrame, wanted: dict[str, tuple[int, list[int]]], buffer_values: int
-) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks.
+def _histogram(cells: DataFrame, brackets: Sequence[tuple[int, int]], depth: int, bits: int) -> DataFrame:
+    """``(slot, digit, n)``: how often each next digit occurs in each bracket."""
+    shift = np.uint64(64 - depth - bits)
+    mask = np.uint64((1 << bits) - 1)
+    above = np.uint64(64 - depth) if depth else None
+    slots: dict[int, list[tuple[int, int]]] = {}
+    for slot, (column, prefix) in enumerate(brackets):
+        slots.setdefault(column, []).append((slot, prefix))
 
-    A quantile sketch brackets each rank; one counting scan then says where the rank
-    lies, and the bracket shrinks until it is one value or few enough values to sort.
-    All columns and ranks share each scan.
-    """
-    found: dict[tuple[str, int], float] = {}
-    # open brackets: (column, rank) -> (low, high, rows below low, rows inside)
-    state = {(c, r): (None, None, 0, n) for c, (n, ranks) in wanted.items() for r in ranks}
-    while state:
-        items = list(state.items())
-
-        def inside(i: int):
-            (c, _), (lo, hi, _, _) = items[i]
-            cell = F.col(c)
-            return cell.isNotNull() if lo is None else cell.between(lo, hi)
-
-        sketches = []
-        for i, ((c, r), (_, _, below, rows)) in enumerate(items):
-            share = (r - below + 0.5) / rows
-            margin = 2.0 / SKETCH_ACCURACY
-            points = [max(0.0, share - margin), share, min(1.0, share + margin)]
-            sketches.append(
-                F.percentile_approx(F.when(inside(i), F.col(c)), points, SKETCH_ACCURACY).alias(f"s{i}")
-            )
-        guess = df.agg(*sketches).first()
-        counters = []
-        for i, ((c, _), _) in enumerate(items):
-            lo, mid, hi = guess[f"s{i}"]
-            cell = F.col(c)
-            counters += [
-                F.count_if(cell < lo).alias(f"a{i}"),
-                F.count_if(cell < mid).alias(f"b{i}"),
-                F.count_if(cell <= mid).alias(f"c{i}"),
-                F.count_if(cell <= hi).alias(f"d{i}"),
-            ]
-        seen = df.agg(*counters).first()
-        few = {}
-        for i, ((c, r), (old_lo, old_hi, below, rows)) in enumerate(items):
-            lo, mid, hi = guess[f"s{i}"]
-            before_lo, before_mid, upto_mid, upto_hi = (seen[f"{k}{i}"] for k in "abcd")
-            del state[c, r]
-            if before_mid <= r < upto_mid:
-                found[c, r] = mid
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def handed():
+            for slot, (digits, n) in held.items():
+                named = [pa.array(np.full(len(n), slot, np.int32)), pa.array(digits.astype(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(named, ["slot", "digit", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if not before_lo <= r < upto_hi:
-                # The sketch missed: keep the side of the old bracket that holds the rank.
-                if r < before_lo:
-                    lo, hi, before_lo, upto_hi = old_lo if old_lo is not None else -math.inf, lo, below, before_lo
-                    upto_hi = df.agg(F.count_if(F.col(c) <= hi)).first()[0]
-                else:
-                    lo, hi = hi, old_hi if old_hi is not None else math.inf
-                    before_lo = df.agg(F.count_if(F.col(c) < lo)).first()[0]
-                    upto_hi = below + rows
-            bracket = (lo, hi, before_lo, upto_hi - before_lo)
-            if bracket[3] <= buffer_values:
-                few[c, r] = bracket
-            else:
-                state[c, r] = bracket
-        if few:
-            found.update(_sorted_lookup(df, few))
-    return found
-
-
-def _sorted_lookup(df: DataFrame, brackets: dict) -> dict:
-    """Ranks inside small brackets, from value counts."""
-    keys = list(brackets)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("slot"),
-                F.when(F.col(c).between(brackets[c, r][0], brackets[c, r][1]), F.col(c).cast("double")).alias("value"),
-            )
-            for i, (c, r) in enumerate(keys)
-        ]
-    )
-    counts = (
-        df.select(F.explode(entries).alias("e"))
-        .select("e.slot", "e.value")
-        .filter("value is not null")
-        .groupBy("slot", "value")
-        .count()
-    )
-    upto = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("slot").orderBy("value")))
-    hit = F.lit(False)
-    for i, (c, r) in enumerate(keys):
-        offset = r - brackets[c, r][2]
-        hit = hit | (
-            (F.col("slot") == i) & (F.col("upto") > offset) & (F.col("upto") - F.col("count") <= offset)
-        )
-    return {keys[row["slot"]]: row["value"] for row in upto.filter(hit).collect()}
+            flat = batch.column(0).flatten()
+            there = np.asarray(flat.is_valid()).reshape(batch.num_rows, -1)
+            values = np.asarray(flat.fill_null(0.0)).reshape(batch.num_rows, -1)
+            for column, own in slots.items():
+                keys = sort_keys(values[there[:, column], column])
+                for slot, prefix in own:
+                    inside = keys if above is None else keys[keys >> above == np.uint64(prefix)]
+                    digits, n = np.unique(inside >> shift & mask, return_counts=True)
+                    if slot in held:
+                        before = held[slot]
+                        merged, place = np.unique(np.concatenate([before[0], digits]), return_inverse=True)
+                        size -= len(before[0])
+                        digits, n = merged, np.bincount(place, np.concatenate([before[1], n])).astype(np.int64)
+                    held[slot] = digits, n
+                    size += len(digits)
+            if size > HELD_ENTRIES:
+                yield from handed()
+                held, size = {}, 0
+        yield from handed()
+
+    return cells.mapInArrow(count, "slot int, digit bigint, n bigint").groupBy("slot", "digit").agg(F.sum("n").alias("n"))
+
+
+def _hits(counts: DataFrame, shares: Sequence[float], wanted: dict[int, list[int]]) -> list:
+    """The digits in which the wanted ranks of each slot lie; without ``wanted`` those of the shares of its rows."""
+    by_slot = Window.partitionBy("slot")
+    placed = counts.withColumn("below", F.sum("n").over(by_slot.orderBy("digit")) - F.col("n")).withColumn("total", F.sum("n").over(by_slot))
+    if wanted:
+        flat = [(slot, r) for slot, ranks in wanted.items() for r in ranks]
+        asked = counts.sparkSession.createDataFrame(flat, "slot int, r bigint").groupBy("slot").agg(F.collect_list("r").alias("ranks"))
+        placed = placed.join(F.broadcast(asked), "slot")
+    else:
+        positions = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
+        placed = placed.withColumn("ranks", F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
+    inside = F.exists("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
+    return placed.where(inside).select("slot", "digit", "n", "below", "total").collect()

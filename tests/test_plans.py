@@ -59,6 +59,43 @@ def test_percentiles(spark, buffer):
     assert got["c"] == [None] * 5
 
 
+@pytest.mark.parametrize("few,bits", [(10**6, 16), (0, 16), (0, 5), (3, 11)])
+def test_percentiles_of_odd_values(spark, few, bits):
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 1.0, math.nextafter(1.0, 2), -1.0, 7.25]
+    df = spark.createDataFrame([(v, None if v > 0 else v) for v in odd], "a double, b double").repartition(3)
+    ranks = sorted(odd)
+    got = exact_percentiles(df, ["a", "b"], [k / 12 for k in range(13)], few, bits)
+    for k, value in enumerate(got["a"]):
+        position = 12 * (k / 12)
+        low, high = ranks[math.floor(position)], ranks[math.ceil(position)]
+        assert value == (low if low == high else low + (high - low) * (position - math.floor(position)))
+    assert got["b"][0] == float("-inf") and got["b"][-1] == 0.0
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "a double")
+    assert exact_percentiles(nan, ["a"], [0.0], few, bits) == {"a": [1.0]}
+    assert math.isnan(exact_percentiles(nan, ["a"], [1.0], few, bits)["a"][0])
+    assert exact_percentiles(nan.limit(0), ["a"], [0.5, 1.0], few, bits) == {"a": [None, None]}
+
+
+def test_percentiles_of_many_columns_take_few_jobs(spark):
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(300, 400)) * 10.0 ** rng.integers(-5, 6, 400)
+    names = [f"c{k}" for k in range(400)]
+    df = spark.createDataFrame([r.tolist() for r in values], ", ".join(f"{n} double" for n in names)).persist()
+    df.count()
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for width in (4, 400):
+        group = f"percentiles{width}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = exact_percentiles(df, names[:width], [0.25, 0.5, 0.75], few_values=0)
+        counts.append(len(tracker.getJobIdsForGroup(group)))
+        assert all(np.allclose(got[n], np.percentile(values[:, k], [25, 50, 75]), rtol=1e-12) for k, n in enumerate(names[:width]))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+    # a scan with a window over its counts is a handful of stages, each a job under adaptive execution
+    assert counts[1] == counts[0] <= 20
+
+
 @pytest.mark.parametrize("sample,bracket", [(10**5, 10**5), (200, 50)])
 def test_keys_at_ranks(spark, sample, bracket):
     rows = [(i % 5 if i % 3 else None, f"k{i:05d}") for i in range(4000)]

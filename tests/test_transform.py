@@ -109,4 +109,4 @@ def test_percentiles_of_decimals(spark):
     df = spark.range(100).selectExpr("cast(id as decimal(10, 2)) as x")
     from lamina.plans.order_stats import exact_percentiles
 
-    assert exact_percentiles(df, ["x"], [0.5]) == exact_percentiles(df, ["x"], [0.5], buffer_values=5) == {"x": [49.5]}
+    assert exact_percentiles(df, ["x"], [0.5]) == exact_percentiles(df, ["x"], [0.5], few_values=5) == {"x": [49.5]}
