@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.plans.gram import pairwise_correlations
 from lamina.plans.modes import group_modes
 
 
@@ -86,36 +87,11 @@ def count_exact(df: DataFrame, sums: Mapping[str, Column], exact: Mapping[str, f
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(x, y, r)`` for all ordered pairs: Pearson over the rows where both are present.
 
-    NaN where a column is constant or fewer than two rows remain.  A first aggregate finds the
-    columns without gaps, whose deviations are then shared by all their pairs; a second
-    one has the upper triangle, and the other half is mirrored.
+    NaN where a column is constant over those rows or fewer than two remain.  Products of value and
+    presence matrices are summed by blocks of columns, so neither the plan nor what a task holds at
+    a time grows with the square of the columns.
     """
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
-    whole = {c for i, c in enumerate(columns) if gaps[f"g{i}"] == 0}
-    aggregates: dict[str, Column] = {}
-
-    def deviation(i: int, j: int) -> str:
-        """Deviation of column i over the rows where j is present too."""
-        own = i == j or columns[j] in whole
-        name = f"s{i}" if own else f"s{i}_{j}"
-        cell = F.col(columns[i]).cast("double")
-        aggregates[name] = F.stddev_pop(cell if own else F.when(F.col(columns[j]).isNotNull(), cell))
-        return name
-
-    nan = F.lit(float("nan"))
-    entries = []
-    for i, x in enumerate(columns):
-        own = F.col(deviation(i, i))
-        entries.append((x, x, F.when(own > 0, F.lit(1.0)).otherwise(nan)))
-        for j in range(i + 1, len(columns)):
-            y = columns[j]
-            aggregates[f"c{i}_{j}"] = F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double"))
-            spread = F.col(deviation(i, j)) * F.col(deviation(j, i))
-            r = F.coalesce(F.try_divide(F.col(f"c{i}_{j}"), spread), nan)
-            entries += [(x, y, r), (y, x, r)]
-    one = df.agg(*[a.alias(n) for n, a in aggregates.items()])
-    cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r")) for x, y, r in entries])
-    return one.select(F.explode(cells).alias("e")).select("e.x", "e.y", "e.r")
+    return pairwise_correlations(df, columns)
 
 
 # -- regression metrics ----------------------------------------------------------

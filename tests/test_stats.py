@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions.composition import SITE_SUMS, formula_map, ion_pairs
 from lamina.operators import composition, explain, rows, stats, sweep
+from lamina.plans import gram
 
 
 def test_correlation(spark):
@@ -19,6 +22,37 @@ def test_correlation(spark):
         assert (math.isnan(r) and math.isnan(expected)) or r == pytest.approx(expected)
 
 
+def test_correlation_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(gram, "BLOCK_COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(120, 5)) @ rng.normal(size=(5, 40)) * 10.0 ** rng.integers(-1, 7, 40) + 1e3
+    base[:, 3] = 4.5
+    table = np.where(rng.random(base.shape) < 0.3, np.nan, base)
+    table[:, 8] = np.nan
+    table[:118, 9] = np.nan
+    names = [f"c{k}" for k in range(40)]
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in table]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = stats.corr_matrix(df, names)
+    found = {(r["x"], r["y"]): r["r"] for r in got.collect()}
+    assert len(found) == 1600
+    expected = pd.DataFrame(table, columns=names).corr(min_periods=2)
+    for (x, y), r in found.items():
+        e = expected.loc[x, y]
+        assert math.isnan(r) == math.isnan(e) and (math.isnan(r) or abs(r - e) < 1e-9), (x, y, r, e)
+    empty = stats.corr_matrix(df.limit(0), names[:2]).collect()
+    assert len(empty) == 4 and all(math.isnan(r["r"]) for r in empty)
+    assert stats.corr_matrix(df, []).collect() == []
+
+
+def test_correlation_plan_does_not_grow_with_pairs(spark):
+    def size(n):
+        df = spark.range(10).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(n)])
+        return len(stats.corr_matrix(df, df.columns)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert size(80) < 3 * size(40)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (3.0, 8.0)], "label double, prediction double")
     got = {r["metric"]: r["value"] for r in stats.regression_metrics(df).collect()}
