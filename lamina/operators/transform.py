@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.rows import categorical_columns, numeric_columns
+from lamina.plans.dictionary import apply_codes, fit_categories, fit_codes
 from lamina.plans.lookup import lookup_join
 from lamina.plans.modes import column_modes
 from lamina.plans.neighbours import mean_value, nearest, weighted_value
@@ -279,9 +280,9 @@ def _fit_step(df: DataFrame, columns: Sequence[str], step: dict) -> tuple[str, s
     if kind == "scale" and method in ("standard", "minmax", "robust"):
         return kind, method, fit_scale(df, columns, method)
     if (kind, method) == ("encode", "ordinal"):
-        return kind, method, ({c: fit_ordinal(df, c) for c in columns}, step)
+        return kind, method, (fit_codes(df, columns), step)
     if (kind, method) == ("encode", "onehot"):
-        return kind, method, {c: fit_onehot(df, c) for c in columns}
+        return kind, method, fit_categories(df, columns)
     if kind == "other" and method in ("passthrough", "drop"):
         return kind, method, None
     raise ValueError(f"unknown step {kind}/{method}")
@@ -299,13 +300,12 @@ def apply_step(df: DataFrame, columns: Sequence[str], step: tuple[str, str, Any]
     if kind == "scale":
         return apply_scale(df, params), columns
     if (kind, method) == ("encode", "ordinal"):
-        for c, codes in params[0].items():
-            df = apply_ordinal(df, c, codes, **params[1])
-        return df, columns
+        return apply_codes(df, params[0], **params[1]), columns
     if (kind, method) == ("encode", "onehot"):
-        for c, categories in params.items():
-            df = apply_onehot(df, c, categories)
-        return df, [f"{c}_{_name_of(v)}" for c, categories in params.items() for v in categories]
+        flags = [
+            F.col(c).eqNullSafe(F.lit(v)).cast("double").alias(f"{c}_{_name_of(v)}") for c, categories in params.items() for v in categories
+        ]
+        return df.select(*[c for c in df.columns if c not in params], *flags), [f"{c}_{_name_of(v)}" for c, categories in params.items() for v in categories]
     if method == "drop":
         return df.drop(*columns), []
     return df, columns

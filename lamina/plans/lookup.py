@@ -24,7 +24,7 @@ def lookup_join(
     """
     size = dictionary.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 16), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(count), F.lit(0)).alias("total"),
     ).first()
     if size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes:

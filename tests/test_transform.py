@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import transform
+from lamina.plans import dictionary
 
 
 def brute_knn(rows, k):
@@ -50,6 +51,39 @@ def test_ordinal(spark, monkeypatch):
     assert by_index == {"a": 0.0, "b": 1.0, "c": 2.0}
 
 
+@pytest.mark.parametrize("rows,size", [(10**5, 10**7), (3, 10**7), (0, 0), (10**5, 200)])
+def test_one_dictionary_for_all_columns(spark, rows, size):
+    values = [("b", 3, True, 1.5), ("a", 20, False, -0.0), (None, None, None, None), ("c", 3, True, 0.0), ("b", 100, None, 20.0), ("", 3, False, 3.0)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id int, s string, n int, f boolean, x double").repartition(3)
+    codes = dictionary.fit_codes(df, ["s", "n", "f", "x"], broadcast_rows=rows)
+    got = {r["id"]: tuple(r)[1:] for r in dictionary.apply_codes(df, codes, broadcast_rows=rows, broadcast_bytes=size).collect()}
+    for k in range(4):
+        order = {v: float(i) for i, v in enumerate(sorted({v[k] for v in values if v[k] is not None}))}
+        assert [got[i][k] for i in range(6)] == [None if v[k] is None else order[v[k]] for v in values]
+    other = spark.createDataFrame([(1, "z", 3, None, 9.0), (2, None, 4, True, 1.5)], "id int, s string, n int, f boolean, x double")
+    known = dictionary.apply_codes(other, codes, "use_encoded_value", -7, rows, size).orderBy("id").collect()
+    assert [tuple(r) for r in known] == [(1, -7.0, 0.0, None, -7.0), (2, None, -7.0, 1.0, 1.0)]
+    with pytest.raises(Exception, match="unknown category"):
+        dictionary.apply_codes(other, codes, broadcast_rows=rows, broadcast_bytes=size).collect()
+
+
+def test_encoding_takes_as_many_jobs_for_many_columns(spark):
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for width in (2, 200):
+        df = spark.range(50).select("id", *[F.concat(F.lit("v"), F.col("id") % (k % 7 + 1)).alias(f"c{k}") for k in range(width)])
+        group = f"encode{width}"
+        spark.sparkContext.setJobGroup(group, group)
+        coded, _ = transform.fit_pipeline(df, categorical=[{"type": "encode", "method": "ordinal"}], exclude=["id"])
+        rows = coded.collect()
+        wide, _ = transform.fit_pipeline(df, categorical=[{"type": "encode", "method": "onehot"}], exclude=["id"])
+        assert len(wide.columns) == 1 + sum(k % 7 + 1 for k in range(width))
+        counts.append(len(tracker.getJobIdsForGroup(group)))
+        assert all(r[f"c{k}"] == r["id"] % (k % 7 + 1) for r in rows for k in range(width))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] <= 20
+
+
 def test_onehot(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, k string")
     wide = transform.apply_onehot(df, "k", transform.fit_onehot(df, "k"))
