@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text import CHUNK_BYTES, blank_separated, col, column_chunks, id_text, id_type
+from lamina.llm.text import blank_separated, col, column_chunks, id_text, id_type
 from lamina.session import materialise
 
 # Documents of each class that lexicon and weights are learned from, at most, picked by a hash of the id.
@@ -32,7 +33,9 @@ FUZZY_SHARE = 0.8
 # Words on each side that are a match's context, and the share of its weight a quoted match keeps.
 WINDOW = 4
 QUOTED_SHARE = 0.2
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
+# Texts are read about so many bytes at a time.
+CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
 # Marks of quotation, stems of words that report speech in en, de, fr and es, letters written as digits or signs.
 QUOTES = "\"“”„«»‘’‹›"
@@ -98,18 +101,21 @@ class Automaton:
         self.below[node] |= fuzzy
         return node
 
-    def _closed(self, items: set[int]) -> frozenset:
-        """With the states reached by leaving out a letter of a term; an item is twice a node, plus one after an edit."""
+    def _closed(self, items: set[int]) -> bytes:
+        """With the states reached by leaving out a letter of a term; an item is twice a node, plus one after an edit.
+
+        The items of a state are packed in order, four bytes each.
+        """
         more = {2 * c + 1 for item in items if not item & 1 and self.below[item >> 1]
                 for c in self.children[item >> 1].values() if self.below[c]}
-        return frozenset(items | more)
+        return array("i", sorted(items | more)).tobytes()
 
-    def _number(self, items: frozenset, stem: float) -> int:
+    def _number(self, items: bytes, stem: float) -> int:
         key = (items, stem)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.places += len(items)
+            self.places += len(items) // 4
             if len(self.states) > len(self.table):
                 self.table = np.concatenate([self.table, np.full((max(64, len(self.table)), self.alphabet), -1, np.int32)])
         return self.numbers[key]
@@ -117,7 +123,7 @@ class Automaton:
     def _step(self, state: int, letter: int) -> int:
         items, stem = self.states[state]
         reached = set()
-        for item in items:
+        for item in memoryview(items).cast("i"):
             node, edits = item >> 1, item & 1
             child = self.children[node].get(letter)
             if child is not None and (not edits or self.below[child]):
@@ -156,7 +162,7 @@ class Automaton:
         """Weight of the exact term or best stem, and the best term one edit away."""
         items, stem = self.states[state]
         exact, near = stem, None
-        for item in items:
+        for item in memoryview(items).cast("i"):
             node, edits = item >> 1, item & 1
             if not edits:
                 exact = max(exact, self.whole[node])
@@ -254,7 +260,7 @@ def quoted(context: list[bytes], at: int) -> bool:
 
 def _word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of labelled texts with a hash of the words beside them, each once in a batch."""
-    for batch in column_chunks(batches):
+    for batch in column_chunks(batches, CHUNK_BYTES):
         which, distinct, sizes = blank_separated(batch.column(1))
         words = [plain_word(p) for p in distinct]
         names = dict.fromkeys(words)
@@ -388,7 +394,7 @@ def _weights(sample: DataFrame, lexicon: Lexicon, toxic_total: int, clean_total:
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in column_chunks(batches):
+        for batch in column_chunks(batches, CHUNK_BYTES):
             found = shared.value.features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, found.T)], ["toxic", "a", "b", "c", "d"])
 
@@ -411,7 +417,7 @@ def _weights(sample: DataFrame, lexicon: Lexicon, toxic_total: int, clean_total:
 
 def _scorer(lexicon):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in column_chunks(batches, 2 * CHUNK_BYTES):
+        for batch in column_chunks(batches, CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicon.value.score(batch.column(1)))], ["id", "score"])
 
     return score
