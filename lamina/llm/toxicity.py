@@ -6,6 +6,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,18 @@ class Automaton:
         return exact, near
 
 
+@dataclass
+class Learned:
+    """What a worker has found out with a lexicon."""
+
+    name: str
+    automaton: Automaton
+    weights: dict[bytes, float] = field(default_factory=dict)
+
+
+_last: Learned | None = None
+
+
 @dataclass
 class Lexicon:
     """Terms with their weights, words that only look like one, and the weights of a document's features."""
@@ -180,17 +193,22 @@ class Lexicon:
     fuzzy: set[str]
     clean: set[str] = field(default_factory=set)
     weights: list[float] = field(default_factory=list)
-    _automaton: Automaton | None = None
-    _cache: dict[bytes, float] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid4().hex)
 
     def __getstate__(self):
-        return {**self.__dict__, "_automaton": None, "_cache": {}}
+        # what is sent out is a lexicon of its own, as this one may change
+        return {**self.__dict__, "name": uuid4().hex}
+
+    def _learned(self) -> Learned:
+        """The automaton and cache of this lexicon; a worker keeps those of the lexicon it used last alone."""
+        global _last
+        if _last is None or _last.name != self.name:
+            _last = Learned(self.name, Automaton(self.whole, self.stems, self.fuzzy))
+        return _last
 
     @property
     def automaton(self) -> Automaton:
-        if self._automaton is None:
-            self._automaton = Automaton(self.whole, self.stems, self.fuzzy)
-        return self._automaton
+        return self._learned().automaton
 
     def near(self, words: list[str]) -> list[str | None]:
         """The term that each word is one edit away from, if it is no term itself."""
@@ -206,24 +224,25 @@ class Lexicon:
         return results
 
     def learn(self, pieces: list[bytes]) -> None:
-        if len(self._cache) > CACHE_PIECES:
-            self._cache = {}
-        fresh = [p for p in pieces if p not in self._cache]
+        known = self._learned().weights
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        fresh = [p for p in pieces if p not in known]
         words = [plain_word(p) for p in fresh]
         for piece, word, (exact, term) in zip(fresh, words, self._results(words)):
             if not exact and term and word not in self.clean:
                 exact = FUZZY_SHARE * self.whole[term]
-            self._cache[piece] = exact
+            known[piece] = exact
         # digits and signs for letters: read them as the letters
         again = [(p, r) for p, w in zip(fresh, words) if (r := w.translate(LOOKALIKES)) != w and not w.isdigit()]
         for (piece, read), (exact, _) in zip(again, self._results([r for _, r in again])):
-            self._cache[piece] = max(self._cache[piece], FUZZY_SHARE * exact if read in self.whole else 0.0)
+            known[piece] = max(known[piece], FUZZY_SHARE * exact if read in self.whole else 0.0)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """One row per text: abuse, matches, strongest match, length."""
         which, distinct, sizes = blank_separated(texts)
         self.learn(distinct)
-        weight = np.fromiter(map(self._cache.__getitem__, distinct), float, len(distinct))[which]
+        weight = np.fromiter(map(self._learned().weights.__getitem__, distinct), float, len(distinct))[which]
         ends = np.cumsum(sizes)
         out = np.zeros((len(sizes), 4))
         out[:, 3] = np.log1p(sizes)
@@ -386,7 +405,7 @@ def _keep_apart(lexicon: Lexicon, words: DataFrame) -> None:
         neighbours[row["term"]] = neighbours.get(row["term"], 0) + 1
     lexicon.clean = {r["word"] for r in rows}
     lexicon.fuzzy = {t for t in lexicon.fuzzy if neighbours.get(t, 0) < FUZZY_NEIGHBOURS}
-    lexicon._automaton = None
+    lexicon.name = uuid4().hex
 
 
 def _weights(sample: DataFrame, lexicon: Lexicon, toxic_total: int, clean_total: int) -> list[float]:
