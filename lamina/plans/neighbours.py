@@ -1,8 +1,8 @@
 """Exact k-nearest-neighbour join by pivot cells.
 
-Donors are assigned to the nearest of a few pivots.  For a query, the triangle
-inequality gives a radius that surely holds k donors, and only cells that reach into
-that radius are visited (Lu et al., "Efficient processing of k nearest neighbor joins
+Donors are assigned to the nearest of a few pivots.  For a query, the donors of its own cell or
+the triangle inequality give a radius that surely holds k donors, and only other cells that reach
+into that radius are visited (Lu et al., "Efficient processing of k nearest neighbor joins
 using MapReduce", 2012).  No pair is ever emitted: each block of one cell returns the
 k best of its donors.  Equal vectors are collapsed beforehand and large cells are cut
 into blocks on both sides, so no task depends on how the data are spread.
@@ -25,17 +25,25 @@ from lamina.session import materialise
 TOTAL_PIVOTS = 50_000
 BLOCK_ROWS = 8192
 _CELLS_IN_MEMORY = 4_000_000
+# Up to so many dimensions distances are summed for all pairs at once.
+PLAIN_DIMENSIONS = 4
+# So many spaces are named in a filter; with more all queries are routed again.
+LISTED_SPACES = 1000
 
 
 def nearest(
     queries: DataFrame, donors: DataFrame, k: int,
-    max_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+    max_pivots: int | None = None, block_rows: int = BLOCK_ROWS, visited: list | None = None,
 ) -> DataFrame:
     """Add ``near``: the k nearest donors as ``array<struct<d2, id, value>>``, nearest first.
 
     ``queries`` has ``space string, vec array<double>`` and any other columns; ``donors`` has
-    ``space, vec, id bigint, value double``.  Only donors of the same space are seen.  ``d2`` is
-    the squared Euclidean distance and equal distances are ordered by ``id``.
+    ``space, vec, id bigint, value double``.  Only donors of the same space are seen; a query whose space has none
+    has a null ``near``.  ``d2`` is the squared Euclidean distance and equal distances are ordered by ``id``.
+
+    Two passes: the nearest donors of a query's own cell say how far the others can be, then
+    the other cells that reach so close are visited.  A list given as ``visited`` gets the number of
+    donors that lay in the cells visited, a number per pass.
     """
     keyed = queries.withColumn("_key", _vector_key())
     asked = materialise(keyed.groupBy("_key", "space", "vec").agg(F.count(F.lit(1)).alias("_n")), "asked")
@@ -48,17 +56,45 @@ def nearest(
         .groupBy("_key", "space", "vec")
         .agg(F.min("id").alias("first_id"), F.collect_list(F.struct("id", "value")).alias("holders"))
     )
-    pivots = _choose_pivots(named, max_pivots)
+    pivots = _choose_pivots(named, max_pivots, block_rows)
     placed = materialise(_placed(given, pivots), "placed")
     cells = {
         (r["space"], r["cell"]): (r["n"], r["reach"])
         for r in placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect()
     }
-    routed = materialise(_routed(asked, pivots, cells, k), "routed")
-    visits = {(r["space"], r["cell"]): r["count"] for r in routed.groupBy("space", "cell").count().collect()}
+    sample = asked.select("_key", "space", "vec", F.lit(None).cast("double").alias("bound"))
+    best = _visit(_routed(sample, pivots, cells, k, True), placed, cells, k, block_rows, visited)
+    # spaces of one cell are done
+    several = [space for space, where in pivots.items() if sum((space, c) in cells for c in range(len(where))) > 1]
+    if several:
+        best = materialise(_top(best, k), "first")
+        bounds = best.groupBy("_key").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("bound"))
+        wanted = asked.where(F.col("space").isin(several)) if len(several) <= LISTED_SPACES else asked
+        again = wanted.select("_key", "space", "vec").join(bounds, "_key", "left")
+        best = best.unionByName(_visit(_routed(again, pivots, cells, k, False), placed, cells, k, block_rows, visited))
+    answers = (
+        _top(best, k)
+        .groupBy("_key")
+        .agg(F.array_sort(F.collect_list(F.struct("d2", "id", "value"))).alias("near"))
+        .join(asked.select("_key", "_n"), "_key")
+    )
+    return lookup_join(keyed, materialise(answers, "answers"), "_key", "_n").drop("_key")
+
+
+def _top(best: DataFrame, k: int) -> DataFrame:
+    """The k nearest of every query."""
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("_key").orderBy("d2", "id")))
+    return ranked.filter(F.col("rank") <= k).drop("rank")
 
+
+def _visit(routes: DataFrame, placed: DataFrame, cells: dict, k: int, block_rows: int, visited: list | None) -> DataFrame:
+    """``(_key, d2, id, value)``: the k nearest donors of each query in every block of the cells it visits."""
+    routed = materialise(routes, "routed")
+    visits = {(r["space"], r["cell"]): r["count"] for r in routed.groupBy("space", "cell").count().collect()}
+    if visited is not None:
+        visited.append(sum(n * cells[at][0] for at, n in visits.items()))
     # One row per cell: bounded by TOTAL_PIVOTS.
-    shards = queries.sparkSession.createDataFrame(
+    shards = routed.sparkSession.createDataFrame(
         [
             (space, cell, math.ceil(n / block_rows), math.ceil(visits[space, cell] / block_rows))
             for (space, cell), (n, _) in cells.items()
@@ -79,21 +115,13 @@ def nearest(
         .select("space", "cell", "query_part", "donor_part", "vec", "first_id", "holders")
     )
     block = ["space", "cell", "query_part", "donor_part"]
-    best = (
+    return (
         left.groupBy(*block)
         .cogroup(right.groupBy(*block))
         .applyInPandas(_block_best(k), "_key string, d2 double, holders array<struct<id:bigint,value:double>>")
         .select("_key", "d2", F.explode("holders").alias("holder"))
         .select("_key", "d2", "holder.id", "holder.value")
     )
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("_key").orderBy("d2", "id")))
-    answers = (
-        ranked.filter(F.col("rank") <= k)
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.struct("d2", "id", "value"))).alias("near"))
-        .join(asked.select("_key", "_n"), "_key")
-    )
-    return lookup_join(keyed, materialise(answers, "answers"), "_key", "_n").drop("_key")
 
 
 def mean_value(near: Column) -> Column:
@@ -118,14 +146,18 @@ def _vector_key():
     return F.md5(F.concat_ws("|", F.col("space"), F.concat_ws(",", F.col("vec").cast("array<string>"))))
 
 
-def _choose_pivots(donors: DataFrame, max_pivots: int | None) -> dict[str, np.ndarray]:
+def _choose_pivots(donors: DataFrame, max_pivots: int | None, block_rows: int) -> dict[str, np.ndarray]:
     """About the square root of the donors per space, drawn by a hash of the row; equal vectors count once.
 
-    Every row decides for itself, by the size of its space; a space whose draw is empty gets the origin, as any point will do.
+    Every row decides for itself, by the size of its space.  A space whose donors fit one block has the origin alone, and
+    so has one whose draw is empty, as any point will do.
     """
     sizes = donors.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("vec")).alias("dims")).collect()
     most = max(1, min(max_pivots or TOTAL_PIVOTS, TOTAL_PIVOTS // max(1, len(sizes))))
     shares = [(r["space"], min(1.0, min(most, math.ceil(math.sqrt(r["n"]))) / r["n"])) for r in sizes]
+    if all(r["n"] <= block_rows and max_pivots is None for r in sizes):
+        return {r["space"]: np.zeros((1, r["dims"])) for r in sizes}
+    shares = [(space, 0.0 if n <= block_rows and max_pivots is None else rate) for (space, rate), n in zip(shares, (r["n"] for r in sizes))]
     rates = F.broadcast(donors.sparkSession.createDataFrame(shares, "space string, rate double"))
     place = F.pmod(F.xxhash64("_key", "id"), F.lit(1 << 30)) / float(1 << 30)
     rows = donors.join(rates, "space").filter(place < F.col("rate")).select("space", "vec").collect()
@@ -159,40 +191,87 @@ def _placed(given: DataFrame, pivots: dict[str, np.ndarray]) -> DataFrame:
     return given.select("_key", "space", "vec", "first_id", "holders").mapInPandas(place, schema)
 
 
-def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, k: int) -> DataFrame:
-    """Each query once per cell that may hold one of its k nearest donors."""
+def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, k: int, own: bool) -> DataFrame:
+    """Each query in its own cell, the one with the nearest pivot; or in the other cells that may hold one of its k nearest donors.
+
+    ``bound`` is the distance of k donors seen already.  No donor of a cell is nearer than the pivot less
+    the cell's reach, nor than the plane between the cell's pivot and the query's nearest one.
+    """
     counts = {s: np.array([cells.get((s, c), (0, 0.0))[0] for c in range(len(p))]) for s, p in pivots.items()}
     reaches = {s: np.array([cells.get((s, c), (0, 0.0))[1] for c in range(len(p))]) for s, p in pivots.items()}
 
+    def visits(space: str, vectors: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        count, reach = counts[space], reaches[space]
+        squares = _squared(vectors, pivots[space])
+        distance = np.sqrt(squares)
+        home = np.where(count > 0, distance, np.inf).argmin(axis=1)
+        rows = np.arange(len(home))
+        if own:
+            visit = np.zeros(distance.shape, bool)
+            visit[rows, home] = True
+            return visit & (count > 0)
+        # without k donors seen: walk the farthest possible donors of cells until k are sure
+        farthest = np.where(count > 0, distance + reach, np.inf)
+        order = farthest.argsort(axis=1)
+        sure = np.cumsum(count[order], axis=1) >= k
+        walked = np.take_along_axis(farthest, order, axis=1)
+        radius = np.where(sure.any(axis=1), walked[rows, sure.argmax(axis=1)], np.inf)
+        radius = np.fmin(radius, bound)
+        # A little slack for rounding only adds cells.
+        radius = radius + 1e-9 * (1.0 + np.where(np.isinf(radius), 0.0, radius))
+        nearest_pivot = distance.argmin(axis=1)
+        which, place = np.unique(nearest_pivot, return_inverse=True)
+        apart = np.sqrt(_squared(pivots[space][which], pivots[space]))[place]
+        gap = squares - squares[rows, nearest_pivot][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(apart > 0, gap / (2 * apart), 0.0)
+        visit = (count > 0) & (distance - reach <= radius[:, None]) & (plane <= radius[:, None])
+        visit[rows, home] = False
+        return visit
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for space, rows in batch.groupby("space", sort=False):
                 if space not in pivots:
                     continue
-                count, reach = counts[space], reaches[space]
-                distance = np.sqrt(_squared(np.vstack(rows["vec"].to_numpy()), pivots[space]))
-                # Farthest possible donor of each cell; walk cells until k donors are sure.
-                farthest = np.where(count > 0, distance + reach, np.inf)
-                order = farthest.argsort(axis=1)
-                sure = np.cumsum(count[order], axis=1) >= k
-                walked = np.take_along_axis(farthest, order, axis=1)
-                first = sure.argmax(axis=1)
-                radius = np.where(sure.any(axis=1), walked[np.arange(len(first)), first], np.inf)
-                # A little slack for rounding only adds cells.
-                slack = 1e-9 * (1.0 + np.where(np.isinf(radius), 0.0, radius))
-                visit = (count > 0) & (distance - reach <= (radius + slack)[:, None])
-                row, cell = np.nonzero(visit)
-                hit = rows.iloc[row]
-                yield pd.DataFrame(
-                    {"_key": hit["_key"].to_numpy(), "space": space, "vec": hit["vec"].to_numpy(),
-                     "cell": cell.astype("int32")}
-                )
-
-    return asked.select("_key", "space", "vec").mapInPandas(
+                step = max(1, _CELLS_IN_MEMORY // len(pivots[space]))
+                for begin in range(0, len(rows), step):
+                    part = rows.iloc[begin:begin + step]
+                    row, cell = np.nonzero(visits(space, np.vstack(part["vec"].to_numpy()), part["bound"].to_numpy(dtype=float)))
+                    hit = part.iloc[row]
+                    yield pd.DataFrame(
+                        {"_key": hit["_key"].to_numpy(), "space": space, "vec": hit["vec"].to_numpy(),
+                         "cell": cell.astype("int32")}
+                    )
+
+    return asked.select("_key", "space", "vec", "bound").mapInPandas(
         route, "_key string, space string, vec array<double>, cell int"
     )
 
 
+def _candidates(asked: np.ndarray, given: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and squared distance of pairs among which are the ``keep`` nearest of every row, ties included.
+
+    In more than a few dimensions products give distances up to rounding; only pairs that may
+    be among the nearest by that are summed dimension by dimension.
+    """
+    if asked.shape[1] <= PLAIN_DIMENSIONS:
+        d2 = _squared(asked, given)
+        row, col = np.nonzero(d2 <= np.partition(d2, keep - 1, axis=1)[:, keep - 1][:, None])
+        return row, col, d2[row, col]
+    centre = given.mean(axis=0)
+    a, b = asked - centre, given - centre
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    rough = aa[:, None] + bb - 2 * (a @ b.T)
+    slack = 64 * np.finfo(float).eps * asked.shape[1] * (aa[:, None] + bb.max() + np.square(centre).sum())
+    worst = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
+    row, col = np.nonzero(~(rough > worst[:, None] + 2 * slack))
+    exact = np.zeros(len(row))
+    for d in range(asked.shape[1]):
+        exact += np.square(asked[row, d] - given[col, d])
+    return row, col, exact
+
+
 def _block_best(k: int):
     def best(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or donors.empty:
@@ -204,10 +283,7 @@ def _block_best(k: int):
         step = max(1, _CELLS_IN_MEMORY // len(given))
         picked = []
         for start in range(0, len(asked), step):
-            d2 = _squared(asked[start:start + step], given)
-            worst = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
-            row, col = np.nonzero(d2 <= worst[:, None])
-            value = d2[row, col]
+            row, col, value = _candidates(asked[start:start + step], given, keep)
             order = np.lexsort((first_id[col], value, row))
             row, col, value = row[order], col[order], value[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)

@@ -147,3 +147,32 @@ def test_nearest_with_few_donors(spark):
     d = spark.createDataFrame([("0", [2.0], 5, 1.0), ("0", [4.0], 6, 2.0)], "space string, vec array<double>, id bigint, value double")
     near = neighbours.nearest(q, d, 5).first()["near"]
     assert [(n["id"], math.sqrt(n["d2"])) for n in near] == [(5, 1.0), (6, 3.0)]
+
+
+@pytest.mark.parametrize("dims", [2, 16])
+def test_neighbours_of_clustered_points_visit_few_donors(spark, dims):
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(60, dims)) * 100
+    points = centres[rng.integers(60, size=3000)] + rng.normal(size=(3000, dims))
+    asked = centres[rng.integers(60, size=150)] + rng.normal(size=(150, dims))
+    d = spark.createDataFrame([("s", v.tolist(), i, float(i)) for i, v in enumerate(points)], "space string, vec array<double>, id bigint, value double")
+    q = spark.createDataFrame([(i, "s", v.tolist()) for i, v in enumerate(asked)], "row int, space string, vec array<double>")
+    visited = []
+    got = neighbours.nearest(q, d, 4, block_rows=500, visited=visited).collect()
+    assert len(visited) == 2 and sum(visited) < 0.05 * len(points) * len(asked)
+    for r in got:
+        d2 = ((points - asked[r["row"]]) ** 2).sum(axis=1)
+        order = np.lexsort((np.arange(len(d2)), d2))[:4]
+        assert [n["id"] for n in r["near"]] == order.tolist()
+
+
+def test_neighbours_far_from_the_origin_are_exact(spark):
+    rng = np.random.default_rng(3)
+    points = np.round(rng.normal(size=(400, 12)), 1) + 1e7
+    rows = [("s", v.tolist(), i, 0.0) for i, v in enumerate(points)]
+    d = spark.createDataFrame(rows, "space string, vec array<double>, id bigint, value double")
+    for r in neighbours.nearest(d.select("id", "space", "vec"), d, 6).collect():
+        d2 = np.zeros(400)
+        for k in range(12):
+            d2 += (points[:, k] - points[r["id"], k]) ** 2
+        assert [n["id"] for n in r["near"]] == np.lexsort((np.arange(400), d2))[:6].tolist()
