@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,47 @@ LANES = 1024
 CHECKPOINT_STEPS = 256
 TOTAL_BITS = 20
 LOW = np.uint64(1 << 31)
-# Pieces whose ids a worker remembers; it starts afresh beyond them, which changes time only.
-CACHE_PIECES = 1 << 19
+# Pieces and words whose ids a worker remembers; the half not met lately goes beyond them, which changes time only.
+CACHE_PIECES, CACHE_WORDS = 1 << 18, 1 << 19
+
+
+class Known:
+    """Token ids of strings, by number; of many strings the half not asked for lately is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.numbers = most, {}
+        self.ids, self.starts, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.now = 0
+
+    def add(self, names: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember strings in order of their numbers; those numbered already aren't named."""
+        count = len(self.sizes)
+        self.numbers.update(zip(names, range(count, count + len(names))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])
+
+    def of(self, which: np.ndarray, other: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after the other, and how many each has; number -1 stands for the id ``other``."""
+        known = self.ids if other is None else np.append(self.ids, np.uint32(other))
+        starts, sizes = np.append(self.starts, len(self.ids)), np.append(self.sizes, 1)
+        self.used[which[which >= 0]] = self.now
+        starts, sizes = starts[which], sizes[which]
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        return known[at], sizes
+
+    def age(self) -> None:
+        self.now += 1
+        if len(self.sizes) <= self.most:
+            return
+        keep = np.argsort(-self.used, kind="stable")[: self.most // 2]
+        # the first one may have a meaning of its own
+        keep = np.concatenate([[0], keep[keep > 0]])
+        ids, sizes = self.of(keep)
+        names = list(self.numbers)
+        self.numbers = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.sizes, self.starts, self.used = ids, sizes, np.cumsum(sizes) - sizes, self.used[keep]
 
 
 class Encoder:
@@ -56,54 +95,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.merges = self.tokenizer.model, merges(path)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.index, self.ids = {}, {b"": 0}, np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        known = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return known
-
-    def learn(self, pieces: list[bytes]) -> None:
-        if len(self.index) > CACHE_PIECES:
-            self.clear()
-        fresh = [p for p in pieces if p not in self.index]
+        self.words, self.pieces = Known(CACHE_WORDS), Known(CACHE_PIECES)
+        # what pre-tokens put behind a piece has no ids
+        self.words.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _words(self, found: list[str]) -> np.ndarray:
+        """Numbers of pre-tokens among the known words; new ones are learned from the library's model."""
+        known, get, tokenize, ident = self.words.numbers, self.words.numbers.get, self.model.tokenize, attrgetter("id")
+        ids, sizes, at = [], [], []
+        for word in found:
+            number = get(word)
+            if number is None:
+                # visible ASCII letters spell themselves
+                plain = word.isascii() and word.isprintable()
+                tokens = tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
+                ids.extend(map(ident, tokens))
+                sizes.append(len(tokens))
+                number = known[word] = len(known)
+            at.append(number)
+        self.words.add([], np.array(ids, np.uint32), np.array(sizes, np.int64))
+        return np.array(at, np.int64)
+
+    def learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces among the known ones."""
+        numbers = self.pieces.numbers
+        fresh = [p for p in pieces if p not in numbers]
         plain = [p for p in fresh if b"<|" not in p]
         if plain:
-            found = self.merges.pre_tokens(plain)
-            known = self.words
-            lists = [known.get(w) or self._word(w) if w != "\n" else b"" for w in found]
-            sizes = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) // 4
-            ends = sizes[[i for i, w in enumerate(found) if w == "\n"]]
-            self._add(plain, np.frombuffer(b"".join(lists), np.uint32), np.diff(np.r_[0, ends]))
+            at = self._words(self.merges.pre_tokens(plain))
+            own, sizes = self.words.of(at)
+            self.pieces.add(plain, own, np.diff(np.cumsum(sizes)[at == 0], prepend=0))
         marked = [p for p in fresh if b"<|" in p]
         if marked:
             encoded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in marked], add_special_tokens=False)
             ids = np.array([i for e in encoded for i in e.ids], np.uint32)
-            self._add(marked, ids, np.array([len(e.ids) for e in encoded]))
-
-    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.index.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+            self.pieces.add(marked, ids, np.array([len(e.ids) for e in encoded]))
+        return np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and how many each text has."""
         which, distinct, pieces = blank_separated(texts)
-        self.learn(distinct)
-        which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[which]
+        which = self.learn(distinct)[which]
         # the end of a text is one more piece of one id
         ends = np.cumsum(pieces)
-        sizes = np.insert(self.sizes[which], ends, 1)
-        starts = np.insert(self.starts[which], ends, len(self.ids))
-        known = np.r_[self.ids, np.uint32(end_id)]
-        begins = (starts - np.cumsum(sizes) + sizes).astype(np.int32)
-        out = known[np.repeat(begins, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
+        out, sizes = self.pieces.of(np.insert(which, ends, -1), end_id)
         totals = np.cumsum(sizes)[ends + np.arange(len(ends))]
+        self.pieces.age()
+        self.words.age()
         return out, np.diff(np.r_[0, totals])
 
 
