@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.rows import categorical_columns, numeric_columns
 from lamina.plans.dictionary import apply_codes, fit_categories, fit_codes
-from lamina.plans.lookup import lookup_join
+from lamina.plans.lookup import BROADCAST_BYTES, lookup_join
 from lamina.plans.modes import column_modes
 from lamina.plans.neighbours import mean_value, nearest, weighted_value
 from lamina.plans.order_stats import exact_percentiles
@@ -69,6 +69,13 @@ def _pattern(columns: Sequence[str]) -> Column:
     return F.concat(F.lit(""), *[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
 
 
+def _pattern_slots(rows: DataFrame, name: str, letter: str) -> DataFrame:
+    """``(name, slot)``: the distinct patterns and the columns for which they have the letter."""
+    masks = rows.select(F.col("_mask").alias(name)).distinct()
+    places = F.transform(F.split(name, ""), lambda c, i: F.when(c == letter, i))
+    return masks.select(name, F.explode(F.filter(places, lambda i: i.isNotNull())).alias("slot"))
+
+
 def apply_impute_knn(df: DataFrame, fitted: KnnImputer, row_id: str | None = None) -> DataFrame:
     """Mean of the nearest donors' values, by distance over the coordinates both rows have.
 
@@ -87,20 +94,18 @@ def apply_impute_knn(df: DataFrame, fitted: KnnImputer, row_id: str | None = Non
     # written, as a condition on an expression over all columns keeps the optimiser busy at every later step
     asked_rows = materialise(df.select(F.col(key).alias("_id"), *cells, _pattern(columns).alias("_mask")), "asked")
     asked_rows, given_rows = asked_rows.filter(F.col("_mask").contains("0")), fitted.donors
-    # one row per pattern of missing columns on either side
-    asking, giving = ([r[0] for r in rows.select("_mask").distinct().collect()] for rows in (asked_rows, given_rows))
-    searches = []
-    for r in asking:
-        for d in giving:
-            shared = "".join("1" if x == y == "1" else "0" for x, y in zip(r, d))
-            common = shared.count("1")
-            if common:
-                searches += [(i, r, d, shared, p / common) for i in range(p) if r[i] == "0" and d[i] == "1"]
-    if not searches:
+    # one row per pattern of missing columns on either side; they meet in the columns one lacks and the other has
+    receivers = _pattern_slots(asked_rows, "receiver", "0")
+    givers = _pattern_slots(given_rows, "donor", "1")
+    letters = F.zip_with(F.split("receiver", ""), F.split("donor", ""), lambda x, y: F.when((x == "1") & (y == "1"), "1").otherwise("0"))
+    met = receivers.join(givers, "slot").withColumn("shared", F.array_join(F.slice(letters, 1, p), ""))
+    common = F.octet_length("shared") - F.octet_length(F.replace("shared", F.lit("1"), F.lit("")))
+    plan = materialise(met.where(common > 0).withColumn("scale", F.lit(float(p)) / common), "patterns")
+    pairs = plan.count()
+    if not pairs:
         return apply_impute(df, fitted.means).drop("_row") if row_id is None else apply_impute(df, fitted.means)
-    # One row per column, receiver pattern and donor pattern.
-    plan = df.sparkSession.createDataFrame(searches, "slot int, receiver string, donor string, shared string, scale double")
-    plan = F.broadcast(plan) if len(searches) <= BROADCAST_ROWS else materialise(plan, "patterns")
+    # one row per column, receiver pattern and donor pattern
+    plan = F.broadcast(plan) if pairs <= BROADCAST_ROWS and pairs * 3 * p <= BROADCAST_BYTES else plan
     space = F.concat_ws(":", "slot", "receiver", "donor").alias("space")
     cells = F.array(*columns)
     vec = F.transform(cells, lambda c, i: F.when(F.substring("shared", i + 1, F.lit(1)) == "1", c).otherwise(F.lit(0.0))).alias("vec")
