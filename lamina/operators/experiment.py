@@ -8,7 +8,11 @@ and the method's options.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import Future
+from threading import Lock
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame
@@ -19,7 +23,7 @@ from lamina.operators.layers import Catalog, expand_catalog, surviving_columns
 from lamina.operators.prune import prune
 from lamina.operators.rows import promote_numeric
 from lamina.operators.transform import apply_pipeline, fit_pipeline
-from lamina.session import materialise
+from lamina.session import discard, scratch_path
 
 VALIDATORS = ("kfold", "stratified_kfold", "shuffle_split", "leave_one_out", "time_series_split")
 
@@ -31,35 +35,100 @@ class Prepared(NamedTuple):
     features: tuple[str, ...]
 
 
+class Preparations:
+    """Model tables of many experiments on one table, each distinct step made once.
+
+    A table is named by the parts of the config that it depends on: the wide one by target, pruning and
+    split, the model table by those and the transforms.  Trials that differ in the model alone share both.
+    With the configs of all trials announced by :meth:`expect`, a table is deleted when its last trial has ended.
+    """
+
+    def __init__(self, df: DataFrame, catalog: Catalog | None, keys: Sequence[str], fit_scope: str = "train"):
+        self.df, self.catalog, self.keys, self.fit_scope = df, catalog, list(keys), fit_scope
+        self._made: dict[str, Future] = {}
+        self._left: Counter = Counter()
+        self._lock = Lock()
+
+    def names(self, config: Mapping[str, Any]) -> tuple[str, str]:
+        """Canonical names of the wide table and of the model table."""
+        options = config.get("experiment", {})
+        wide = {"data": config["data"], "pruning": config.get("pruning"), "test_size": options.get("test_size", 0.25), "seed": options.get("seed", 42)}
+        shaped = {"wide": wide, "process": config.get("process") or {}}
+        return tuple(json.dumps(part, sort_keys=True, default=str) for part in (wide, shaped))
+
+    def expect(self, configs: Iterable[Mapping[str, Any]]) -> None:
+        for config in configs:
+            self._left.update(self.names(config))
+
+    def get(self, config: Mapping[str, Any]) -> Prepared:
+        return self._once(self.names(config)[1], lambda: self._shaped(config))[1]
+
+    def release(self, config: Mapping[str, Any]) -> None:
+        """A trial of this config has ended."""
+        for name in self.names(config):
+            with self._lock:
+                self._left[name] -= 1
+                gone = self._made.pop(name, None) if self._left[name] == 0 else None
+            if gone is not None and gone.exception() is None:
+                discard(self.df.sparkSession, gone.result()[0])
+
+    def _once(self, name: str, make: Callable[[], tuple]) -> tuple:
+        with self._lock:
+            mine = name not in self._made
+            made = self._made.setdefault(name, Future())
+        if mine:
+            try:
+                made.set_result(make())
+            except BaseException as error:
+                made.set_exception(error)
+        return made.result()
+
+    def _written(self, frame: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = scratch_path(self.df.sparkSession, name)
+        frame.write.parquet(path)
+        return path, self.df.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def _wide(self, config: Mapping[str, Any]) -> tuple[str, DataFrame, list[str]]:
+        target, options, keys = config["data"]["target_feature"], config.get("experiment", {}), self.keys
+        rows = self.df.filter(F.col(target).isNotNull()).withColumn("_label", F.col(target).cast("double"))
+        if self.catalog is None:
+            if config.get("pruning"):
+                raise ValueError("pruning needs a field catalog")
+            columns = list(config["data"].get("features") or [c for c in self.df.columns if c != target and c not in keys])
+            wide = rows.select(*keys, "_label", *columns)
+        else:
+            catalog = prune(self.catalog, config["pruning"]) if config.get("pruning") else self.catalog
+            columns = [c for c in surviving_columns(catalog) if c != target and c not in keys]
+            wide = expand_catalog(rows, catalog, keep=[*keys, "_label"]).select(*keys, "_label", *columns)
+        parted = split.train_test_split(wide, keys, options.get("test_size", 0.25), options.get("seed", 42))
+        return (*self._written(parted, "wide"), columns)
+
+    def _shaped(self, config: Mapping[str, Any]) -> tuple[str, Prepared]:
+        _, parted, columns = self._once(self.names(config)[0], lambda: self._wide(config))
+        parted = promote_numeric(parted, columns)
+        process = config.get("process") or {}
+        steps = (process.get("numerical", ()), process.get("categorical", ()))
+        aside = [*self.keys, "_label", "split"]
+        if self.fit_scope == "all":
+            shaped, _ = fit_pipeline(parted, *steps, exclude=aside)
+        else:
+            _, fitted = fit_pipeline(parted.filter(F.col("split") == "train"), *steps, exclude=aside)
+            shaped = apply_pipeline(parted, fitted, exclude=aside)
+        features = [c for c in shaped.columns if c not in aside]
+        numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in features]
+        path, frame = self._written(shaped.select(*self.keys, "split", F.col("_label").alias("label"), *numbers), "prepared")
+        return path, Prepared(frame, tuple(features))
+
+
 def prepare(
-    df: DataFrame, catalog: Catalog, config: Mapping[str, Any], keys: Sequence[str], fit_scope: str = "train"
+    df: DataFrame, catalog: Catalog | None, config: Mapping[str, Any], keys: Sequence[str], fit_scope: str = "train"
 ) -> Prepared:
     """The model table of one experiment, written once so that every fit reads the same rows.
 
+    Without a catalog the columns are taken as they are: those of ``data.features``, or all but target and keys.
     Steps are fitted on the training part; ``fit_scope="all"`` fits them on all rows.
     """
-    target = config["data"]["target_feature"]
-    options = config.get("experiment", {})
-    if config.get("pruning"):
-        catalog = prune(catalog, config["pruning"])
-    rows = df.filter(F.col(target).isNotNull())
-    columns = [c for c in surviving_columns(catalog) if c != target and c not in keys]
-    carried = rows.withColumn("_label", F.col(target).cast("double"))
-    wide = expand_catalog(carried, catalog, keep=[*keys, "_label"]).select(*keys, "_label", *columns)
-    parted = split.train_test_split(wide, keys, options.get("test_size", 0.25), options.get("seed", 42))
-    parted = promote_numeric(materialise(parted, "wide"), columns)
-    process = config.get("process") or {}
-    steps = (process.get("numerical", ()), process.get("categorical", ()))
-    aside = [*keys, "_label", "split"]
-    if fit_scope == "all":
-        shaped, _ = fit_pipeline(parted, *steps, exclude=aside)
-    else:
-        _, fitted = fit_pipeline(parted.filter(F.col("split") == "train"), *steps, exclude=aside)
-        shaped = apply_pipeline(parted, fitted, exclude=aside)
-    features = [c for c in shaped.columns if c not in aside]
-    numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in features]
-    frame = shaped.select(*keys, "split", F.col("_label").alias("label"), *numbers)
-    return Prepared(materialise(frame, "prepared"), tuple(features))
+    return Preparations(df, catalog, keys, fit_scope).get(config)
 
 
 def assign_folds(df: DataFrame, keys: Sequence[str], validation: Mapping[str, Any]) -> tuple[DataFrame, str | None]:
@@ -99,10 +168,14 @@ def validate(prepared: Prepared, config: Mapping[str, Any], keys: Sequence[str])
 
 
 def objective(
-    df: DataFrame, catalog: Catalog, config: Mapping[str, Any], keys: Sequence[str], score_on: str = "val"
+    df: DataFrame, catalog: Catalog | None, config: Mapping[str, Any], keys: Sequence[str], score_on: str = "val"
 ) -> float:
     """Mean test RMSE over the folds, or the RMSE of one fit on ``score_on``."""
-    prepared = prepare(df, catalog, config, keys)
+    return score(prepare(df, catalog, config, keys), config, keys, score_on)
+
+
+def score(prepared: Prepared, config: Mapping[str, Any], keys: Sequence[str], score_on: str = "val") -> float:
+    """The objective on a model table."""
     if config.get("validation"):
         wanted = dict(config["validation"])
         wanted["metrics"] = sorted({"rmse", *wanted.get("metrics", [])})
@@ -112,7 +185,7 @@ def objective(
 
 
 def run_experiment(
-    df: DataFrame, catalog: Catalog, config: Mapping[str, Any], keys: Sequence[str]
+    df: DataFrame, catalog: Catalog | None, config: Mapping[str, Any], keys: Sequence[str]
 ) -> tuple[models.Fitted, Prepared, DataFrame]:
     """Fitted model, model table and ``(split, metric, value)``, with fold means as ``cv_`` splits."""
     prepared = prepare(df, catalog, config, keys)
@@ -124,12 +197,30 @@ def run_experiment(
 
 
 def run_sweep(
-    df: DataFrame, catalog: Catalog, config: Mapping[str, Any], keys: Sequence[str], n_trials: int = 100,
-    direction: str = "minimize", seed: int = 42,
+    df: DataFrame, catalog: Catalog | None, config: Mapping[str, Any], keys: Sequence[str], n_trials: int = 100,
+    direction: str = "minimize", seed: int = 42, budgets: Sequence[int] = (), budget_option: str = "n_estimators", keep: float = 1 / 3,
 ) -> tuple[DataFrame, dict]:
-    """The study table and the completed config of its best trial."""
-    spark = df.sparkSession
-    study = sweep.run_study(spark, config, lambda c: objective(df, catalog, c, keys), n_trials, seed)
-    best = sweep.best_trial(study, direction).first()
-    values = {p: best[p] for p in sweep.search_space(config)}
-    return study, sweep.filled_config(config, values)
+    """The study table and the completed config of its best trial.
+
+    With ``budgets`` the search is by successive halving: all trials are scored with the first number of
+    ``budget_option``, the best share ``keep`` of them with the next one, and so on.  Trials share what they prepare alike.
+    """
+    spark, space = df.sparkSession, sweep.search_space(config)
+    shared = Preparations(df, catalog, keys)
+    shared.expect(sweep.filled_config(config, {p: row[p] for p in space}) for row in sweep.trial_rows(spark, space, n_trials, seed))
+
+    def scored(filled: dict, budget: int | None = None) -> float:
+        model = filled["model"] if budget is None else {**filled["model"], budget_option: budget}
+        return score(shared.get(filled), {**filled, "model": model}, keys)
+
+    if budgets:
+        study = sweep.successive_halving(spark, config, scored, n_trials, budgets, keep, direction, seed, ended=shared.release)
+        last = study.filter(F.col("rung") == len(budgets) - 1)
+        best = sweep.best_trial(last, direction).first()
+    else:
+        study = sweep.run_study(spark, config, scored, n_trials, seed, ended=shared.release)
+        best = sweep.best_trial(study, direction).first()
+    found = sweep.filled_config(config, {p: best[p] for p in space})
+    if budgets:
+        found = {**found, "model": {**found["model"], budget_option: budgets[-1]}}
+    return study, found

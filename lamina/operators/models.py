@@ -7,9 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any, NamedTuple
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,6 +205,41 @@ def fit(
     return Fitted(model, tuple(features), missing)
 
 
+def fit_with_evaluation(
+    train: DataFrame, evaluation: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any], patience: int,
+) -> tuple[Fitted, DataFrame]:
+    """A boosted model that ends with its best round on ``evaluation``, and ``(iter, loss, kept)``.
+
+    Rounds stop counting when the evaluation RMSE has not fallen for ``patience`` rounds; the model keeps the rounds up to the
+    lowest one before that, the first of equal ones.
+    """
+    fitted = fit(train, features, label, config)
+    if not hasattr(fitted.model, "evaluateEachIteration"):
+        raise ValueError(f"{config.get('model_type')} has no rounds to stop")
+    curve = [r["loss"] for r in boosting_curve(fitted, {"evaluation": evaluation}, label).orderBy("iter").collect()]
+    best, seen = 0, 0
+    for seen, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = seen
+        if seen - best >= patience:
+            break
+    table = train.sparkSession.createDataFrame([(i, x, i <= best) for i, x in enumerate(curve[: seen + 1])], "iter int, loss double, kept boolean")
+    return fitted._replace(model=first_rounds(fitted.model, best + 1)), table
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The boosted model of the first rounds alone."""
+    context = model._sc if hasattr(model, "_sc") else SparkContext._active_spark_context
+    jvm, java = context._jvm, model._java_obj
+    trees = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(jvm.double, rounds)
+    for k in range(rounds):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    cut = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights))
+    model._copyValues(cut)
+    return cut
+
+
 def predict(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns and ``prediction``."""
     if isinstance(fitted.model, Neighbours):

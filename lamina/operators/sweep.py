@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import uniform
@@ -68,27 +69,79 @@ def sample_trials(trials: DataFrame, space: Mapping[str, Mapping], seed: int = 4
     return trials.select("*", *[sample(F.col(trial), p, leaf, seed).alias(p) for p, leaf in space.items()])
 
 
+def trial_rows(spark, space: Mapping[str, Mapping], n_trials: int, seed: int) -> list:
+    """The sampled values of every trial, in order."""
+    trials = spark.range(n_trials).withColumnRenamed("id", "trial")
+    return sample_trials(trials, space, seed).orderBy("trial").collect()
+
+
 def run_study(
     spark, config: Mapping, objective: Callable[[dict], float], n_trials: int = 100, seed: int = 42,
-    threads: int = TRIAL_THREADS,
+    threads: int = TRIAL_THREADS, ended: Callable[[dict], None] = lambda _: None,
 ) -> DataFrame:
     """``(trial, <path>..., score)``: every trial's config is completed, scored and tabled.
 
-    The objective runs Spark jobs; a few trials are in flight at a time.
+    The objective runs Spark jobs; a few trials are in flight at a time.  ``ended`` is told each config that was scored.
     """
     space = search_space(config)
     table = sample_trials(spark.range(n_trials).withColumnRenamed("id", "trial"), space, seed)
-    rows = table.orderBy("trial").collect()
+    rows = trial_rows(spark, space, n_trials, seed)
 
     def score(row) -> tuple:
-        values = {p: row[p] for p in space}
-        return (row["trial"], float(objective(filled_config(config, values))))
+        filled = filled_config(config, {p: row[p] for p in space})
+        try:
+            return (row["trial"], float(objective(filled)))
+        finally:
+            ended(filled)
 
     with ThreadPoolExecutor(threads) as pool:
         scores = list(pool.map(score, rows))
     return table.join(spark.createDataFrame(scores, "trial bigint, score double"), "trial")
 
 
+def promoted(scores: DataFrame, keep: float = 1 / 3, direction: str = "minimize") -> DataFrame:
+    """``scores`` of ``(trial, rung, score)`` with ``place`` in the rung and whether the trial goes on.
+
+    The best ``ceil(keep * n)`` of a rung's n trials go on, lower trials first on ties; a missing score comes last and
+    never goes on.  A rung's window holds a row per trial.
+    """
+    if direction not in ("minimize", "maximize"):
+        raise ValueError(f"unknown direction {direction!r}")
+    known = F.when(~F.isnan("score"), F.col("score"))
+    order = F.asc_nulls_last(known) if direction == "minimize" else F.desc_nulls_last(known)
+    rung = Window.partitionBy("rung")
+    placed = scores.withColumn("place", F.row_number().over(rung.orderBy(order, "trial")))
+    share = F.ceil(F.count(F.lit(1)).over(rung) * F.lit(float(keep)))
+    return placed.withColumn("promoted", known.isNotNull() & (F.col("place") <= share))
+
+
+def successive_halving(
+    spark, config: Mapping, objective: Callable[[dict, int], float], n_trials: int, budgets: Sequence[int], keep: float = 1 / 3,
+    direction: str = "minimize", seed: int = 42, threads: int = TRIAL_THREADS, ended: Callable[[dict], None] = lambda _: None,
+) -> DataFrame:
+    """``(trial, <path>..., rung, budget, score, place, promoted)``, a row per trial and rung it reached.
+
+    All trials are scored with the first budget, those promoted with the next one; ``ended`` is told a config
+    when its trial goes no further.
+    """
+    space = search_space(config)
+    rows = {r["trial"]: filled_config(config, {p: r[p] for p in space}) for r in trial_rows(spark, space, n_trials, seed)}
+    alive, tables = sorted(rows), []
+    for rung, budget in enumerate(budgets):
+        with ThreadPoolExecutor(threads) as pool:
+            scores = list(pool.map(lambda t: (t, rung, int(budget), float(objective(rows[t], budget))), alive))
+        table = promoted(spark.createDataFrame(scores, "trial bigint, rung int, budget int, score double"), keep, direction)
+        tables.append(table)
+        on = {r["trial"] for r in table.where("promoted").select("trial").collect()} if rung + 1 < len(budgets) else set()
+        for trial in set(alive) - on:
+            ended(rows[trial])
+        alive = sorted(on)
+        if not alive:
+            break
+    trials = sample_trials(spark.range(n_trials).withColumnRenamed("id", "trial"), space, seed)
+    return trials.join(reduce(DataFrame.unionByName, tables), "trial")
+
+
 def best_trial(study: DataFrame, direction: str = "minimize", score: str = "score", trial: str = "trial") -> DataFrame:
     """The one row with the best score, the lowest trial on ties; missing scores never win."""
     if direction not in ("minimize", "maximize"):

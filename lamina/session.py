@@ -83,3 +83,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table written below the shared folder, once nothing will read it again."""
+    if f"{shared_folder(spark).rstrip('/')}/lamina/" not in path:
+        raise ValueError(f"{path} is not an intermediate table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
