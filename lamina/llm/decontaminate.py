@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text import LOWER, col, id_type, text_chunks
+from lamina.llm.text import LOWER, ROW, col, id_type, text_chunks, with_row, without_rows
 from lamina.session import materialise
 
 WINDOW_WORDS = 13
@@ -226,7 +226,6 @@ def _slices(items: DataFrame, pass_bytes: int) -> Iterator[list[tuple]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated ones; a row without an id, which can't be named, stays."""
-    found = contamination(docs, benchmark, id_col, text_col, **options)
-    goes = materialise(found.where("contaminated AND id IS NOT NULL").select(F.col("id").alias("_goes")).distinct(), "goes")
-    return docs.join(goes, col(id_col) == F.col("_goes"), "left_anti")
+    """``docs`` without the contaminated ones, judged each by its own text; a row without an id, which can't be named, stays."""
+    found = contamination(with_row(docs, id_col, text_col), benchmark, ROW, text_col, **options)
+    return without_rows(docs, found.where("contaminated"), id_col, text_col)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.components import components
-from lamina.llm.text import CHUNK_BYTES, col, column_chunks, id_text, id_type, ragged
+from lamina.llm.text import CHUNK_BYTES, ROW, col, column_chunks, id_text, id_type, ragged, with_row
 from lamina.session import materialise
 
 SHINGLE = 5
@@ -426,10 +426,14 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the lines that go cut out of the texts; blank lines, null texts and rows without an id stay as they are."""
-    report = line_report(docs.where(col(id_col).isNotNull()), id_col, text_col, similarity).where("n_removed > 0")
+    """``docs`` with the lines that go cut out of the texts; blank lines, null texts and rows without an id stay as they are.
+
+    Rows are told apart by id and text, so that a row's lines are judged as its own; rows equal in both are one.
+    """
+    named = with_row(docs.where(col(id_col).isNotNull()), id_col, text_col)
+    report = line_report(named, ROW, text_col, similarity).where("n_removed > 0")
     cut = materialise(report.select(F.col("id").alias("_id"), "removed"), "cut").withColumnRenamed("removed", "_removed")
-    joined = docs.join(cut, col(id_col) == F.col("_id"), "left")
+    joined = with_row(docs, id_col, text_col).join(cut, F.col(ROW) == F.col("_id"), "left")
     kept = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("_removed"), i)), "\n")
     text = F.when(F.col("_removed").isNull(), col(text_col)).otherwise(kept)
     return joined.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])

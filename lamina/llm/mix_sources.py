@@ -230,11 +230,11 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     A row without an id can't be told from others by name; it stays once.
     """
     named = docs.where(col(id_col).isNotNull())
-    if _repeats(docs, id_col):
-        same = F.struct(col(id_col).cast("string").alias("id"), col(source_col).cast("string").alias("source"), F.sha2(col(text_col), 256).alias("text"))
-        one = named.withColumn("_draw", F.sha2(F.to_json(same), 256)).dropDuplicates(["_draw"])
-    else:
-        one = named.withColumn("_draw", col(id_col))
+    # rows are drawn by what they are, whether others repeat an id or not
+    same = F.struct(col(id_col).cast("string").alias("id"), col(source_col).cast("string").alias("source"), F.sha2(col(text_col), 256).alias("text"))
+    one = named.withColumn("_draw", F.sha2(F.to_json(same), 256))
+    if not one.groupBy("_draw").count().where("count > 1").isEmpty():
+        one = one.dropDuplicates(["_draw"])
     drawn = mix(one, "_draw", text_col, source_col, **options)
     times = materialise(drawn.select(F.col("id").alias("_id"), F.col("times").alias("_times")), "times")
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")
@@ -242,6 +242,3 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken = one.join(times, F.col("_draw") == F.col("_id")).where("_times > 0").select(*columns, copies).drop("_copy")
     return taken.union(docs.where(col(id_col).isNull()).select(*columns))
 
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.where(col(id_col).isNotNull()).groupBy(col(id_col)).count().where("count > 1").isEmpty()

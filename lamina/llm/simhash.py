@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.components import components
-from lamina.llm.text import Words, col, id_text, id_type, ragged, text_chunks
+from lamina.llm.text import ROW, Words, col, id_text, id_type, ragged, text_chunks, with_row, without_rows
 from lamina.session import materialise
 
 RADIUS = 2
@@ -230,13 +230,13 @@ def hex_fingerprint(name: str = "fingerprint") -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document per component, the one of the smallest id.
 
-    Rows that share an id are one document and become one row.  A row
-    without an id can't be told from others by name and stays.
+    Rows are told apart by id and text: rows equal in both become one, rows that share an id alone are documents of
+    their own.  A row without an id can't be told from others by name and stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    goes = materialise(found.where("component_id <> id").select(F.col("id").alias("_goes")).distinct(), "goes")
-    kept = docs.join(goes, col(id_col) == F.col("_goes"), "left_anti")
-    repeated = docs.where(col(id_col).isNotNull()).groupBy(col(id_col)).count().where("count > 1")
-    if repeated.isEmpty():
+    found = near_duplicates(with_row(docs, id_col, text_col), ROW, text_col)
+    kept = without_rows(docs, found.where("component_id <> id"), id_col, text_col)
+    named = with_row(docs.where(col(id_col).isNotNull()), id_col, text_col)
+    if named.groupBy(ROW).count().where("count > 1").isEmpty():
         return kept
-    return kept.where(col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(col(id_col).isNull()))
+    one = with_row(kept.where(col(id_col).isNotNull()), id_col, text_col).dropDuplicates([ROW]).drop(ROW)
+    return one.unionByName(kept.where(col(id_col).isNull()))

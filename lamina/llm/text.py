@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import materialise
+
 # Python workers look at about this much text at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 # The separators of a word, and A-Z in lower case.
@@ -30,6 +32,22 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
 
+ROW = "_lamina_row"
+
+
+def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` and a column that names a row by its id and 128 bits of its text, ids first; null without an id."""
+    text = F.coalesce(col(text_col), F.lit(""))
+    bits = [F.xxhash64(F.lit(k), text, F.octet_length(text)) for k in (1, 2)]
+    return docs.withColumn(ROW, F.when(col(id_col).isNotNull(), F.struct(col(id_col).alias("id"), bits[0].alias("a"), bits[1].alias("b"))))
+
+
+def without_rows(docs: DataFrame, goes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows named in column ``id`` of ``goes``; rows without an id stay."""
+    named = materialise(goes.select(F.col("id").alias("_goes")).where("_goes IS NOT NULL").distinct(), "goes")
+    return with_row(docs, id_col, text_col).join(named, F.col(ROW) == F.col("_goes"), "left_anti").drop(ROW)
+
+
 def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text import blank_separated, col, column_chunks, id_text, id_type
+from lamina.llm.text import ROW, blank_separated, col, column_chunks, id_text, id_type, with_row, without_rows
 from lamina.session import materialise
 
 # Documents of each class that lexicon and weights are learned from, at most, picked by a hash of the id.
@@ -459,7 +459,7 @@ def remainder(name, parts: int):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; a row without an id, which can't be named, stays."""
+    """``docs`` without those predicted toxic, judged each by its own text; a row without an id, which can't be named, stays."""
     lexicon = fit(docs, labels, id_col, text_col, train=lambda i: remainder(i, 4) != 2)
-    goes = score(docs, lexicon, id_col, text_col).where("predicted = 1 AND id IS NOT NULL").select(F.col("id").alias("_goes"))
-    return docs.join(materialise(goes.distinct(), "goes"), col(id_col) == F.col("_goes"), "left_anti")
+    goes = score(with_row(docs, id_col, text_col), lexicon, ROW, text_col).where("predicted = 1")
+    return without_rows(docs, goes, id_col, text_col)
