@@ -8,7 +8,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11)) and set(QUERIES) <= set(names) and "pipeline" in names
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14)) and set(QUERIES) <= set(names) and "pipeline" in names
     assert set(ORACLES) <= set(contract.oracle_sql())
 
 
