@@ -408,22 +408,20 @@ def permutation_importance(
     """
     features = list(fitted.features)
     frame, _ = with_row_index(
-        df.select(F.col(label).alias("label"), *features, key_hash(seed, "a", row_key(*keys)).alias("_a"),
+        df.select(F.col(label).alias("label"), F.array(*filled(features, fitted.missing)).alias("_x"), key_hash(seed, "a", row_key(*keys)).alias("_a"),
                   row_key(*keys).alias("_k")), ["_a", "_k"], "_i"
     )
     dealt, _ = with_row_index(
-        df.select(*[F.col(c).alias(f"_d_{c}") for c in features], key_hash(seed, "b", row_key(*keys)).alias("_b"),
+        df.select(F.array(*filled(features, fitted.missing)).alias("_d"), key_hash(seed, "b", row_key(*keys)).alias("_b"),
                   row_key(*keys).alias("_q")), ["_b", "_q"], "_i"
     )
-    both = frame.join(dealt, "_i").drop("_a", "_b", "_k", "_q")
-    variants = [F.struct(F.lit("").alias("feature"), *[F.col(c) for c in features])]
-    for f in features:
-        variants.append(F.struct(F.lit(f).alias("feature"), *[F.col(f"_d_{c}").alias(c) if c == f else F.col(c) for c in features]))
-    rows = both.select("label", F.explode(F.array(*variants)).alias("e")).select("label", "e.*")
-    scored = predict(fitted, rows, ["feature", "label"])
+    # one row per feature dealt out, -1 for none; the plan does not grow with the features
+    rows = frame.join(dealt, "_i").select("label", "_x", "_d", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_f"))
+    mixed = F.transform("_x", lambda x, f: F.when(f == F.col("_f"), F.get("_d", f)).otherwise(x))
+    scored = predict_arrays(fitted, rows.select("label", "_f", mixed.alias("_v")), ["_f", "label"], "_v")
     error = F.col("label") - F.col("prediction")
-    mse = {r["feature"]: r["mse"] for r in scored.groupBy("feature").agg(F.avg(error * error).alias("mse")).collect()}
-    rises = [(f, mse[f] - mse[""]) for f in features]
+    mse = {r["_f"]: r["mse"] for r in scored.groupBy("_f").agg(F.avg(error * error).alias("mse")).collect()}
+    rises = [(f, mse[k] - mse[-1]) for k, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rises, "feature string, feature_importance double").orderBy(
         F.desc("feature_importance"), "feature"
     )

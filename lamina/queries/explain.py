@@ -28,9 +28,10 @@ def _attributions(spark, sf_dir):
     return _values(spark, sf_dir).unpivot(["row_id"], [f"f{i}" for i in range(64)], "feature", "value")
 
 
-def _pairs(spark, sf_dir):
-    """A row x feature x feature tensor: the product of both coordinates."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+def _pairs(spark, sf_dir, features=64):
+    """A row x feature x feature tensor of the first features: the product of both coordinates."""
+    cells = F.transform(F.slice("embedding", 1, features), lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), cells.alias("e"))
     firsts = rows.select("row_id", "e", F.posexplode("e").alias("i", "x"))
     both = firsts.select("row_id", "i", "x", F.posexplode("e").alias("j", "y"))
     name = [F.concat(F.lit("f"), F.col(c).cast("string")).alias(f"feature_{c}") for c in ("i", "j")]
@@ -59,13 +60,14 @@ def interaction_pairs(spark, sf_dir):
 
 @query("dependence_points", ATTRIBUTIONS_SQL + """
 , plan(feature_i, feature_j, colour_by) AS (VALUES ('f0', 'f0', NULL), ('f0', 'f1', 'f1'), ('f0', 'f2', 'f2'), ('f3', 'f3', NULL), ('f3', 'f1', 'f1'))
-SELECT p.row_id, feature_i, feature_j, x.value AS x, p.value AS attribution, c.value AS colour
-FROM pairs p JOIN plan USING (feature_i, feature_j) JOIN a x ON x.row_id = p.row_id AND x.feature = feature_i
-LEFT JOIN a c ON c.row_id = p.row_id AND c.feature = colour_by""")
+SELECT x.row_id, feature_i, feature_j, x.value AS x, x.value * y.value AS attribution, c.value AS colour
+FROM plan JOIN a x ON x.feature = feature_i JOIN a y ON y.row_id = x.row_id AND y.feature = feature_j
+LEFT JOIN a c ON c.row_id = x.row_id AND c.feature = colour_by""")
 def dependence_points(spark, sf_dir):
     pairs = spark.createDataFrame([("f0", "f1"), ("f0", "f2"), ("f3", "f1")], "feature_i string, feature_j string")
     plan = explain.dependence_plan(pairs)
-    return explain.dependence_points(_values(spark, sf_dir), _pairs(spark, sf_dir), "row_id", plan)
+    # the tensor of the features that the plan names
+    return explain.dependence_points(_values(spark, sf_dir), _pairs(spark, sf_dir, 4), "row_id", plan)
 
 
 def _numbered(spark, sf_dir):
@@ -219,3 +221,15 @@ def shapley_exact_model(spark, sf_dir):
             (F.round(gap, 6) + 0.0).alias("largest_gap"),
         ))
     return parts[0].unionByName(parts[1])
+
+
+@query("shapley_sampled_facts", f"SELECT count(*) AS n_rows, count(*) * {len(FEATURES)} AS n_values, 0.0e0 AS largest_gap FROM lineitem")
+def shapley_sampled_facts(spark, sf_dir):
+    """Sampled attributions add up to the prediction less the background's mean, over all rows."""
+    df = _numbered(spark, sf_dir)
+    fitted = models.fit(df, FEATURES, "label", GRADIENT)
+    values, ends = explain.sampled_shapley(fitted, df, "row_id")
+    sums = values.groupBy("row_id").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    gap = F.abs(F.col("base") + F.col("total") - F.col("model"))
+    both = sums.join(ends, "row_id").join(models.predict(fitted, df, ["row_id"]).withColumnRenamed("prediction", "model"), "row_id")
+    return both.agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_values"), (F.round(F.max(gap), 6) + 0.0).alias("largest_gap"))

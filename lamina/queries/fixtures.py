@@ -56,9 +56,9 @@ SELECT o_orderkey AS row_id,
 FROM {orders}""",
     "compounds": """
 SELECT p_partkey AS row_id,
-  concat(CASE p_partkey % 5 WHEN 0 THEN 'MA' WHEN 1 THEN 'FA' WHEN 2 THEN 'Cs0.05FA0.79MA0.16' WHEN 3 THEN 'Cs' ELSE 'Cs0.2FA0.8' END,
-    CASE p_partkey % 7 WHEN 0 THEN 'Sn' WHEN 1 THEN 'Pb0.5Sn0.5' WHEN 2 THEN 'Ag' ELSE 'Pb' END,
-    CASE p_partkey % 4 WHEN 0 THEN 'I3' WHEN 1 THEN 'Br3' WHEN 2 THEN 'I2.5Br0.5' ELSE CASE WHEN p_size % 3 = 0 THEN 'IBr2 | MAPbI3' ELSE 'IBr2I ' END END) AS long_form,
+  concat(CASE WHEN p_partkey % 23 = 0 THEN 'Cs0.5FA0.2' ELSE CASE p_partkey % 5 WHEN 0 THEN 'MA' WHEN 1 THEN 'FA' WHEN 2 THEN 'Cs0.05FA0.79MA0.16' WHEN 3 THEN 'Cs' ELSE 'Cs0.2FA0.8' END END,
+    CASE WHEN p_partkey % 37 = 0 THEN 'Pb0.5' ELSE CASE p_partkey % 7 WHEN 0 THEN 'Sn' WHEN 1 THEN 'Pb0.5Sn0.5' WHEN 2 THEN 'Ag' ELSE 'Pb' END END,
+    CASE WHEN p_partkey % 29 = 0 THEN 'I2.5' WHEN p_partkey % 31 = 0 THEN 'Br2' ELSE CASE p_partkey % 4 WHEN 0 THEN 'I3' WHEN 1 THEN 'Br3' WHEN 2 THEN 'I2.5Br0.5' ELSE CASE WHEN p_size % 3 = 0 THEN 'IBr2 | MAPbI3' ELSE 'IBr2I ' END END END) AS long_form,
   CASE WHEN p_size % 11 = 0 THEN 'nan' WHEN p_size % 13 = 0 THEN NULL ELSE cast(1 + p_size AS varchar(10)) END AS band_gap,
   p_size % 9 <> 0 AS dimension_3d,
   CASE WHEN p_size % 17 = 0 THEN NULL ELSE p_size % 8 <> 0 END AS abc3,

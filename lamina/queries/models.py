@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.operators import experiment, models, split, sweep
@@ -210,3 +211,72 @@ def experiment_report(spark, sf_dir):
     df, catalog = _study_input(spark, sf_dir)
     fixed = {p: {"float": 0.75, "int": 4}[leaf["type"]] for p, leaf in sweep.search_space(STUDY).items()}
     return experiment.run_experiment(df, catalog, sweep.filled_config(STUDY, fixed), ["row_id"])[2]
+
+
+# -- facts about trained models ------------------------------------------------------
+
+
+@query("model_store_facts", "SELECT count(*) AS n_rows, 0.0e0 AS largest_difference FROM lineitem")
+def model_store_facts(spark, sf_dir):
+    """A model read back predicts what the saved one does, over all rows."""
+    df = model_table(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    fitted = models.fit(df, FEATURES, "label", GRADIENT)
+    save_model(fitted, GRADIENT, path, spark)
+    again, _ = load_model(path, spark)
+    first = models.predict(fitted, df, LINE_KEYS)
+    second = models.predict(again, df, LINE_KEYS).withColumnRenamed("prediction", "again")
+    both = first.join(second, LINE_KEYS)
+    return both.agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("prediction") - F.col("again"))).alias("largest_difference"))
+
+
+@query("boosting_curve_facts", """SELECT split, 8 AS rounds, CAST(0 AS BIGINT) AS rises, true AS ends_with_model
+FROM (VALUES ('train')) AS parts(split)""")
+def boosting_curve_facts(spark, sf_dir):
+    """The training loss has a value a round, never rises, and ends with the model's own."""
+    df = model_table(spark, sf_dir)
+    fitted = models.fit(df, FEATURES, "label", GRADIENT)
+    curve = models.boosting_curve(fitted, {"train": df}, "label")
+    before = F.lag("loss").over(Window.partitionBy("split").orderBy("iter"))
+    own = models.predict(fitted, df, ["label"]).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+    steps = curve.withColumn("rise", F.col("loss") > before * (1 + 1e-9)).groupBy("split").agg(
+        F.count("*").cast("int").alias("rounds"), F.count_if("rise").alias("rises"), F.max_by("loss", "iter").alias("last")
+    )
+    return steps.select("split", "rounds", "rises", (F.abs(F.col("last") / F.lit(own) - 1) < 1e-6).alias("ends_with_model"))
+
+
+@query("early_stopping_facts", "SELECT true AS ends_at_lowest, true AS same_losses, true AS same_rounds")
+def early_stopping_facts(spark, sf_dir):
+    """A model cut at its best round on the test part has that many rounds and repeats their losses."""
+    parted = _split(spark, sf_dir)
+    train, held = parted.filter("split = 'train'"), parted.filter("split = 'test'")
+    cut, rounds = models.fit_with_evaluation(train, held, FEATURES, "label", GRADIENT, patience=2)
+    kept = rounds.where("kept").join(models.boosting_curve(cut, {"test": held}, "label").withColumnRenamed("loss", "again"), "iter", "full")
+    lowest = rounds.agg(F.min("loss")).first()[0]
+    return kept.agg(
+        (F.min("loss") == F.lit(lowest)).alias("ends_at_lowest"), F.bool_and(F.abs(F.col("loss") / F.col("again") - 1) < 1e-9).alias("same_losses"),
+        F.bool_and(F.col("again").isNotNull() & F.col("loss").isNotNull()).alias("same_rounds"),
+    )
+
+
+@query("halving_promotions", """
+WITH s AS (SELECT o_custkey AS trial, CAST(extract(year FROM o_orderdate) AS INTEGER) AS rung, min(o_totalprice) AS score
+  FROM orders GROUP BY 1, 2)
+, p AS (SELECT trial, rung, score, row_number() OVER (PARTITION BY rung ORDER BY score, trial) AS place, count(*) OVER (PARTITION BY rung) AS n FROM s)
+SELECT trial, rung, score, CAST(place AS INTEGER) AS place, place <= ceil(n * 0.25e0) AS promoted FROM p""")
+def halving_promotions(spark, sf_dir):
+    """Customers as trials, years as rungs, the cheapest order as score."""
+    orders = table(spark, sf_dir, "orders")
+    scores = orders.groupBy(F.col("o_custkey").alias("trial"), F.year("o_orderdate").alias("rung")).agg(F.min("o_totalprice").alias("score"))
+    return sweep.promoted(scores, 0.25)
+
+
+@query("model_knn_facts", "SELECT count(*) AS n_rows, 0.0e0 AS largest_difference FROM embeddings")
+def model_knn_facts(spark, sf_dir):
+    """With one neighbour, weighted by distance, a training row is predicted by rows equal to it."""
+    df = vectors(spark, sf_dir)
+    fitted = models.fit(df, COORDINATES, "label", {"model_type": "knn", "n_neighbors": 1, "weights": "distance"})
+    same = df.groupBy(*COORDINATES).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    found = models.predict(fitted, df, ["vec_id", *COORDINATES]).join(same, COORDINATES)
+    outside = F.greatest(F.col("low") - F.col("prediction"), F.col("prediction") - F.col("high"), F.lit(0.0))
+    return found.agg(F.count("*").alias("n_rows"), F.max(outside).alias("largest_difference"))
