@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import transform
+from lamina.operators import target_stats, transform
 from lamina.queries.fixtures import LINE_KEYS, fixture, oracle, table
 from lamina.queries.registry import query
+from lamina.queries.splits import TEXT_KEY, hash_sql
 
 KEYS = ", ".join(LINE_KEYS)
 
@@ -186,3 +187,24 @@ def transform_by_dtype(spark, sf_dir):
         exclude=LINE_KEYS,
     )
     return _rounded(result, ["x1", "x3"])
+
+
+@query("encode_ordered_target", oracle("numeric", f"""
+, r AS (SELECT *, {hash_sql('42')} AS h, {TEXT_KEY} AS k, avg(prediction) OVER () AS m FROM src)
+SELECT {KEYS}, round((coalesce(sum(prediction) OVER w, 0.0e0) + m) / (count(*) OVER w + 1.0e0), 6) AS cat FROM r
+WINDOW w AS (PARTITION BY cat ORDER BY h, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+def encode_ordered_target(spark, sf_dir):
+    df = _numeric(spark, sf_dir, "cat", "prediction")
+    encoded, _ = target_stats.ordered_target_statistics(df, ["cat"], "prediction", LINE_KEYS, chunk_rows=5000)
+    return encoded.select(*LINE_KEYS, F.round("cat", 6).alias("cat"))
+
+
+@query("apply_target_statistics", oracle("numeric", f"""
+, m AS (SELECT avg(prediction) AS m FROM src WHERE fold <> 0)
+, t AS (SELECT cat, sum(prediction) AS total, count(*) AS n FROM src WHERE fold <> 0 GROUP BY cat)
+SELECT {KEYS}, round((coalesce(total, 0.0e0) + m) / (coalesce(n, 0) + 1.0e0), 6) AS cat FROM src LEFT JOIN t USING (cat), m WHERE fold = 0"""))
+def apply_target_statistics(spark, sf_dir):
+    df = _numeric(spark, sf_dir, "cat", "prediction", "fold")
+    _, fitted = target_stats.ordered_target_statistics(df.where("fold <> 0"), ["cat"], "prediction", LINE_KEYS)
+    coded = target_stats.apply_target_statistics(df.where("fold = 0"), fitted)
+    return coded.select(*LINE_KEYS, F.round("cat", 6).alias("cat"))
