@@ -154,6 +154,8 @@ def assign_folds(df: DataFrame, keys: Sequence[str], validation: Mapping[str, An
 def validate(prepared: Prepared, config: Mapping[str, Any], keys: Sequence[str]) -> DataFrame:
     """``(fold, split, metric, value)`` of the training part."""
     validation = config["validation"]
+    # there is no third part to stop on
+    config = {**config, "model": models.stopping_patience(config["model"])[1]}
     train = prepared.frame.filter(F.col("split") == "train").drop("split")
     if validation.get("method") == "leave_one_out" and config["model"].get("model_type") == "knn":
         missing = models.fit_missing(train, prepared.features)

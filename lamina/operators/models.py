@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -37,6 +38,8 @@ _GRADIENT = {"n_estimators": "maxIter", "eta": "stepSize", "learning_rate": "ste
 _ORDERED = {"iterations": "maxIter", "n_estimators": "maxIter", "depth": "maxDepth", "max_depth": "maxDepth",
             "learning_rate": "stepSize", "border_count": "maxBins", "subsample": "subsamplingRate",
             "rsm": "featureSubsetStrategy", "min_data_in_leaf": "minInstancesPerNode", "random_state": "seed"}
+# Options that end boosting early.
+STOPPING = ("early_stopping_rounds", "od_type", "od_wait")
 # Options that only concern threads, printing or files.
 _IGNORED = {"n_jobs", "verbose", "eval_metric", "allow_writing_files"}
 MODELS = {
@@ -190,7 +193,13 @@ def _predict_knn(fitted: Fitted, df: DataFrame, keep: Sequence[str], cells: Colu
 def fit(
     df: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any], is_balanced: bool = False
 ) -> Fitted:
-    """Train on ``df``.  The learner keeps its own binned copy; ``is_balanced`` data are only read for it."""
+    """Train on ``df``.  The learner keeps its own binned copy; ``is_balanced`` data are only read for it.
+
+    ``min_samples_leaf`` may be a share of the rows, rounded up.
+    """
+    share = config.get("min_samples_leaf")
+    if isinstance(share, float) and 0 < share < 1:
+        config = {**config, "min_samples_leaf": max(1, math.ceil(share * df.count()))}
     missing = fit_missing(df, features)
     if config.get("model_type") == "knn":
         return Fitted(_fit_knn(df, features, label, missing, config), tuple(features), missing)
@@ -205,6 +214,18 @@ def fit(
     return Fitted(model, tuple(features), missing)
 
 
+def stopping_patience(config: Mapping[str, Any]) -> tuple[int | None, dict]:
+    """Rounds without improvement after which boosting ends, if the config has an option for it, and the config without it."""
+    rest = {k: v for k, v in config.items() if k not in STOPPING}
+    if config.get("early_stopping_rounds") is not None:
+        return int(config["early_stopping_rounds"]), rest
+    if config.get("od_wait") is None and config.get("od_type") is None:
+        return None, rest
+    if config.get("od_type", "Iter") != "Iter":
+        raise ValueError(f"od_type {config['od_type']!r} has no counterpart")
+    return int(config.get("od_wait", 20)), rest
+
+
 def fit_with_evaluation(
     train: DataFrame, evaluation: DataFrame, features: Sequence[str], label: str, config: Mapping[str, Any], patience: int,
 ) -> tuple[Fitted, DataFrame]:
@@ -356,10 +377,16 @@ def train_report(
 ) -> tuple[Fitted, DataFrame]:
     """Fit on the train part; ``(split, metric, value)`` on train and ``val``, then on the folds if any.
 
-    The reported r2 has the variance of the predictions below it, and r is its root.
+    The reported r2 has the variance of the predictions below it, and r is its root.  With ``early_stopping_rounds``, or
+    ``od_wait``, a boosted model ends with its best round on the other rows; folds take all rounds.
     """
     train = df.filter(F.col(split) == "train")
-    fitted = fit(train, features, label, config)
+    patience, config = stopping_patience(config)
+    held = df.filter(F.col(split) != "train")
+    if patience is None or held.isEmpty():
+        fitted = fit(train, features, label, config)
+    else:
+        fitted, _ = fit_with_evaluation(train, held, features, label, config, patience)
     side = F.when(F.col(split) == "train", F.lit("train")).otherwise(F.lit("val"))
     scored = predict(fitted, df.select(side.alias("split"), F.col(label).alias("label"), *features), ["split", "label"])
     known = metric_aggregates()

@@ -123,3 +123,18 @@ def test_early_stopping_keeps_the_rounds_up_to_the_best(spark, plain):
     assert models.predict(cut, held, ["id"]).count() == 80
     with pytest.raises(ValueError, match="no rounds"):
         models.fit_with_evaluation(train, held, ["x"], "label", {"model_type": "random_forest", "n_estimators": 2}, 2)
+
+
+def test_options_for_stopping_and_shares_of_rows(spark, plain):
+    table = plain.select(F.coalesce("x", F.lit(0.0)).alias("x"), F.col("y").alias("label"), F.when(F.col("id") < 120, "train").otherwise("test").alias("split"), "id")
+    config = {"model_type": "catboost", "iterations": 10, "depth": 4, "learning_rate": 0.6, "od_type": "Iter", "od_wait": 1}
+    fitted, report = models.train_report(table, ["x"], "label", config)
+    plain_config = {k: v for k, v in config.items() if not k.startswith("od_")}
+    cut, _ = models.fit_with_evaluation(table.where("split = 'train'"), table.where("split = 'test'"), ["x"], "label", plain_config, 1)
+    assert fitted.model.getNumTrees == cut.model.getNumTrees and report.count() == 10
+    assert models.stopping_patience({"od_type": "Iter"}) == (20, {})
+    assert models.stopping_patience({"early_stopping_rounds": 3, "eta": 1}) == (3, {"eta": 1})
+    with pytest.raises(ValueError):
+        models.stopping_patience({"od_type": "IncToDec"})
+    forest = models.fit(table, ["x"], "label", {"model_type": "random_forest", "n_estimators": 1, "min_samples_leaf": 0.101})
+    assert forest.model.getMinInstancesPerNode() == 21
