@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import materialise
+from lamina.session import BROADCAST_ROWS, materialise
 
 # Python workers look at about this much text at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -43,8 +43,12 @@ def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, goes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows named in column ``id`` of ``goes``; rows without an id stay."""
+    """``docs`` without the rows named in column ``id`` of ``goes``; rows without an id stay.
+
+    Up to a checked number of names, 24 bytes and an id each, are broadcast, more meet the rows in a shuffle.
+    """
     named = materialise(goes.select(F.col("id").alias("_goes")).where("_goes IS NOT NULL").distinct(), "goes")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     return with_row(docs, id_col, text_col).join(named, F.col(ROW) == F.col("_goes"), "left_anti").drop(ROW)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.text import blank_separated, column_chunks, id_text, id_type
 from lamina.llm.token_count import byte_letters, merges
-from lamina.session import scratch_path
+from lamina.session import discard, scratch_path
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
@@ -346,6 +346,7 @@ def write_tokens(
     ordered.select(F.spark_partition_id().alias("shard"), "id", "ids").mapInArrow(
         _block_writer(coder, id_arrow, block_tokens), f"shard int, ids array<{kind}>, {BLOCK_FIELDS}"
     ).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(spark, scratch)
 
 
 def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, Coder | None]:
