@@ -31,7 +31,7 @@ def ordered_target_statistics(
 ) -> tuple[DataFrame, TargetStatistics]:
     """``df`` with each column's cells replaced by a statistic that has not seen the row's own label, and what to apply to other rows.
 
-    Rows are put in the order of a hash of their keys, which must identify them.  A cell becomes
+    Rows are put in the order of a hash of their keys, rows of equal keys by rising label; every row is one of its own.  A cell becomes
     ``(sum + weight * prior) / (n + weight)`` over the labels of the rows before it that have its category; ``prior`` is
     the mean label.  A null is a category of its own; rows without a label are an error.
 
@@ -45,26 +45,28 @@ def ordered_target_statistics(
     bits = max(0, (size["n"] // chunk_rows).bit_length())
     key = row_key(*keys)
     order = key_hash(seed, key)
+    # written with a number, which then stays a row's own
+    df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     chunk = F.shiftright(order, HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
     cells = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(c).cast("string").alias("category")) for k, c in enumerate(columns)])
     rows = materialise(df.select(
-        key.alias("_k"), order.alias("_h"), chunk.alias("_chunk"), F.col(label).cast("double").alias("_y"), F.explode(cells).alias("e")
-    ).select("_k", "_h", "_chunk", "_y", "e.slot", F.coalesce(F.concat(F.lit("="), "e.category"), F.lit("")).alias("category")), "cells")
+        "_row", key.alias("_k"), order.alias("_h"), chunk.alias("_chunk"), F.col(label).cast("double").alias("_y"), F.explode(cells).alias("e")
+    ).select("_row", "_k", "_h", "_chunk", "_y", "e.slot", F.coalesce(F.concat(F.lit("="), "e.category"), F.lit("")).alias("category")), "cells")
     sums = materialise(rows.groupBy("slot", "category", "_chunk").agg(F.sum("_y").alias("total"), F.count(F.lit(1)).alias("n")), "sums")
     earlier = Window.partitionBy("slot", "category").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(
         "slot", "category", "_chunk", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("_total"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"),
     )
-    inside = Window.partitionBy("slot", "category", "_chunk").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("slot", "category", "_chunk").orderBy("_h", "_k", "_y", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_own", F.coalesce(F.sum("_y").over(inside), F.lit(0.0))).withColumn("_count", F.count(F.lit(1)).over(inside))
     value = (F.col("_total") + F.col("_own") + F.lit(weight * prior)) / (F.col("_n") + F.col("_count") + F.lit(float(weight)))
-    valued = placed.join(before, ["slot", "category", "_chunk"]).groupBy("_k").agg(
+    valued = placed.join(before, ["slot", "category", "_chunk"]).groupBy("_row").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", value.alias("value")))).alias("_values")
     )
-    joined = df.withColumn("_k", key).join(valued, "_k")
+    joined = df.join(valued, "_row")
     slots = {c: k for k, c in enumerate(columns)}
-    encoded = joined.select(*[F.element_at("_values", F.lit(slots[c])).alias(c) if c in slots else F.col(c) for c in df.columns])
+    encoded = joined.select(*[F.element_at("_values", F.lit(slots[c])).alias(c) if c in slots else F.col(c) for c in df.columns if c != "_row"])
     totals = materialise(sums.groupBy("slot", "category").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), "totals")
     return encoded, TargetStatistics(totals, tuple(columns), prior, float(weight))
 

@@ -192,7 +192,7 @@ def transform_by_dtype(spark, sf_dir):
 @query("encode_ordered_target", oracle("numeric", f"""
 , r AS (SELECT *, {hash_sql('42')} AS h, {TEXT_KEY} AS k, avg(prediction) OVER () AS m FROM src)
 SELECT {KEYS}, round((coalesce(sum(prediction) OVER w, 0.0e0) + m) / (count(*) OVER w + 1.0e0), 6) AS cat FROM r
-WINDOW w AS (PARTITION BY cat ORDER BY h, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+WINDOW w AS (PARTITION BY cat ORDER BY h, k, prediction ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def encode_ordered_target(spark, sf_dir):
     df = _numeric(spark, sf_dir, "cat", "prediction")
     encoded, _ = target_stats.ordered_target_statistics(df, ["cat"], "prediction", LINE_KEYS, chunk_rows=5000)

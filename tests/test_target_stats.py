@@ -39,3 +39,12 @@ def test_rows_without_a_label(spark):
     encoded, fitted = ordered_target_statistics(df.limit(0), ["c"], "y", ["id"])
     assert encoded.collect() == []
     assert apply_target_statistics(df.drop("y"), fitted).first()["c"] == 0.0
+
+
+def test_rows_of_equal_keys_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 1.0), (1, "a", 1.0), (1, "b", 5.0)], "id long, c string, y double").repartition(3)
+    encoded, _ = ordered_target_statistics(df, ["c"], "y", ["id"])
+    prior = 9.0 / 4
+    expected = [(1.0, prior), (1.0, (1 + prior) / 2), (2.0, (2 + prior) / 3), (5.0, prior)]
+    got = sorted((r["y"], r["c"]) for r in encoded.collect())
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1]) for a, b in zip(got, sorted(expected)))
