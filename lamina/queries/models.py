@@ -219,14 +219,14 @@ def experiment_report(spark, sf_dir):
 @query("model_store_facts", "SELECT count(*) AS n_rows, 0.0e0 AS largest_difference FROM lineitem")
 def model_store_facts(spark, sf_dir):
     """A model read back predicts what the saved one does, over all rows."""
-    df = model_table(spark, sf_dir)
+    df = split.number_rows(model_table(spark, sf_dir), LINE_KEYS)
     path = scratch_path(spark, "model")
     fitted = models.fit(df, FEATURES, "label", GRADIENT)
     save_model(fitted, GRADIENT, path, spark)
     again, _ = load_model(path, spark)
-    first = models.predict(fitted, df, LINE_KEYS)
-    second = models.predict(again, df, LINE_KEYS).withColumnRenamed("prediction", "again")
-    both = first.join(second, LINE_KEYS)
+    first = models.predict(fitted, df, ["row_id"])
+    second = models.predict(again, df, ["row_id"]).withColumnRenamed("prediction", "again")
+    both = first.join(second, "row_id")
     return both.agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("prediction") - F.col("again"))).alias("largest_difference"))
 
 
