@@ -68,6 +68,8 @@ def column_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -
             size += length
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    # what a task has used goes back before the worker waits for the next one
+    pa.default_memory_pool().release_unused()
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -38,7 +38,7 @@ CHECKPOINT_STEPS = 256
 TOTAL_BITS = 20
 LOW = np.uint64(1 << 31)
 # Pieces and words whose ids a worker remembers; the half not met lately goes beyond them, which changes time only.
-CACHE_PIECES, CACHE_WORDS = 1 << 18, 1 << 19
+CACHE_PIECES, CACHE_WORDS = 1 << 17, 1 << 18
 
 
 class Known:
