@@ -12,6 +12,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,6 +42,8 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
+            # one machine, so that a folder of its own is shared by all
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="lamina-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

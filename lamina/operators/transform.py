@@ -274,6 +274,7 @@ def apply_pipeline(df: DataFrame, fitted: Sequence, exclude: Sequence[str] = ())
     return frame.select(*exclude, *groups["numerical"], *groups["categorical"])
 
 
+# The names of step types and methods here and in ``apply_step`` are those of the config format.
 def _fit_step(df: DataFrame, columns: Sequence[str], step: dict) -> tuple[str, str, Any]:
     kind, method = step.pop("type", "other"), step.pop("method", "passthrough")
     if (kind, method) == ("impute", "simple"):

@@ -136,6 +136,7 @@ def loo_knn(spark, sf_dir):
 
 # -- search ----------------------------------------------------------------------
 
+# The keys of SPACE and STUDY are those of the config format.
 SPACE = {
     "model": {
         "model_type": "xgboost",

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from lamina.functions.text import CSV_MISSING, null_token
 from lamina.operators.rows import promote_numeric
 
+# The fields of a dataset's metadata.
 METADATA = T.StructType(
     [
         T.StructField("creation_date", T.TimestampType()),
