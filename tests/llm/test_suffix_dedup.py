@@ -40,6 +40,25 @@ def test_suffixes_and_common_prefixes(memory):
         assert (places.tolist(), shared.tolist()) == plain_suffixes(text, limit)
 
 
+def test_a_substring_that_ends_where_a_step_of_names_ends():
+    # seven symbols of nine bits are named at once; the first of these substrings ends there, the others go on
+    text = [300, 9, 2, 3, 3, 3, 3, 3, 2, 4, 9, 2, 3, 3, 3, 3, 3, 2, 1, 9, 2, 3, 3, 3, 3, 3, 2, 2, 1, 9, 0]
+    places, shared = suffix_array(np.array(text), 20)
+    assert (places.tolist(), shared.tolist()) == plain_suffixes(text, 20)
+
+
+@pytest.mark.parametrize("seed", [6, 18, 24, 44, 70, 106])
+def test_repeats_of_texts_of_few_letters(seed):
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abc") * rng.randint(1, 6) for _ in range(rng.randint(6, 60))) for _ in range(3)]
+    cuts = [[(p, rng.randint(0, len(p))) for p in rng.choices(pool, k=4)] for _ in range(5)]
+    bodies = sorted({"".join(p[at:at + 150] * rng.choice([1, 1, 2, 5]) for p, at in c).encode() for c in cuts})
+    bodies = [b for b in bodies if len(b) >= 20]
+    starts = Counter(b[p:p + 20] for b in bodies for p in range(len(b) - 19))
+    for body, places in zip(bodies, suffix_dedup.repeated_strings(bodies, [1] * len(bodies), 20)):
+        assert places.tolist() == [p for p in range(len(body) - 19) if starts[body[p:p + 20]] > 1]
+
+
 def test_large_arrays_are_files():
     array = room(1000, np.int64, 100)
     assert isinstance(array, np.memmap) and not array.any()
