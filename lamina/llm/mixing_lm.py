@@ -2,15 +2,14 @@
 
 A text is a sequence of words and an end.  A frequent word belongs to a class of words that follow the same
 very frequent word; a rarer word is an escape and its bytes.  The class, end or escape of each token is a path of yes/no
-decisions in a Huffman tree, as are the bytes in a second tree; a word within its class has its share of the class's counts.  For every decision
-several predictors, each a table of counts addressed by a hash of a context and the place in the tree, give the
+decisions in a Huffman tree, which goes on in a Huffman tree of the class's words down to the word; so are the bytes in a
+second tree.  For every decision several predictors, each a table of counts addressed by a hash of a context and the place in the tree, give the
 odds; weights chosen by a gate (how often the contexts have been seen) combine them, and a last table
 refines the combined odds.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,8 +30,8 @@ HASH_SEED = 42
 # Words whose topics are counted in 64 bits; any other is at most one token in this many, for which 32 bits do.
 WIDE_WORDS = 1 << 16
 # Slots of a predictor: one per this many training tokens, within these powers of two; of letters, within fewer.
-TOKENS_PER_SLOT = 16
-SLOT_BITS = (14, 19)
+TOKENS_PER_SLOT = 2
+SLOT_BITS = (14, 21)
 LETTER_BITS = 18
 # A context's topic is the last word among this many most frequent ones; each topic has a class of words.
 TOPIC_WORDS = 32
@@ -40,8 +39,9 @@ CLASSES = TOPIC_WORDS + 3
 # One training document in this many is kept from the counts while the weights are learned on it, then counted too.
 TUNING_SHARE = 8
 SLICE = 1 << 14
-EVENT_BYTES = 1 << 19
+EVENT_BYTES = 1 << 18
 BATCH_EVENTS = 1 << 13
+FULL_EVENTS = 1 << 31
 RATE = 0.2
 # Fixed symbols and classes of the end and of an escape, and the byte that ends a spelled word.
 END, ESCAPE, FIRST_WORD, STOP = 0, 1, 2, 32
@@ -51,46 +51,60 @@ REFINE_STEPS = 33
 PREDICTORS = {"word": ("tree", "topic", "one", "two"), "spell": ("tree", "pair", "triple", "five")}
 
 
-def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman tree: where each symbol's path starts, its length, and all nodes and bits of the paths."""
-    heap = [(int(w), i, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    parent, side = np.zeros(2 * len(heap), np.int64), np.zeros(2 * len(heap), np.uint8)
-    fresh = len(heap)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[2]] = parent[b[2]] = fresh
-        side[b[2]] = 1
-        heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
-        fresh += 1
-    root, symbols = fresh - 1, len(weights)
-    nodes, bits, lengths = [], [], np.zeros(symbols, np.int64)
-    at = np.arange(symbols)
-    owners, order = [], []
-    level = 0
-    alive = at != root
-    where = np.arange(symbols)[alive]
-    at = at[alive]
-    while len(at):
-        nodes.append(parent[at] - symbols)
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parent and side of every node of a Huffman tree: first the symbols, then inner nodes as they are made, the root last."""
+    symbols = len(weights)
+    order = np.argsort(weights, kind="stable").tolist()
+    heavy = [int(weights[i]) for i in order]
+    parent, side = np.zeros(2 * symbols - 1, np.int64), np.zeros(2 * symbols - 1, np.uint8)
+    made: list[int] = []
+    # inner nodes are made by rising weight, so the least of all is the first symbol or the first inner node left
+    leaf = inner = 0
+    for fresh in range(symbols, 2 * symbols - 1):
+        total = 0
+        for bit in (0, 1):
+            if inner == len(made) or leaf < symbols and heavy[leaf] <= made[inner]:
+                node, weight, leaf = order[leaf], heavy[leaf], leaf + 1
+            else:
+                node, weight, inner = symbols + inner, made[inner], inner + 1
+            parent[node], side[node] = fresh, bit
+            total += weight
+        made.append(total)
+    parent[-1] = 2 * symbols - 2
+    return parent, side
+
+
+def climb(parent: np.ndarray, side: np.ndarray, symbols: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the path of each of ``symbols`` starts, its length, and all inner nodes and bits of the paths from the root, their own parent."""
+    lengths = np.zeros(len(symbols), np.int64)
+    nodes, bits, owners = [], [], []
+    where, at = np.arange(len(symbols)), symbols
+    while True:
+        alive = parent[at] != at
+        where, at = where[alive], at[alive]
+        if not len(at):
+            break
         bits.append(side[at])
+        at = parent[at]
+        nodes.append(at - leaves)
         owners.append(where)
-        order.append(np.full(len(at), -level))
         lengths[where] += 1
-        at = parent[at]
-        alive = at != root
-        at, where = at[alive], where[alive]
-        level += 1
-    if not owners:
-        return np.zeros(symbols, np.int64), lengths, np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-    owners, order = np.concatenate(owners), np.concatenate(order)
-    sort = np.lexsort((order, owners))
-    return np.cumsum(lengths) - lengths, lengths, np.concatenate(nodes)[sort].astype(np.uint32), np.concatenate(bits)[sort]
+    begins = np.cumsum(lengths) - lengths
+    node, bit = np.zeros(lengths.sum(), np.uint32), np.zeros(lengths.sum(), np.uint8)
+    for level, owner in enumerate(owners):
+        place = begins[owner] + lengths[owner] - 1 - level
+        node[place], bit[place] = nodes[level], bits[level]
+    return begins, lengths, node, bit
+
+
+def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman tree: where each symbol's path starts, its length, and all nodes and bits of the paths."""
+    return climb(*huffman(weights), np.arange(len(weights)), len(weights))
 
 
 @dataclass
 class Events:
-    """Decisions of some texts: place in the tree, bit, text, and one hash per context."""
+    """Decisions of some texts: place in the tree, bit, text, and one hash per context after the first, which is the place alone."""
 
     node: np.ndarray
     bit: np.ndarray
@@ -119,9 +133,32 @@ class Coder:
                 self.classes[at:at + len(lift)] = np.argmax(lift, axis=1) + FIRST_WORD
                 at += len(lift)
         self.classes[[END, ESCAPE]] = END, ESCAPE
-        weights = np.bincount(self.classes, self.counts, CLASSES)
-        self.tree = paths(weights + 1)
-        self.share = np.log10(self.counts / weights[self.classes])
+        self._grow_tree()
+
+    def _grow_tree(self) -> None:
+        """The classes' tree, with the tree of each class's words in the place of its leaf."""
+        words = len(self.counts)
+        present, place = np.unique(self.classes, return_inverse=True)
+        own, own_side = huffman(np.bincount(place, self.counts).astype(np.int64))
+        parent, side = [np.zeros(words, np.int64), own + words], [np.zeros(words, np.uint8), own_side]
+        fresh = words + len(own)
+        order = np.argsort(place, kind="stable")
+        for number, members in enumerate(np.split(order, np.cumsum(np.bincount(place))[:-1])):
+            size = len(members)
+            up, bit = huffman(self.counts[members])
+            # the root of the words' tree hangs where the class did
+            up = np.where(up < size, 0, up - size + fresh)
+            up[-1], bit[-1] = own[number] + words, own_side[number]
+            parent[0][members], side[0][members] = up[:size], bit[:size]
+            parent.append(up[size:])
+            side.append(bit[size:])
+            fresh += size - 1
+        self.parent, self.side = np.concatenate(parent).astype(np.int32), np.concatenate(side)
+
+    @property
+    def nodes(self) -> int:
+        """Places in the words' tree where a decision is made."""
+        return len(self.parent) - len(self.counts)
 
     def symbols(self, distinct: list[bytes], training: bool = False) -> np.ndarray:
         """A word's place by count, after the fixed symbols, or an escape.
@@ -146,21 +183,20 @@ class Coder:
         return symbol, text, first, topic
 
     def events(self, which: np.ndarray, distinct: list[bytes], sizes: np.ndarray, training: bool = False) -> tuple[dict[str, Events], np.ndarray]:
-        """Decisions on classes, and on the letters of spelled words; log10 of the words' shares of their classes per text."""
+        """Decisions on tokens, and on the letters of spelled words; number of tokens per text."""
         symbol, text, first, topic = self.tokens(which, distinct, sizes, training)
         at = np.arange(len(symbol))
         one = np.r_[END, symbol[:-1]]
         one[at == first] = END
         two = np.r_[END, one[:-1]]
         two[at == first] = END
-        begin, length, nodes, bits = self.tree
-        own = self.classes[symbol]
+        met, own = np.unique(symbol, return_inverse=True)
+        begin, length, nodes, bits = climb(self.parent, self.side, met, len(self.counts))
         depth = length[own]
         place = np.repeat(begin[own], depth) + ragged(depth)
-        keys = [np.zeros(len(symbol), np.uint32), mixed(topic + 1), mixed(one * 64 + 2), mixed(one * 0x1000003 + two + 1)]
+        keys = [mixed(topic + 1), mixed(one * 64 + 2), mixed(one * 0x1000003 + two + 1)]
         word = Events(nodes[place], bits[place], np.repeat(text, depth), [np.repeat(k, depth) for k in keys])
-        static = np.bincount(text, self.share[symbol], len(sizes))
-        return {"word": word, "spell": self._spelled(which, distinct, sizes, topic, symbol, text)}, static
+        return {"word": word, "spell": self._spelled(which, distinct, sizes, topic, symbol, text)}, sizes + 1
 
     def _spelled(self, which, distinct, sizes, topic, symbol, text) -> Events:
         rare = np.flatnonzero(symbol == ESCAPE)
@@ -175,7 +211,7 @@ class Coder:
         depth = length[data]
         at = np.repeat(begin[data], depth) + ragged(depth)
         keys = [
-            np.zeros(len(data), np.uint32), mixed((back[0] << 8 | back[1]) * 64 + subject),
+            mixed((back[0] << 8 | back[1]) * 64 + subject),
             mixed((back[0] << 16 | back[1] << 8 | back[2]) * 64 + subject + 1 << 8),
             mixed((back[0] << 32 | back[1] << 24 | back[2] << 16 | back[3] << 8 | back[4]) + 7),
         ]
@@ -187,16 +223,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    x = (context ^ node * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+def slots(context: np.ndarray, spread: np.ndarray, bits: int) -> np.ndarray:
+    x = context ^ spread
+    x *= np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
-    return x >> np.uint32(32 - bits)
+    x >>= np.uint32(32 - bits)
+    return x
 
 
 def addresses(events: Events, bits: int) -> list[np.ndarray]:
     """Slot of each predictor; the first knows the place in the tree alone and is not hashed."""
-    return [events.node, *(slots(c, events.node, bits) for c in events.contexts[1:])]
+    spread = events.node * np.uint32(0x9E3779B1)
+    return [events.node, *(slots(c, spread, bits) for c in events.contexts)]
 
 
 def pack(counts: np.ndarray) -> np.ndarray:
@@ -223,11 +262,11 @@ class Mixer:
         return cls(np.tile([1.0, 0.0, 0.0, 0.0], (GATES, 1)), np.zeros(GATES * REFINE_STEPS), np.zeros(GATES * REFINE_STEPS))
 
     def combine(self, inputs: list[np.ndarray], gates: np.ndarray) -> np.ndarray:
-        weights = self.weights.astype(inputs[0].dtype)
-        total = weights[gates, 0] * inputs[0]
+        weights = np.ascontiguousarray(self.weights.T, inputs[0].dtype)
+        total = weights[0].take(gates) * inputs[0]
         for i in range(1, len(inputs)):
-            total += weights[gates, i] * inputs[i]
-        return np.clip(total, -16, 16)
+            total += weights[i].take(gates) * inputs[i]
+        return np.clip(total, -16, 16, out=total)
 
     @staticmethod
     def step(total: np.ndarray, gates: np.ndarray) -> np.ndarray:
@@ -239,7 +278,7 @@ class Mixer:
         usual = 1 / (1 + np.exp(-steps))
         meant = (self.hits + 20 * usual) / (self.seen + 20)
         shift = (np.log(meant / (1 - meant)) - steps).astype(total.dtype)
-        return total + total.dtype.type(0.5) * shift[self.step(total, gates)]
+        return total + total.dtype.type(0.5) * shift.take(self.step(total, gates))
 
     def learn(self, inputs: list[np.ndarray], gates: np.ndarray, bit: np.ndarray) -> None:
         """One online step per few thousand decisions: each gate moves down its mean gradient."""
@@ -276,7 +315,7 @@ class Model:
         """Odds of every predictor and the gate of every decision."""
         if self.packed is None:
             self.packed = self._packed()
-        found = [table[at] for table, at in zip(self.packed[kind], addresses(events, self.bits[kind]))]
+        found = [table.take(at) for table, at in zip(self.packed[kind], addresses(events, self.bits[kind]))]
         gates = np.zeros(len(events.bit), np.int16)
         for part in found[1:]:
             gates = (gates << 2) + (part & 3)
@@ -288,9 +327,9 @@ class Model:
                 inputs, gates = self.inputs(kind, part)
                 self.mixers.setdefault(kind, Mixer.fresh()).learn(inputs, gates, part.bit)
 
-    def score(self, events: dict[str, Events], static: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        total, texts = np.zeros(len(static)), len(static)
+    def score(self, events: dict[str, Events], tokens: np.ndarray) -> np.ndarray:
+        """log10 probability of each text; ``tokens`` has as many numbers as there are texts."""
+        total, texts = np.zeros(len(tokens)), len(tokens)
         for kind, part in events.items():
             if len(part.bit):
                 inputs, gates = self.inputs(kind, part)
@@ -298,7 +337,7 @@ class Model:
                 z = mixer.refined(mixer.combine(inputs, gates), gates)
                 z = np.where(part.bit == 1, -z, z).astype(np.float32)
                 total -= np.bincount(part.text, np.log1p(np.exp(z)), texts)
-        return total / np.log(10) + static
+        return total / np.log(10)
 
 
 def lower(texts: pa.Array) -> pa.Array:
@@ -357,10 +396,10 @@ def _slices(kind: str, number: int, fold: int, table: np.ndarray) -> Iterator[pa
 
 
 def _counter(coder, bits: dict[str, int]):
-    """Counts of one task for both folds, in slices."""
+    """Counts of one task for both folds, in slices; they go out before 32 bits could be full."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {}
+        tables, held = {}, 0
         for batch in column_chunks(batches, EVENT_BYTES):
             which, distinct, sizes = _split(batch.column(0))
             tuning = np.asarray(batch.column(1)).astype(bool)
@@ -369,8 +408,15 @@ def _counter(coder, bits: dict[str, int]):
                 for number, slot in enumerate(addresses(events, bits[kind])):
                     size = _table_size(coder.value, kind, number, bits)
                     if (kind, number) not in tables:
-                        tables[kind, number] = np.zeros(4 * size, np.int64)
-                    np.add.at(tables[kind, number], (fold * size + slot) * 2 + events.bit, 1)
+                        tables[kind, number] = np.zeros(4 * size, np.uint32)
+                    np.add.at(tables[kind, number], (fold * size + slot) * 2 + events.bit, np.uint32(1))
+                held += len(events.bit)
+            if held >= FULL_EVENTS:
+                yield from sent(tables)
+                tables, held = {}, 0
+        yield from sent(tables)
+
+    def sent(tables: dict) -> Iterator[pa.RecordBatch]:
         for (kind, number), table in tables.items():
             for f in (0, 1):
                 yield from _slices(kind, number, f, table.reshape(2, -1)[f])
@@ -381,7 +427,9 @@ def _counter(coder, bits: dict[str, int]):
 def _table_size(coder: Coder, kind: str, number: int, bits: dict[str, int]) -> int:
     if number:
         return 1 << bits[kind]
-    return CLASSES if kind == "word" else 256
+    if kind == "word":
+        return coder.nodes if coder else CLASSES
+    return 256
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
@@ -396,11 +444,15 @@ def _tables(counted: DataFrame, coder: Coder, bits: dict[str, int]) -> dict[int,
         f: {k: [np.zeros((_table_size(coder, k, i, bits), 2), np.int64) for i in range(len(p))] for k, p in PREDICTORS.items()}
         for f in (0, 1)
     }
+    _add(counted, folds)
+    return folds
+
+
+def _add(counted: DataFrame, folds: dict[int, dict[str, list[np.ndarray]]]) -> None:
     for row in counted.toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["data"]), "<i8").reshape(-1, 2)
         table = folds[row["fold"]][row["kind"]][row["number"]]
-        table[row["slice"] * SLICE:row["slice"] * SLICE + len(part)] = part
-    return folds
+        table[row["slice"] * SLICE:row["slice"] * SLICE + len(part)] += part
 
 
 def _learner(model):
@@ -534,16 +586,14 @@ def score_texts(
     tuning = (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(TUNING_SHARE)) == 0).alias("tuning")
     counted = train.select("text", tuning).coalesce(tasks).mapInArrow(_counter(shared, bits), schema)
     summed = materialise(counted.groupBy("kind", "number", "fold", "slice").applyInPandas(_summed, counted.schema), "counts")
-    folds = _tables(summed, coder, bits)
-    apart = spark.sparkContext.broadcast(Model(coder, bits, folds[0]))
+    tables = _tables(summed.where("fold = 0"), coder, bits)[0]
+    apart = spark.sparkContext.broadcast(Model(coder, bits, tables))
     learned = train.select("text", tuning).where("tuning").select("text").coalesce(tasks).mapInArrow(
         _learner(apart), "kind string, events double, weights array<double>, hits array<double>, seen array<double>, used array<double>"
     ).collect()
     apart.unpersist()
-    for kind, tables in folds[0].items():
-        for table, more in zip(tables, folds[1][kind]):
-            table += more
-    model = Model(coder, bits, folds[0], {k: _averaged(learned, k) for k in PREDICTORS})
+    _add(summed.where("fold = 1"), {1: tables})
+    model = Model(coder, bits, tables, {k: _averaged(learned, k) for k in PREDICTORS})
 
     logs = np.r_[np.nan, np.nan, np.log10((counts + floor) / scale)]
     scored = materialise(

@@ -85,3 +85,32 @@ def test_counts_beyond_16_bits_keep_their_ratio():
     counts = mixing_lm._tables(summed, None, {"word": 14, "spell": 14})[0]["word"][1]
     assert counts[3].tolist() == [900_000, 300_000]
     assert (mixing_lm.pack(counts[3:4])[0] >> 2) * float(mixing_lm.ODDS_STEP) == pytest.approx(math.log(1 / 3), abs=0.01)
+
+
+def test_next_tokens_sum_to_one():
+    """Whatever the counts say, all words, the end and an escape after one context are a distribution."""
+    rng = np.random.default_rng(2)
+    coder = mixing_lm.Coder(np.arange(200), np.sort(rng.integers(1, 50, 200))[::-1], 30, 20, np.ones(256, np.int64))
+    coder.classify(rng.integers(0, 5, (202, mixing_lm.TOPIC_WORDS + 1)))
+    assert coder.nodes >= 201 and len(np.unique(coder.classes)) > 10
+    bits = {"word": 14, "spell": 14}
+    tables = {
+        k: [rng.integers(0, 60, (mixing_lm._table_size(coder, k, i, bits), 2)) for i in range(4)] for k in mixing_lm.PREDICTORS
+    }
+    mixer = mixing_lm.Mixer(rng.random((mixing_lm.GATES, 4)), *np.zeros((2, mixing_lm.GATES * mixing_lm.REFINE_STEPS)))
+    model = mixing_lm.Model(coder, bits, tables, {"word": mixer})
+    _, depth, nodes, taken = mixing_lm.climb(coder.parent, coder.side, np.arange(202), 202)
+    contexts = [np.full(len(nodes), k, np.uint32) for k in (11, 12, 13)]
+    scores = model.score({"word": mixing_lm.Events(nodes, taken, np.repeat(np.arange(202), depth), contexts)}, depth)
+    assert (10 ** scores).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_a_word_of_a_class_is_told_by_the_word_before(spark):
+    # no x or y follows a topic word, so all of them are in one class
+    topics = " ".join(f"t{k}" for k in range(mixing_lm.TOPIC_WORDS))
+    rows = [(1000 + i, topics + " " + topics) for i in range(100)]
+    rows += [(i, f"x{i % 25} y{i % 25} x{i % 25} y{i % 25}") for i in range(500)]
+    rows += [(-1, "x1 y1"), (-2, "x1 y2"), (-3, "x3 y3"), (-4, "x3 y4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["id"]: r["score"] for r in score_texts(docs, lambda i: i < 0).collect()}
+    assert score[-1] > score[-2] + 0.7 and score[-3] > score[-4] + 0.7
