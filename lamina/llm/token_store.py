@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.text import blank_separated, column_chunks, id_text, id_type
+from lamina.llm.text import CHUNK_BYTES, blank_separated, column_chunks, id_text, id_type
 from lamina.llm.token_count import byte_letters, merges
 from lamina.session import discard, scratch_path
 
@@ -151,9 +151,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _tokeniser(path: str, end_id: int):
+def _tokeniser(path: str, end_id: int, chunk_bytes: int = CHUNK_BYTES):
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in column_chunks(batches):
+        for batch in column_chunks(batches, chunk_bytes):
             ids, counts = encoder(path).encode(batch.column(1), end_id)
             raw, ends = ids.astype("<u4"), np.cumsum(counts)
             parts = [_packed(raw[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())]
@@ -314,13 +314,14 @@ def _block_schema(id_arrow: pa.DataType) -> pa.Schema:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS,
+    end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, chunk_bytes: int = CHUNK_BYTES,
 ) -> None:
     """Write the token ids of all texts to a store at ``path``, in ascending id order.
 
     Every text is encoded and gets ``end_id``; the ids are written once to the shared folder.  A count of
     all tokens, at most one row per vocabulary entry, gives the table that is broadcast; then the ids
-    are dealt out by ranges of document id and each task codes its range in blocks.
+    are dealt out by ranges of document id and each task codes its range in blocks.  A worker encodes about
+    ``chunk_bytes`` of text at a time, which needs many times that in memory; less takes more time.
 
     The tokenizer file must be where ``tokenizer_path`` says on every node.  A null text is empty and has the end
     id alone.  Null ids come first; rows that share an id stand next to each other and are not joined.  An empty table
@@ -330,7 +331,7 @@ def write_tokens(
     kind = id_type(docs, id_col)
     scratch = scratch_path(spark, "token_ids")
     id_text(docs, id_col, text_col).mapInArrow(
-        _tokeniser(tokenizer_path, end_id), f"id {kind}, n_tokens bigint, ids binary"
+        _tokeniser(tokenizer_path, end_id, chunk_bytes), f"id {kind}, n_tokens bigint, ids binary"
     ).write.option("compression", "zstd").parquet(scratch)
     encoded = spark.read.parquet(scratch)
     totals = encoded.select("ids").mapInArrow(_token_totals, "token bigint, count bigint")

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 
 from lamina.llm.queries import tokenizer_file
 from lamina.llm.token_count import Counter, token_counts
-from lamina.llm.token_store import Coder, Encoder, read_digests, read_tokens, scaled, write_tokens
+from lamina.llm.token_store import Coder, Encoder, _tokeniser, read_digests, read_tokens, scaled, write_tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD = ["a<|endoftext|>b <|startoftext|><|endoftext|>", "<|endoftext|", "aaaaaaaaaaaaaaaa ssssss", "ΑΣ ΑΣ. ΣΣΣ", "it's IT'S we'll'll 12345 ...!!!", "İx ẞ", "é ́", ""]
@@ -55,6 +57,24 @@ def test_token_counts(awkward, rows, library, nothing):
     assert token_counts(nothing, tokenizer_file()).count() == 0
 
 
+def test_pipeline_encodes_in_little_memory(spark, sf_dir, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.token_store, "write_tokens", lambda *_, **options: asked.update(options))
+    monkeypatch.setattr(corpus_pipeline.token_store, "read_digests", lambda *_: spark.range(1))
+    corpus_pipeline.tokens(spark, spark.range(1), sf_dir)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([" ".join(rng.choices(words, k=2000)) for _ in range(400)])], ["id", "text"])
+    small, whole = _tokeniser(tokenizer_file(), 2, **asked), _tokeniser(tokenizer_file(), 2)
+    wanted = pa.Table.from_batches(whole([batch]))
+    tracemalloc.start()
+    found = pa.Table.from_batches(small([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.equals(wanted)
+    assert peak < 30 << 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5000), st.integers(1, 300), st.integers(0, 10**6))
 def test_coder_round_trip(n, kinds, seed):
