@@ -39,6 +39,9 @@ CLASSES = TOPIC_WORDS + 3
 # One training document in this many is kept from the counts while the weights are learned on it, then counted too.
 TUNING_SHARE = 8
 SLICE = 1 << 14
+# Text that is split into words at once, tokens whose decisions are scored or counted at once, and text that is learned from at once.
+SPLIT_BYTES = 1 << 20
+EVENT_TOKENS = 1 << 12
 EVENT_BYTES = 1 << 18
 BATCH_EVENTS = 1 << 13
 FULL_EVENTS = 1 << 31
@@ -172,9 +175,9 @@ class Coder:
         found = np.where(self.sorted[place] == hashes, self.order[place] + FIRST_WORD, ESCAPE)
         return np.where(self.counts[found] > 1, found, ESCAPE) if training else found
 
-    def tokens(self, which: np.ndarray, distinct: list[bytes], sizes: np.ndarray, training: bool = False) -> tuple[np.ndarray, ...]:
-        """Symbol, text, place of the text's first token and topic of every token."""
-        symbol = np.insert(self.symbols(distinct, training)[which], np.cumsum(sizes), END)
+    def tokens(self, which: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Symbol, text, place of the text's first token and topic of every token; ``found`` has the distinct words' symbols."""
+        symbol = np.insert(found[which], np.cumsum(sizes), END)
         text = np.repeat(np.arange(len(sizes)), sizes + 1)
         first = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
         frequent = np.where((symbol >= FIRST_WORD) & (symbol < FIRST_WORD + TOPIC_WORDS), np.arange(len(symbol)), -1)
@@ -184,22 +187,31 @@ class Coder:
 
     def events(self, which: np.ndarray, distinct: list[bytes], sizes: np.ndarray, training: bool = False) -> tuple[dict[str, Events], np.ndarray]:
         """Decisions on tokens, and on the letters of spelled words; number of tokens per text."""
-        symbol, text, first, topic = self.tokens(which, distinct, sizes, training)
+        found = self.symbols(distinct, training)
+        return next(self.parts(which, distinct, found, sizes, max(1, len(which) + len(sizes)))), sizes + 1
+
+    def parts(
+        self, which: np.ndarray, distinct: list[bytes], found: np.ndarray, sizes: np.ndarray, tokens: int = EVENT_TOKENS
+    ) -> Iterator[dict[str, Events]]:
+        """``events`` of so many tokens after the others; words and their paths are looked up once for all."""
+        symbol, text, first, topic = self.tokens(which, found, sizes)
         at = np.arange(len(symbol))
         one = np.r_[END, symbol[:-1]]
         one[at == first] = END
         two = np.r_[END, one[:-1]]
         two[at == first] = END
-        met, own = np.unique(symbol, return_inverse=True)
-        begin, length, nodes, bits = climb(self.parent, self.side, met, len(self.counts))
-        depth = length[own]
-        place = np.repeat(begin[own], depth) + ragged(depth)
+        own = np.insert(which + 1, np.cumsum(sizes), 0)
+        begin, length, nodes, bits = climb(self.parent, self.side, np.r_[END, found], len(self.counts))
         keys = [mixed(topic + 1), mixed(one * 64 + 2), mixed(one * 0x1000003 + two + 1)]
-        word = Events(nodes[place], bits[place], np.repeat(text, depth), [np.repeat(k, depth) for k in keys])
-        return {"word": word, "spell": self._spelled(which, distinct, sizes, topic, symbol, text)}, sizes + 1
-
-    def _spelled(self, which, distinct, sizes, topic, symbol, text) -> Events:
-        rare = np.flatnonzero(symbol == ESCAPE)
+        for start in range(0, max(1, len(symbol)), tokens):
+            part = slice(start, start + tokens)
+            depth = length[own[part]]
+            place = np.repeat(begin[own[part]], depth) + ragged(depth)
+            word = Events(nodes[place], bits[place], np.repeat(text[part], depth), [np.repeat(k[part], depth) for k in keys])
+            rare = start + np.flatnonzero(symbol[part] == ESCAPE)
+            yield {"word": word, "spell": self._spelled(which, distinct, topic, text, rare)}
+
+    def _spelled(self, which, distinct, topic, text, rare) -> Events:
         # the rare tokens' numbers among words: tokens without the ends before them
         words = [distinct[i] for i in which[rare - text[rare]].tolist()]
         data = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.int64)
@@ -335,8 +347,8 @@ class Model:
                 inputs, gates = self.inputs(kind, part)
                 mixer = self.mixers[kind]
                 z = mixer.refined(mixer.combine(inputs, gates), gates)
-                z = np.where(part.bit == 1, -z, z).astype(np.float32)
-                total -= np.bincount(part.text, np.log1p(np.exp(z)), texts)
+                z *= np.float32(1) - 2 * part.bit.astype(np.float32)
+                total -= np.bincount(part.text, np.log(np.exp(z) + np.float32(1)), texts)
         return total / np.log(10)
 
 
@@ -371,8 +383,9 @@ def _follower(coder):
         width, size = TOPIC_WORDS + 1, len(coder.value.counts)
         wide = np.zeros(min(WIDE_WORDS, size) * width, np.int64)
         narrow = np.zeros(max(0, size - WIDE_WORDS) * width, np.uint32)
-        for batch in column_chunks(batches, EVENT_BYTES):
-            symbol, _, _, topic = coder.value.tokens(*_split(batch.column(0)))
+        for batch in column_chunks(batches, SPLIT_BYTES):
+            words, distinct, sizes = _split(batch.column(0))
+            symbol, _, _, topic = coder.value.tokens(words, coder.value.symbols(distinct), sizes)
             place = symbol * width + topic
             rare = place >= len(wide)
             np.add.at(wide, place[~rare], 1)
@@ -400,11 +413,12 @@ def _counter(coder, bits: dict[str, int]):
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, held = {}, 0
-        for batch in column_chunks(batches, EVENT_BYTES):
+        for batch in column_chunks(batches, SPLIT_BYTES):
             which, distinct, sizes = _split(batch.column(0))
-            tuning = np.asarray(batch.column(1)).astype(bool)
-            for kind, events in coder.value.events(which, distinct, sizes, True)[0].items():
-                fold = tuning[events.text].astype(np.int64)
+            tuning = np.asarray(batch.column(1)).astype(np.int64)
+            parts = coder.value.parts(which, distinct, coder.value.symbols(distinct, True), sizes)
+            for kind, events in (item for part in parts for item in part.items()):
+                fold = tuning[events.text]
                 for number, slot in enumerate(addresses(events, bits[kind])):
                     size = _table_size(coder.value, kind, number, bits)
                     if (kind, number) not in tables:
@@ -489,10 +503,11 @@ def _scorer(model, hot, floor: float, scale: float, end_log: float, known_end: b
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = hot.value
-        for batch in column_chunks(batches, EVENT_BYTES):
+        for batch in column_chunks(batches, SPLIT_BYTES):
             which, distinct, sizes = _split(batch.column(2))
-            scores = model.value.score(*model.value.coder.events(which, distinct, sizes))
-            value = logs[model.value.coder.symbols(distinct)]
+            found = model.value.coder.symbols(distinct)
+            scores = sum(model.value.score(part, sizes) for part in model.value.coder.parts(which, distinct, found, sizes))
+            value = logs[found]
             per_word = value[which] if len(which) else np.zeros(0)
             text = np.repeat(np.arange(len(sizes)), sizes)
             rare = np.isnan(per_word)

@@ -114,3 +114,32 @@ def test_a_word_of_a_class_is_told_by_the_word_before(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     score = {r["id"]: r["score"] for r in score_texts(docs, lambda i: i < 0).collect()}
     assert score[-1] > score[-2] + 0.7 and score[-3] > score[-4] + 0.7
+
+
+def test_words_are_looked_up_once_and_decisions_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = pa.array([" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(80)])
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words[:200]], np.uint64).view(np.int64)
+    coder = mixing_lm.Coder(hashes, np.arange(220, 20, -1), 80, 900, np.ones(256, np.int64))
+    coder.classify(rng.integers(0, 5, (202, mixing_lm.TOPIC_WORDS + 1)))
+    bits = {"word": 14, "spell": 14}
+    tables = {k: [rng.integers(0, 60, (mixing_lm._table_size(coder, k, i, bits), 2)) for i in range(4)] for k in mixing_lm.PREDICTORS}
+    model = mixing_lm.Model(coder, bits, tables, {k: mixing_lm.Mixer.fresh() for k in mixing_lm.PREDICTORS})
+    whole, sizes = coder.events(*blank_separated(texts))
+    wanted = model.score(whole, sizes)
+    which, distinct, sizes = blank_separated(texts)
+    parts = list(coder.parts(which, distinct, coder.symbols(distinct), sizes, 37))
+    assert len(parts) > 20
+    for kind, events in whole.items():
+        for name in ("node", "bit", "text"):
+            assert (np.concatenate([getattr(p[kind], name) for p in parts]) == getattr(events, name)).all()
+    assert sum(model.score(p, sizes) for p in parts) == pytest.approx(wanted)
+
+    asked, symbols = [], mixing_lm.Coder.symbols
+    monkeypatch.setattr(mixing_lm.Coder, "symbols", lambda self, *a: asked.append(1) or symbols(self, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([False] * 80), texts], ["id", "held_out", "text"])
+    found = list(mixing_lm._scorer(SimpleNamespace(value=model), SimpleNamespace(value=np.zeros(202)), 0.1, 1.0, 0.0, True)([batch]))
+    assert len(asked) == 1 and found[0].column(6).to_pylist() == pytest.approx(wanted.tolist())
