@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.components import components
 from lamina.llm.text import CHUNK_BYTES, ROW, col, column_chunks, id_text, id_type, ragged, with_row
-from lamina.session import materialise
+from lamina.session import discard, materialise, scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -155,10 +155,13 @@ def jaccard(a: str, b: str) -> float:
 
 
 def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by bucket and line, and all lines of a large bucket as pairs of none with its name."""
+    """Candidate pairs from rows sorted by bucket and line, and all lines of a large bucket as pairs of none with its name.
+
+    ``first`` marks the pairs with the first line of a bucket, which alone can connect all of it.
+    """
     bucket, last, held, seen = None, None, [], 0
     for batch in batches:
-        left, right, large = [], [], []
+        left, right, large, first = [], [], [], []
         for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if name != bucket:
                 bucket, held, seen = name, [], 0
@@ -170,18 +173,22 @@ def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left += [None] * SMALL_BUCKET
                 right += held
                 large += [name] * SMALL_BUCKET
+                first += [False] * SMALL_BUCKET
                 held = held[:LEADERS]
             met = len(held)
             left += held
             right += [key] * met
             large += [None] * met
+            first += [True, *[False] * (met - 1)][:met]
             if seen > SMALL_BUCKET:
                 left.append(None)
                 right.append(key)
                 large.append(name)
+                first.append(False)
             else:
                 held.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, large)], ["a", "b", "bucket"])
+        columns = [pa.array(x, pa.int64()) for x in (left, right, large)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.bool_())], ["a", "b", "bucket", "first"])
 
 
 def _verifier(similarity: float):
@@ -208,18 +215,55 @@ def _verifier(similarity: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose lines are similar: a line's text travels to its partners, in shares if it has many."""
+    """Pairs whose lines are similar: a line's text travels to its partners, in shares if it has many.
+
+    What is sent where is known before a text moves, so that ``texts`` is met once.
+    """
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE_PAIRS).cast("int").alias("shares"))
-    own = texts.join(shares, texts["key"] == shares["a"]).select(
-        "a", F.lit(None).cast("bigint").alias("b"), "line", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    own = shares.select(
+        F.col("a").alias("key"), "a", F.lit(None).cast("bigint").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
     )
-    partners = pairs.join(shares, "a").join(texts, pairs["b"] == texts["key"]).select(
-        "a", "b", "line", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share")
+    partners = pairs.join(shares, "a").select(
+        F.col("b").alias("key"), "a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share")
     )
-    dealt = own.unionByName(partners).repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
+    sent = texts.join(own.unionByName(partners), "key").select("a", "b", "line", "share")
+    dealt = sent.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
     return dealt.select("a", "b", "line").mapInArrow(_verifier(similarity), "a bigint, b bigint")
 
 
+def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, line)`` of the lines with these keys, and of few others, each once and dealt by key."""
+    context = docs.sparkSession.sparkContext
+    flags = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, 1 << 12)
+    for row in keys.coalesce(max(1, context.defaultParallelism)).mapInArrow(_bits, "part int, bits binary").toLocalIterator():
+        flags[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    shared = context.broadcast(flags.tobytes())
+    return id_text(docs, id_col, text_col).mapInArrow(_text_finder(shared), "key bigint, line string").dropDuplicates(["key"])
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the buckets whose lines aren't all connected."""
+    group = F.coalesce("root", "key")
+    named = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    several = named.groupBy("bucket").agg(F.min(group).alias("low"), F.max(group).alias("high")).where("low <> high")
+    return members.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't connected yet, and the roots of both ends."""
+    ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in ("a", "b")]
+    placed = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return placed.select("a", "b", *[F.coalesce(f"root_{e}", e).alias(f"root_{e}") for e in ("a", "b")]).where("root_a <> root_b")
+
+
+def _joined(early: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(node, root)`` after ``joined`` has connected roots of ``early`` and lines that had none."""
+    later = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return early.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(
+        joined.join(early.select("node"), "node", "left_anti").select("node", "root")
+    )
+
+
 class Block:
     """Lines of one bucket as sets of shingles, found by the rare shingles that similar lines must share.
 
@@ -360,7 +404,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what line feeds separate.  Two lines link when the Jaccard similarity of their sets of five-letter shingles
     is at least ``similarity``.  Candidates share one of eight bands of four MinHash values, which misses
     one pair in 65 at a similarity of 0.8 and one in 400 at 0.85; equal lines always meet.  The first six lines of a bucket
-    are compared with each other and all further ones with the first two.  Lines of a bucket that are not connected then are
+    are compared with each other and all further ones with the first two, the first line's pairs before the others, which are
+    left out where they would connect what is connected already.  Lines of a bucket that are not connected then are
     compared in blocks, so that every similar pair of a bucket ends in one component; no bucket is expanded into its pairs.
     Similarity is computed on whole lines.  Linked lines form components by distributed union-find; of each
     component the line with the smallest (id, position) is kept.
@@ -370,31 +415,36 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = id_type(docs, id_col)
     lists = "array<bigint>"
-    scanned = materialise(
-        id_text(docs, id_col, text_col).mapInArrow(_line_batches, f"id {kind}, keys {lists}, new {lists}, bands {lists}"), "lines"
-    )
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "lines")
+    scanned = id_text(docs, id_col, text_col).mapInArrow(_line_batches, f"id {kind}, keys {lists}, new {lists}, bands {lists}")
+    scanned.write.parquet(path)
+    scanned = spark.read.schema(scanned.schema).parquet(path)
     bands = scanned.select(
         F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))).alias("x")
     ).select("x.key", F.explode("x.bands").alias("bucket")).select("bucket", "key")
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "key")
-    met = materialise(dealt.mapInArrow(_pairer, "a bigint, b bigint, bucket bigint").distinct(), "pairs")
-    pairs = met.where("a IS NOT NULL").select("a", "b")
+    met = dealt.mapInArrow(_pairer, "a bigint, b bigint, bucket bigint, first boolean")
+    met = materialise(met.groupBy("a", "b", "bucket").agg(F.max("first").alias("first")), "pairs")
+    # the bands are the larger part of what the scan has written, and have done their work
+    scanned = materialise(scanned.select("id", "keys"), "keys")
+    discard(spark, path)
     members = met.where("a IS NULL").select("bucket", F.col("b").alias("key"))
-    flags = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, 1 << 12)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    for row in ends.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_bits, "part int, bits binary").toLocalIterator():
-        flags[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(flags.tobytes())
-    texts = materialise(
-        id_text(docs, id_col, text_col).mapInArrow(_text_finder(shared), "key bigint, line string").dropDuplicates(["key"]), "texts"
-    )
-    links = _verified(pairs, texts, similarity)
-    early = materialise(components(links), "roots")
-    joined = materialise(components(_rest(members, early, texts, similarity)), "joined")
-    later = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    roots = early.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(
-        joined.join(early.select("node"), "node", "left_anti").select("node", "root")
-    )
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+        return _verified(pairs, _texts(docs, ends, id_col, text_col), similarity)
+
+    # most lines are connected by the pairs with a bucket's first line; of the others only those between components can add a link
+    roots = materialise(components(linked(met.where("first").select("a", "b"))), "roots")
+    left = materialise(_between(met.where("a IS NOT NULL AND NOT first").select("a", "b"), roots).select("a", "b"), "left")
+    if not left.isEmpty():
+        more = _between(materialise(linked(left), "links"), roots)
+        roots = _joined(roots, materialise(components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "joined"))
+        roots = materialise(roots, "roots")
+    apart = materialise(_open(members, roots), "open")
+    if not apart.isEmpty():
+        texts = materialise(_texts(docs, apart.select("key"), id_col, text_col), "texts")
+        roots = _joined(roots, materialise(components(_rest(apart, roots, texts, similarity)), "joined"))
     lines = scanned.select("id", F.posexplode("keys").alias("position", "key")).where("key IS NOT NULL")
     grouped = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "id", "position", "key", F.coalesce("root", "key").alias("group_key")

@@ -1,4 +1,6 @@
+import glob
 import random
+import re
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from brute import classes, shingles
 
 from lamina.llm import fuzzy_lines
 from lamina.llm.fuzzy_lines import drop_fuzzy_lines, jaccard, line_groups, line_report, shingle_hashes, signatures
+from lamina.session import shared_folder
 
 SCHEMA = "doc_id long, text string, key long, position string"
 
@@ -123,3 +126,26 @@ def test_shingles_are_exact():
     for i, x in enumerate(lines):
         assert len(set(hashes[at[i]:at[i] + counts[i]].tolist())) == len(shingles(x))
     assert jaccard("abcdefgh", "abcdefgh") == 1.0 and jaccard("abcdefgh", "abcdefgx") == pytest.approx(3 / 5)
+
+
+def test_texts_are_met_once(spark, tmp_path):
+    lines = ["abcdefghijklmnop", "abcdefghijklmnoq", "qrstuvwxyz012345"]
+    spark.createDataFrame(list(enumerate(lines)), "key long, line string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    links = fuzzy_lines._verified(pairs, texts, 0.8)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation ?\[key#\d+L?,line#\d+\]", plan)) == 1
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(0, 1)]
+
+
+def test_only_buckets_with_lines_apart_are_open(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 13), (3, 14)], "bucket long, key long")
+    roots = spark.createDataFrame([(10, 10), (11, 10), (13, 14), (14, 14)], "node long, root long")
+    assert sorted(map(tuple, fuzzy_lines._open(members, roots).collect())) == [(2, 10), (2, 12)]
+
+
+def test_bands_are_deleted(spark, table):
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/lamina/lines-*"))
+    assert line_groups(table[0]).count()
+    assert set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/lamina/lines-*")) <= before
