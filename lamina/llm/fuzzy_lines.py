@@ -191,24 +191,51 @@ def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.bool_())], ["a", "b", "bucket", "first"])
 
 
+def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines with a bounded number of shingles each; a longer line is a range of its own."""
+    begin, size = 0, 0
+    for at, line in enumerate(lines):
+        if at > begin and size + len(line) > SIGNATURE_SHINGLES:
+            yield begin, at
+            begin, size = at, 0
+        size += len(line)
+    if begin < len(lines):
+        yield begin, len(lines)
+
+
+def _shingle_sets(lines: list[str]) -> tuple[np.ndarray, list[int]]:
+    """The distinct shingle hashes of each line in order, one line after the other, and where each begins and ends."""
+    hashes, counts = shingle_hashes(lines)
+    ends = np.cumsum(counts)
+    for start, stop in zip((ends - counts).tolist(), ends.tolist()):
+        hashes[start:stop].sort()
+    fresh = np.r_[True, hashes[1:] != hashes[:-1]]
+    fresh[ends - counts] = True
+    return hashes[fresh], np.r_[0, np.cumsum(fresh)[ends - 1]].tolist()
+
+
 def _verifier(similarity: float):
     """Links from rows sorted by (line, share), the line's own text before those of its partners."""
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: np.ndarray | None = None
+        own = np.zeros(0, np.uint64)
         for batch in batches:
             left, right = [], []
-            for a, b, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = np.unique(shingle_hashes([line])[0])
-                if b is None:
-                    own = found
-                    continue
-                small, large = sorted((len(own), len(found)))
-                if small >= similarity * large:
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if both >= similarity * (small + large - both):
-                        left.append(a)
-                        right.append(b)
+            names, partners, lines = (batch.column(i).to_pylist() for i in range(3))
+            for begin, end in _runs(lines):
+                sets, bounds = _shingle_sets(lines[begin:end])
+                for at, (start, stop) in enumerate(zip(bounds, bounds[1:]), begin):
+                    found = sets[start:stop]
+                    if partners[at] is None:
+                        own = found.copy()
+                        continue
+                    small, large = sorted((len(own), len(found)))
+                    if small >= similarity * large:
+                        place = own.searchsorted(found)
+                        both = int(np.count_nonzero(own.take(place, mode="clip") == found))
+                        if both >= similarity * (small + large - both):
+                            left.append(names[at])
+                            right.append(partners[at])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return verify

@@ -149,3 +149,15 @@ def test_bands_are_deleted(spark, table):
     before = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/lamina/lines-*"))
     assert line_groups(table[0]).count()
     assert set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/lamina/lines-*")) <= before
+
+
+def test_shingle_sets_of_many_lines(monkeypatch):
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["x" * 300, "", "ab"]
+    monkeypatch.setattr(fuzzy_lines, "SIGNATURE_SHINGLES", 200)
+    runs = list(fuzzy_lines._runs(lines))
+    assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(lines)
+    for a, b in runs:
+        sets, bounds = fuzzy_lines._shingle_sets(lines[a:b])
+        for line, start, stop in zip(lines[a:b], bounds, bounds[1:]):
+            assert sets[start:stop].tolist() == np.unique(shingle_hashes([line])[0]).tolist()
