@@ -1,4 +1,4 @@
-"""Line dedup: MinHash of character shingles, banding, exact Jaccard verification, one line per component."""
+"""Line dedup: MinHash of character shingles, banding, sketches that rule pairs out, exact Jaccard verification, one line per component."""
 
 from __future__ import annotations
 
@@ -30,6 +30,11 @@ SHARE_PAIRS = 4096
 # Bits of the filter that finds the texts of candidate lines again; its size is fixed.
 FILTER_BITS = 26
 SIGNATURE_SHINGLES = 1 << 16
+# Bits of a sketch are the power of two that this share of the line's shingles needs; few bits rule out less.
+SKETCH_SHARE = 0.75
+SKETCH_BITS = 64
+# Pairs of sketches that are compared at once.
+SKETCH_PAIRS = 1 << 16
 
 
 def _multipliers(count: int) -> np.ndarray:
@@ -41,15 +46,22 @@ MULTIPLIERS = _multipliers(BANDS * ROWS)
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of some lines one after the other, and how many each has; a shorter line is one shingle."""
-    letters = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    letters = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     lengths = np.array([len(x) for x in lines], np.int64)
     counts = np.maximum(lengths - SHINGLE + 1, 1)
-    at = np.repeat(np.cumsum(lengths) - lengths, counts) + ragged(counts)
-    value = np.zeros(len(at), np.uint64)
-    left = np.repeat(lengths, counts) - ragged(counts)
-    letters = np.r_[letters, np.zeros(SHINGLE, np.uint64)]
+    begin = np.cumsum(lengths) - lengths
+    letters = np.r_[letters.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)]
+    value, factor = letters[:1 - SHINGLE].copy(), np.uint64(0x9E3779B97F4A7C15)
+    for k in range(1, SHINGLE):
+        value *= factor
+        value += letters[k:k + len(value)]
+    value = value[np.repeat(begin, counts) + ragged(counts)]
+    # a line of fewer letters has nothing in the place of the others
+    short = np.flatnonzero(lengths < SHINGLE)
+    own = np.zeros(len(short), np.uint64)
     for k in range(SHINGLE):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, letters[at + k] + np.uint64(1), np.uint64(0))
+        own = own * factor + np.where(lengths[short] > k, letters[begin[short] + k], np.uint64(0))
+    value[(np.cumsum(counts) - counts)[short]] = own
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xD6E8FEB86659FD93)
     return value ^ value >> np.uint64(32), counts
@@ -57,17 +69,64 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One row of band hashes per line."""
-    hashes, counts = shingle_hashes(lines)
+    return _bands(*shingle_hashes(lines))
+
+
+def _bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.cumsum(counts) - counts
-    bands = np.zeros((len(lines), BANDS), np.uint64)
+    bands = np.zeros((len(counts), BANDS), np.uint64)
+    product = np.empty_like(hashes)
     for number, factor in enumerate(MULTIPLIERS):
-        least = np.minimum.reduceat(hashes * factor, starts)
+        least = np.minimum.reduceat(np.multiply(hashes, factor, out=product), starts)
         band = number // ROWS
         bands[:, band] = (bands[:, band] ^ least) * np.uint64(0x9FB21C651E98DF25)
         bands[:, band] ^= bands[:, band] >> np.uint64(29)
     return bands + np.arange(BANDS, dtype=np.uint64)
 
 
+def _sketches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct shingles each line has, and its sketch: words of bits of all lines, and how many words each has.
+
+    A bit tells whether an odd number of the line's distinct shingles fall on it.  Where the sketches of two lines differ, each bit
+    is there for a shingle that only one of them has, so similar lines can't differ in many.
+    """
+    lines = len(counts)
+    named = np.repeat(np.arange(lines, dtype=np.uint64) << np.uint64(46), counts) | hashes >> np.uint64(18)
+    named.sort()
+    named = named[np.r_[True, named[1:] != named[:-1]]]
+    owner = (named >> np.uint64(46)).astype(np.int64)
+    sizes = np.bincount(owner, minlength=lines)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(sizes * SKETCH_SHARE)).astype(np.int64).clip(0))
+    first = np.cumsum(bits) - bits
+    place = first[owner] + (named.astype(np.int64) & (bits - 1)[owner])
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    return sizes, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), bits >> 6
+
+
+def _alike(sketch: tuple, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs of lines ``x`` and ``y`` can be similar by their sizes and sketches; no similar pair is ruled out.
+
+    A wider sketch folds to the width of a narrower one.
+    """
+    sizes, words, widths = sketch
+    starts = np.cumsum(widths) - widths
+    kept = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+    most = (1 - similarity) / (1 + similarity) * (sizes[x] + sizes[y]) + 1e-6
+    wide, narrow = np.where(widths[x] < widths[y], y, x), np.where(widths[x] < widths[y], x, y)
+    kind = np.where(kept, widths[wide] << 32 | widths[narrow], -1)
+    for k in np.unique(kind[kept]).tolist():
+        n, m = k >> 32, k & 0xFFFFFFFF
+        found = np.flatnonzero(kind == k)
+        step = max(1, SKETCH_PAIRS // n)
+        for part in (found[i:i + step] for i in range(0, len(found), step)):
+            left = words[starts[wide[part]][:, None] + np.arange(n)]
+            if n > m:
+                left = np.bitwise_xor.reduce(left.reshape(len(part), -1, m), axis=1)
+            left ^= words[starts[narrow[part]][:, None] + np.arange(m)]
+            kept[part] = np.bitwise_count(left).sum(axis=1, dtype=np.int64) <= most[part]
+    return kept
+
+
 def split_lines(text: str) -> list[str]:
     return text.split("\n")
 
@@ -77,40 +136,40 @@ def _line_key(line: str) -> int:
 
 
 def _line_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document: the keys of its lines, and the bands of the lines that are new in the batch."""
+    """A row per document: the keys of its lines, and of the lines that are new in the batch sizes, sketches and bands."""
     for batch in column_chunks(batches, CHUNK_BYTES):
-        texts = [split_lines(t) for t in batch.column(1).to_pylist()]
         keys: dict[str, int] = {}
-        rows_keys, rows_new, rows_bands = [], [], []
-        for lines in texts:
-            fresh = []
+        rows_keys, fresh, ends = [], [], [0]
+        for text in batch.column(1).to_pylist():
+            lines = split_lines(text)
             for line in lines:
                 if line not in keys:
-                    blank = not line.strip()
-                    keys[line] = None if blank else _line_key(line)
-                    if not blank:
+                    keys[line] = _line_key(line) if line.strip() else None
+                    if keys[line] is not None:
                         fresh.append(line)
             rows_keys.append([keys[line] for line in lines])
-            rows_new.append([keys[line] for line in fresh])
-            bands = [_signature_parts(fresh)] if fresh else []
-            rows_bands.append(bands[0].view(np.int64).ravel().tolist() if bands else [])
+            ends.append(len(fresh))
+        sizes, sketches, bands = _signed(fresh)
+        ends = np.array(ends, np.int32)
+        new = pa.array([keys[line] for line in fresh], pa.int64())
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (new, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()))]
+        bands = pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(bands.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (rows_keys, rows_new, rows_bands))],
-            ["id", "keys", "new", "bands"],
+            [batch.column(0), pa.array(rows_keys, pa.list_(pa.int64())), *lists, bands], ["id", "keys", "new", "sizes", "sketches", "bands"]
         )
 
 
-def _signature_parts(lines: list[str]) -> np.ndarray:
-    """Signatures of many lines, a bounded number of shingles at a time."""
-    found, part, size = [], [], 0
-    for line in lines:
-        if part and size + len(line) > SIGNATURE_SHINGLES:
-            found.append(signatures(part))
-            part, size = [], 0
-        part.append(line)
-        size += len(line)
-    found.append(signatures(part))
-    return np.concatenate(found)
+def _signed(lines: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Sizes, sketches and bands of many lines, a bounded number of shingles at a time."""
+    sizes, sketches, bands = [np.zeros(0, np.int64)], [], [np.zeros((0, BANDS), np.uint64)]
+    for begin, end in _runs(lines):
+        hashed = shingle_hashes(lines[begin:end])
+        bands.append(_bands(*hashed))
+        size, words, widths = _sketches(*hashed)
+        sizes.append(size)
+        raw, cuts = words.tobytes(), (np.cumsum(widths) * 8).tolist()
+        sketches += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+    return np.concatenate(sizes), sketches, np.concatenate(bands)
 
 
 def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,41 +213,125 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _pairer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairer(similarity: float):
     """Candidate pairs from rows sorted by bucket and line, and all lines of a large bucket as pairs of none with its name.
 
-    ``first`` marks the pairs with the first line of a bucket, which alone can connect all of it.
+    Lines whose sizes are too far apart to be similar are no pair.
     """
-    bucket, last, held, seen = None, None, [], 0
-    for batch in batches:
-        left, right, large, first = [], [], [], []
-        for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if name != bucket:
-                bucket, held, seen = name, [], 0
-            elif key == last:
+
+    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, last, held, seen = None, None, [], 0
+        for batch in batches:
+            left, right, large = [], [], []
+            for name, key, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if name != bucket:
+                    bucket, held, seen = name, [], 0
+                elif key == last:
+                    continue
+                last = key
+                seen += 1
+                if seen == SMALL_BUCKET + 1:
+                    left += [None] * SMALL_BUCKET
+                    right += [k for k, _ in held]
+                    large += [name] * SMALL_BUCKET
+                    held = held[:LEADERS]
+                for other, n in held:
+                    if n >= similarity * size and size >= similarity * n:
+                        left.append(other)
+                        right.append(key)
+                        large.append(None)
+                if seen > SMALL_BUCKET:
+                    left.append(None)
+                    right.append(key)
+                    large.append(name)
+                else:
+                    held.append((key, size))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, large)], ["a", "b", "bucket"])
+
+    return pair
+
+
+def _read_sketches(sizes: pa.Array, bits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = bits.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    words = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].copy().view(np.uint64)
+    return np.asarray(sizes).astype(np.int64), words, np.diff(offsets) >> 3
+
+
+def _sifter(similarity: float):
+    """The pairs that sketches don't rule out, from rows sorted by (line, share), the line's own sketch before those of its partners."""
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            last = key
-            seen += 1
-            if seen == SMALL_BUCKET + 1:
-                left += [None] * SMALL_BUCKET
-                right += held
-                large += [name] * SMALL_BUCKET
-                first += [False] * SMALL_BUCKET
-                held = held[:LEADERS]
-            met = len(held)
-            left += held
-            right += [key] * met
-            large += [None] * met
-            first += [True, *[False] * (met - 1)][:met]
-            if seen > SMALL_BUCKET:
-                left.append(None)
-                right.append(key)
-                large.append(name)
-                first.append(False)
-            else:
-                held.append(key)
-        columns = [pa.array(x, pa.int64()) for x in (left, right, large)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.bool_())], ["a", "b", "bucket", "first"])
+            rows = pa.Table.from_batches([x for x in (before, batch) if x is not None]).combine_chunks().to_batches()[0]
+            own = np.asarray(rows.column(1).is_null())
+            at = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))
+            x = np.flatnonzero(~own)
+            kept = x[_alike(_read_sketches(rows.column(2), rows.column(3)), x, at[x], similarity)]
+            before = rows.slice(at[-1], 1)
+            yield rows.select([0, 1]).take(pa.array(kept))
+
+    return sift
+
+
+def _block_sifter(similarity: float):
+    """The lines that may be similar to one of another group, from rows sorted like those of ``_block_linker``."""
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        share, guest, group = (np.asarray(rows.column(i)) for i in (2, 3, 4))
+        sketch = _read_sketches(rows.column(6), rows.column(7))
+        sizes, marked = sketch[0], np.zeros(rows.num_rows, bool)
+        starts = _starts(rows)
+        xs, ys, held = [], [], 0
+
+        def compare() -> None:
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            kept = _alike(sketch, x, y, similarity)
+            marked[x[kept]] = marked[y[kept]] = True
+
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+            hosts = end - begin - int(guest[begin:end].sum())
+            # the hosts meet each other in the first share only
+            partners = begin if share[begin] == 0 else begin + hosts
+            step = max(1, SKETCH_PAIRS // (end - begin))
+            for i in range(begin, begin + hosts, step):
+                mine, theirs = np.arange(i, min(i + step, begin + hosts))[:, None], np.arange(partners, end)
+                small, large = np.minimum(sizes[mine], sizes[theirs]), np.maximum(sizes[mine], sizes[theirs])
+                x, y = np.nonzero((group[mine] != group[theirs]) & (mine < theirs) & (small >= similarity * large))
+                xs.append(x + i)
+                ys.append(y + partners)
+                held += len(x)
+                if held >= SKETCH_PAIRS:
+                    compare()
+                    xs, ys, held = [], [], 0
+        if held:
+            compare()
+        at = pa.array(np.flatnonzero(marked))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(5).take(at)], ["bucket", "key"])
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([x for x in (left, batch) if x is not None]).combine_chunks().to_batches()[0]
+            last = int(_starts(rows)[-1])
+            left = rows.slice(last)
+            if last:
+                yield found(rows.slice(0, last))
+        if left is not None:
+            yield found(left)
+
+    return sift
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where the rows of each (bucket, block, share) begin."""
+    names = np.stack([np.asarray(rows.column(i)).astype(np.int64) for i in range(3)])
+    return np.flatnonzero(np.r_[True, (names[:, 1:] != names[:, :-1]).any(axis=0)])
 
 
 def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -241,10 +384,10 @@ def _verifier(similarity: float):
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose lines are similar: a line's text travels to its partners, in shares if it has many.
+def _with_partners(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(a, b)`` and the columns of ``lines`` besides the key: a line's own row, its partner none, before those of its partners, in shares if it has many.
 
-    What is sent where is known before a text moves, so that ``texts`` is met once.
+    What is sent where is known before a row moves, so that ``lines`` is met once.
     """
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE_PAIRS).cast("int").alias("shares"))
     own = shares.select(
@@ -253,9 +396,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     partners = pairs.join(shares, "a").select(
         F.col("b").alias("key"), "a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share")
     )
-    sent = texts.join(own.unionByName(partners), "key").select("a", "b", "line", "share")
+    sent = lines.join(own.unionByName(partners), "key")
     dealt = sent.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
-    return dealt.select("a", "b", "line").mapInArrow(_verifier(similarity), "a bigint, b bigint")
+    return dealt.select("a", "b", *[c for c in lines.columns if c != "key"])
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that can be similar by their sketches."""
+    return _with_partners(pairs, sketches.select("key", "size", "bits")).mapInArrow(_sifter(similarity), "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose lines are similar."""
+    return _with_partners(pairs, texts.select("key", "line")).mapInArrow(_verifier(similarity), "a bigint, b bigint")
 
 
 def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -276,13 +429,6 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't connected yet, and the roots of both ends."""
-    ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in ("a", "b")]
-    placed = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    return placed.select("a", "b", *[F.coalesce(f"root_{e}", e).alias(f"root_{e}") for e in ("a", "b")]).where("root_a <> root_b")
-
-
 def _joined(early: DataFrame, joined: DataFrame) -> DataFrame:
     """``(node, root)`` after ``joined`` has connected roots of ``early`` and lines that had none."""
     later = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -391,8 +537,8 @@ def _block_linker(similarity: float):
     return link
 
 
-def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between groups that have similar lines in one large bucket.
+def _blocks(members: DataFrame, roots: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(bucket, block, share, guest, group, key)``: who meets whom in the large buckets.
 
     Of each bucket whose lines aren't all connected, the lines outside its largest group are cut into blocks.  A
     block is compared inside and with all lines of the largest group and of earlier blocks, which are sent past it in shares.
@@ -400,7 +546,6 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: fl
     named = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "bucket", "key", F.coalesce("root", "key").alias("group")
     )
-    lengths = texts.select("key", F.length("line").alias("length"))
     named = materialise(named.join(lengths, "key"), "members")
     sizes = named.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("letters"))
     largest = F.max(F.struct("n", "group", "letters"))
@@ -420,8 +565,23 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: fl
     guests = placed.where("block > 0").select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), share, F.lit(1).alias("guest"), "group", "key"
     )
-    rows = hosts.unionByName(guests).join(texts, "key").select("bucket", "block", "share", "guest", "group", "line")
-    dealt = rows.repartition("bucket", "block", "share").sortWithinPartitions("bucket", "block", "share", "guest")
+    return hosts.unionByName(guests)
+
+
+def _block_rows(members: DataFrame, roots: DataFrame, lines: DataFrame, lengths: DataFrame, columns: list[str]) -> DataFrame:
+    rows = _blocks(members, roots, lengths).join(lines, "key").select("bucket", "block", "share", "guest", "group", *columns)
+    return rows.repartition("bucket", "block", "share").sortWithinPartitions("bucket", "block", "share", "guest")
+
+
+def _promising(members: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The members of large buckets whose sketches leave a line of another group in the bucket that may be similar."""
+    dealt = _block_rows(members, roots, sketches, sketches.select("key", F.col("size").alias("length")), ["key", "size", "bits"])
+    return dealt.mapInArrow(_block_sifter(similarity), "bucket bigint, key bigint").distinct()
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between groups that have similar lines in one large bucket."""
+    dealt = _block_rows(members, roots, texts, texts.select("key", F.length("line").alias("length")), ["line"])
     return dealt.mapInArrow(_block_linker(similarity), "a bigint, b bigint")
 
 
@@ -431,10 +591,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what line feeds separate.  Two lines link when the Jaccard similarity of their sets of five-letter shingles
     is at least ``similarity``.  Candidates share one of eight bands of four MinHash values, which misses
     one pair in 65 at a similarity of 0.8 and one in 400 at 0.85; equal lines always meet.  The first six lines of a bucket
-    are compared with each other and all further ones with the first two, the first line's pairs before the others, which are
-    left out where they would connect what is connected already.  Lines of a bucket that are not connected then are
+    are compared with each other and all further ones with the first two.  Lines of a bucket that are not connected then are
     compared in blocks, so that every similar pair of a bucket ends in one component; no bucket is expanded into its pairs.
-    Similarity is computed on whole lines.  Linked lines form components by distributed union-find; of each
+    Sizes and sketches rule out most pairs, never a similar one, before a text moves; similarity is computed on whole lines.  Linked lines form components by distributed union-find; of each
     component the line with the smallest (id, position) is kept.
 
     Blank lines are no lines here.  A null id comes first.  Rows that repeat an id share its lines.  Lines are named by
@@ -443,32 +602,28 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = id_type(docs, id_col)
     lists = "array<bigint>"
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "lines")
-    scanned = id_text(docs, id_col, text_col).mapInArrow(_line_batches, f"id {kind}, keys {lists}, new {lists}, bands {lists}")
+    scanned = id_text(docs, id_col, text_col).mapInArrow(
+        _line_batches, f"id {kind}, keys {lists}, new {lists}, sizes array<int>, sketches array<binary>, bands {lists}"
+    )
     scanned.write.parquet(path)
     scanned = spark.read.schema(scanned.schema).parquet(path)
-    bands = scanned.select(
-        F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))).alias("x")
-    ).select("x.key", F.explode("x.bands").alias("bucket")).select("bucket", "key")
+    own = F.transform("new", lambda key, i: F.struct(key.alias("key"), F.col("sizes")[i].alias("size"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))
+    bands = scanned.select(F.explode(own).alias("x")).select(F.explode("x.bands").alias("bucket"), "x.key", "x.size")
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "key")
-    met = dealt.mapInArrow(_pairer, "a bigint, b bigint, bucket bigint, first boolean")
-    met = materialise(met.groupBy("a", "b", "bucket").agg(F.max("first").alias("first")), "pairs")
+    met = materialise(dealt.mapInArrow(_pairer(similarity), "a bigint, b bigint, bucket bigint").distinct(), "pairs")
     # the bands are the larger part of what the scan has written, and have done their work
-    scanned = materialise(scanned.select("id", "keys"), "keys")
+    scanned = materialise(scanned.drop("bands"), "keys")
     discard(spark, path)
+    sketches = scanned.select(
+        F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.col("sizes")[i].alias("size"), F.col("sketches")[i].alias("bits")))).alias("x")
+    ).select("x.*").dropDuplicates(["key"])
     members = met.where("a IS NULL").select("bucket", F.col("b").alias("key"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-        return _verified(pairs, _texts(docs, ends, id_col, text_col), similarity)
-
-    # most lines are connected by the pairs with a bucket's first line; of the others only those between components can add a link
-    roots = materialise(components(linked(met.where("first").select("a", "b"))), "roots")
-    left = materialise(_between(met.where("a IS NOT NULL AND NOT first").select("a", "b"), roots).select("a", "b"), "left")
-    if not left.isEmpty():
-        more = _between(materialise(linked(left), "links"), roots)
-        roots = _joined(roots, materialise(components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "joined"))
-        roots = materialise(roots, "roots")
+    pairs = materialise(_sifted(met.where("a IS NOT NULL").select("a", "b"), sketches, similarity), "sifted")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), id_col, text_col)
+    roots = materialise(components(_verified(pairs, texts, similarity)), "roots")
     apart = materialise(_open(members, roots), "open")
+    if not apart.isEmpty():
+        apart = materialise(_promising(apart, roots, sketches, similarity), "promising")
     if not apart.isEmpty():
         texts = materialise(_texts(docs, apart.select("key"), id_col, text_col), "texts")
         roots = _joined(roots, materialise(components(_rest(apart, roots, texts, similarity)), "joined"))

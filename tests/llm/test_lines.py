@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import classes, shingles
 
@@ -161,3 +162,57 @@ def test_shingle_sets_of_many_lines(monkeypatch):
         sets, bounds = fuzzy_lines._shingle_sets(lines[a:b])
         for line, start, stop in zip(lines[a:b], bounds, bounds[1:]):
             assert sets[start:stop].tolist() == np.unique(shingle_hashes([line])[0]).tolist()
+
+
+def sketched(lines):
+    sizes, marks, _ = fuzzy_lines._signed(lines)
+    return sizes.tolist(), marks
+
+
+def similar(lines):
+    sets = [shingles(line) for line in lines]
+    return {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def some_lines(rng, most):
+    bases = ["".join(rng.choice("abcdefghijklé") for _ in range(rng.randint(2, most))) for _ in range(30)] + ["ab" * 200, "aaaaaaaa"]
+    lines = list(bases)
+    for base in bases:
+        line = base
+        for _ in range(6):
+            line = near(line, rng) if rng.random() < 0.7 else line + line[:len(line) // 9]
+            lines.append(line)
+    return sorted(set(lines))
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    lines = some_lines(random.Random(7), 900)
+    sizes, marks = sketched(lines)
+    assert sizes == [len(shingles(line)) for line in lines]
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(sizes, map(bytearray, marks)))], "key long, size int, bits binary")
+    every = [(a, b) for a in range(len(lines)) for b in range(a)]
+    left = {(r["a"], r["b"]) for r in fuzzy_lines._sifted(spark.createDataFrame(every, "a long, b long"), table, 0.8).collect()}
+    wanted = similar(lines)
+    assert wanted <= left and len(wanted) > 200 and len(left - wanted) < 0.05 * len(every)
+
+
+@pytest.mark.parametrize("rows, guests", [(5, 7), (100, 1000)])
+def test_sketches_keep_every_link_of_a_bucket(spark, monkeypatch, rows, guests):
+    monkeypatch.setattr(fuzzy_lines, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(fuzzy_lines, "GUEST_ROWS", guests)
+    rng = random.Random(8)
+    lines = some_lines(rng, 300)
+    sizes, marks = sketched(lines)
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(sizes, map(bytearray, marks)))], "key long, size int, bits binary")
+    group = {i: rng.choice([i, 0]) for i in range(len(lines))}
+    members = spark.createDataFrame([(b, i) for b in (77, 78) for i in range(len(lines))], "bucket long, key long")
+    roots = spark.createDataFrame(list(group.items()), "node long, root long")
+    found = {(r["bucket"], r["key"]) for r in fuzzy_lines._promising(members, roots, table, 0.8).collect()}
+    wanted = {i for a, b in similar(lines) if group[a] != group[b] for i in (a, b)}
+    assert {(b, i) for b in (77, 78) for i in wanted} <= found and len(found) < 2 * len(lines)
+
+
+def test_pairs_of_unlike_sizes_are_not_made():
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 4), pa.array([10, 11, 12, 13]), pa.array([100, 125, 126, 40])], ["bucket", "key", "size"])
+    made = [tuple(r.values()) for out in fuzzy_lines._pairer(0.8)([rows]) for r in out.to_pylist()]
+    assert made == [(10, 11, None), (11, 12, None)]
