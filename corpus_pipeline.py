@@ -9,8 +9,9 @@ from lamina.llm.queries import tokenizer_file
 from lamina.session import materialise, scratch_path
 
 
-# Text that a worker encodes at a time: an executor still holds what the stages before have used.
+# Text that a worker encodes at a time, and pieces it remembers: an executor still holds what the stages before have used.
 TOKEN_CHUNK_BYTES = 1 << 20
+TOKEN_CACHE_PIECES = 1 << 17
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written to a store and read back: where each document starts, its tokens and their checksum."""
     path = scratch_path(spark, "corpus")
-    token_store.write_tokens(docs, path, tokenizer_file(), chunk_bytes=TOKEN_CHUNK_BYTES)
+    token_store.write_tokens(docs, path, tokenizer_file(), chunk_bytes=TOKEN_CHUNK_BYTES, cache_pieces=TOKEN_CACHE_PIECES)
     return token_store.read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 

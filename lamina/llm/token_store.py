@@ -37,17 +37,16 @@ LANES = 1024
 CHECKPOINT_STEPS = 256
 TOTAL_BITS = 20
 LOW = np.uint64(1 << 31)
-# Pieces and words whose ids a worker remembers; the half not met lately goes beyond them, which changes time only.
-CACHE_PIECES, CACHE_WORDS = 1 << 17, 1 << 18
+# Pieces whose ids a worker remembers, and twice as many words; the quarter met least goes beyond them, which changes time only.
+CACHE_PIECES = 1 << 18
 
 
 class Known:
-    """Token ids of strings, by number; of many strings the half not asked for lately is forgotten."""
+    """Token ids of strings, by number; of many strings those asked for least are forgotten, lately counting more."""
 
     def __init__(self, most: int):
         self.most, self.numbers = most, {}
-        self.ids, self.starts, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.now = 0
+        self.ids, self.starts, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, names: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember strings in order of their numbers; those numbered already aren't named."""
@@ -55,29 +54,31 @@ class Known:
         self.numbers.update(zip(names, range(count, count + len(names))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes))])
 
     def of(self, which: np.ndarray, other: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of strings one after the other, and how many each has; number -1 stands for the id ``other``."""
         known = self.ids if other is None else np.append(self.ids, np.uint32(other))
         starts, sizes = np.append(self.starts, len(self.ids)), np.append(self.sizes, 1)
-        self.used[which[which >= 0]] = self.now
+        # the number after the last stands for -1, which is counted first
+        self.used += np.bincount(which + 1, minlength=len(self.used) + 1)[1:]
         starts, sizes = starts[which], sizes[which]
         at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
         at += np.arange(len(at))
         return known[at], sizes
 
     def age(self) -> None:
-        self.now += 1
+        self.used *= 0.75
         if len(self.sizes) <= self.most:
             return
-        keep = np.argsort(-self.used, kind="stable")[: self.most // 2]
+        keep = np.sort(np.argpartition(-self.used, self.most * 3 // 4)[: self.most * 3 // 4])
         # the first one may have a meaning of its own
         keep = np.concatenate([[0], keep[keep > 0]])
+        used = self.used[keep]
         ids, sizes = self.of(keep)
         names = list(self.numbers)
         self.numbers = {names[k]: i for i, k in enumerate(keep.tolist())}
-        self.ids, self.sizes, self.starts, self.used = ids, sizes, np.cumsum(sizes) - sizes, self.used[keep]
+        self.ids, self.sizes, self.starts, self.used = ids, sizes, np.cumsum(sizes) - sizes, used
 
 
 class Encoder:
@@ -88,44 +89,41 @@ class Encoder:
     pre-tokens of a new piece; a piece that may hold a special token goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.merges = self.tokenizer.model, merges(path)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.words, self.pieces = Known(CACHE_WORDS), Known(CACHE_PIECES)
+        self.words, self.pieces = Known(2 * cache_pieces), Known(cache_pieces)
         # what pre-tokens put behind a piece has no ids
         self.words.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _words(self, found: list[str]) -> np.ndarray:
         """Numbers of pre-tokens among the known words; new ones are learned from the library's model."""
-        known, get, tokenize, ident = self.words.numbers, self.words.numbers.get, self.model.tokenize, attrgetter("id")
-        ids, sizes, at = [], [], []
-        for word in found:
-            number = get(word)
-            if number is None:
-                # visible ASCII letters spell themselves
-                plain = word.isascii() and word.isprintable()
-                tokens = tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
-                ids.extend(map(ident, tokens))
-                sizes.append(len(tokens))
-                number = known[word] = len(known)
-            at.append(number)
+        known, tokenize, ident = self.words.numbers, self.model.tokenize, attrgetter("id")
+        ids, sizes = [], []
+        for word in set(found).difference(known):
+            # visible ASCII letters spell themselves
+            plain = word.isascii() and word.isprintable()
+            tokens = tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
+            ids.extend(map(ident, tokens))
+            sizes.append(len(tokens))
+            known[word] = len(known)
         self.words.add([], np.array(ids, np.uint32), np.array(sizes, np.int64))
-        return np.array(at, np.int64)
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
     def learn(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of the pieces among the known ones."""
         numbers = self.pieces.numbers
         fresh = [p for p in pieces if p not in numbers]
-        plain = [p for p in fresh if b"<|" not in p]
+        marked = [p for p in fresh if b"<|" in p]
+        plain = [p for p in fresh if b"<|" not in p] if marked else fresh
         if plain:
             at = self._words(self.merges.pre_tokens(plain))
             own, sizes = self.words.of(at)
             self.pieces.add(plain, own, np.diff(np.cumsum(sizes)[at == 0], prepend=0))
-        marked = [p for p in fresh if b"<|" in p]
         if marked:
             encoded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in marked], add_special_tokens=False)
             ids = np.array([i for e in encoded for i in e.ids], np.uint32)
@@ -146,15 +144,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for all tasks of a worker process."""
-    return Encoder(path)
+    return Encoder(path, cache_pieces)
 
 
-def _tokeniser(path: str, end_id: int, chunk_bytes: int = CHUNK_BYTES):
+def _tokeniser(path: str, end_id: int, chunk_bytes: int = CHUNK_BYTES, cache_pieces: int = CACHE_PIECES):
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in column_chunks(batches, chunk_bytes):
-            ids, counts = encoder(path).encode(batch.column(1), end_id)
+            ids, counts = encoder(path, cache_pieces).encode(batch.column(1), end_id)
             raw, ends = ids.astype("<u4"), np.cumsum(counts)
             parts = [_packed(raw[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -314,14 +312,15 @@ def _block_schema(id_arrow: pa.DataType) -> pa.Schema:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, chunk_bytes: int = CHUNK_BYTES,
+    end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, chunk_bytes: int = CHUNK_BYTES, cache_pieces: int = CACHE_PIECES,
 ) -> None:
     """Write the token ids of all texts to a store at ``path``, in ascending id order.
 
     Every text is encoded and gets ``end_id``; the ids are written once to the shared folder.  A count of
     all tokens, at most one row per vocabulary entry, gives the table that is broadcast; then the ids
     are dealt out by ranges of document id and each task codes its range in blocks.  A worker encodes about
-    ``chunk_bytes`` of text at a time, which needs many times that in memory; less takes more time.
+    ``chunk_bytes`` of text at a time, which needs many times that in memory, and remembers
+    ``cache_pieces`` pieces; less takes more time.
 
     The tokenizer file must be where ``tokenizer_path`` says on every node.  A null text is empty and has the end
     id alone.  Null ids come first; rows that share an id stand next to each other and are not joined.  An empty table
@@ -331,7 +330,7 @@ def write_tokens(
     kind = id_type(docs, id_col)
     scratch = scratch_path(spark, "token_ids")
     id_text(docs, id_col, text_col).mapInArrow(
-        _tokeniser(tokenizer_path, end_id, chunk_bytes), f"id {kind}, n_tokens bigint, ids binary"
+        _tokeniser(tokenizer_path, end_id, chunk_bytes, cache_pieces), f"id {kind}, n_tokens bigint, ids binary"
     ).write.option("compression", "zstd").parquet(scratch)
     encoded = spark.read.parquet(scratch)
     totals = encoded.select("ids").mapInArrow(_token_totals, "token bigint, count bigint")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lamina.llm.queries import tokenizer_file
 from lamina.llm.token_count import Counter, token_counts
-from lamina.llm.token_store import Coder, Encoder, _tokeniser, read_digests, read_tokens, scaled, write_tokens
+from lamina.llm.token_store import Coder, Encoder, Known, _tokeniser, read_digests, read_tokens, scaled, write_tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD = ["a<|endoftext|>b <|startoftext|><|endoftext|>", "<|endoftext|", "aaaaaaaaaaaaaaaa ssssss", "ΑΣ ΑΣ. ΣΣΣ", "it's IT'S we'll'll 12345 ...!!!", "İx ẞ", "é ́", ""]
@@ -117,3 +117,28 @@ def test_store_round_trip(spark, awkward, rows, library, tmp_path):
 def test_empty_store(spark, nothing, tmp_path):
     write_tokens(nothing, str(tmp_path / "none"), tokenizer_file())
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_frequent_strings_stay_known():
+    known = Known(8)
+    known.add([b"often", b"also"], np.array([7, 8, 9], np.uint32), np.array([1, 2]))
+    for _ in range(5):
+        known.of(np.array([0, 1, 1, 1, 0, 1]))
+        known.age()
+    # pieces that are met once each don't drive out what is met often, even where they are the latest
+    for number in range(40):
+        known.add([b"%d" % number], np.array([number], np.uint32), np.array([1]))
+        assert known.of(np.array([known.numbers[b"%d" % number], 0, -1]), 99)[0].tolist() == [number, 7, 99]
+        known.age()
+        assert b"also" in known.numbers or number > 8
+        assert len(known.sizes) == len(known.numbers) == len(known.starts) <= 8
+
+
+def test_small_caches_change_no_id():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgÀé'") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    small, whole = Encoder(tokenizer_file(), 16), Encoder(tokenizer_file())
+    for _ in range(6):
+        texts = pa.array([" ".join(rng.choices(words, k=40)) + rng.choice(["", " <|endoftext|>x"]) for _ in range(5)])
+        for a, b in zip(small.encode(texts, 2), whole.encode(texts, 2)):
+            assert a.tolist() == b.tolist()
