@@ -1,10 +1,12 @@
 import math
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 from brute import WORD, lower, word_counts
 from pyspark.sql import functions as F
 
@@ -143,3 +145,35 @@ def test_words_are_looked_up_once_and_decisions_made_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([False] * 80), texts], ["id", "held_out", "text"])
     found = list(mixing_lm._scorer(SimpleNamespace(value=model), SimpleNamespace(value=np.zeros(202)), 0.1, 1.0, 0.0, True)([batch]))
     assert len(asked) == 1 and found[0].column(6).to_pylist() == pytest.approx(wanted.tolist())
+
+
+def test_scores_in_parts_share_the_mixers_shifts(monkeypatch):
+    rng = np.random.default_rng(4)
+    names = sorted({b"w%d" % i for i in range(60)})
+    hashes = np.array([xxhash.xxh64_intdigest(w, mixing_lm.HASH_SEED) for w in names], np.uint64).view(np.int64)
+    coder = mixing_lm.Coder(hashes, np.arange(60, 0, -1) + 5, 20, 5, np.ones(256, np.int64))
+    coder.classify(rng.integers(0, 50, (62, mixing_lm.TOPIC_WORDS + 1)))
+    bits = {"word": 14, "spell": 14}
+    packed = {k: [rng.integers(-8000, 8000, mixing_lm._table_size(coder, k, i, bits)).astype(np.int16) for i in range(4)] for k in bits}
+    model = mixing_lm.Model(coder, bits, {}, {k: mixing_lm.Mixer.fresh() for k in bits}, packed)
+    for mixer in model.mixers.values():
+        mixer.hits += rng.integers(0, 9, len(mixer.hits))
+        mixer.seen += mixer.hits + rng.integers(0, 9, len(mixer.hits))
+    made = []
+    shifts = mixing_lm.Mixer.shifts
+    monkeypatch.setattr(mixing_lm.Mixer, "shifts", lambda self: made.append(self) or shifts(self))
+    texts = [" ".join(f"{rng.choice(['w', 'x'])}{i}" for i in rng.integers(0, 70, n)) for n in (30, 0, 1, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([True] * 4), pa.array(texts)], ["id", "held_out", "text"])
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    logs = np.full(62, -2.0)
+    logs[[mixing_lm.ESCAPE, 5, 9]] = np.nan
+    found = pa.Table.from_batches(mixing_lm._scorer(Sent(model), Sent(logs), 0.0, 1.0, -1.0, True)([batch, batch]))
+    assert len(made) == 2
+    spelled = {w.decode(): logs[s] for w, s in zip(names, coder.symbols(names).tolist())}
+    for text, words, times in zip(texts * 2, found["words"].to_pylist(), found["times"].to_pylist()):
+        wanted = Counter(w for w in text.split() if np.isnan(spelled.get(w, np.nan)))
+        assert {w.decode(): n for w, n in zip(words, times)} == wanted
