@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text import LOWER, blank_separated, col, column_chunks, id_type, ragged
+from lamina.llm.text import Words, col, column_chunks, id_type, ragged
 from lamina.session import materialise
 
 # The most frequent words, which have a class and are found by their 64-bit hash; all others are spelled.
@@ -39,8 +39,10 @@ CLASSES = TOPIC_WORDS + 3
 # One training document in this many is kept from the counts while the weights are learned on it, then counted too.
 TUNING_SHARE = 8
 SLICE = 1 << 14
-# Text that is split into words at once, tokens whose decisions are scored or counted at once, and text that is learned from at once.
+# Text that is split into words at once, symbols that go down their paths at once, tokens whose decisions are made at once, and
+# text that is learned from at once.
 SPLIT_BYTES = 1 << 20
+LEVEL_SYMBOLS = 1 << 14
 EVENT_TOKENS = 1 << 12
 EVENT_BYTES = 1 << 18
 BATCH_EVENTS = 1 << 13
@@ -51,6 +53,11 @@ END, ESCAPE, FIRST_WORD, STOP = 0, 1, 2, 32
 GATE_LEVELS = 4
 ODDS_STEP = np.float32(1 / 256)
 REFINE_STEPS = 33
+SPREAD = np.uint32(0x9E3779B1)
+# Fixed values of the hash of words, XXH64.
+HASH_PRIMES = tuple(np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+))
 PREDICTORS = {"word": ("tree", "topic", "one", "two"), "spell": ("tree", "pair", "triple", "five")}
 
 
@@ -115,6 +122,130 @@ class Events:
     contexts: list[np.ndarray]
 
 
+@dataclass
+class Choices:
+    """Symbols of some texts: each one's path, its text, and one hash per context after the first.
+
+    Paths are numbered by falling length; ``steps`` has the node and bit, in one number, of all paths that reach a level.
+    """
+
+    path: np.ndarray
+    text: np.ndarray
+    contexts: list[np.ndarray]
+    length: np.ndarray
+    steps: list[np.ndarray]
+
+    def part(self, which) -> Choices:
+        return Choices(self.path[which], self.text[which], [k[which] for k in self.contexts], self.length, self.steps)
+
+    def events(self) -> Events:
+        """The decisions one symbol after the other."""
+        depth = self.length[self.path]
+        offsets = np.cumsum([0, *map(len, self.steps)])
+        found = np.concatenate([np.zeros(0, np.uint32), *self.steps])[np.repeat(self.path, depth) + offsets[ragged(depth)]]
+        return Events(found >> np.uint32(1), found & np.uint32(1), np.repeat(self.text, depth), [np.repeat(k, depth) for k in self.contexts])
+
+    def levels(self) -> Iterator[Events]:
+        """The decisions of symbols that are in the order of their paths, and in place of texts where those symbols are.
+
+        They go down side by side, so that nothing is repeated for each decision and like ones are neighbours.
+        """
+        for start in range(0, len(self.path), LEVEL_SYMBOLS):
+            path = self.path[start:start + LEVEL_SYMBOLS]
+            for step in self.steps:
+                left = len(path) if path[-1] < len(step) else int(np.searchsorted(path, len(step)))
+                if not left:
+                    break
+                found, place = step.take(path[:left]), slice(start, start + left)
+                yield Events(found >> np.uint32(1), found & np.uint32(1), place, [k[place] for k in self.contexts])
+
+    def once(self, number: int, fold: np.ndarray) -> Choices:
+        """The symbols that differ in path, fold or one context, in order; that, the fold and how often are in place of contexts."""
+        key = self.path << 33 | fold << 32
+        if number:
+            key |= self.contexts[number - 1]
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+        times = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+        key = key[first]
+        own = [key.astype(np.uint32), (key >> 32).astype(np.uint32) & np.uint32(1), times]
+        return Choices(key >> 33, first, own, self.length, self.steps)
+
+
+def side_by_side(begin: np.ndarray, length: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The number of each path by falling length, and lengths and steps as ``Choices`` has them."""
+    order = np.argsort(-length, kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    step, length, at = node << np.uint32(1) | bit, length[order], begin[order]
+    return number, length, [step[at[:left] + level] for level, left in enumerate(_reaching(length))]
+
+
+def _reaching(length: np.ndarray) -> list[int]:
+    """How many paths reach each level."""
+    return (len(length) - np.cumsum(np.bincount(length, minlength=1)))[:-1].tolist()
+
+
+class Pieces:
+    """Distinct words as they stand in a byte string, each with one byte after it."""
+
+    def __init__(self, data: bytes, cuts: np.ndarray):
+        self.data, self.cuts = data, cuts
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Pieces:
+        return cls(b"".join(w + b" " for w in words), np.cumsum([0, *(len(w) + 1 for w in words)]))
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def words(self, numbers: Iterable[int]) -> list[bytes]:
+        begin, end = self.cuts[numbers].tolist(), self.cuts[np.asarray(numbers) + 1].tolist()
+        return [self.data[a:b - 1] for a, b in zip(begin, end)]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Letters of each word and the byte after it."""
+        return np.diff(self.cuts)
+
+    def hashes(self) -> np.ndarray:
+        """XXH64 of every word; words of one length are hashed together, those of 32 letters and more one by one."""
+        data, lengths, found = np.frombuffer(self.data, np.uint8), self.sizes - 1, np.zeros(len(self), np.uint64)
+        order = np.argsort(np.minimum(lengths, 32).astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(lengths[order], np.arange(33))
+        for length, begin, end in zip(range(32), bounds, bounds[1:]):
+            if end > begin:
+                own = order[begin:end]
+                found[own] = _short_hashes(data[self.cuts[own][:, None] + np.arange(length)], length)
+        long = order[bounds[32]:]
+        found[long] = [xxhash.xxh64_intdigest(w, HASH_SEED) for w in self.words(long)]
+        return found.view(np.int64)
+
+
+def _short_hashes(letters: np.ndarray, length: int) -> np.ndarray:
+    one, two, three, four, five = HASH_PRIMES
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    value, at = np.full(len(letters), np.uint64(HASH_SEED + length) + five), 0
+    while at + 8 <= length:
+        lane = np.ascontiguousarray(letters[:, at:at + 8]).view("<u8").ravel()
+        value = turned(value ^ turned(lane * two, 31) * one, 27) * one + four
+        at += 8
+    if at + 4 <= length:
+        lane = np.ascontiguousarray(letters[:, at:at + 4]).view("<u4").ravel().astype(np.uint64)
+        value = turned(value ^ lane * one, 23) * two + three
+        at += 4
+    for k in range(at, length):
+        value = turned(value ^ letters[:, k] * five, 11) * one
+    value ^= value >> np.uint64(33)
+    value *= two
+    value ^= value >> np.uint64(29)
+    value *= three
+    return value ^ value >> np.uint64(32)
+
+
 class Coder:
     """Turns texts into decisions."""
 
@@ -123,7 +254,7 @@ class Coder:
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
         self.counts = np.r_[ends + 1, escapes + 1, counts].astype(np.int64)
-        self.byte_tree = paths(letters + 1)
+        self.byte_tree = side_by_side(*paths(letters + 1))
 
     def classify(self, *followed: np.ndarray) -> None:
         """Give each word the class of the topic that it follows most above that topic's usual share; ``followed`` in parts."""
@@ -157,22 +288,31 @@ class Coder:
             side.append(bit[size:])
             fresh += size - 1
         self.parent, self.side = np.concatenate(parent).astype(np.int32), np.concatenate(side)
+        self.depth, at, alive = np.zeros(words, np.uint8), np.arange(words), np.arange(words)
+        while len(alive):
+            up = self.parent[at]
+            alive, at = alive[up != at], up[up != at]
+            self.depth[alive] += 1
 
     @property
     def nodes(self) -> int:
         """Places in the words' tree where a decision is made."""
         return len(self.parent) - len(self.counts)
 
-    def symbols(self, distinct: list[bytes], training: bool = False) -> np.ndarray:
+    def symbols(self, distinct: Pieces | list[bytes], training: bool = False) -> np.ndarray:
         """A word's place by count, after the fixed symbols, or an escape.
 
         In training a word that was seen once is spelled: it was as new then as words to come will be.
         """
-        if not distinct or not len(self.sorted):
+        if not len(distinct) or not len(self.sorted):
             return np.full(len(distinct), ESCAPE, np.int64)
-        hashes = np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in distinct], np.uint64).view(np.int64)
+        hashes = (distinct if isinstance(distinct, Pieces) else Pieces.of(distinct)).hashes()
+        # in order, neighbours are found close together
+        rising = np.argsort(hashes)
+        hashes = hashes[rising]
         place = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        found = np.where(self.sorted[place] == hashes, self.order[place] + FIRST_WORD, ESCAPE)
+        found = np.empty(len(hashes), np.int64)
+        found[rising] = np.where(self.sorted[place] == hashes, self.order[place] + FIRST_WORD, ESCAPE)
         return np.where(self.counts[found] > 1, found, ESCAPE) if training else found
 
     def tokens(self, which: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -185,49 +325,67 @@ class Coder:
         topic = np.where(last >= first, symbol[np.maximum(last, 0)] - FIRST_WORD + 1, 0)
         return symbol, text, first, topic
 
-    def events(self, which: np.ndarray, distinct: list[bytes], sizes: np.ndarray, training: bool = False) -> tuple[dict[str, Events], np.ndarray]:
+    def events(self, which: np.ndarray, distinct: Pieces | list[bytes], sizes: np.ndarray, training: bool = False) -> tuple[dict[str, Events], np.ndarray]:
         """Decisions on tokens, and on the letters of spelled words; number of tokens per text."""
         found = self.symbols(distinct, training)
         return next(self.parts(which, distinct, found, sizes, max(1, len(which) + len(sizes)))), sizes + 1
 
     def parts(
-        self, which: np.ndarray, distinct: list[bytes], found: np.ndarray, sizes: np.ndarray, tokens: int = EVENT_TOKENS
+        self, which: np.ndarray, distinct: Pieces | list[bytes], found: np.ndarray, sizes: np.ndarray, tokens: int = EVENT_TOKENS
     ) -> Iterator[dict[str, Events]]:
         """``events`` of so many tokens after the others; words and their paths are looked up once for all."""
+        words, *rest = self._words(which, distinct, found, sizes)
+        for start in range(0, max(1, len(words.path)), tokens):
+            part = slice(start, start + tokens)
+            yield {"word": words.part(part).events(), "spell": self._letters(words, *rest, part).events()}
+
+    def choices(self, which: np.ndarray, distinct: Pieces, found: np.ndarray, sizes: np.ndarray) -> dict[str, Choices]:
+        """The symbols of all tokens, and the letters of spelled words."""
+        words, *rest = self._words(which, distinct, found, sizes)
+        return {"word": words, "spell": self._letters(words, *rest, slice(None))}
+
+    def _words(self, which, distinct, found, sizes) -> tuple:
         symbol, text, first, topic = self.tokens(which, found, sizes)
         at = np.arange(len(symbol))
         one = np.r_[END, symbol[:-1]]
         one[at == first] = END
         two = np.r_[END, one[:-1]]
         two[at == first] = END
-        own = np.insert(which + 1, np.cumsum(sizes), 0)
-        begin, length, nodes, bits = climb(self.parent, self.side, np.r_[END, found], len(self.counts))
+        number, length, steps = self._paths(np.r_[END, found])
+        path = np.insert(number[which + 1], np.cumsum(sizes), number[0])
         keys = [mixed(topic + 1), mixed(one * 64 + 2), mixed(one * 0x1000003 + two + 1)]
-        for start in range(0, max(1, len(symbol)), tokens):
-            part = slice(start, start + tokens)
-            depth = length[own[part]]
-            place = np.repeat(begin[own[part]], depth) + ragged(depth)
-            word = Events(nodes[place], bits[place], np.repeat(text[part], depth), [np.repeat(k[part], depth) for k in keys])
-            rare = start + np.flatnonzero(symbol[part] == ESCAPE)
-            yield {"word": word, "spell": self._spelled(which, distinct, topic, text, rare)}
-
-    def _spelled(self, which, distinct, topic, text, rare) -> Events:
+        return Choices(path, text, keys, length, steps), which, distinct, symbol, topic
+
+    def _paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """``side_by_side`` of the paths of symbols; equal symbols have one path."""
+        # by falling depth, then by symbol
+        names, number = np.unique((255 - self.depth[symbols].astype(np.int64)) << 32 | symbols, return_inverse=True)
+        length, at = 255 - (names >> 32), (names & 0xFFFFFFFF).astype(np.int32)
+        leaves, steps = len(self.counts), []
+        # from the deepest leaf up; a path is met where its leaf is
+        for left in reversed(_reaching(length)):
+            side = self.side.take(at[:left])
+            at[:left] = self.parent.take(at[:left])
+            steps.append((at[:left] - leaves).astype(np.uint32) << np.uint32(1) | side)
+        return number, length, steps[::-1]
+
+    def _letters(self, words: Choices, which, distinct, symbol, topic, part: slice) -> Choices:
+        rare = np.arange(len(symbol))[part][symbol[part] == ESCAPE]
         # the rare tokens' numbers among words: tokens without the ends before them
-        words = [distinct[i] for i in which[rare - text[rare]].tolist()]
-        data = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.int64)
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        named = which[rare - words.text[rare]]
+        spelled = (distinct if isinstance(distinct, Pieces) else Pieces.of(distinct)).words(named)
+        data = np.frombuffer(b"".join(w + b" " for w in spelled), np.uint8).astype(np.int64)
+        lengths = np.array([len(w) + 1 for w in spelled], np.int64)
         place = ragged(lengths)
         back = [np.where(place >= k, np.r_[np.zeros(min(k, len(data)), np.int64), data[:-k]], 0) for k in range(1, 6)]
         subject = np.repeat(topic[rare], lengths)
-        begin, length, nodes, bits = self.byte_tree
-        depth = length[data]
-        at = np.repeat(begin[data], depth) + ragged(depth)
         keys = [
             mixed((back[0] << 8 | back[1]) * 64 + subject),
             mixed((back[0] << 16 | back[1] << 8 | back[2]) * 64 + subject + 1 << 8),
             mixed((back[0] << 32 | back[1] << 24 | back[2] << 16 | back[3] << 8 | back[4]) + 7),
         ]
-        return Events(nodes[at], bits[at], np.repeat(np.repeat(text[rare], lengths), depth), [np.repeat(k, depth) for k in keys])
+        number, length, steps = self.byte_tree
+        return Choices(number[data], np.repeat(words.text[rare], lengths), keys, length, steps)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -246,7 +404,7 @@ def slots(context: np.ndarray, spread: np.ndarray, bits: int) -> np.ndarray:
 
 def addresses(events: Events, bits: int) -> list[np.ndarray]:
     """Slot of each predictor; the first knows the place in the tree alone and is not hashed."""
-    spread = events.node * np.uint32(0x9E3779B1)
+    spread = events.node * SPREAD
     return [events.node, *(slots(c, spread, bits) for c in events.contexts)]
 
 
@@ -275,9 +433,13 @@ class Mixer:
 
     def combine(self, inputs: list[np.ndarray], gates: np.ndarray) -> np.ndarray:
         weights = np.ascontiguousarray(self.weights.T, inputs[0].dtype)
-        total = weights[0].take(gates) * inputs[0]
+        # gates are within the table, and are looked up sooner where that isn't checked
+        total = weights[0].take(gates, mode="clip")
+        total *= inputs[0]
         for i in range(1, len(inputs)):
-            total += weights[i].take(gates) * inputs[i]
+            more = weights[i].take(gates, mode="clip")
+            more *= inputs[i]
+            total += more
         return np.clip(total, -16, 16, out=total)
 
     @staticmethod
@@ -293,8 +455,8 @@ class Mixer:
 
     def refined(self, total: np.ndarray, gates: np.ndarray, shifts: np.ndarray | None = None) -> np.ndarray:
         """Half the combined odds and half what such odds have meant so far."""
-        shifts = (self.shifts() if shifts is None else shifts).astype(total.dtype, copy=False)
-        return total + total.dtype.type(0.5) * shifts.take(self.step(total, gates))
+        shifts = (self.shifts() if shifts is None else shifts).astype(total.dtype, copy=False) * total.dtype.type(0.5)
+        return total + shifts.take(self.step(total, gates), mode="clip")
 
     def learn(self, inputs: list[np.ndarray], gates: np.ndarray, bit: np.ndarray) -> None:
         """One online step per few thousand decisions: each gate moves down its mean gradient."""
@@ -336,7 +498,7 @@ class Model:
         gates = np.zeros(len(events.bit), np.int16)
         for part in found[1:]:
             gates = (gates << 2) + (part & 3)
-        return [(part >> 2) * ODDS_STEP for part in found], gates
+        return [(part >> 2) * ODDS_STEP for part in found], gates.astype(np.intp)
 
     def learn(self, events: dict[str, Events]) -> None:
         self.shifts = {}
@@ -350,31 +512,52 @@ class Model:
         total, texts = np.zeros(len(tokens)), len(tokens)
         for kind, part in events.items():
             if len(part.bit):
-                inputs, gates = self.inputs(kind, part)
-                mixer = self.mixers[kind]
-                odds = mixer.combine(inputs, gates)
-                if kind not in self.shifts:
-                    self.shifts[kind] = mixer.shifts().astype(odds.dtype)
-                z = mixer.refined(odds, gates, self.shifts[kind])
-                z *= np.float32(1) - 2 * part.bit.astype(np.float32)
-                total -= np.bincount(part.text, np.log(np.exp(z) + np.float32(1)), texts)
+                total -= np.bincount(part.text, self.losses(kind, part), texts)
         return total / np.log(10)
 
+    def score_choices(self, choices: dict[str, Choices], texts: int) -> np.ndarray:
+        """``score`` of so many texts, all paths of which are gone down side by side."""
+        total = np.zeros(texts)
+        for kind, part in choices.items():
+            part = part.part(np.argsort(part.path))
+            lost = np.zeros(len(part.path))
+            for events in part.levels():
+                lost[events.text] += self.losses(kind, events)
+            total -= np.bincount(part.text, lost, texts)
+        return total / np.log(10)
 
-def lower(texts: pa.Array) -> pa.Array:
-    """A-Z in lower case; other letters as they are."""
-    return pa.array([t.translate(LOWER) if t else b"" for t in texts.cast(pa.large_binary()).to_pylist()], pa.large_binary())
-
-
-def _split(texts: pa.Array):
-    return blank_separated(lower(texts).cast(pa.large_binary()))
+    def losses(self, kind: str, events: Events) -> np.ndarray:
+        """The natural logarithm of each decision's probability, without the sign."""
+        inputs, gates = self.inputs(kind, events)
+        mixer = self.mixers[kind]
+        odds = mixer.combine(inputs, gates)
+        if kind not in self.shifts:
+            self.shifts[kind] = mixer.shifts().astype(odds.dtype)
+        z = mixer.refined(odds, gates, self.shifts[kind])
+        z *= np.float32(1) - np.float32(2) * events.bit.astype(np.float32)
+        np.exp(z, out=z)
+        z += np.float32(1)
+        return np.log(z, out=z)
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, Pieces, np.ndarray]:
+    """Numbers of all words, A-Z in lower case, into the distinct ones, those, and how many words each text has."""
+    words = Words([t or b"" for t in texts.cast(pa.large_binary()).to_pylist()])
+    # words stand one blank apart: a word and its blank reach to the next one
+    bounds = np.r_[words.starts, words.ends[-1:] + 1].astype(np.int64)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(bounds), pa.py_buffer(words.data)])
+    coded = packed.dictionary_encode()
+    _, cuts, raw = coded.dictionary.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[: len(coded.dictionary) + 1] if len(words.starts) else np.zeros(1, np.int64)
+    return np.asarray(coded.indices, dtype=np.int64), Pieces(raw.to_pybytes() if raw else b"", cuts), words.counts
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in column_chunks(batches):
         which, distinct, _ = _split(batch.column(0))
         n = np.bincount(which, minlength=len(distinct))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+        words = distinct.words(np.arange(len(distinct)))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
 
 def _letter_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +578,11 @@ def _follower(coder):
         for batch in column_chunks(batches, SPLIT_BYTES):
             words, distinct, sizes = _split(batch.column(0))
             symbol, _, _, topic = coder.value.tokens(words, coder.value.symbols(distinct), sizes)
-            place = symbol * width + topic
-            rare = place >= len(wide)
-            np.add.at(wide, place[~rare], 1)
-            np.add.at(narrow, place[rare] - len(wide), 1)
+            place, n = np.unique(symbol * width + topic, return_counts=True)
+            # the wide ones come first
+            cut = np.searchsorted(place, len(wide))
+            wide[place[:cut]] += n[:cut]
+            narrow[place[cut:] - len(wide)] += n[cut:].astype(np.uint32)
         yield from _slices("follow", 0, 0, wide)
         yield from _slices("follow", 1, 0, narrow)
 
@@ -425,15 +609,18 @@ def _counter(coder, bits: dict[str, int]):
         for batch in column_chunks(batches, SPLIT_BYTES):
             which, distinct, sizes = _split(batch.column(0))
             tuning = np.asarray(batch.column(1)).astype(np.int64)
-            parts = coder.value.parts(which, distinct, coder.value.symbols(distinct, True), sizes)
-            for kind, events in (item for part in parts for item in part.items()):
-                fold = tuning[events.text]
-                for number, slot in enumerate(addresses(events, bits[kind])):
+            for kind, part in coder.value.choices(which, distinct, coder.value.symbols(distinct, True), sizes).items():
+                fold = tuning[part.text]
+                for number in range(len(PREDICTORS[kind])):
                     size = _table_size(coder.value, kind, number, bits)
                     if (kind, number) not in tables:
                         tables[kind, number] = np.zeros(4 * size, np.uint32)
-                    np.add.at(tables[kind, number], (fold * size + slot) * 2 + events.bit, np.uint32(1))
-                held += len(events.bit)
+                    for events in part.once(number, fold).levels():
+                        context, own, times = events.contexts
+                        slot = slots(context, events.node * SPREAD, bits[kind]) if number else events.node
+                        place = own * np.uint32(size) + slot << np.uint32(1) | events.bit
+                        np.add.at(tables[kind, number], place.astype(np.intp), times)
+                held += int(part.length[part.path].sum())
             if held >= FULL_EVENTS:
                 yield from sent(tables)
                 tables, held = {}, 0
@@ -515,7 +702,7 @@ def _scorer(model, hot, floor: float, scale: float, end_log: float, known_end: b
         for batch in column_chunks(batches, SPLIT_BYTES):
             which, distinct, sizes = _split(batch.column(2))
             found = model.value.coder.symbols(distinct)
-            scores = sum(model.value.score(part, sizes) for part in model.value.coder.parts(which, distinct, found, sizes))
+            scores = model.value.score_choices(model.value.coder.choices(which, distinct, found, sizes), len(sizes))
             value = logs[found]
             per_word = value[which] if len(which) else np.zeros(0)
             text = np.repeat(np.arange(len(sizes)), sizes)
@@ -526,10 +713,9 @@ def _scorer(model, hot, floor: float, scale: float, end_log: float, known_end: b
             width = max(1, len(distinct))
             pairs, n = np.unique(text[rare] * width + which[rare], return_counts=True)
             bounds = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width)
-            words = pa.array([distinct[i] for i in (pairs % width).tolist()], pa.binary())
+            words = pa.array(distinct.words(pairs % width), pa.binary())
             offsets = pa.array(bounds, pa.int32())
-            letters = np.array([len(w) + 1 for w in distinct] or [0])
-            n_bytes = np.bincount(text, letters[which], len(sizes)).astype(np.int64) + 1
+            n_bytes = np.bincount(text, distinct.sizes[which], len(sizes)).astype(np.int64) + 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(n_bytes), pa.array(known), pa.array(base), pa.array(scores),
                  pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))],

@@ -177,3 +177,48 @@ def test_scores_in_parts_share_the_mixers_shifts(monkeypatch):
     for text, words, times in zip(texts * 2, found["words"].to_pylist(), found["times"].to_pylist()):
         wanted = Counter(w for w in text.split() if np.isnan(spelled.get(w, np.nan)))
         assert {w.decode(): n for w, n in zip(words, times)} == wanted
+
+
+def _some_coder(rng, words):
+    hashes = np.array([xxhash.xxh64_intdigest(w, mixing_lm.HASH_SEED) for w in words], np.uint64).view(np.int64)
+    coder = mixing_lm.Coder(hashes, np.arange(len(words), 0, -1), 30, 20, np.ones(256, np.int64))
+    coder.classify(rng.integers(0, 9, (len(words) + 2, mixing_lm.TOPIC_WORDS + 1)))
+    return coder
+
+
+def test_equal_decisions_are_counted_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    coder, bits = _some_coder(rng, words), {"word": 14, "spell": 14}
+    texts = [" ".join(rng.choice([*words, "new", "newer"], n)) for n in (0, 1, 40, 70)]
+    made, slots = [], mixing_lm.slots
+    monkeypatch.setattr(mixing_lm, "slots", lambda context, *a: made.append(len(context)) or slots(context, *a))
+
+    def counted(times):
+        made.clear()
+        both = pa.array(texts * times), pa.array([i % 3 == 0 for i in range(4)] * times)
+        found = list(mixing_lm._counter(SimpleNamespace(value=coder), bits)([pa.RecordBatch.from_arrays(list(both), ["text", "tuning"])]))
+        return mixing_lm._tables(SimpleNamespace(toLocalIterator=lambda: pa.Table.from_batches(found).to_pylist()), coder, bits), sum(made)
+
+    tables, once = counted(1)
+    more, often = counted(30)
+    assert often == once
+    wanted = mixing_lm._tables(SimpleNamespace(toLocalIterator=lambda: []), coder, bits)
+    for text, fold in zip(texts, (1, 0, 0, 1)):
+        for kind, events in coder.events(*blank_separated(pa.array([text])), True)[0].items():
+            for table, slot in zip(wanted[fold][kind], mixing_lm.addresses(events, bits[kind])):
+                np.add.at(table, (slot, events.bit), 1)
+    for fold in (0, 1):
+        for kind in mixing_lm.PREDICTORS:
+            for a, b, c in zip(tables[fold][kind], more[fold][kind], wanted[fold][kind]):
+                assert (a == c).all() and (b == 30 * c).all()
+
+
+def test_words_are_hashed_like_spark_does(spark):
+    rng = np.random.default_rng(7)
+    words = sorted({bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in [*range(45), *rng.integers(1, 12, 200)]}) + ["żółw".encode()]
+    text = pa.array([b" \t".join(words[:100]), b"", b"\n".join(words[100:]).upper()])
+    which, distinct, sizes = mixing_lm._split(text)
+    assert distinct.words(which) == [w for t in text.to_pylist() for w in lower(t.decode()).encode().split()] and len(which) == sizes.sum()
+    found = dict(spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w")).collect())
+    assert mixing_lm.Pieces.of(words).hashes().tolist() == [found[w] for w in words]
