@@ -55,9 +55,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, SHINGLE):
         value *= factor
         value += letters[k:k + len(value)]
-    value = value[np.repeat(begin, counts) + ragged(counts)]
-    # a line of fewer letters has nothing in the place of the others
     short = np.flatnonzero(lengths < SHINGLE)
+    if len(short):
+        value = value[np.repeat(begin, counts) + ragged(counts)]
+    else:
+        # what begins at a line's last letters reaches into the next one
+        inside = np.ones(len(letters) - SHINGLE, bool)
+        inside[(begin + lengths)[:, None] - np.arange(1, SHINGLE)] = False
+        value = value[:len(inside)][inside]
+    # a line of fewer letters has nothing in the place of the others
     own = np.zeros(len(short), np.uint64)
     for k in range(SHINGLE):
         own = own * factor + np.where(lengths[short] > k, letters[begin[short] + k], np.uint64(0))
@@ -220,33 +226,41 @@ def _pairer(similarity: float):
     """
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, last, held, seen = None, None, [], 0
+        # the first few lines of the last bucket, and how many it has had
+        held, seen = [np.zeros(0, np.int64) for _ in range(3)], 0
+        last = None
         for batch in batches:
-            left, right, large = [], [], []
-            for name, key, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if name != bucket:
-                    bucket, held, seen = name, [], 0
-                elif key == last:
-                    continue
-                last = key
-                seen += 1
-                if seen == SMALL_BUCKET + 1:
-                    left += [None] * SMALL_BUCKET
-                    right += [k for k, _ in held]
-                    large += [name] * SMALL_BUCKET
-                    held = held[:LEADERS]
-                for other, n in held:
-                    if n >= similarity * size and size >= similarity * n:
-                        left.append(other)
-                        right.append(key)
-                        large.append(None)
-                if seen > SMALL_BUCKET:
-                    left.append(None)
-                    right.append(key)
-                    large.append(name)
-                else:
-                    held.append((key, size))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, large)], ["a", "b", "bucket"])
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(i)).astype(np.int64) for i in range(3)]
+            fresh = np.r_[last != (rows[0][0], rows[1][0]), (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+            last = rows[0][-1], rows[1][-1]
+            old = len(held[0])
+            name, key, size = (np.r_[a, b[fresh]] for a, b in zip(held, rows))
+            at = np.arange(len(name))
+            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            begin = np.repeat(starts, np.diff(np.r_[starts, len(name)]))
+            # place in the bucket; of the held one some lines may be left out in between
+            place = at - begin
+            place[(begin == 0) & (at >= old)] += seen - old
+            new = at >= old
+            left, right = [], []
+            for k in range(SMALL_BUCKET):
+                x = np.flatnonzero(new & (place > k) & ((place < SMALL_BUCKET) | (k < LEADERS)))
+                y = begin[x] + k
+                near = (size[y] >= similarity * size[x]) & (size[x] >= similarity * size[y])
+                left.append(key[y[near]])
+                right.append(key[x[near]])
+            # when the first line beyond the small size comes, those before it go out with it
+            found = np.flatnonzero(new & (place == SMALL_BUCKET))
+            large = np.r_[np.flatnonzero(new & (place >= SMALL_BUCKET)), (begin[found][:, None] + np.arange(SMALL_BUCKET)).ravel()]
+            left, right = np.concatenate(left), np.concatenate(right)
+            of_pair = np.repeat([True, False], [len(left), len(large)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.r_[left, key[large]], mask=~of_pair), pa.array(np.r_[right, key[large]]), pa.array(np.r_[left, name[large]], mask=of_pair),
+            ], ["a", "b", "bucket"])
+            first, seen = starts[-1], int(place[-1]) + 1
+            held = [x[first:first + SMALL_BUCKET] for x in (name, key, size)]
 
     return pair
 
@@ -357,6 +371,14 @@ def _shingle_sets(lines: list[str]) -> tuple[np.ndarray, list[int]]:
     return hashes[fresh], np.r_[0, np.cumsum(fresh)[ends - 1]].tolist()
 
 
+def _each_set(lines: list[str]) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each line in order; those of many lines are made at once."""
+    for begin, end in _runs(lines):
+        sets, bounds = _shingle_sets(lines[begin:end])
+        for start, stop in zip(bounds, bounds[1:]):
+            yield sets[start:stop]
+
+
 def _verifier(similarity: float):
     """Links from rows sorted by (line, share), the line's own text before those of its partners."""
 
@@ -365,20 +387,17 @@ def _verifier(similarity: float):
         for batch in batches:
             left, right = [], []
             names, partners, lines = (batch.column(i).to_pylist() for i in range(3))
-            for begin, end in _runs(lines):
-                sets, bounds = _shingle_sets(lines[begin:end])
-                for at, (start, stop) in enumerate(zip(bounds, bounds[1:]), begin):
-                    found = sets[start:stop]
-                    if partners[at] is None:
-                        own = found.copy()
-                        continue
-                    small, large = sorted((len(own), len(found)))
-                    if small >= similarity * large:
-                        place = own.searchsorted(found)
-                        both = int(np.count_nonzero(own.take(place, mode="clip") == found))
-                        if both >= similarity * (small + large - both):
-                            left.append(names[at])
-                            right.append(partners[at])
+            for name, partner, found in zip(names, partners, _each_set(lines)):
+                if partner is None:
+                    own = found.copy()
+                    continue
+                small, large = sorted((len(own), len(found)))
+                if small >= similarity * large:
+                    place = own.searchsorted(found)
+                    both = int(np.count_nonzero(own.take(place, mode="clip") == found))
+                    if both >= similarity * (small + large - both):
+                        left.append(name)
+                        right.append(partner)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return verify
@@ -514,15 +533,15 @@ def _block_linker(similarity: float):
 
         for batch in batches:
             done = []
-            for *name, guest, group, line in zip(*(c.to_pylist() for c in batch.columns)):
+            *names, texts = (c.to_pylist() for c in batch.columns)
+            for *name, guest, group, found in zip(*names, _each_set(texts)):
                 if name != key:
                     if lines:
                         done += (block or closed()).links
                     key, groups, lines, block = name, [], [], None
-                found = np.unique(shingle_hashes([line])[0])
                 if not guest:
                     groups.append(group)
-                    lines.append(found)
+                    lines.append(found.copy())
                     continue
                 block = block or closed()
                 block.guest(group, found)
@@ -607,23 +626,29 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     scanned.write.parquet(path)
     scanned = spark.read.schema(scanned.schema).parquet(path)
-    own = F.transform("new", lambda key, i: F.struct(key.alias("key"), F.col("sizes")[i].alias("size"), F.slice("bands", i * BANDS + 1, BANDS).alias("bands")))
-    bands = scanned.select(F.explode(own).alias("x")).select(F.explode("x.bands").alias("bucket"), "x.key", "x.size")
+    own = F.expr(f"int(at div {BANDS})")
+    bands = scanned.select(F.posexplode("bands").alias("at", "bucket"), "new", "sizes").select(
+        "bucket", F.col("new")[own].alias("key"), F.col("sizes")[own].alias("size")
+    )
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "key")
     met = materialise(dealt.mapInArrow(_pairer(similarity), "a bigint, b bigint, bucket bigint").distinct(), "pairs")
     # the bands are the larger part of what the scan has written, and have done their work
     scanned = materialise(scanned.drop("bands"), "keys")
     discard(spark, path)
-    sketches = scanned.select(
-        F.explode(F.transform("new", lambda key, i: F.struct(key.alias("key"), F.col("sizes")[i].alias("size"), F.col("sketches")[i].alias("bits")))).alias("x")
-    ).select("x.*").dropDuplicates(["key"])
+    sketched = scanned.select(F.posexplode("new").alias("at", "key"), "sizes", "sketches").select(
+        "key", F.col("sizes")[F.col("at")].alias("size"), F.col("sketches")[F.col("at")].alias("bits")
+    )
+    # few lines are in several batches: they are told apart after the shuffle only
+    sketches = sketched.repartition("key").dropDuplicates(["key"])
     members = met.where("a IS NULL").select("bucket", F.col("b").alias("key"))
     pairs = materialise(_sifted(met.where("a IS NOT NULL").select("a", "b"), sketches, similarity), "sifted")
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), id_col, text_col)
     roots = materialise(components(_verified(pairs, texts, similarity)), "roots")
     apart = materialise(_open(members, roots), "open")
     if not apart.isEmpty():
-        apart = materialise(_promising(apart, roots, sketches, similarity), "promising")
+        # the blocks read sketches more than once, and only those of lines in open buckets
+        marks = materialise(sketched.join(apart.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "marks")
+        apart = materialise(_promising(apart, roots, marks, similarity), "promising")
     if not apart.isEmpty():
         texts = materialise(_texts(docs, apart.select("key"), id_col, text_col), "texts")
         roots = _joined(roots, materialise(components(_rest(apart, roots, texts, similarity)), "joined"))
@@ -645,10 +670,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document without a line that isn't blank has none.  Rows that repeat an id are one row here.
     """
     groups = line_groups(docs, id_col, text_col, similarity)
-    found = groups.groupBy("id").agg(
-        F.countDistinct("position").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("position")))).alias("removed"),
-    )
+    # a line of a repeated id is one; lists are only made of lines that go
+    once = groups.groupBy("id", "position").agg(F.min("kept").alias("kept"))
+    counts = once.groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"))
+    gone = once.where(~F.col("kept")).groupBy(F.col("id").alias("_gone")).agg(F.array_sort(F.collect_list("position")).alias("removed"))
+    found = counts.join(gone, F.col("id").eqNullSafe(F.col("_gone")), "left")
     ids = docs.select(col(id_col).alias("_id")).distinct()
     return ids.join(found, F.col("_id").eqNullSafe(F.col("id")), "left").select(
         F.col("_id").alias("id"), F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines"),

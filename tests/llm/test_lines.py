@@ -216,3 +216,45 @@ def test_pairs_of_unlike_sizes_are_not_made():
     rows = pa.RecordBatch.from_arrays([pa.array([1] * 4), pa.array([10, 11, 12, 13]), pa.array([100, 125, 126, 40])], ["bucket", "key", "size"])
     made = [tuple(r.values()) for out in fuzzy_lines._pairer(0.8)([rows]) for r in out.to_pylist()]
     assert made == [(10, 11, None), (11, 12, None)]
+
+
+def test_buckets_over_several_batches_make_the_same_pairs():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        n = rng.integers(1, 80)
+        names, keys = np.sort(rng.integers(-3, rng.integers(1, 20), n)), rng.integers(0, 40, n)
+        order = np.lexsort((keys, names))
+        names, keys = names[order].tolist(), keys[order].tolist()
+        sizes = [k % 9 + 10 for k in keys]
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (names, keys, sizes)], ["bucket", "key", "size"])
+        step = int(rng.integers(1, 20))
+        made = [tuple(r.values()) for out in fuzzy_lines._pairer(0.8)([rows.slice(i, step) for i in range(0, n, step)]) for r in out.to_pylist()]
+        wanted = []
+        for name in sorted(set(names)):
+            own = sorted({k for m, k in zip(names, keys) if m == name})
+            for i, key in enumerate(own):
+                others = own[:i] if i < fuzzy_lines.SMALL_BUCKET else own[:fuzzy_lines.LEADERS]
+                wanted += [(k, key, None) for k in others if abs(key % 9 - k % 9) <= 0.2 * (10 + max(key % 9, k % 9)) + 1e-9]
+            wanted += [(None, key, name) for key in own if len(own) > fuzzy_lines.SMALL_BUCKET]
+        assert sorted(made, key=str) == sorted(wanted, key=str)
+
+
+def test_pairs_are_made_without_a_step_for_each_line():
+    # a bucket a line but for one: rows that make no pair are not taken one by one
+    class Rows(list):
+        def to_pylist(self):
+            raise AssertionError("one by one")
+
+        def __array__(self, dtype=None, copy=None):
+            return np.array(list(self), dtype or np.int64)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(5000), 4999]), pa.array(range(5001)), pa.array([9] * 5001)], ["bucket", "key", "size"])
+    rows = type("Batch", (), {"num_rows": 5001, "column": lambda self, i: Rows(batch.column(i).to_pylist())})()
+    made = [tuple(r.values()) for out in fuzzy_lines._pairer(0.8)([rows]) for r in out.to_pylist()]
+    assert made == [(4999, 5000, None)]
+
+
+def test_shingles_of_several_lines_stay_apart():
+    for lines in (["abcdefgh", "ijklm", "nopqrstu"], ["abcdefgh", "ab", "nopqrstu"], ["abcde"], []):
+        alone = [shingle_hashes([line])[0].tolist() for line in lines]
+        assert shingle_hashes(lines)[0].tolist() == sum(alone, [])
