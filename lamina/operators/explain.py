@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import key_hash
+from lamina.operators.attributions import node_table
+from lamina.operators.grids import Grids, model_grids
 from lamina.operators.models import Fitted, filled, predict_arrays
-from lamina.plans.row_index import with_row_index
+from lamina.plans.dealt import hash_int, with_drawn
+from lamina.plans.row_index import Indexed, with_row_index
+from lamina.session import materialise
+
+TREES = (DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
 
 
 def _score(fitted: Fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -17,14 +25,19 @@ def _score(fitted: Fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return predict_arrays(fitted, rows, keep, "_v")
 
 
+def _background(df: DataFrame, fitted: Fitted, row_id: str, seed: int) -> tuple[DataFrame, Indexed]:
+    """Own values ``_x`` of each row, and the rows in the order of a hash with their number."""
+    own = df.select(F.col(row_id), F.array(*filled(fitted.features, fitted.missing)).alias("_x"))
+    key = key_hash(seed, F.col(row_id).cast("string"))
+    return own, with_row_index(own.select(key.alias("_h"), F.col(row_id).cast("string").alias("_k"), "_x"), ["_h", "_k"], "_i")
+
+
 def _prepared(df: DataFrame, fitted: Fitted, row_id: str, n_samples: int, seed: int) -> DataFrame:
     """One line per row and sample: own values x, background values z, one random number per feature.
 
     The background row is drawn from the whole table, by its row number.
     """
-    own = df.select(F.col(row_id), F.array(*filled(fitted.features, fitted.missing)).alias("_x"))
-    key = key_hash(seed, F.col(row_id).cast("string"))
-    table = with_row_index(own.select(key.alias("_h"), F.col(row_id).cast("string").alias("_k"), "_x"), ["_h", "_k"], "_i")
+    own, table = _background(df, fitted, row_id, seed)
     pick = F.pmod(F.xxhash64(F.lit(seed), row_id, "_m"), F.lit(max(1, table.total)))
     drawn = own.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).withColumn("_i", pick)
     background = table.frame.select("_i", F.col("_x").alias("_z"))
@@ -32,8 +45,72 @@ def _prepared(df: DataFrame, fitted: Fitted, row_id: str, n_samples: int, seed:
     return drawn.join(background, "_i").drop("_i").withColumn("_r", numbers)
 
 
+def _by_blocks(fitted: Fitted, df: DataFrame, row_id: str, n_samples: int, seed: int, compute: Callable, columns: str, *seeds: int) -> tuple[DataFrame, int] | None:
+    """What ``compute`` makes of the codes of each row and of its background rows, for a model of trees; None without rows."""
+    p = len(fitted.features)
+    grids = model_grids((r.asDict() for r in node_table(fitted.model, df.sparkSession).collect()), p)
+    own, table = _background(df, fitted, row_id, seed)
+    if not table.total:
+        return None
+    return with_drawn(
+        own, row_id, table.frame, table.total, n_samples, p, seed, grids.codes, grids.kind, lambda x, z, h: compute(grids, x, z, h), columns, seeds
+    )
+
+
+def _numbers(m: int, p: int, h: np.ndarray) -> np.ndarray:
+    """A random number per row, sample and feature."""
+    return hash_int(np.arange(p), hash_int(np.arange(m), h[:, None])[:, :, None]).reshape(-1, p)
+
+
+def _attributed(grids: Grids, x: np.ndarray, z: np.ndarray, h: list[np.ndarray]) -> list[np.ndarray]:
+    """Attributions, and base and prediction, of some rows."""
+    n, m, p = z.shape
+    order = _numbers(m, p, h[0]).argsort(axis=1, kind="stable")
+    predictions = grids.along(np.repeat(x, m, axis=0), z.reshape(n * m, p), order)
+    change = np.empty((n * m, p))
+    np.put_along_axis(change, order, np.diff(predictions, axis=1), axis=1)
+    return [change.reshape(n, m, p).sum(axis=1) / m, predictions.reshape(n, m, p + 1)[:, :, [0, p]].sum(axis=1) / m]
+
+
+def _interacting(grids: Grids, x: np.ndarray, z: np.ndarray, h: list[np.ndarray]) -> list[np.ndarray]:
+    """Half the mean second difference of every pair of features of some rows."""
+    n, m, p = z.shape
+    pairs = [(i, j) for i in range(p - 1) for j in range(i + 1, p)]
+    numbers, marks = _numbers(m, p, h[0]), hash_int(np.arange(m), h[1][:, None]).ravel()
+
+    def takes(i: int, j: int) -> np.ndarray:
+        return numbers < hash_int(j, hash_int(i, marks))[:, None]
+
+    found = np.empty((n, len(pairs)))
+    for k, change in enumerate(grids.second_differences(np.repeat(x, m, axis=0), z.reshape(n * m, p), pairs, takes)):
+        found[:, k] = change.reshape(n, m).sum(axis=1) / (2.0 * m)
+    return [found]
+
+
+def _summed(found: DataFrame, repeated: int, row_id: str, column: str, place: str) -> DataFrame:
+    """``(row_id, place, value)`` of an array column; rows of one id are added up."""
+    exploded = found.select(row_id, "_same", F.posexplode(column).alias(place, "value"))
+    single = exploded.select(row_id, place, "value")
+    if not repeated:
+        return single
+    several = exploded.where("_same > 1").groupBy(row_id, place).agg(F.sum("value").alias("value"))
+    return exploded.where("_same = 1").select(row_id, place, "value").unionByName(several)
+
+
+def _from_blocks(found: DataFrame, repeated: int, fitted: Fitted, row_id: str, written: bool) -> tuple[DataFrame, DataFrame]:
+    if written or repeated:
+        found = materialise(found, "shapley_rows")
+    names = F.array(*map(F.lit, fitted.features))
+    values = _summed(found, repeated, row_id, "_values", "_f").select(row_id, F.get(names, F.col("_f")).alias("feature"), "value")
+    first, last = (F.get("_ends", F.lit(k)) for k in (0, 1))
+    if not repeated:
+        return values, found.select(row_id, first.alias("base"), last.alias("prediction"))
+    several = found.where("_same > 1").groupBy(row_id).agg(F.sum(first).alias("base"), F.sum(last).alias("prediction"))
+    return values, found.where("_same = 1").select(row_id, first.alias("base"), last.alias("prediction")).unionByName(several)
+
+
 def sampled_shapley(
-    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, seed: int = 42
+    fitted: Fitted, df: DataFrame, row_id: str, n_samples: int = 8, seed: int = 42, written: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Attributions ``(row_id, feature, value)`` and ``(row_id, base, prediction)``.
 
@@ -42,8 +119,15 @@ def sampled_shapley(
     order, each step's change of the prediction belongs to the feature that changed; the
     changes are averaged.  They add up to the prediction minus the mean background prediction.
     The plan does not grow with the number of features.
+
+    A model of trees is applied to blocks of rows where their background rows arrive; both tables come from one pass over
+    the blocks, made once if they are ``written``.
     """
     p = len(fitted.features)
+    if isinstance(fitted.model, TREES):
+        blocks = _by_blocks(fitted, df, row_id, n_samples, seed, _attributed, "_values,_ends", seed + 1)
+        if blocks is not None:
+            return _from_blocks(*blocks, fitted, row_id, written)
     lines = _prepared(df, fitted, row_id, n_samples, seed)
     # features in the random order, equal numbers by position; then each one's place in it
     ordered = F.transform(
@@ -89,6 +173,14 @@ def sampled_interactions(
     before the pair in a random order; it is zero for an additive model.
     """
     p = len(fitted.features)
+    if isinstance(fitted.model, TREES) and p > 1:
+        blocks = _by_blocks(fitted, df, row_id, n_samples, seed, _interacting, "_values", seed + 1, seed + 2)
+        if blocks is not None:
+            found, repeated = blocks
+            pairs = [(i, j) for i in range(p - 1) for j in range(i + 1, p)]
+            first, second = (F.array(*[F.lit(pair[k]) for pair in pairs]) for k in (0, 1))
+            halves = _summed(materialise(found, "shapley_rows") if repeated else found, repeated, row_id, "_values", "_f")
+            return _both_ways(halves.select(row_id, F.get(first, F.col("_f")).alias("i"), F.get(second, F.col("_f")).alias("j"), "value"), fitted, row_id)
     lines = _prepared(df, fitted, row_id, n_samples, seed)
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (False, True) for b in (False, True)])
     firsts = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(p - 2)))) if p > 1 else lines.limit(0).withColumn("i", F.lit(0))
@@ -104,6 +196,11 @@ def sampled_interactions(
     scored = _score(fitted, steps.withColumn("_v", mixed), [row_id, "i", "j", "a", "b"])
     signed = F.when(F.col("a") == F.col("b"), F.col("prediction")).otherwise(-F.col("prediction"))
     halves = scored.groupBy(row_id, "i", "j").agg((F.sum(signed) / F.lit(2.0 * n_samples)).alias("value"))
+    return _both_ways(halves, fitted, row_id)
+
+
+def _both_ways(halves: DataFrame, fitted: Fitted, row_id: str) -> DataFrame:
+    """Both orders of each pair, by the features' names."""
     both = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     names = F.array(*map(F.lit, fitted.features))
     return halves.select(row_id, F.explode(both).alias("e"), "value").select(

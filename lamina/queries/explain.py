@@ -228,7 +228,7 @@ def shapley_sampled_facts(spark, sf_dir):
     """Sampled attributions add up to the prediction less the background's mean, over all rows."""
     df = _numbered(spark, sf_dir)
     fitted = models.fit(df, FEATURES, "label", GRADIENT)
-    values, ends = explain.sampled_shapley(fitted, df, "row_id")
+    values, ends = explain.sampled_shapley(fitted, df, "row_id", written=True)
     sums = values.groupBy("row_id").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     gap = F.abs(F.col("base") + F.col("total") - F.col("model"))
     both = sums.join(ends, "row_id").join(models.predict(fitted, df, ["row_id"]).withColumnRenamed("prediction", "model"), "row_id")
