@@ -3,18 +3,20 @@
 Donors are assigned to the nearest of a few pivots.  For a query, the donors of its own cell or
 the triangle inequality give a radius that surely holds k donors, and only other cells that reach
 into that radius are visited (Lu et al., "Efficient processing of k nearest neighbor joins
-using MapReduce", 2012).  No pair is ever emitted: each block of one cell returns the
-k best of its donors.  Equal vectors are collapsed beforehand and large cells are cut
-into blocks on both sides, so no task depends on how the data are spread.
+using MapReduce", 2012).  No pair is ever emitted: cells that lie together make a part, a query comes once to each
+part that it visits, with a bit for each cell, and gets the k best donors of the part.  Donors of a part are held as one
+matrix of bounded size, queries stream past it.  Equal vectors are collapsed beforehand and large cells are cut
+into several parts, as queries of a part are, so no task depends on how the data are spread.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,14 @@ from lamina.session import materialise
 # Expected pivots over all spaces; they and the cell sizes are what the driver and the tasks hold in memory.
 TOTAL_PIVOTS = 50_000
 BLOCK_ROWS = 8192
-_CELLS_IN_MEMORY = 4_000_000
+# Donors of a part, the bytes of their vectors, and rows of queries that one task takes to a part.
+PART_ROWS = 1 << 16
+PART_BYTES = 32 << 20
+QUERY_ROWS = 1 << 16
+_CELLS_IN_MEMORY = 1_000_000
+# A tile of donors; where queries visit more than this share of a part's cells, all pairs are compared.
+_TILE_ROWS = 4096
+_DENSE = 0.25
 # Up to so many dimensions distances are summed for all pairs at once.
 PLAIN_DIMENSIONS = 4
 # So many spaces are named in a filter; with more all queries are routed again.
@@ -62,16 +71,17 @@ def nearest(
         (r["space"], r["cell"]): (r["n"], r["reach"])
         for r in placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect()
     }
+    parts = _parts(pivots, cells)
     sample = asked.select("_key", "space", "vec", F.lit(None).cast("double").alias("bound"))
-    best = _visit(_routed(sample, pivots, cells, k, True), placed, cells, k, block_rows, visited)
+    best = _visit(_routed(sample, pivots, cells, parts, k, True), placed, parts, k, block_rows, visited)
     # spaces of one cell are done
     several = [space for space, where in pivots.items() if sum((space, c) in cells for c in range(len(where))) > 1]
     if several:
         best = materialise(_top(best, k), "first")
-        bounds = best.groupBy("_key").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("bound"))
+        bounds = best.groupBy("_key").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("bound"))
         wanted = asked.where(F.col("space").isin(several)) if len(several) <= LISTED_SPACES else asked
         again = wanted.select("_key", "space", "vec").join(bounds, "_key", "left")
-        best = best.unionByName(_visit(_routed(again, pivots, cells, k, False), placed, cells, k, block_rows, visited))
+        best = best.unionByName(_visit(_routed(again, pivots, cells, parts, k, False), placed, parts, k, block_rows, visited))
     answers = (
         _top(best, k)
         .groupBy("_key")
@@ -87,38 +97,86 @@ def _top(best: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).drop("rank")
 
 
-def _visit(routes: DataFrame, placed: DataFrame, cells: dict, k: int, block_rows: int, visited: list | None) -> DataFrame:
-    """``(_key, d2, id, value)``: the k nearest donors of each query in every block of the cells it visits."""
+def _together(points: np.ndarray) -> list[int]:
+    """The points in an order that keeps near ones together: halves along the widest dimension, and so on."""
+    order, stack = [], [np.arange(len(points))]
+    while stack:
+        some = stack.pop()
+        if len(some) < 3:
+            order.extend(some.tolist())
+            continue
+        widest = np.ptp(points[some], axis=0).argmax()
+        some = some[points[some, widest].argsort(kind="stable")]
+        stack += [some[len(some) // 2:], some[:len(some) // 2]]
+    return order
+
+
+def _parts(pivots: dict[str, np.ndarray], cells: dict) -> dict[str, list[tuple[list[int], int]]]:
+    """The parts of each space: their cells, and how many parts share these, which is more than one for a large cell."""
+    found: dict[str, list[tuple[list[int], int]]] = {}
+    for space, where in pivots.items():
+        most = max(1, min(PART_ROWS, PART_BYTES // 8 // max(1, where.shape[1])))
+        parts, now, rows = [], [], 0
+        for cell in _together(where):
+            n = cells.get((space, cell), (0, 0.0))[0]
+            if n == 0:
+                continue
+            if now and rows + n > most:
+                parts.append((now, 1))
+                now, rows = [], 0
+            if n > most:
+                parts.append(([cell], math.ceil(n / most)))
+            else:
+                now, rows = [*now, cell], rows + n
+        if now:
+            parts.append((now, 1))
+        found[space] = parts
+    return found
+
+
+def _visit(routes: DataFrame, placed: DataFrame, parts: dict, k: int, block_rows: int, visited: list | None) -> DataFrame:
+    """``(_key, d2, id, value)``: the k nearest donors of each query in every part it visits."""
     routed = materialise(routes, "routed")
-    visits = {(r["space"], r["cell"]): r["count"] for r in routed.groupBy("space", "cell").count().collect()}
+    spark = routed.sparkSession
+    visits = {(r["space"], r["part"]): (r["n"], r["donors"]) for r in routed.groupBy("space", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("donors").alias("donors")
+    ).collect()}
     if visited is not None:
-        visited.append(sum(n * cells[at][0] for at, n in visits.items()))
-    # One row per cell: bounded by TOTAL_PIVOTS.
-    shards = routed.sparkSession.createDataFrame(
-        [
-            (space, cell, math.ceil(n / block_rows), math.ceil(visits[space, cell] / block_rows))
-            for (space, cell), (n, _) in cells.items()
-            if (space, cell) in visits
-        ],
-        "space string, cell int, donor_parts int, query_parts int",
+        visited.append(sum(donors for _, donors in visits.values()))
+    share = math.ceil(sum(n for n, _ in visits.values()) / (3 * spark.sparkContext.defaultParallelism))
+    rows = max(block_rows, min(QUERY_ROWS, share))
+    # One row per part, and per cell: bounded by TOTAL_PIVOTS.
+    splits = spark.createDataFrame(
+        [(space, part, math.ceil(n / rows), parts[space][part][1]) for (space, part), (n, _) in visits.items()],
+        "space string, part int, query_parts int, donor_parts int",
     )
-    left = (
-        routed.join(F.broadcast(shards), ["space", "cell"])
+    where = spark.createDataFrame(
+        [(space, cell, part, bit) for space, listed in parts.items() for part, (own, _) in enumerate(listed) if (space, part) in visits
+         for bit, cell in enumerate(own)],
+        "space string, cell int, part int, bit int",
+    )
+    block = ["space", "part", "query_part", "donor_part"]
+    nothing = F.lit(None)
+    asked = (
+        routed.join(F.broadcast(splits), ["space", "part"])
         .withColumn("query_part", F.pmod(F.xxhash64("_key"), F.col("query_parts")).cast("int"))
         .withColumn("donor_part", F.explode(F.sequence(F.lit(0), F.col("donor_parts") - 1)))
-        .select("space", "cell", "query_part", "donor_part", "_key", "vec")
+        .select(*block, F.lit(1).alias("side"), "_key", "vec", "bound", "cells", F.lit(0).alias("bit"), nothing.cast("bigint").alias("first_id"),
+                nothing.cast("array<struct<id:bigint,value:double>>").alias("holders"))
     )
-    right = (
-        placed.join(F.broadcast(shards), ["space", "cell"])
+    given = (
+        placed.join(F.broadcast(where), ["space", "cell"])
+        .join(F.broadcast(splits), ["space", "part"])
         .withColumn("donor_part", F.pmod(F.xxhash64("_key"), F.col("donor_parts")).cast("int"))
         .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-        .select("space", "cell", "query_part", "donor_part", "vec", "first_id", "holders")
+        .select(*block, F.lit(0).alias("side"), nothing.cast("string").alias("_key"), "vec", nothing.cast("double").alias("bound"),
+                nothing.cast("binary").alias("cells"), "bit", "first_id", "holders")
     )
-    block = ["space", "cell", "query_part", "donor_part"]
     return (
-        left.groupBy(*block)
-        .cogroup(right.groupBy(*block))
-        .applyInPandas(_block_best(k), "_key string, d2 double, holders array<struct<id:bigint,value:double>>")
+        given.unionByName(asked)
+        .repartition(*block)
+        .sortWithinPartitions(*block, "side")
+        .mapInArrow(_part_best(k), "_key string, d2 double, holders array<struct<id:bigint,value:double>>")
         .select("_key", "d2", F.explode("holders").alias("holder"))
         .select("_key", "d2", "holder.id", "holder.value")
     )
@@ -181,21 +239,25 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _placed(given: DataFrame, pivots: dict[str, np.ndarray]) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for space, rows in batch.groupby("space", sort=False):
-                distance = np.sqrt(_squared(np.vstack(rows["vec"].to_numpy()), pivots[space]))
-                cell = distance.argmin(axis=1)
-                yield rows.assign(cell=cell.astype("int32"), reach=distance[np.arange(len(cell)), cell])
+            for space, every in batch.groupby("space", sort=False):
+                step = max(1, _CELLS_IN_MEMORY // len(pivots[space]))
+                for begin in range(0, len(every), step):
+                    rows = every.iloc[begin:begin + step]
+                    distance = np.sqrt(_squared(np.vstack(rows["vec"].to_numpy()), pivots[space]))
+                    cell = distance.argmin(axis=1)
+                    yield rows.assign(cell=cell.astype("int32"), reach=distance[np.arange(len(cell)), cell])
 
     schema = "_key string, space string, vec array<double>, first_id bigint, " \
         "holders array<struct<id:bigint,value:double>>, cell int, reach double"
     return given.select("_key", "space", "vec", "first_id", "holders").mapInPandas(place, schema)
 
 
-def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, k: int, own: bool) -> DataFrame:
-    """Each query in its own cell, the one with the nearest pivot; or in the other cells that may hold one of its k nearest donors.
+def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, parts: dict, k: int, own: bool) -> DataFrame:
+    """Each query in the part of its own cell, the one with the nearest pivot; or in the parts of other cells that may hold one of its k nearest donors.
 
-    ``bound`` is the distance of k donors seen already.  No donor of a cell is nearer than the pivot less
-    the cell's reach, nor than the plane between the cell's pivot and the query's nearest one.
+    ``bound`` is the squared distance within which k donors were seen.  No donor of a cell is nearer than the pivot less
+    the cell's reach, nor than the plane between the cell's pivot and the query's nearest one.  ``cells`` has a bit for each
+    cell of the part, ``donors`` is the number of donors in those visited.
     """
     counts = {s: np.array([cells.get((s, c), (0, 0.0))[0] for c in range(len(p))]) for s, p in pivots.items()}
     reaches = {s: np.array([cells.get((s, c), (0, 0.0))[1] for c in range(len(p))]) for s, p in pivots.items()}
@@ -216,7 +278,7 @@ def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, k: int
         sure = np.cumsum(count[order], axis=1) >= k
         walked = np.take_along_axis(farthest, order, axis=1)
         radius = np.where(sure.any(axis=1), walked[rows, sure.argmax(axis=1)], np.inf)
-        radius = np.fmin(radius, bound)
+        radius = np.fmin(radius, np.sqrt(bound))
         # A little slack for rounding only adds cells.
         radius = radius + 1e-9 * (1.0 + np.where(np.isinf(radius), 0.0, radius))
         nearest_pivot = distance.argmin(axis=1)
@@ -225,73 +287,192 @@ def _routed(asked: DataFrame, pivots: dict[str, np.ndarray], cells: dict, k: int
         gap = squares - squares[rows, nearest_pivot][:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(apart > 0, gap / (2 * apart), 0.0)
-        visit = (count > 0) & (distance - reach <= radius[:, None]) & (plane <= radius[:, None])
+        # what is no number rules nothing out
+        visit = (count > 0) & ~(distance - reach > radius[:, None]) & ~(plane > radius[:, None])
         visit[rows, home] = False
         return visit
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for space, rows in batch.groupby("space", sort=False):
+            if not batch.num_rows:
+                continue
+            spaces = batch.column(1).dictionary_encode()
+            for at, space in enumerate(spaces.dictionary.to_pylist()):
                 if space not in pivots:
                     continue
+                mine = np.flatnonzero(np.asarray(spaces.indices.fill_null(-1)) == at)
                 step = max(1, _CELLS_IN_MEMORY // len(pivots[space]))
-                for begin in range(0, len(rows), step):
-                    part = rows.iloc[begin:begin + step]
-                    row, cell = np.nonzero(visits(space, np.vstack(part["vec"].to_numpy()), part["bound"].to_numpy(dtype=float)))
-                    hit = part.iloc[row]
-                    yield pd.DataFrame(
-                        {"_key": hit["_key"].to_numpy(), "space": space, "vec": hit["vec"].to_numpy(),
-                         "cell": cell.astype("int32")}
-                    )
-
-    return asked.select("_key", "space", "vec", "bound").mapInPandas(
-        route, "_key string, space string, vec array<double>, cell int"
+                for begin in range(0, len(mine), step):
+                    rows = batch.take(pa.array(mine[begin:begin + step]))
+                    visit = visits(space, _matrix(rows.column(2)), _numbers(rows.column(3)))
+                    for part, (members, _) in enumerate(parts[space]):
+                        inside = visit[:, members]
+                        row = np.flatnonzero(inside.any(axis=1))
+                        if not len(row):
+                            continue
+                        inside, hit = inside[row], rows.take(pa.array(row))
+                        bits = np.packbits(inside, axis=1)
+                        ends = np.arange(len(row) + 1, dtype=np.int32) * bits.shape[1]
+                        yield pa.RecordBatch.from_arrays(
+                            [*hit.columns, pa.array(np.full(len(row), part, np.int32)),
+                             pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bits))]),
+                             pa.array(inside.astype(np.int64) @ counts[space][members].astype(np.int64))],
+                            ["_key", "space", "vec", "bound", "part", "cells", "donors"],
+                        )
+
+    return asked.select("_key", "space", "vec", "bound").mapInArrow(
+        route, "_key string, space string, vec array<double>, bound double, part int, cells binary, donors bigint"
     )
 
 
-def _candidates(asked: np.ndarray, given: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and squared distance of pairs among which are the ``keep`` nearest of every row, ties included.
+def _numbers(cells: pa.Array) -> np.ndarray:
+    """A column of numbers, NaN for null."""
+    return np.asarray(cells.cast(pa.float64()).fill_null(float("nan")))
 
-    In more than a few dimensions products give distances up to rounding; only pairs that may
-    be among the nearest by that are summed dimension by dimension.
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of a batch, all of one length; NaN for null."""
+    return _numbers(vectors.flatten()).reshape(len(vectors), -1)
+
+
+def _all_pairs(asked: np.ndarray, given: np.ndarray) -> Callable[[slice, slice, np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives the pairs of some rows and columns among which are all within a row's squared ``limit``, or the ``keep`` nearest.
+
+    Products give distances up to rounding; they are single numbers where these can hold the vectors, with as much slack.
     """
-    if asked.shape[1] <= PLAIN_DIMENSIONS:
-        d2 = _squared(asked, given)
-        row, col = np.nonzero(d2 <= np.partition(d2, keep - 1, axis=1)[:, keep - 1][:, None])
-        return row, col, d2[row, col]
-    centre = given.mean(axis=0)
+    finite = given[np.isfinite(given).all(axis=1)]
+    centre = finite.mean(axis=0) if len(finite) else np.zeros(given.shape[1])
     a, b = asked - centre, given - centre
     aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-    rough = aa[:, None] + bb - 2 * (a @ b.T)
-    slack = 64 * np.finfo(float).eps * asked.shape[1] * (aa[:, None] + bb.max() + np.square(centre).sum())
-    worst = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-    row, col = np.nonzero(~(rough > worst[:, None] + 2 * slack))
-    exact = np.zeros(len(row))
+    top = max(np.nanmax(aa, initial=0.0), np.nanmax(bb, initial=0.0))
+    kind = np.float32 if top < 1e30 else np.float64
+    # of the products, and of the difference to the centre
+    error = 4 * np.finfo(kind).eps * (asked.shape[1] + 16)
+    lost = 64 * np.finfo(float).eps * asked.shape[1] * (aa + np.nanmax(bb, initial=0.0) + np.square(centre).sum())
+    left = np.hstack([-2 * a, np.ones((len(a), 1))]).astype(kind)
+    right = np.hstack([b, bb[:, None]]).astype(kind)
+
+    def pairs(rows: slice, columns: slice, limit: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        rough = left[rows] @ right[columns].T
+        slack = error * (aa[rows] + np.nanmax(bb[columns], initial=0.0)) + lost[rows] + 1e-30
+        worst = limit - aa[rows] + slack
+        free = np.flatnonzero(~(limit < np.inf))
+        if len(free):
+            at = min(keep, rough.shape[1]) - 1
+            worst[free] = np.partition(rough[free], at, axis=1)[:, at] + 2 * slack[free]
+        if kind is np.float32:
+            worst = np.nextafter(worst.astype(kind), np.float32(np.inf))
+        row, col = np.nonzero(~(rough > worst[:, None].astype(kind)))
+        return row + rows.start, col + columns.start
+
+    return pairs
+
+
+def _exact(asked: np.ndarray, given: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs, summed dimension by dimension in order."""
+    total = np.zeros(len(row))
     for d in range(asked.shape[1]):
-        exact += np.square(asked[row, d] - given[col, d])
-    return row, col, exact
-
-
-def _block_best(k: int):
-    def best(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or donors.empty:
-            return pd.DataFrame({"_key": [], "d2": [], "holders": []})
-        asked = np.vstack(queries["vec"].to_numpy())
-        given = np.vstack(donors["vec"].to_numpy())
-        first_id = donors["first_id"].to_numpy()
-        keep = min(k, len(given))
-        step = max(1, _CELLS_IN_MEMORY // len(given))
-        picked = []
-        for start in range(0, len(asked), step):
-            row, col, value = _candidates(asked[start:start + step], given, keep)
-            order = np.lexsort((first_id[col], value, row))
-            row, col, value = row[order], col[order], value[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            near = place < keep
-            picked.append((row[near] + start, col[near], value[near]))
-        row, col, value = (np.concatenate(part) for part in zip(*picked))
-        return pd.DataFrame(
-            {"_key": queries["_key"].to_numpy()[row], "d2": value, "holders": donors["holders"].to_numpy()[col]}
-        )
+        total += np.square(asked[row, d] - given[col, d])
+    return total
+
+
+def _near_in_part(
+    asked: np.ndarray, limit: np.ndarray, visit: np.ndarray, given: np.ndarray, cell: np.ndarray, first_id: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, donor and squared distance of the k nearest donors of each query in the cells it visits, or of those within its limit.
+
+    Donors are in the order of their cells, ``cell`` has where each begins, and the end.
+    """
+    limit = limit.copy()
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def taken(row: np.ndarray, col: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        within = ~(d2 > limit[row]) & (np.isfinite(d2) | ~(limit[row] < np.inf))
+        row, col, d2 = row[within], col[within], d2[within]
+        order = np.lexsort((first_id[col], d2, row))
+        row, col, d2 = row[order], col[order], d2[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        near = place < k
+        # with k donors none beyond the last of them counts any more
+        full = place == k - 1
+        limit[row[full]] = np.fmin(limit[row[full]], d2[full])
+        return row[near], col[near], d2[near]
+
+    if asked.shape[1] > PLAIN_DIMENSIONS and visit.mean() > _DENSE and (limit < np.inf).all():
+        of = np.repeat(np.arange(len(cell) - 1), np.diff(cell))
+        pairs = _all_pairs(asked, given)
+        step = max(1, _CELLS_IN_MEMORY // min(_TILE_ROWS, len(given)))
+        for low in range(0, len(asked), step):
+            rows, seen = slice(low, min(len(asked), low + step)), found[0]
+            for begin in range(0, len(given), _TILE_ROWS):
+                row, col = pairs(rows, slice(begin, min(len(given), begin + _TILE_ROWS)), limit[rows], k)
+                there = visit[row, of[col]]
+                row, col = row[there], col[there]
+                fresh = (row, col, _exact(asked, given, row, col))
+                seen = taken(*(np.concatenate(both) for both in zip(seen, fresh)))
+            found.append(seen)
+    else:
+        for c in np.flatnonzero(visit.any(axis=0)):
+            some, begin, end = np.flatnonzero(visit[:, c]), cell[c], cell[c + 1]
+            # tiles, so that a large cell is no large matrix
+            for start in range(begin, end, _TILE_ROWS * 4):
+                tile = given[start:min(end, start + _TILE_ROWS * 4)]
+                keep, step = min(k, len(tile)), max(1, _CELLS_IN_MEMORY // len(tile))
+                pairs = _all_pairs(asked[some], tile) if asked.shape[1] > PLAIN_DIMENSIONS else None
+                for low in range(0, len(some), step):
+                    rows = slice(low, min(len(some), low + step))
+                    if pairs:
+                        row, col = pairs(rows, slice(0, len(tile)), limit[some[rows]], keep)
+                        d2 = _exact(asked, tile, some[row], col)
+                    else:
+                        all_d2 = _squared(asked[some[rows]], tile)
+                        worst = np.partition(all_d2, keep - 1, axis=1)[:, keep - 1]
+                        row, col = np.nonzero(~(all_d2 > worst[:, None]))
+                        d2, row = all_d2[row, col], row + low
+                    found.append(taken(some[row], col + start, d2))
+    return taken(*(np.concatenate(part) for part in zip(*found)))
+
+
+def _part_best(k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, donors = None, [], None
+        for batch in batches:
+            at = 0
+            # runs of one block and side
+            marks = np.stack([np.asarray(batch.column(c)) for c in range(1, 5)], axis=1)
+            spaces = batch.column(0).to_pylist()
+            change = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1) | np.array([x != y for x, y in zip(spaces[1:], spaces[:-1])], bool)) + 1
+            for end in [*change.tolist(), batch.num_rows]:
+                run, name = batch.slice(at, end - at), (spaces[at], *marks[at, :3]) if end > at else None
+                side, at = marks[at, 3] if end > at else 0, end
+                if not run.num_rows:
+                    continue
+                if name != block:
+                    block, held, donors = name, [], None
+                if side == 0:
+                    held.append((_matrix(run.column(6)), np.asarray(run.column(9)), np.asarray(run.column(10)), run.column(11)))
+                    continue
+                if donors is None and held:
+                    bits, first_id = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+                    order = np.lexsort((first_id, bits))
+                    holders = pa.chunked_array([h[3] for h in held]).combine_chunks().take(pa.array(order))
+                    given = np.concatenate([h[0] for h in held])[order]
+                    donors, held = (given, bits[order], first_id[order], holders), []
+                if donors is None:
+                    continue
+                given, bits, first_id, holders = donors
+                packed = run.column(8)
+                width = len(packed[0].as_py())
+                visit = np.unpackbits(np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, width), axis=1).astype(bool)
+                bound = _numbers(run.column(7))
+                row, col, d2 = _near_in_part(
+                    _matrix(run.column(6)), np.where(np.isnan(bound), np.inf, bound), visit, given,
+                    np.searchsorted(bits, np.arange(width * 8 + 1)), first_id, k,
+                )
+                for begin in range(0, len(row), 1 << 14):
+                    some = slice(begin, begin + (1 << 14))
+                    yield pa.RecordBatch.from_arrays(
+                        [run.column(5).take(pa.array(row[some])), pa.array(d2[some]), holders.take(pa.array(col[some]))], ["_key", "d2", "holders"]
+                    )
 
     return best
