@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamina.functions.hashing import key_hash
-from lamina.plans.cuts import hash_cuts
+from lamina.functions.hashing import HASH_BITS, key_hash
+from lamina.plans.cuts import BUCKET_ROWS, hash_cuts
 from lamina.plans.lookup import lookup_join
 from lamina.plans.ranks import key_literals, keys_at_ranks, nulls_first, order_key
 from lamina.plans.row_index import with_row_index
@@ -17,11 +19,21 @@ from lamina.session import BROADCAST_ROWS
 
 # Block starts that are looked up and compared per row.
 MAX_EDGES = 200
+# Leading bits of a hash that rows are counted by at most.
+MOST_BITS = 16
 
 
-def row_key(*columns: str) -> Column:
-    """The columns' texts joined by ``|``; a mark inside a text and a null are escaped, so different keys differ."""
-    texts = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in columns]
+def row_key(*columns: str, df: DataFrame | None = None) -> Column:
+    """The columns' texts joined by ``|``; a mark inside a text and a null are escaped, so different keys differ.
+
+    Whole numbers, which ``df`` tells, have no marks and are not searched for them.
+    """
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)} if df is not None else set()
+    texts = [
+        F.col(c).cast("string") if c in whole
+        else F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        for c in columns
+    ]
     return F.concat_ws("|", *[F.coalesce(t, F.lit("\\N")) for t in texts])
 
 
@@ -35,7 +47,7 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float | int
 
     ``keys`` must identify a row.  The cut comes from hash histograms; rows are not moved.
     """
-    key = row_key(*keys)
+    key = row_key(*keys, df=df)
     cuts, _ = hash_cuts(df, {0: key_hash(seed, key)}, key, _test_rows(test_size))
     return df.withColumn("split", F.when(cuts[0], F.lit("test")).otherwise(F.lit("train")))
 
@@ -44,7 +56,7 @@ def shuffle_split(
     df: DataFrame, keys: Sequence[str], n_splits: int = 10, test_size: float | int = 0.1, seed: int = 0
 ) -> DataFrame:
     """Each row once per split, with ``split_no`` and its ``role``; the splits are independent draws."""
-    key = row_key(*keys)
+    key = row_key(*keys, df=df)
     hashes = {s: key_hash(seed, s, key) for s in range(n_splits)}
     cuts, _ = hash_cuts(df, hashes, key, _test_rows(test_size))
     roles = F.array(
@@ -74,17 +86,52 @@ def kfold(
     """
     if n_splits < 2:
         raise ValueError("at least two folds are needed")
-    frame = df.withColumn("_hash", key_hash(seed, row_key(*order))) if shuffle else df
-    by = ["_hash", *order] if shuffle else list(order)
     total = df.count()
     base, longer = divmod(total, n_splits)
     starts = [b * base + min(b, longer) for b in range(1, n_splits)]
-    key, edges = _blocks(frame, by, starts, total)
+    if shuffle:
+        return _shuffled_blocks(df, order, seed, starts, total)
+    key, edges = _blocks(df, order, starts, total)
     fold = F.lit(0)
     for edge in edges:
         if edge is not None:
             fold = fold + F.when(key >= edge, F.lit(1)).otherwise(F.lit(0))
-    return frame.select(*df.columns, fold.cast("int").alias("fold"))
+    return df.select("*", fold.cast("int").alias("fold"))
+
+
+def _shuffled_blocks(df: DataFrame, order: Sequence[str], seed: int, starts: Sequence[int], total: int) -> DataFrame:
+    """``fold`` by the order of a hash, then of the keys; the hash is made once for the lookups and settles nearly every comparison."""
+    hashes = df.withColumn("_hash", key_hash(seed, row_key(*order, df=df)))
+    found = _hashed_keys(hashes, ["_hash", *order], starts, total)
+    key, literal = order_key(df, order), key_literals(df, order_key(df, order))
+    fold = F.lit(0)
+    for start in starts:
+        if start in found:
+            edge, *rest = found[start]
+            after = F.when(F.col("_hash") == F.lit(edge), key >= literal(rest)).otherwise(F.col("_hash") > F.lit(edge))
+            fold = fold + F.when(after, F.lit(1)).otherwise(F.lit(0))
+    return hashes.select(*df.columns, fold.cast("int").alias("fold"))
+
+
+def _hashed_keys(df: DataFrame, order: Sequence[str], ranks: Sequence[int], total: int, bucket_rows: int = BUCKET_ROWS) -> dict[int, tuple]:
+    """As :func:`keys_at_ranks` where the first column of ``order`` is an even hash: its leading bits are counted, then only the buckets with a rank are sorted."""
+    key = order_key(df, order)
+    bucket = F.shiftright(order[0], HASH_BITS - min(MOST_BITS, (2 * total // bucket_rows).bit_length()))
+    counts = df.groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect()
+    places, below = {}, 0
+    for r in counts:
+        for rank in ranks:
+            if below <= rank < below + r["count"]:
+                places.setdefault((r["bucket"], rank - below), []).append(rank)
+        below += r["count"]
+    wanted = {b for b, _ in places}
+    if any(r["count"] > bucket_rows for r in counts if r["bucket"] in wanted):
+        return keys_at_ranks(df, key, ranks, total)
+    inside = df.select(bucket.alias("bucket"), key.alias("k")).where(F.col("bucket").isin(sorted(wanted)))
+    at = (F.row_number().over(Window.partitionBy("bucket").orderBy("k")) - 1).alias("at")
+    chosen = [(F.col("bucket") == b) & (F.col("at") == a) for b, a in places]
+    found = inside.select("*", at).where(reduce(Column.__or__, chosen, F.lit(False))).collect()
+    return {rank: tuple(r["k"]) for r in found for rank in places[r["bucket"], r["at"]]}
 
 
 def stratified_kfold(

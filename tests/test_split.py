@@ -84,3 +84,26 @@ def test_keys_do_not_run_into_each_other(spark):
     assert df.select(split.row_key("x", "y")).distinct().count() == len(rows)
     for size in (1, 3):
         assert split.train_test_split(df, ["x", "y"], size).filter("split = 'test'").count() == size
+
+
+def test_shuffled_folds_by_counted_hashes(spark, monkeypatch):
+    """Buckets of hashes, too large buckets, equal keys and nulls give the folds of a plain sort; keys of whole numbers are not searched for marks."""
+    df = spark.range(3000).select((F.col("id") % 1500).alias("a"), F.when(F.col("id") % 7 != 0, (F.col("id") % 1500 * 3).cast("int")).alias("b"))
+    plain = split.keys_at_ranks
+    for rows, general in ((50, False), (1, True)):
+        used = []
+        monkeypatch.setattr(split, "keys_at_ranks", lambda *a, **k: used.append(a) or plain(*a, **k))
+        monkeypatch.setattr(split._hashed_keys, "__defaults__", (rows,))
+        got = split.kfold(df, ["a", "b"], 7, shuffle=True, seed=3)
+        assert "replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+        hashed = df.select("a", "b", split.key_hash(3, split.row_key("a", "b")).alias("h")).collect()
+        order = sorted(range(3000), key=lambda i: (hashed[i]["h"], hashed[i]["a"], (hashed[i]["b"] is not None, hashed[i]["b"] or 0)))
+        places = {}
+        for place, i in enumerate(order):
+            places.setdefault((hashed[i]["a"], hashed[i]["b"]), []).append(place)
+        base, longer = divmod(3000, 7)
+        starts = [f * base + min(f, longer) for f in range(1, 7)]
+        for r in got.collect():
+            # equal keys lie in one fold, that of the first fold edge at or before the first of them, or beyond it
+            assert r["fold"] == sum(places[r["a"], r["b"]][-1] >= s for s in starts)
+        assert bool(used) == general
