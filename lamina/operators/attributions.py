@@ -15,7 +15,7 @@ is rows x path entries x half a path's length; no set is enumerated and no plan
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -24,11 +24,15 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.grids import Grids, cell_rows, model_grids
 from lamina.operators.models import Fitted, filled
 from lamina.session import scratch_path
 
 # Numbers that one block of rows, leaves and path entries may hold at a time.
 BLOCK_NUMBERS = 1 << 20
+# Numbers of one table of attributions by cell, and of all tables of a model.
+TABLE_NUMBERS = 1 << 18
+MODEL_NUMBERS = 1 << 20
 
 
 class Paths(NamedTuple):
@@ -206,7 +210,9 @@ def _per_row(df: DataFrame, row_id: str, cells, compute, names: str) -> DataFram
             width = len(batch.column(1)[0])
             flat = batch.column(1).flatten()
             rows = np.asarray(flat, dtype=float).reshape(batch.num_rows, width)
-            arrays = [pa.array(list(a), pa.list_(pa.float64())) for a in compute(rows)]
+            arrays = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel())) for a in compute(rows)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", *columns])
 
     schema = f"_id {kind}, " + ", ".join(f"{c} array<double>" for c in columns)
@@ -224,14 +230,35 @@ def tree_shapley(fitted: Fitted, df: DataFrame, row_id: str) -> tuple[DataFrame,
     They add up to the prediction minus ``base``, the model's value with no feature known.  A
     missing cell is the value that stood for it in training.  Every row comes back, whatever its id.
     """
-    return shapley_from(_trees(fitted, df.sparkSession), fitted.features, df, row_id, filled(fitted.features, fitted.missing))
+    nodes = [r.asDict() for r in node_table(fitted.model, df.sparkSession).collect()]
+    p = len(fitted.features)
+    grids = model_grids(nodes, p, TABLE_NUMBERS // p, MODEL_NUMBERS // p)
+    return _shapley(flatten(nodes).base, cell_shapley(grids, nodes), fitted.features, df, row_id, filled(fitted.features, fitted.missing))
+
+
+def cell_shapley(grids: Grids, nodes: Sequence[Mapping[str, Any]]) -> Callable[[np.ndarray], np.ndarray]:
+    """``shapley_values`` of a model, looked up where its trees have tables: attributions too only depend on a row's cell."""
+    known = [shapley_values(flatten(r for r in nodes if r["tree"] in table.numbers), cell_rows(grids, table)) for table in grids.tables]
+    rest = flatten(r for r in nodes if r["tree"] in grids.walked)
+
+    def values(rows: np.ndarray) -> np.ndarray:
+        codes, out = grids.codes(rows), shapley_values(rest, rows)
+        for table, attributed in zip(grids.tables, known):
+            out += attributed[table.places(codes)]
+        return out
+
+    return values
 
 
 def shapley_from(trees: Trees, features: Sequence[str], df: DataFrame, row_id: str, cells) -> tuple[DataFrame, DataFrame]:
     """``tree_shapley`` for flattened trees of any origin; ``cells`` are the features' columns without nulls."""
+    return _shapley(trees.base, lambda rows: shapley_values(trees, rows), features, df, row_id, cells)
+
+
+def _shapley(base: float, attribute: Callable[[np.ndarray], np.ndarray], features: Sequence[str], df: DataFrame, row_id: str, cells) -> tuple[DataFrame, DataFrame]:
     def compute(rows):
-        values = shapley_values(trees, rows)
-        return values, np.stack([np.full(len(rows), trees.base), trees.base + values.sum(axis=1)], axis=1)
+        values = attribute(rows)
+        return values, np.stack([np.full(len(rows), base), base + values.sum(axis=1)], axis=1)
 
     found = _per_row(df, row_id, cells, compute, "_values,_ends")
     names = F.array(*map(F.lit, features))

@@ -45,6 +45,13 @@ class Table(NamedTuple):
     cells: np.ndarray
     values: np.ndarray
 
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each row's cell."""
+        place = np.zeros(len(codes), np.int32)
+        for f, step in zip(self.features, self.steps):
+            place += step[codes[:, f]]
+        return place
+
 
 class Grids(NamedTuple):
     """A model: the thresholds of each feature, the tables, and the trees that are walked."""
@@ -68,7 +75,7 @@ class Grids(NamedTuple):
     def predictions(self, codes: np.ndarray) -> np.ndarray:
         total = np.zeros(len(codes))
         for table in self.tables:
-            total += table.values[_places(table, codes)]
+            total += table.values[table.places(codes)]
         for walk in self.walks:
             total += walk(codes)
         return total
@@ -128,11 +135,13 @@ class Grids(NamedTuple):
             yield total
 
 
-def _places(table: Table, codes: np.ndarray) -> np.ndarray:
-    place = np.zeros(len(codes), np.int32)
-    for f, step in zip(table.features, table.steps):
-        place += step[codes[:, f]]
-    return place
+def cell_rows(grids: Grids, table: Table) -> np.ndarray:
+    """A row in each cell of a table."""
+    rows = np.zeros(table.cells.shape)
+    for f in table.features:
+        thresholds = grids.thresholds[f]
+        rows[:, f] = np.concatenate([thresholds[:1], np.nextafter(thresholds, np.inf)])[table.cells[:, f]]
+    return rows
 
 
 def _walk(rows: Sequence[Mapping[str, Any]], thresholds: Sequence[np.ndarray]) -> Walk:

@@ -142,3 +142,20 @@ def test_models_without_trees(spark, table):
     fitted = models.fit(table, ["a", "b"], "label", {"model_type": "knn"})
     with pytest.raises(TypeError):
         attributions.tree_shapley(fitted, table, "row_id")
+
+
+@pytest.mark.parametrize("numbers", [1 << 18, 1])
+def test_attributions_by_cell_are_those_by_row(spark, numbers, monkeypatch):
+    """The same values from tables and from paths, and no path is followed for a row of a model with tables."""
+    df = spark.range(500).select("id", *[(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(100)) / 7).alias(c) for c in "abc"])
+    df = df.withColumn("label", F.col("a") * F.col("b") + F.col("c")).cache()
+    fitted = models.fit(df, list("abc"), "label", {"model_type": "xgboost", "n_estimators": 3, "max_depth": 3})
+    nodes = [r.asDict() for r in attributions.node_table(fitted.model, spark).collect()]
+    rows = np.array([list(r) for r in df.select("a", "b", "c").collect()])
+    wanted = attributions.shapley_values(attributions.flatten(nodes), rows)
+    found = attributions.cell_shapley(attributions.model_grids(nodes, 3, numbers, numbers), nodes)
+    if numbers > 1:
+        plain = attributions.shapley_values
+        monkeypatch.setattr(attributions, "shapley_values", lambda trees, rows: plain(trees, rows) if not trees.groups else 1 / 0)
+    assert found(rows) == pytest.approx(wanted, abs=1e-9)
+    assert found(rows[:0]).shape == (0, 3)
