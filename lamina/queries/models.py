@@ -225,9 +225,9 @@ def model_store_facts(spark, sf_dir):
     fitted = models.fit(df, FEATURES, "label", GRADIENT)
     save_model(fitted, GRADIENT, path, spark)
     again, _ = load_model(path, spark)
-    first = models.predict(fitted, df, ["row_id"])
-    second = models.predict(again, df, ["row_id"]).withColumnRenamed("prediction", "again")
-    both = first.join(second, "row_id")
+    # both predictions ride along with their row, which is never moved
+    first = models.predict(fitted, df, ["row_id", *FEATURES])
+    both = models.predict(again, first.withColumnRenamed("prediction", "first"), ["row_id", "first"]).withColumnsRenamed({"prediction": "again", "first": "prediction"})
     return both.agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("prediction") - F.col("again"))).alias("largest_difference"))
 
 

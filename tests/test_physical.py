@@ -67,3 +67,8 @@ def test_window_limits_apply_before_the_shuffle(spark, sf_dir):
 def test_fold_assignment_is_a_projection(spark, sf_dir):
     df = fixture(spark, sf_dir, "numeric").select(*LINE_KEYS)
     assert "Exchange" not in plan(split.kfold(df, LINE_KEYS, 5))
+
+
+def test_saved_models_are_compared_without_a_join(spark, sf_dir):
+    # the only join gives a row's file its first number
+    assert not re.search(r"Join \[row_id", QUERIES["model_store_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
